@@ -6,7 +6,9 @@ Lineage is cut with reliable checkpoints only.  Their folder is the one that the
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where they don't find it themselves: its sources go out once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_spanloom_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="spanloom-"), "spanloom_sources.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(f"{at}/{name}", os.path.relpath(f"{at}/{name}", os.path.dirname(top)))
+    context.addPyFile(path)
+    context._spanloom_shipped = True
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 

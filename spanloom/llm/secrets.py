@@ -1,0 +1,158 @@
+"""Secret scans (DataFrame and SQL functions only).
+
+Base spans come from three patterns.  The method adds spans: two character Markov chains, of random strings and of
+ordinary identifiers, are compared by log-likelihood ratio over every long token.  The chains are fitted on the driver
+from labelled samples that rules below write out (a few hundred short strings, none from the corpus), then placed into
+the plan as one literal row of quarter-nat steps for each first character.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.llm.common import read
+
+# The three base patterns, in the order in which equal starts are listed.
+ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
+ASSIGN_HEAD = r"^[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?"
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+KINDS = ("assign", "access", "hex", "markov")
+#: Characters of a token that the chains judge, and the length from which they do.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Quarter nats of evidence from which a token counts as random.
+EVIDENCE = 60
+_ZERO, _STEP, _MOST = 80, 4, 31
+
+# Parts of ordinary identifiers, file names and prose.
+_PARTS = (
+    "account address after again always application array average background before between building button cache "
+    "calendar change channel children client collection column command compare computer config connection container "
+    "content context controller country create current customer database default delete description destination "
+    "development device dictionary different directory document double element encoding environment error example "
+    "exception execution factory feature field filter function general government handler header history identifier "
+    "image important index information initial input instance interface international invoice keyboard language length "
+    "library listener location manager maximum memory message method minimum monitor network notification number object "
+    "operation option order output package parameter parser password people picture pointer position previous process "
+    "product program project property protocol provider question random record reference register remote repository "
+    "request resource response result returning schedule search section security selection sequence server service "
+    "session setting something source standard statement storage string structure supplier support system table target "
+    "template through together transaction translation transport understanding update user utility validation value "
+    "version window without worker writer abschnitt arbeitszeit aufgabe bedeutung beispiel einheit entwicklung ergebnis "
+    "geschwindigkeit gesellschaft nachricht schreiben verbindung wirtschaft zusammenarbeit appartement aujourdhui "
+    "bibliotheque changement connaissance developpement enseignement environnement gouvernement maintenant naturellement "
+    "quelquechose renseignement aplicacion conocimiento desarrollo direccion empresa informacion naturalmente pregunta "
+    "respuesta sociedad trabajador universidad"
+).split()
+
+
+def labelled_samples() -> list[tuple[str, int]]:
+    """(string, 1 if random else 0), by rule: digests in several alphabets; parts joined as identifiers are, dates, paths and numbers."""
+    out = []
+    for i in range(400):
+        raw = hashlib.sha512(f"random string {i}".encode()).digest()
+        sets = (ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], "0123456789abcdef")
+        letters = sets[i % len(sets)]
+        out.append(("".join(letters[b % len(letters)] for b in raw[: 24 + i % 40]), 1))
+        a, b, c = (_PARTS[(i * k + k) % len(_PARTS)] for k in (1, 7, 31))
+        joined = (
+            f"{a}_{b}_{c}", f"{a}{b.title()}{c.title()}", f"{a.title()}{b.title()}{c.title()}", f"{a.upper()}_{b.upper()}_{c.upper()}", f"{a}-{b}-{c}-{i}",
+            f"/{a}/{b}/{c}/{2000 + i % 30}/{1 + i % 12:02d}/{1 + i % 28:02d}", f"{a}{b}{c}", f"{2000 + i % 30}-{1 + i % 12:02d}-{1 + i % 28:02d}-{a}-{b}", f"{a}_{i}_{b}_v{i % 9}", f"{i * 7919 % 10**6:06d}{i * 104729 % 10**6:06d}{i * 1299709 % 10**8:08d}",
+            "=" * 20 + "-" * 20, "_" * 12 + a + "_" * 12,
+        )
+        out.append((joined[i % len(joined)], 0))
+    return out
+
+
+def log_ratios(samples: list[tuple[str, int]] | None = None) -> list[list[int]]:
+    """Quarter nats by first and second character: how much likelier the step is in a random string.  Steps are smoothed by one half."""
+    steps, firsts = (Counter(), Counter()), (Counter(), Counter())
+    for text, label in samples or labelled_samples():
+        for a, b in zip(text, text[1:]):
+            steps[label][a, b] += 1
+            firsts[label][a] += 1
+    n = len(ALPHABET) / 2
+
+    def ratio(a: str, b: str) -> int:
+        p, q = ((steps[k][a, b] + 0.5) / (firsts[k][a] + n) for k in (1, 0))
+        return max(-_MOST, min(_MOST, round(_STEP * math.log(p / q))))
+
+    return [[ratio(a, b) for b in ALPHABET] for a in ALPHABET]
+
+
+def evidence(token: Column) -> Column:
+    """A token's log-likelihood ratio in quarter nats; the token holds characters of ALPHABET only."""
+    table = F.array(*[F.lit("".join(chr(_ZERO + x) for x in row)) for row in log_ratios()])
+    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, 1))
+    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0), lambda s, i: s + F.ascii(F.substring(F.element_at(table, at(i)), at(i + 1), 1)) - _ZERO)
+
+
+def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
+    """Array of (start, rank, end) in code points, end exclusive, of the pattern's leftmost non-overlapping matches that keep() admits."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))
+        spans = F.concat(acc["spans"], F.array(span))
+        return F.struct(end.alias("at"), (F.when(keep(x["hit"]), spans).otherwise(acc["spans"]) if keep else spans).alias("spans"))
+
+    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
+    return F.when(text.rlike(pattern), found).otherwise(empty)
+
+
+def _listed(spans: Column) -> Column:
+    kinds = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(kinds, x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, assign, access, hex, markov - arrays of (start, rank, end) in code points.
+
+    Null and empty texts give empty arrays, repeated rows a row each, null ids stay null, an empty table no rows.
+    markov holds tokens of 20 characters or more that the chains call random and that touch no base span.
+    """
+    text = F.col("text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    long_enough = lambda hit: F.length(F.regexp_replace(hit, ASSIGN_HEAD, "")) >= 6
+    rows = rows.select(
+        "doc_id",
+        _spans(text, ASSIGN, "assign", long_enough).alias("assign"),
+        _spans(text, ACCESS, "access").alias("access"),
+        _spans(text, HEX, "hex").alias("hex"),
+        _spans(text, TOKEN, "markov", lambda hit: evidence(hit) >= EVIDENCE).alias("random"),
+    )
+    base = F.concat("assign", "access", "hex")
+    apart = F.filter("random", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return rows.select("doc_id", "assign", "access", "hex", apart.alias("markov"))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """(doc_id, text) with each base pattern's match replaced by mark, nulls kept."""
+    text = F.col(text_col)
+    for pattern in (ASSIGN, ACCESS, HEX):
+        text = F.regexp_replace(text, pattern, mark)
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(read(spark, sf_dir, "documents"))
+    base = F.concat("assign", "access", "hex")
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
+        F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
+        _listed(F.concat(base, "markov")).alias("spans"),
+    )
+
+
+SQL = {}
