@@ -12,6 +12,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,17 +68,57 @@ def tokenizer_json(rank: dict[bytes, int], pattern: str) -> str:
 
 
 class Codec:
-    """Encoder and decoder for one vocabulary; built once in each worker."""
+    """Encoder and decoder for one vocabulary; built once in each worker.
+
+    Texts are cut into the pattern's matches; each distinct match goes through the library once and is then remembered
+    (up to KEPT matches; then the memory starts afresh), since merges never cross a match.
+    """
+
+    KEPT = 1 << 19
 
     def __init__(self, description: str):
+        import regex
         from tokenizers import Tokenizer
 
+        self.cut = regex.compile(json.loads(description)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.tokenizer = Tokenizer.from_str(description)
+        self.model = self.tokenizer.model
+        self.to_chars = {b: c for b, c in byte_table().items() if chr(b) != c}
         back = {c: b for b, c in byte_table().items()}
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in self.tokenizer.get_vocab().items()}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.names = [str(i).encode() for i in range(1 + max(self.bytes_of))]
+        self.listed: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
+
+    def match_ids(self, match: str) -> tuple[int, ...]:
+        """The library's merges over one match of the pattern, its bytes as characters."""
+        chars = match.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_chars)
+        return tuple([t.id for t in self.model.tokenize(chars)])
+
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """The texts' matches, all of them known afterwards."""
+        if len(self.known) > self.KEPT:
+            for memory in (self.known, self.listed, self.decoded):
+                memory.clear()
+        cuts = [self.cut.findall(t) for t in texts]
+        for pieces in cuts:
+            for p in set(pieces).difference(self.known):
+                ids = self.known[p] = self.match_ids(p)
+                self.listed[p], self.decoded[p] = b" " + b" ".join(map(self.names.__getitem__, ids)), self.decode_bytes(ids)
+        return cuts
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [list(chain.from_iterable(map(self.known.__getitem__, pieces))) for pieces in self.learn(texts)]
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text: ids, the listed ids' SHA-256, the decoded bytes' SHA-256.  Each match's ids are decoded once and joined."""
+        out = []
+        for pieces in self.learn(texts):
+            listed = b"".join(map(self.listed.__getitem__, pieces))
+            decoded = b"".join(map(self.decoded.__getitem__, pieces))
+            out.append((listed.count(b" "), hashlib.sha256(listed[1:]).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        return out
 
     def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """Ids and, for each, the code points that it touches, end exclusive."""
@@ -169,15 +210,8 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", des
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", description: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every whole text, decodes the ids, and digests both."""
-    def work(own: Codec, texts: list[str]) -> list[tuple]:
-        out = []
-        for ids in own.encode(texts):
-            listed = " ".join(map(str, ids)).encode()
-            out.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(own.decode_bytes(ids)).hexdigest()))
-        return out
-
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    return map_texts(docs, id_col, text_col, fields, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", work, description or default_description())
+    return map_texts(docs, id_col, text_col, fields, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", Codec.digests, description or default_description())
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
