@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,3 +67,12 @@ def unused(columns: list[str], stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared checkpoint folder, read again: columnar and compressed, for large working tables."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
