@@ -216,6 +216,3 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", des
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"))
-
-
-SQL = {}

@@ -386,6 +386,3 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
-
-
-SQL = {}

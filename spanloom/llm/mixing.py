@@ -109,6 +109,3 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def production_exponent(shares: list[float], repeats: float) -> float:
     """The bisection's answer in closed form, for tests."""
     return max(0.0, 1 - math.log(repeats) / math.log(max(shares) / min(shares))) if max(shares) > min(shares) else 0.0
-
-
-SQL = {}

@@ -153,6 +153,3 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
         _listed(F.concat(base, "markov")).alias("spans"),
     )
-
-
-SQL = {}

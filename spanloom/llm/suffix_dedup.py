@@ -396,6 +396,3 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(read(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-SQL = {}

@@ -271,6 +271,3 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = scored(docs, train_from(docs, read(spark, sf_dir, "labels")))
     return out.select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
-
-
-SQL = {}

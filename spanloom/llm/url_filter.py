@@ -128,6 +128,3 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"))
-
-
-SQL = {}
