@@ -84,7 +84,7 @@ def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     sums = placed.groupBy("source", "block").agg(F.sum("tokens").alias("n"), F.first("budget").alias("budget"))
     running = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     cuts = sums.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
-    cuts = cuts.select(F.col("source").alias("cs"), F.col("block").alias("cb"), "before", F.expr("CASE WHEN before + n <= budget THEN 1 WHEN before >= budget THEN 0 ELSE -1 END").alias("fits"))
+    cuts = cuts.select(F.col("source").alias("cs"), F.col("block").alias("cb"), "before", F.expr("CASE WHEN before >= budget THEN 0 WHEN before + n <= budget THEN 1 ELSE -1 END").alias("fits"))
     cuts = saved(cuts)
     judged = placed.join(cuts, F.expr("source <=> cs AND block = cb")).drop("cs", "cb")
     inner = W.partitionBy("source", "block").orderBy("key", "doc_id").rangeBetween(W.unboundedPreceding, W.currentRow)

@@ -64,10 +64,10 @@ def labelled_samples() -> list[tuple[str, int]]:
         joined = (
             f"{a}_{b}_{c}", f"{a}{b.title()}{c.title()}", f"{a.title()}{b.title()}{c.title()}", f"{a.upper()}_{b.upper()}_{c.upper()}", f"{a}-{b}-{c}-{i}",
             f"/{a}/{b}/{c}/{2000 + i % 30}/{1 + i % 12:02d}/{1 + i % 28:02d}", f"{a}{b}{c}", f"{2000 + i % 30}-{1 + i % 12:02d}-{1 + i % 28:02d}-{a}-{b}", f"{a}_{i}_{b}_v{i % 9}", f"{i * 7919 % 10**6:06d}{i * 104729 % 10**6:06d}{i * 1299709 % 10**8:08d}",
-            "=" * 20 + "-" * 20, "_" * 12 + a + "_" * 12, ALPHABET[i % len(ALPHABET)] * 24, (ALPHABET * 2)[i % len(ALPHABET) :][:24],
+            "=" * 20 + "-" * 20, "_" * 12 + a + "_" * 12, (ALPHABET * 2)[i % len(ALPHABET) :][:24],
         )
         out.append((joined[i % len(joined)], 0))
-    return out
+    return out + [(c * 24, 0) for c in ALPHABET]
 
 
 def log_ratios(samples: list[tuple[str, int]] | None = None) -> list[list[int]]:
