@@ -115,7 +115,8 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
             close &= own[:, None] != own[None, :]
         return pd.DataFrame({"vec_id": ids, "n": close.sum(axis=1, dtype=np.int64)})
 
-    return dealt.groupBy("component_id", "i", "j").applyInPandas(counted, "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    # Dealt by block pair: what is already dealt by component alone would put a large one's pairs into a single task.
+    return dealt.repartition("component_id", "i", "j").groupBy("component_id", "i", "j").applyInPandas(counted, "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, seed: int = 5) -> DataFrame:
