@@ -335,14 +335,15 @@ def _window_groups(contexts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * n, batch.column(0).type), *(pa.array(x) for x in (np.full(n, h), np.arange(lo, lo + n), d[:, 0], d[:, 1]))], ["doc_id", "h", "p", "d1", "d2"])
 
     rows = contexts.select("doc_id", "h", "lo", "left", "suffix", "whole").mapInArrow(windows, f"doc_id {kind}, h bigint, p bigint, d1 bigint, d2 bigint")
-    several = rows.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2")
+    # Saved, both sides of the join come straight from shuffles, so Spark can split a window that very many texts share.
+    several = saved(rows.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2"))
     return rows.join(several, ["d1", "d2"], "left_semi").select("doc_id", "h", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """(doc_id, h, s, e) byte intervals that cover just the repeated bytes of docs (doc_id, h, text as bytes)."""
     rows = written(anchor_rows(docs, length))
-    several = rows.groupBy("rk").agg(F.count("*").alias("n")).filter("n > 1").select("rk")
+    several = saved(rows.groupBy("rk").agg(F.count("*").alias("n")).filter("n > 1").select("rk"))
     rows = written(rows.join(several, "rk", "left_semi"))
     same = written(rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.first("rk").alias("rk"), F.min(F.struct("doc_id", "h", "a", "lo", "hi")).alias("x")))
     whole = rows.join(same.filter("n > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("doc_id", "h", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
