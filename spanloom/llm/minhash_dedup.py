@@ -4,9 +4,10 @@ A table's key is a pair: one key of a left collection and one of a right collect
 10 + 10 half keys (40 minhashes) there are 100 tables of four-minhash keys, where plain banding would compute 400.  A pair
 of similarity 0.85 misses all tables with probability 5e-6.
 
-Candidates are verified on full shingle sets.  Buckets never emit all their pairs: equal sets are merged first; then
-each bucket links its members to its smallest, components are formed, and only buckets that still hold several components
-go on - small ones with their cross-component pairs, large ones with further pivots.  What large buckets then still
+Candidates are verified on full shingle sets.  Buckets never emit all their pairs: equal sets are merged first, and so are
+buckets of the same members; then each bucket links its members to its smallest, components are formed, and only buckets
+that still hold several components go on - small ones with their cross-component pairs; of its large ones, a document
+meets the further pivots of the largest.  What large buckets then still
 hold apart is compared whole: buckets that share members form a family, and every member outside the family's largest
 component meets all members of other components, block against block, from which only links leave.
 """
@@ -28,8 +29,8 @@ from spanloom.llm.components import components
 
 #: Half keys a side, minhashes in a half key, and rows up to which ids are broadcast rather than shuffled.
 HALVES, PER_HALF, BROADCAST_IDS = 10, 2, 1_000_000
-#: Members up to which a bucket pairs its components' members; further pivots of a large bucket; documents in a block.
-SMALL, PIVOTS, BLOCK = 24, 2, 400
+#: Members up to which a bucket pairs its components' members; further pivots of a large bucket; shingles in a block.
+SMALL, PIVOTS, BLOCK = 16, 2, 200_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -140,7 +141,8 @@ def _cross(rows: DataFrame) -> DataFrame:
 
 
 def _pivoted(rows: DataFrame) -> DataFrame:
-    """Pairs of a large bucket's members with its pivots; the choice goes by id alone, so tables agree on pivots."""
+    """Pairs of documents with the pivots of the largest bucket of each; the rest of large buckets is left to _rest."""
+    rows = rows.groupBy("doc_id", "c").agg(F.max(F.struct("size", "key")).alias("x")).select("doc_id", "c", "x.key")
     out = None
     for r in range(PIVOTS):
         salt = F.xxhash64("doc_id", F.lit(r))
@@ -177,40 +179,46 @@ def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     heads = rows.groupBy("key").agg(F.min("doc_id").alias("head"))
     families = components(rows.join(heads, "key").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct())
     members = rows.select("doc_id", "c").distinct().join(families.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left")
-    members = saved(members.select("doc_id", "c", F.coalesce("component_id", "doc_id").alias("family")))
-    sizes = members.groupBy("family", "c").agg(F.count("*").alias("n"))
+    members = members.select("doc_id", "c", F.coalesce("component_id", "doc_id").alias("family"))
+    members = saved(members.join(sets.select("doc_id", F.size("s").cast("long").alias("n")), "doc_id"))
+    sizes = members.groupBy("family", "c").agg(F.sum("n").alias("n"))
     sizes = sizes.groupBy("family").agg(F.max(F.struct("n", "c")).alias("x"), F.sum("n").alias("n")).select("family", F.col("x.c").alias("top"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), F.ceil((F.col("n") - F.col("x.n")) / BLOCK).cast("int").alias("ni"))
-    dealt = members.join(sizes, "family").join(sets, "doc_id")
+    dealt = members.drop("n").join(sizes, "family").join(sets, "doc_id")
     at = F.xxhash64("doc_id", F.lit("block"))
     queries = dealt.filter("c <> top").select("family", F.pmod(at, "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("query"), "doc_id", "c", "s")
     against = dealt.filter("ni > 0").select("family", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(at, "nj").cast("int").alias("j"), F.lit(False).alias("query"), "doc_id", "c", "s")
     return queries.union(against).groupBy("family", "i", "j").applyInPandas(lambda frame: _block_links(frame, percent), "u bigint, v bigint")
 
 
+def _stars(roots: DataFrame) -> DataFrame:
+    """Components as links."""
+    return roots.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+
+
 def near_links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, component_id) over reps (doc_id, left, right), one for each distinct set."""
     tables = reps.select("doc_id", F.posexplode("left").alias("i", "l"), "right").select("doc_id", "i", "l", F.posexplode("right").alias("j", "r"))
     keys = tables.select("doc_id", F.xxhash64("i", "j", "l", "r").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head <> last").select("key", "head")
+    h = F.xxhash64("doc_id")
+    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 33)).alias("y"))
+    buckets = buckets.filter("head <> last").groupBy("head", "last", "n", "x", "y").agg(F.min("key").alias("key")).select("key", "head")
     members = saved(keys.join(saved(buckets), "key"))
     tested = saved(members.filter("doc_id <> head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct())
     members = members.select("key", "doc_id")
     sets = saved(shingle_sets(only(docs, members.select("doc_id").distinct()), words))
-    links = saved(verified(tested, sets, percent))
-    roots = components(links)
+    roots = components(verified(tested, sets, percent))
     rows = saved(_labelled(members, roots))
     large = rows.filter(F.col("size") > SMALL)
     pairs = _cross(rows.filter(F.col("size") <= SMALL)).union(_pivoted(large)).distinct()
     found = saved(verified(pairs.join(tested, ["u", "v"], "left_anti"), sets, percent))
     if not found.isEmpty():
-        links = links.union(found)
-        roots = components(links)
+        roots = components(_stars(roots).union(found))
     if not large.isEmpty():
         left = saved(_labelled(large.select("key", "doc_id"), roots).drop("size"))
         if not left.isEmpty():
             found = saved(_rest(left, sets, percent))
             if not found.isEmpty():
-                roots = components(links.union(found))
+                roots = components(_stars(roots).union(found))
     return roots
 
 
