@@ -74,7 +74,7 @@ class Codec:
     (up to KEPT matches; then the memory starts afresh), since merges never cross a match.
     """
 
-    KEPT = 1 << 19
+    KEPT = 1 << 17
 
     def __init__(self, description: str):
         import regex

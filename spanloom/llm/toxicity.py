@@ -92,6 +92,10 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+#: Words that a worker remembers with their margins; workers live on beside later stages, so this is memory that they share.
+KEPT = 1 << 18
+
+
 class Machine:
     """One weight for each triple, a bias, and the logistic curve for texts."""
 
@@ -101,7 +105,7 @@ class Machine:
 
     def learn(self, batch: Iterable[str]) -> None:
         """Scores words that aren't known yet; the memory starts afresh when it is large."""
-        if len(self.known) > 1 << 20:
+        if len(self.known) > KEPT:
             self.known.clear()
         new = [w for w in batch if w not in self.known]
         for at in range(0, len(new), 4000):
