@@ -1,21 +1,22 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by meetings in hash buckets, without a limit on a bucket's size.
 
-Each pass hashes a vector with its own random hyperplanes into a 62-bit number, orders all vectors by (pass, number,
-vec_id) and compares each with its next ``window`` neighbours.  One range-partitioned sort serves all passes.  Hash order differs
-in each pass, so neighbours that a range border parts in one pass meet in others.  Verified pairs of all passes are
-united by connected components.
+Equal vectors are merged first: one stands for all its copies.  In each pass, vectors whose signs under the pass's
+random hyperplanes are all equal share a bucket, and every pair of a bucket is compared: its members are dealt to
+blocks, and each pair of blocks is one product of matrices.  A bucket gives the links of a spanning forest, not all.
 
-The window bounds what one pass compares, so it cannot list all links of a large group.  A component's links are
-therefore counted exactly afterwards: its members are dealt to blocks and each pair of blocks is one product of
-matrices, from which only counts leave.
+Bits and passes are chosen together, so that a pair at the threshold misses every meeting with probability MISS at
+most.  That holds for any number and density of vectors, as nothing is left out of a bucket.  No bits and one pass are
+the plain comparison of all pairs, which misses nothing; it is taken where it costs least, as with few or dense vectors.
+
+The links inside a component are counted exactly afterwards, by the same block pairs, from which only counts leave.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,13 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import read, saved, ship
 from spanloom.llm.components import components
 
-#: Passes, neighbours compared in each, members of one block, bits of a hash.
-PASSES, WINDOW, BLOCK, BITS = 24, 48, 256, 62
+#: Members of a block: from BLOCK on a group is dealt to up to SPREAD blocks, and no block is to hold more than MOST.
+BLOCK, SPREAD, MOST, TILE = 256, 12, 4096, 1024
 THRESHOLD = 0.95
+#: Largest probability that a pair at the threshold meets in no pass; rows up to which all pairs are compared at once.
+MISS, EXACT = 1e-6, 16_384
+#: Bits of a bucket at most; rows of the sample that the costs are estimated from; a moved vector's cost in compared pairs.
+BITS, SAMPLE, MOVE = 24, 1024, 2000
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -36,105 +41,161 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), F.size(vec_col).alias("dim"))
 
 
-def unit(rows: list) -> np.ndarray:
-    """Rows of unit length in double precision; scaled first, so that no square overflows."""
-    x = np.array(rows, dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+def packed(rows: DataFrame, kind: str) -> DataFrame:
+    """(vec_id, dim, x) with the vector's bytes: f4 where the column holds no more than that, else f8; no negative zero."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([(np.array(v) + 0.0).astype(kind).tobytes() for v in lists], pa.binary())], ["vec_id", "dim", "x"])
 
-def hyperplanes(dim: int, passes: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, passes * BITS))
+    return rows.select("vec_id", "dim", "v").mapInArrow(run, "vec_id bigint, dim int, x binary")
 
 
-def hashes(x: np.ndarray, passes: int, seed: int) -> np.ndarray:
-    """One 62-bit number a vector and pass: the concatenated signs, first hyperplane highest."""
-    signs = (x @ hyperplanes(x.shape[1], passes, seed) >= 0).reshape(len(x), passes, BITS)
-    return signs.astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+def unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """Rows of unit length in double precision; scaled first, so that no square overflows."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def window_pairs(vectors: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
-    """(u, v) verified pairs of neighbours, over all passes, each once; vectors of different length never meet."""
+def hashes(x: np.ndarray, passes: int, bits: int, seed: int) -> np.ndarray:
+    """One number of so many bits a vector and pass: the concatenated signs."""
+    planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], passes * bits))
+    signs = (x @ planes >= 0).reshape(len(x), passes, bits)
+    return signs.astype(np.int64) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
+
+
+def passes_for(bits: int, threshold: float, miss: float = MISS) -> int:
+    """Passes after which a pair at the threshold has met but with probability miss; one, certain, without bits."""
+    meets = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if meets > 1 - miss else math.ceil(math.log(miss) / math.log1p(-meets)) if meets > 1e-9 else 1 << 30
+
+
+def plan(n: int, sample: np.ndarray, threshold: float, miss: float = MISS) -> tuple[int, int]:
+    """(bits, passes) of least estimated cost.  The sample of unit vectors tells how dense they lie; recall doesn't hang on it."""
+    cosines = (sample @ sample.T)[np.triu_indices(len(sample), 1)]
+    same = 1 - np.arccos(np.clip(cosines, -1, 1)) / math.pi
+
+    def cost(bits: int) -> float:
+        share = float((same**bits).mean()) if len(same) else 1.0
+        return passes_for(bits, threshold, miss) * (n * n / 2 * share + n * MOVE * (1 + n * share / MOST))
+
+    bits = min(range(BITS + 1), key=cost)
+    return bits, passes_for(bits, threshold, miss)
+
+
+def dealt(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Rows of each group dealt to blocks ``own``, once for each pair of blocks (i, j) that holds them."""
+    size = F.col("size")
+    blocks = F.greatest(F.least(F.ceil(size / block), F.lit(SPREAD)), F.ceil(size / F.lit(MOST))).cast("int")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size")).select(*keys, blocks.alias("blocks")).filter("blocks > 1")
+    out = rows.join(sizes, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    out = out.withColumn("own", F.expr("int(pmod(xxhash64(vec_id), blocks))")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    out = out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+    # Dealt by block pair: what is already dealt by its group alone would put a large one's pairs into a single task.
+    return out.repartition(*keys, "i", "j")
+
+
+def _tiles(table: pa.Table, kind: str, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places a, places b, whether each a is close to each b) over one pair of blocks; nothing is close to itself."""
+    x, own = unit(table.column("x").to_pylist(), kind), table.column("own").to_numpy()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for at in range(0, len(left), TILE):
+        some = left[at : at + TILE]
+        close = x[some] @ x[right].T >= threshold
+        if i == j:
+            close[np.arange(len(some)), np.arange(at, at + len(some))] = False
+        yield some, right, close
+
+
+def forest(table: pa.Table, kind: str, threshold: float) -> pa.Table:
+    """Links (u, v) from each member to the first one of those that close pairs join it to."""
+    ids = table.column("vec_id").to_numpy()
+    root = np.arange(len(ids))
+    for left, right, close in _tiles(table, kind, threshold):
+        a, b = np.nonzero(close)
+        a, b = left[a], right[b]
+        while len(a):
+            a, b = root[a], root[b]
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table({"u": ids[moved], "v": ids[root[moved]]})
+
+
+def meetings(whole: DataFrame, kind: str, threshold: float, bits: int, passes: int, block: int, seed: int) -> DataFrame:
+    """(u, v) links that join whatever the close pairs of all passes' buckets join; vectors of different length never meet."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame = batch.to_pandas()
-            for dim, part in frame.groupby("dim"):
-                for a in range(0, len(part), 1024):
-                    some = part.iloc[a : a + 1024]
-                    keys = hashes(unit(list(some["v"])), passes, seed)
-                    yield pa.RecordBatch.from_pydict({"vec_id": some["vec_id"].to_numpy(), "dim": np.full(len(some), dim, np.int32), "key": list(keys), "v": pa.array(list(some["v"]), pa.list_(pa.float64()))}, schema)
-
-    schema = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("key", pa.list_(pa.int64())), ("v", pa.list_(pa.float64()))])
-    rows = vectors.select("vec_id", "dim", "v").mapInArrow(hashed, "vec_id bigint, dim int, key array<bigint>, v array<double>")
-    rows = rows.select("vec_id", "dim", "v", F.posexplode("key").alias("pass", "key"))
-    order = ["dim", "pass", "key", "vec_id"]
-    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links inside one sorted range, each batch with the last rows before it."""
-        tail: pd.DataFrame | None = None
-        for batch in batches:
-            frame = batch.to_pandas()
-            if tail is not None:
-                frame = pd.concat([tail, frame], ignore_index=True)
-            old = 0 if tail is None else len(tail)
-            yield from _links(frame, old, threshold, window)
-            tail = frame.iloc[-window:]
-
-    edges = sorted_rows.select("dim", "pass", "vec_id", "v").mapInArrow(neighbours, "u bigint, v bigint")
-    return edges.distinct()
-
-
-def _links(frame: pd.DataFrame, old: int, threshold: float, window: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows at most window apart with the later at or beyond position old."""
-    for _, part in frame.groupby(["dim", "pass"], sort=False):
-        x, ids, at = unit(list(part["v"])), part["vec_id"].to_numpy(), part.index.to_numpy()
-        us, vs = [], []
-        for d in range(1, min(window, len(x) - 1) + 1):
-            hit = np.flatnonzero((np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold) & (at[d:] >= old))
-            us.append(ids[hit])
-            vs.append(ids[hit + d])
-        if us:
-            yield pa.RecordBatch.from_pydict({"u": np.concatenate(us), "v": np.concatenate(vs)})
-
-
-def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(vec_id, component_id, v) -> (vec_id, n_links): exact links within each component, block by block."""
-    sizes = members.groupBy("component_id").agg(F.count("*").alias("size"))
-    dealt = members.join(sizes, "component_id").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    dealt = dealt.withColumn("own", F.expr("int(pmod(xxhash64(vec_id), blocks))")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component_id", "vec_id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def counted(frame: pd.DataFrame) -> pd.DataFrame:
-        x, ids, own = unit(list(frame["v"])), frame["vec_id"].to_numpy(), frame["own"].to_numpy()
-        close = x @ x.T >= threshold
-        np.fill_diagonal(close, False)
-        if frame["i"].iloc[0] != frame["j"].iloc[0]:
-            close &= own[:, None] != own[None, :]
-        return pd.DataFrame({"vec_id": ids, "n": close.sum(axis=1, dtype=np.int64)})
-
-    # Dealt by block pair: what is already dealt by component alone would put a large one's pairs into a single task.
-    return dealt.repartition("component_id", "i", "j").groupBy("component_id", "i", "j").applyInPandas(counted, "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, seed: int = 5) -> DataFrame:
+            dims = batch.column(1).to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                for a in range(0, part.num_rows, 1024):
+                    some = part.slice(a, 1024)
+                    keys = hashes(unit(some.column(2).to_pylist(), kind), passes, bits, seed)
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(list(keys), pa.list_(pa.int64()))], ["vec_id", "dim", "x", "key"])
+
+    rows = whole.select("vec_id", "dim", "x")
+    if bits:
+        rows = rows.mapInArrow(hashed, "vec_id bigint, dim int, x binary, key array<bigint>").select("vec_id", "dim", "x", F.posexplode("key").alias("pass", "key"))
+    keys = ["dim", "pass", "key"] if bits else ["dim"]
+    return dealt(rows, keys, block).groupBy(*keys, "i", "j").applyInArrow(lambda t: forest(t, kind, threshold), "u bigint, v bigint").distinct()
+
+
+def count_links(members: DataFrame, kind: str, threshold: float, block: int) -> DataFrame:
+    """(vec_id, component_id, dim, x, copies) -> (vec_id, n_links): exact links within each component, copies counted."""
+
+    def counted(table: pa.Table) -> pa.Table:
+        copies = table.column("copies").to_numpy().astype(np.float64)
+        n = np.zeros(len(copies))
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        for left, right, close in _tiles(table, kind, threshold):
+            close = close.astype(np.float64)
+            n[left] += close @ copies[right]
+            if not within:
+                n[right] += copies[left] @ close
+        return pa.table({"vec_id": table.column("vec_id"), "n": n.astype(np.int64)})
+
+    keys = ["component_id", "dim"]
+    out = dealt(members, keys, block).groupBy(*keys, "i", "j").applyInArrow(counted, "vec_id bigint, n bigint")
+    own = members.select("vec_id", (F.col("copies") - 1).alias("n"))
+    return out.union(own).groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, seed: int = 5, miss: float = MISS, exact: int = EXACT) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing: n_links 0, their own
     component, kept.  Vectors of different length never link.  Null ids give a row of their own (component null, kept).
     vec_id is taken to be unique; a repeated id counts as one more vector that shares the id's row values.  An empty table
-    gives no rows.  Every reported link has cosine >= threshold; which components exist is found by the passes.
+    gives no rows.  Every reported link has cosine >= threshold; each such pair is found but with probability miss, and
+    for certain where a vector length has no more than ``exact`` different vectors.
     """
-    ship(vectors.sparkSession)
-    good = usable(vectors, id_col, vec_col)
-    edges = window_pairs(good, threshold, passes, window, seed)
-    found = saved(edges)
+    spark = vectors.sparkSession
+    ship(spark)
+    kind = "f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "f8"
+    rows = packed(usable(vectors, id_col, vec_col), kind)
+    whole = saved(rows.groupBy("dim", "x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
+    repeated = whole.filter("copies > 1").select("dim", "x", F.col("vec_id").alias("v"))
+    copies = saved(rows.join(repeated, ["dim", "x"]).filter("vec_id <> v").select(F.col("vec_id").alias("u"), "v"))
+    most = whole.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    bits, passes = 0, 1
+    if most and most["count"] > exact:
+        sample = whole.filter(F.col("dim") == most["dim"]).orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(SAMPLE).select("x").collect()
+        bits, passes = plan(most["count"], unit([bytes(r["x"]) for r in sample], kind), threshold, miss)
+    found = saved(copies.union(meetings(whole, kind, threshold, bits, passes, block, seed)))
     roots = components(found)
     roots = saved(roots.union(roots.select("component_id", "component_id")).distinct().toDF("vec_id", "component_id"))
-    links = count_links(good.join(roots, "vec_id").select("vec_id", "component_id", "v"), threshold, block)
-    told = roots.join(links, "vec_id")
+    links = count_links(whole.join(roots, "vec_id").select("vec_id", "component_id", "dim", "x", "copies"), kind, threshold, block)
+    stands = copies.groupBy(F.col("u").alias("vec_id")).agg(F.min("v").alias("one"))
+    one = roots.join(stands, "vec_id", "left").withColumn("one", F.coalesce("one", "vec_id"))
+    told = one.join(links.withColumnRenamed("vec_id", "one"), "one").drop("one")
     out = vectors.select(F.col(id_col).alias("vec_id")).join(told, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.expr("vec_id <=> coalesce(component_id, vec_id)").alias("kept"))

@@ -146,6 +146,42 @@ def test_embeddings(spark):
     assert got[304]["component_id"] == got[305]["component_id"] == 304 and got[301]["kept"]
 
 
+def test_embeddings_in_dense_surroundings(spark):
+    """Planted pairs at 0.955 among 8,000 vectors at mutual cosine 0.9, and 200 copies beside one close vector."""
+    rng = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal(64) / 8 * 3 + unit(rng.standard_normal((8000, 64))))
+    for i in range(0, 200, 2):
+        away = rng.standard_normal(64)
+        away = unit(away - (away @ x[i]) * x[i])
+        x[i + 1] = 0.955 * x[i] + np.sqrt(1 - 0.955**2) * away
+    x = np.vstack([x, np.repeat(unit(rng.standard_normal((1, 64))), 200, axis=0)])
+    x = np.vstack([x, unit(x[-1:] + 0.2 * unit(rng.standard_normal((1, 64))))])
+    close = x @ x.T >= 0.95
+    np.fill_diagonal(close, False)
+    assert close[range(0, 200, 2), range(1, 200, 2)].all()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for exact in (16_384, 4096):
+        got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(rows, exact=exact).collect()}
+        assert [got[i]["n_links"] for i in range(len(x))] == close.sum(axis=1).tolist()
+        assert all(got[i]["component_id"] == got[j]["component_id"] for i, j in zip(*np.nonzero(close)))
+
+
+def test_embedding_meetings(spark):
+    """Buckets of many bits and passes join what all pairs join; the passes keep the promised recall."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((400, 16))
+    x = np.vstack([base, base[:200] + 0.06 * rng.standard_normal((200, 16))])
+    rows = spark.createDataFrame([(i, 16, v.tobytes()) for i, v in enumerate(x)], "vec_id long, dim int, x binary")
+    passes = embedding_dedup.passes_for(6, 0.95)
+    sets = []
+    for bits, n in ((0, 1), (6, passes)):
+        links = embedding_dedup.meetings(rows, "f8", 0.95, bits, n, 16, 5)
+        sets.append({(r["id"], r["component_id"]) for r in components.components(links).collect()})
+    assert sets[0] == sets[1] and len(sets[0]) >= 190
+    assert (1 - (1 - np.arccos(0.95) / np.pi) ** 6) ** passes <= 1e-6 and embedding_dedup.passes_for(0, 0.95) == 1
+
+
 def test_bpe(spark):
     import public_tokenizers as P
     import tiktoken
