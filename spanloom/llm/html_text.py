@@ -3,6 +3,9 @@
 A tree builder applies implied start and end tags; visibility rules (elements that are never shown, ``hidden``, inline
 and simple style-sheet ``display`` and ``visibility``) decide what is seen; a renderer writes all visible text with block
 spacing, list markers and table cells aligned in columns.
+
+Style sheets count as on a screen of VIEWPORT pixels.  Where a condition cannot be decided, rules that show text count and
+rules that hide it don't.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from spanloom.llm.common import read, ship
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_SHOWN = frozenset("head title meta link base script style template noscript datalist area param source track iframe object audio video canvas svg math select".split())
+NEVER_SHOWN = frozenset("head title meta link base script style template noscript datalist area param source track iframe object audio video canvas".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 RAW_WITH_ENTITIES = frozenset("title textarea".split())
 BLOCKS = frozenset(
@@ -49,10 +52,24 @@ IMPLIED_ENDS = {
     "tfoot": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"]), _TABLE),
 }
 _P_SCOPE = frozenset("table td th caption button object body".split())
+FOREIGN = frozenset(["svg", "math"])
+#: Elements of SVG and MathML that hold HTML again, and HTML elements that end an open SVG or MathML elsewhere.
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
+SVG_NEVER_SHOWN = frozenset("defs symbol desc metadata clippath mask marker pattern lineargradient radialgradient filter".split())
+MATH_NEVER_SHOWN = frozenset(["annotation", "annotation-xml"])
+#: Width and height of the screen that media queries are asked about, in pixels.
+VIEWPORT = {"width": 1280.0, "height": 720.0}
 
 _TOKEN = re.compile(r"<!--(?:-?>|(?:.*?(?:--!?>|\Z)))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: Comments (first group) and strings of a style sheet.
+_SKIPPED = re.compile(r"(/\*.*?(?:\*/|\Z)|<!--|-->)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+_BRACE = re.compile(r"[;{}]")
+_FEATURE = re.compile(r"\((min|max)-(width|height)\s*:\s*(\d*\.?\d+)(px|em|rem)\)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -101,6 +118,18 @@ def parse(source: str) -> Node:
             if tag in stops or tag == "body":
                 return
 
+    def foreign() -> int:
+        """Place of the outermost element of the open SVG or MathML that a tag would belong to; 0 in HTML."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in FOREIGN:
+                while stack[i - 1].tag not in HOLDS_HTML and any(n.tag in FOREIGN for n in stack[1:i]):
+                    i -= 1
+                return i
+            if stack[i].tag in HOLDS_HTML:
+                return 0
+        return 0
+
+    foreign_seen = False
     at, end = 0, len(source)
     while at < end:
         m = _TOKEN.search(source, at)
@@ -129,6 +158,12 @@ def parse(source: str) -> Node:
                 if stack[i].tag in limit or stack[i] is body:
                     break
             continue
+        inside = foreign() if foreign_seen else 0
+        if inside and tag in ENDS_FOREIGN:
+            del stack[inside:]
+            inside = 0
+        foreign_seen = foreign_seen or tag in FOREIGN
+        single = (inside or tag in FOREIGN) and m[3].endswith("/")
         attributes = {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTRIBUTE.findall(m[3])}
         if tag == "html":
             root.attributes |= attributes
@@ -155,7 +190,7 @@ def parse(source: str) -> Node:
             stack.append(row)
         node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or single:
             continue
         if tag in RAW or tag in RAW_WITH_ENTITIES:
             closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
@@ -177,6 +212,53 @@ def _declared(style: str, name: str) -> str | None:
     return found
 
 
+def _applies(query: str) -> bool | None:
+    """Whether a media query list holds on the screen; None where that isn't known."""
+    told: list[bool | None] = []
+    for part in query.lower().split(","):
+        words = part.replace("(", " (").split()
+        negated, words = words[:1] == ["not"], [w for w in words if w not in ("not", "only")] if words[:1] in (["not"], ["only"]) else words
+        rest = " ".join(words)
+        kind = re.match(r"[a-z-]+", rest)
+        holds: bool | None = kind is None or kind[0] in ("all", "screen")
+        if kind:
+            rest = re.sub(r"^\s*and\b", "", rest[kind.end() :])
+        for low, side, size, scale in _FEATURE.findall(rest):
+            pixels = float(size) * (1 if scale == "px" else 16)
+            holds = holds and (VIEWPORT[side] >= pixels if low == "min" else VIEWPORT[side] <= pixels)
+        if holds and re.sub(r"\band\b", "", _FEATURE.sub("", rest)).strip():
+            holds = None
+        told.append(not holds if negated and holds is not None else holds)
+    return True if True in told else None if None in told else False
+
+
+def _rules(css: str, known: bool) -> Iterator[tuple[str, str, bool]]:
+    """(selectors, declarations, whether they surely apply), through the at-rules that may apply; rules inside rules are left out."""
+    css = _SKIPPED.sub(lambda m: " " if m[1] else "''", css)
+    # Open blocks: whether they hold (None: not known), then selectors and declarations if it is an outer style rule.
+    opened: list[tuple[bool | None, str | None, list[str]]] = []
+    at = 0
+    for m in [*_BRACE.finditer(css), None]:
+        text, at = css[at : m.start() if m else len(css)], m.end() if m else len(css)
+        holds, selectors, declared = opened[-1] if opened else (known or None, None, [])
+        if m and m[0] == "{":
+            prelude = text.strip()
+            if any(x[1] is not None for x in opened[-1:]) or holds is False:
+                opened.append((False, None, []))
+            elif prelude.startswith("@"):
+                name, query = re.match(r"@([\w-]*)(.*)", prelude, re.S).groups()
+                inner = _applies(query) if name.lower() == "media" else {"layer": True, "supports": None, "container": None, "scope": None}.get(name.lower(), False)
+                opened.append((inner and holds if inner else inner, None, []))
+            else:
+                opened.append((holds, prelude, []))
+            continue
+        declared.append(text)
+        if m is None or m[0] == "}":
+            if selectors is not None:
+                yield selectors, ";".join(declared), holds is True
+            opened[-1:] = []
+
+
 def _sheet(root: Node) -> dict[str, dict[str, str]]:
     """Selector -> display and visibility, for selectors of one tag, class or id."""
     out: dict[str, dict[str, str]] = {}
@@ -184,14 +266,16 @@ def _sheet(root: Node) -> dict[str, dict[str, str]]:
     while todo:
         node = todo.pop()
         if node.tag == "style":
-            for selectors, body in _RULE.findall("".join(c for c in node.children if isinstance(c, str))):
+            whole = _applies(node.attributes["media"]) if node.attributes.get("media", "").strip() else True
+            css = "".join(c for c in node.children if isinstance(c, str))
+            for selectors, body, known in _rules(css, whole is True) if whole is not False else ():
                 for name in ("display", "visibility"):
-                    if (value := _declared(body, name)) is not None:
+                    if (value := _declared(body, name)) is not None and (known or value not in ("none", "hidden", "collapse")):
                         for selector in selectors.split(","):
                             if re.fullmatch(r"[.#]?[\w-]+", s := selector.strip()):
                                 out.setdefault(s if s[0] in ".#" else s.lower(), {})[name] = value
         else:
-            todo += [c for c in node.children if isinstance(c, Node)]
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     return out
 
 
@@ -318,6 +402,20 @@ def _table(table: Node, seen: _Seen, visible: bool, out: _Lines) -> None:
                 out.block(False)
 
 
+def _svg(node: Node, seen: _Seen, visible: bool, out: _Lines, depth: int) -> None:
+    """A drawing's text elements, a line each, and the HTML inside it."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag in SVG_NEVER_SHOWN or not seen.displayed(child) or child.attributes.get("display") == "none":
+            continue
+        shown = seen.visible(child, visible if (own := child.attributes.get("visibility", "inherit")) == "inherit" else own == "visible")
+        if child.tag in ("text", "foreignobject"):
+            out.block(False)
+            _render(child, seen, shown, out, depth)
+            out.block(False)
+        else:
+            _svg(child, seen, shown, out, depth)
+
+
 def _render(node: Node, seen: _Seen, visible: bool, out: _Lines, depth: int, keep: bool = False) -> None:
     number = int(node.attributes["start"]) if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", node.attributes.get("start", "")) else 1
     for child in node.children:
@@ -348,12 +446,25 @@ def _render(node: Node, seen: _Seen, visible: bool, out: _Lines, depth: int, kee
         elif tag in BLOCKS or tag in ("td", "th"):
             spaced = tag in SPACED and not (depth and tag in _LIST)
             out.block(spaced)
+            if shown and tag in ("option", "optgroup") and (label := child.attributes.get("label", "").strip()) and (tag == "optgroup" or not child.children):
+                out.write(label, keep)
+                out.block(False)
             _render(child, seen, shown, out, depth, keep or tag == "pre")
             out.block(spaced)
+        elif tag == "svg":
+            _svg(child, seen, shown, out, depth)
+        elif tag in MATH_NEVER_SHOWN:
+            continue
         elif tag == "img":
             continue
         else:
-            _render(child, seen, shown, out, depth, keep or tag == "textarea")
+            if tag in ("mtr", "select"):
+                out.block(False)
+            elif tag == "mtd":
+                out.write(" ", keep)
+            _render(child, seen, shown and tag != "mphantom", out, depth, keep or tag == "textarea")
+            if tag in ("mtr", "select"):
+                out.block(False)
 
 
 def text_of(source: str) -> str:

@@ -232,6 +232,27 @@ def test_html():
     assert html_text.text_of("<div>" * 5000 + "x") == "x"
 
 
+def test_html_style_conditions():
+    """Only sheets that hold on a screen hide text; what can't be decided hides nothing."""
+    page = "<style>{}</style><nav>menu</nav><p class=sidebar>side"
+    hide = "nav, .sidebar { display: none }"
+    for kept in ("@media print { %s }", "@media (max-width: 600px) { %s }", "@media only print, (max-width:20em) { %s }", "@media not screen { %s }", "@media (prefers-contrast: more) { %s }", "@supports (x: y) { %s }", "@media print { @media screen { %s } }", "@page { margin: 0 } /* %s */", "@font-face { src: url('{') } @media print { %s }"):
+        assert html_text.text_of(page.replace("{}", kept % hide)) == "menu\n\nside", kept
+    for gone in ("%s", "@media screen { %s }", "@media all and (min-width: 600px) { %s }", "@import 'x.css'; %s", "@media print { p { color: red } } %s", "@layer base { @media not print { %s } }", ".x { color: red; .y { top: 0 } } %s", "<!-- %s -->"):
+        assert html_text.text_of(page.replace("{}", gone % hide)) == "", gone
+    assert html_text.text_of(page.replace("{}", "nav { display: none } @supports (display: grid) { nav { display: grid } }")) == "menu\n\nside"
+    assert html_text.text_of(page.replace("{}", "@media screen {" * 5000 + hide)) == html_text.text_of(page.replace("{}", "@layer a { " + hide)) == ""
+    assert html_text.text_of(page.replace("{}", hide).replace("<style>", "<style media=print>")) == "menu\n\nside"
+
+
+def test_html_foreign_and_select():
+    assert html_text.text_of("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><semantics><mn>7</mn><annotation>tex</annotation></semantics></math> b") == "a x=27 b"
+    assert html_text.text_of("<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><g><text>bar <tspan>one</tspan></text><text>two</text></g></svg>end") == "bar one\ntwo\nend"
+    assert html_text.text_of("<svg><defs/><text>a</text><foreignObject><div>b<p>c</div></foreignObject><text display=none>no</text></svg>") == "a\nb\n\nc"
+    assert html_text.text_of("x<svg/>y <svg><path><p>z") == "xy\n\nz"
+    assert html_text.text_of("Pick <select><optgroup label=Big><option>One<option selected>Two</optgroup><option label=Three></select> now") == "Pick\nBig\nOne\nTwo\nThree\nnow"
+
+
 def test_mixing(spark):
     rows = [(i, "w " * 10, "big") for i in range(4000)] + [(10_000 + i, "w " * 10, "small") for i in range(300)] + [(20_000, None, None), (20_001, "", "empty")]
     got = mixing.plan(frame(spark, rows), repeats=1.5).groupBy("source").agg(F.avg("copies").alias("c"), F.min("copies").alias("m"), F.max("passes").alias("p")).collect()
