@@ -11,6 +11,12 @@ ALIASES = {"address": "LOCATION", "pearson": "PERSON"}
 NAMES_JA = {"PERSON": "人名", "LOCATION": "場所", "DATE_TIME": "日時", "PHONE_NUMBER": "電話番号", "INDIVIDUAL_NUMBER": "マイナンバー", "YEAR": "年号", "PROPER_NOUN": "固有名詞", "OTHER": "その他"}
 ORIGIN_LABELS = {"manual": "手動", "custom": "追加"}
 
+CSS_COLOURS = {
+    "black": (0, 0, 0), "white": (255, 255, 255), "red": (255, 0, 0), "green": (0, 128, 0), "blue": (0, 0, 255), "cyan": (0, 255, 255), "magenta": (255, 0, 255),
+    "yellow": (255, 255, 0), "gray": (128, 128, 128), "grey": (128, 128, 128), "orange": (255, 165, 0), "purple": (128, 0, 128), "pink": (255, 192, 203), "brown": (165, 42, 42),
+    "teal": (0, 128, 128), "lime": (0, 255, 0), "navy": (0, 0, 128), "maroon": (128, 0, 0), "olive": (128, 128, 0), "silver": (192, 192, 192), "royalblue": (65, 105, 225),
+}
+
 
 def _lookup(table: dict[str, str], key: Column, default: Column) -> Column:
     out = default
@@ -106,7 +112,7 @@ def refined_start(text: Column, better: Column, start: Column) -> Column:
 
 
 def colour(text: Column) -> Column:
-    """(r, g, b, alpha) from #RGB, #RRGGBB, #RRGGBBAA, rgb() and rgba(); grey 0.9 without alpha for anything else."""
+    """(r, g, b, alpha) from #RGB, #RRGGBB, #RRGGBBAA, rgb(), rgba() and the CSS names; grey 0.9 without alpha for anything else."""
     t = F.lower(F.trim(text))
     two = lambda i: F.conv(F.substring(t, i, 2), 16, 10).cast("double") / 255
     one = lambda i: F.conv(F.repeat(F.substring(t, i, 1), 2), 16, 10).cast("double") / 255
@@ -115,12 +121,15 @@ def colour(text: Column) -> Column:
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     make = lambda r, g, b, a: F.struct(r.alias("r"), g.alias("g"), b.alias("b"), a.cast("double").alias("alpha"))
     none = F.lit(None).cast("double")
+    named = make(*(F.lit(x) for x in (0.9, 0.9, 0.9)), none)
+    for name, rgb in CSS_COLOURS.items():
+        named = F.when(t == name, make(*(F.lit(x / 255) for x in rgb), none)).otherwise(named)
     return (
         F.when(t.rlike(r"^#[0-9a-f]{3}$"), make(one(2), one(3), one(4), none))
         .when(t.rlike(r"^#[0-9a-f]{6}$"), make(two(2), two(4), two(6), none))
         .when(t.rlike(r"^#[0-9a-f]{8}$"), make(two(2), two(4), two(6), two(8)))
         .when(t.rlike(fn), make(clamp(part(1) / 255), clamp(part(2) / 255), clamp(part(3) / 255), part(4)))
-        .otherwise(make(F.lit(0.9), F.lit(0.9), F.lit(0.9), none))
+        .otherwise(named)
     )
 
 

@@ -21,8 +21,41 @@ MAX_CHARS, MAX_BYTES = 15_000, 48_125
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, text), half-open code points."""
+def _group_spans(text: Column, pattern: str) -> Column:
+    """Of each match the first capture group that took part and isn't empty, else the whole match, as Python reads the pattern."""
+
+    @F.pandas_udf(_SPAN)
+    def marked(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(pattern)
+
+        def of(t: str | None) -> list[dict]:
+            out = []
+            for m in compiled.finditer(t or ""):
+                g = next((k for k in range(1, compiled.groups + 1) if m.end(k) > m.start(k)), 0)
+                if m.end(g) > m.start(g):
+                    out.append({"start": m.start(g), "end": m.end(g), "text": m[g]})
+            return out
+
+        return texts.map(of)
+
+    return marked(text)
+
+
+def has_groups(pattern: str) -> bool:
+    """Whether the pattern captures; one that only Spark can read counts as without groups."""
+    try:
+        return re.compile(pattern).groups > 0
+    except re.error:
+        return False
+
+
+def spans(text: Column, pattern: str, whole: bool = False) -> Column:
+    """Leftmost non-overlapping matches as (start, end, text), half-open code points.
+
+    A pattern with capture groups marks the first non-empty one, unless whole; Spark tells no group's place, so Python reads those.
+    """
+    if not whole and has_groups(pattern):
+        return _group_spans(text, pattern)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
@@ -59,15 +92,15 @@ def compile_patterns(listed: list[tuple[str, str]], strict: bool = False) -> lis
     return out
 
 
-def recognise(docs: DataFrame, patterns: dict[str, str] | list[tuple[str, str]], origin: str = "auto", text_col: str = "text") -> DataFrame:
-    """(doc_id, entity, start, end, word, origin, prio), one row a match; blank matches are left out."""
+def recognise(docs: DataFrame, patterns: dict[str, str] | list[tuple[str, str]], origin: str = "auto", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, entity, start, end, word, origin, prio), one row a match, of its capture group unless whole; blank ones are left out."""
     listed = list(patterns.items()) if isinstance(patterns, dict) else list(patterns)
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def tagged(entity: str, prio: int):
         return lambda s: F.struct(F.lit(entity).alias("entity"), F.lit(prio).alias("prio"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("word"))
 
-    found = F.concat(*[F.transform(spans(text, pattern), tagged(entity, k)) for k, (entity, pattern) in enumerate(listed)])
+    found = F.concat(*[F.transform(spans(text, pattern, whole), tagged(entity, k)) for k, (entity, pattern) in enumerate(listed)])
     rows = docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.entity", "x.start", "x.end", "x.word", F.lit(origin).alias("origin"), "x.prio")
     return rows.filter(F.trim("word") != "")
 
@@ -112,7 +145,7 @@ def omit(found: DataFrame, docs: DataFrame, patterns: list[str]) -> DataFrame:
         return found
     manual = found.filter("origin = 'manual'")
     rest = found.filter("origin <> 'manual'").filter(~excluded(F.col("word"), searches=good))
-    return manual.unionByName(without_overlaps(rest, recognise(docs, [("OMIT", p) for p in good])))
+    return manual.unionByName(without_overlaps(rest, recognise(docs, [("OMIT", p) for p in good], whole=True)))
 
 
 def needs_chunks(text: Column, max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES) -> Column:

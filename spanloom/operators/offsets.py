@@ -74,6 +74,30 @@ def global_offset(block: DataFrame, positions: DataFrame) -> DataFrame:
     return positions.join(known, ["doc_id", "page_num", "block_num"], "left").withColumn("goffset", F.coalesce(F.col("block_start").cast("decimal(38,0)") + inside, stand_in)).drop("block_start")
 
 
+def entity_span(start: Column, end: Column) -> Column:
+    """(gstart, gend) of two flat ends, swapped if reversed."""
+    return F.struct(F.least(start, end).alias("gstart"), F.greatest(start, end).alias("gend"))
+
+
+def base_span(start: Column, end: Column, target: Column, base_length: Column) -> Column:
+    """(start, end) in the base text of a half-open span of the target text, whose characters lie at target: array of (start, end).
+
+    Clamped to the base; an empty span is the start of its character, one past the target the end of the base.  Null ends give (0, 0).
+    """
+    s = F.greatest(start, F.lit(0))
+    e, most = F.greatest(end, s), F.greatest(base_length, F.lit(0))
+    clamp = lambda x, low: F.least(F.greatest(x, low), most)
+    make = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    last, at = F.least(e, F.size(target)), clamp(F.get(target, s)["start"], F.lit(0))
+    return (
+        F.when(start.isNull() | end.isNull(), make(F.lit(0), F.lit(0)))
+        .when(target.isNull() | (F.size(target) == 0), make(F.least(s, most), F.least(e, most)))
+        .when(s >= F.size(target), make(most, most))
+        .when(last <= s, make(at, at))
+        .otherwise(make(at, clamp(F.get(target, last - 1)["end"], at)))
+    )
+
+
 def content_hash(text: Column) -> Column:
     """Digest of page count and page texts."""
     return F.sha2(F.concat(F.size(text).cast("string"), F.lit("|"), F.array_join(F.transform(text, lambda p: F.array_join(p, "\n")), "\f")), 256)

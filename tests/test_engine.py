@@ -121,3 +121,28 @@ def test_lines(spark):
     assert [tuple(r) for r in one(spark, layout.grouped_lines(rects))] == [(0, 0, 9, 11), (0, 20, 5, 30)]
     assert one(spark, G.quad_bounds(F.array(*map(F.lit, (1.0, 2.0, 5.0, 2.0, 5.0, 9.0, 1.0, 9.0)))))["y1"] == 9
     assert one(spark, G.hex_colour(F.lit(1.0), F.lit(0.0), F.lit(0.5))) == "#ff007f"
+
+
+def test_capture_groups(spark):
+    """The first non-empty group is marked, in code points; excluding patterns still count whole."""
+    docs = spark.createDataFrame([(1, "é😀 id: 77, id:  x=5 id:"), (2, None)], "doc_id long, text string")
+    got = detect.recognise(docs, [("A", r"id:\s*(\d*)(?:\s*x=(\d))?"), ("B", r"x=\d")]).collect()
+    assert sorted((r["entity"], r["start"], r["end"], r["word"]) for r in got) == [("A", 7, 9, "77"), ("A", 18, 19, "5"), ("A", 20, 23, "id:"), ("B", 16, 19, "x=5")]
+    found = spark.createDataFrame([(1, "E", 16, 17, "x", "auto", 0)], "doc_id long, entity string, start int, end int, word string, origin string, prio int")
+    assert detect.omit(found, docs, [r"x=(\d)"]).count() == 0
+
+
+def test_css_colours(spark):
+    got = {n: one(spark, V.colour(F.lit(n))) for n in ("red", " RoyalBlue ", "grey", "nosuch")}
+    assert {n: tuple(round(255 * c[x], 3) for x in "rgb") for n, c in got.items()} == {"red": (255, 0, 0), " RoyalBlue ": (65, 105, 225), "grey": (128, 128, 128), "nosuch": (229.5, 229.5, 229.5)}
+    assert len(V.CSS_COLOURS) == 21 and all(c["alpha"] is None for c in got.values())
+
+
+def test_target_and_entity_spans(spark):
+    target = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(a + 1).alias("end")) for a in (0, 2, 5)])
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    cases = {(0, 3): (0, 6), (1, 2): (2, 3), (1, 1): (2, 2), (3, 4): (6, 6), (-2, 9): (0, 6), (2, 1): (5, 5)}
+    assert {k: tuple(one(spark, offsets.base_span(F.lit(k[0]), F.lit(k[1]), target, F.lit(6)))) for k in cases} == cases
+    assert tuple(one(spark, offsets.base_span(F.lit(4), F.lit(9), none, F.lit(6)))) == (4, 6)
+    assert tuple(one(spark, offsets.base_span(F.lit(None).cast("int"), F.lit(9), target, F.lit(6)))) == (0, 0)
+    assert tuple(one(spark, offsets.entity_span(F.lit(9), F.lit(4)))) == (4, 9)
