@@ -1,7 +1,8 @@
 """Secret scans (DataFrame and SQL functions only).
 
 Base spans come from three patterns.  The method adds spans: two character Markov chains, of random strings and of
-ordinary identifiers, are compared by log-likelihood ratio over every long token.  The chains are fitted on the driver
+ordinary identifiers, are compared by log-likelihood ratio over every long token and over its best stretches, since a
+token may be an ordinary path or name with a random value behind it.  The chains are fitted on the driver
 from labelled samples that rules below write out (a few hundred short strings, none from the corpus), then placed into
 the plan as one literal row of quarter-nat steps for each first character.
 """
@@ -26,8 +27,8 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of a token that the chains judge, and the length from which they do.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: Quarter nats of evidence from which a token counts as random.
-EVIDENCE = 24
+#: Quarter nats of evidence from which a token counts as random; characters that a random stretch of another token has at least.
+EVIDENCE, STRETCH = 24, 20
 _ZERO, _STEP, _MOST = 80, 4, 31
 
 # Parts of ordinary identifiers, file names and prose.
@@ -87,21 +88,63 @@ def log_ratios(samples: list[tuple[str, int]] | None = None) -> list[list[int]]:
 
 
 def evidence(token: Column) -> Column:
-    """A token's log-likelihood ratio in quarter nats; the token holds characters of ALPHABET only."""
+    """A token's log-likelihood ratios in quarter nats, step by step; the token holds characters of ALPHABET only."""
     table = F.array(*[F.lit("".join(chr(_ZERO + x) for x in row)) for row in log_ratios()])
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, 1))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0), lambda s, i: s + F.ascii(F.substring(F.element_at(table, at(i)), at(i + 1), 1)) - _ZERO)
+    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.ascii(F.substring(F.element_at(table, at(i)), at(i + 1), 1)) - _ZERO)
 
 
-def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """Array of (start, rank, end) in code points, end exclusive, of the pattern's leftmost non-overlapping matches that keep() admits."""
+def random_parts(token: Column) -> Column:
+    """Array of (a, b), the token's random parts: all of it if its whole evidence suffices, else each stretch whose own does.
+
+    A stretch ends where its evidence is used up or has fallen by EVIDENCE; it is widened to the next / and = around it, or
+    gives up the end of a part that lies outside it for the most.
+    """
+    empty = F.array().cast("array<struct<a:int,b:int>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("now"), F.lit(0).alias("a"), F.lit(0).alias("best"), F.lit(0).alias("b"), empty.alias("found"))
+
+    def kept(acc: Column, best: Column, b: Column) -> Column:
+        return F.when((best >= EVIDENCE) & (b - acc["a"] >= STRETCH), F.concat(acc["found"], F.array(F.struct(acc["a"].alias("a"), b.alias("b"))))).otherwise(acc["found"])
+
+    def step(acc: Column, x: Column) -> Column:
+        at, now = acc["at"] + 1, acc["now"] + x
+        ends = (now <= 0) | (now <= acc["best"] - EVIDENCE)
+        going = F.struct(at.alias("at"), now.alias("now"), acc["a"].alias("a"), F.greatest(acc["best"], now).alias("best"), F.when(now > acc["best"], at + 1).otherwise(acc["b"]).alias("b"), acc["found"].alias("found"))
+        return F.when(ends, F.struct(at.alias("at"), F.lit(0).alias("now"), at.alias("a"), F.lit(0).alias("best"), at.alias("b"), kept(acc, acc["best"], acc["b"]).alias("found"))).otherwise(going)
+
+    def widened(x: Column) -> Column:
+        before = F.regexp_extract(F.substring(token, F.lit(1), x["a"]), "[^/=]*$", 0)
+        rest, inner = F.substring(token, x["b"] + 1, F.length(token)), F.substring(token, x["a"] + 1, x["b"] - x["a"])
+        head, tail = F.length(F.regexp_extract(inner, "^[^/=]*[/=]", 0)), F.length(F.regexp_extract(inner, "[/=][^/=]*$", 0))
+        after = F.regexp_extract(rest, "^[^/=]*(?:=+$)?", 0)
+        a = F.when((head > 0) & (F.length(before) >= head), x["a"] + head).otherwise(x["a"] - F.length(before))
+        b = F.when((tail > 0) & (F.length(F.regexp_extract(rest, "^[^/=]*", 0)) >= tail), x["b"] - tail).otherwise(x["b"] + F.length(after))
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    def of(steps: Column) -> Column:
+        stretches = F.aggregate(steps, start, step, lambda acc: kept(acc, acc["best"], acc["b"]))
+        total = F.aggregate(steps, F.lit(0), lambda a, x: a + x)
+        return F.when(total >= EVIDENCE, F.array(F.struct(F.lit(0).alias("a"), F.length(token).alias("b")))).otherwise(F.array_distinct(F.transform(stretches, widened)))
+
+    return F.element_at(F.transform(F.array(evidence(token)), of), 1)
+
+
+def _spans(text: Column, pattern: str, kind: str, keep=None, parts=None) -> Column:
+    """Array of (start, rank, end) in code points, end exclusive, of the pattern's leftmost non-overlapping matches that keep() admits.
+
+    With parts(), of those parts of each match.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))
+        rank = F.lit(KINDS.index(kind)).alias("rank")
+        if parts:
+            inner = F.transform(parts(x["hit"]), lambda p: F.struct((start + p["a"]).alias("start"), rank, (start + p["b"]).alias("end")))
+            return F.struct(end.alias("at"), F.concat(acc["spans"], inner).alias("spans"))
+        span = F.struct(start.alias("start"), rank, end.alias("end"))
         spans = F.concat(acc["spans"], F.array(span))
         return F.struct(end.alias("at"), (F.when(keep(x["hit"]), spans).otherwise(acc["spans"]) if keep else spans).alias("spans"))
 
@@ -119,7 +162,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per input row: doc_id, assign, access, hex, markov - arrays of (start, rank, end) in code points.
 
     Null and empty texts give empty arrays, repeated rows a row each, null ids stay null, an empty table no rows.
-    markov holds tokens of 20 characters or more that the chains call random and that touch no base span.
+    markov holds tokens of 20 characters or more that the chains call random, or their random stretches, unless a base
+    span contains them.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -129,10 +173,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         _spans(text, ASSIGN, "assign", long_enough).alias("assign"),
         _spans(text, ACCESS, "access").alias("access"),
         _spans(text, HEX, "hex").alias("hex"),
-        _spans(text, TOKEN, "markov", lambda hit: evidence(hit) >= EVIDENCE).alias("random"),
+        _spans(text, TOKEN, "markov", parts=random_parts).alias("random"),
     )
     base = F.concat("assign", "access", "hex")
-    apart = F.filter("random", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    apart = F.filter("random", lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
     return rows.select("doc_id", "assign", "access", "hex", apart.alias("markov"))
 
 

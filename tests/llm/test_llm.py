@@ -216,6 +216,14 @@ def test_secrets(spark):
     assert {r["doc_id"] for r in secret_scan.scan(frame(spark, extra)).filter("size(markov) > 0").collect()} == {1}
 
 
+def test_secrets_behind_ordinary_names(spark):
+    value, other = "q7Zk2Lw9XbT4vRn8YpM3sD6h", "Hd93kfQ0xPz7LmB2vTs8WcY5"
+    path = "/usr/local/share/documents/account/"
+    texts = ["é😀 " + path + value + " x", "long_variable_name_of_the_application=" + value, path + value + path + other + "==", path + "0123456789abcdef01234567" + value, path + "international_business_machines", "0123456789abcdef01234567", "y" * 3000 + "=" + value]
+    got = {r["doc_id"]: [texts[r["doc_id"]][x["start"] : x["end"]] for x in r["markov"]] for r in secret_scan.scan(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: [value], 1: [value], 2: [value, other + "=="], 3: ["0123456789abcdef01234567" + value], 4: [], 5: [], 6: [value]}
+
+
 def test_urls(spark):
     rows = [(1, "http://M.Example.COM/en/1"), (2, "https://www.example.com/en/2?x"), (3, "https://a.example.net/es/1"), (4, "https://ab.example.com"), (5, None), (6, "no scheme"), (7, "http://blog.cheap-pills.example.org/en/3"), (8, "http://garden.example.org/de/4#t"), (9, "x://notexample.com/en/")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
