@@ -184,6 +184,7 @@ def test_embedding_meetings(spark):
 
 def test_bpe(spark):
     import public_tokenizers as P
+    import regex
     import tiktoken
 
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
@@ -199,6 +200,17 @@ def test_bpe(spark):
         assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
     back = {r["doc_id"]: r["text"] for r in byte_bpe.decode(byte_bpe.encode(docs)).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
+    cut = regex.compile(P.PATTERN)
+    for r in byte_bpe.encode(docs).collect():
+        text = texts[r["doc_id"]] or ""
+        at, spans = [k for k, c in enumerate(text) for _ in c.encode()], []
+        for m in cut.finditer(text):
+            first = len(text[: m.start()].encode())
+            for i in lib.encode_ordinary(m[0]):
+                n = len(lib.decode_single_token_bytes(i))
+                spans.append((at[first], at[first + n - 1] + 1))
+                first += n
+        assert r["ids"] == lib.encode_ordinary(text) and list(zip(r["starts"], r["ends"])) == spans
     own = byte_bpe.Codec(byte_bpe.default_description())
     ids = own.encode(["😀"])[0]
     assert len(ids) > 1 and own.decode(ids[:1]) == "\ufffd" and own.decode(ids) == "😀"
