@@ -28,6 +28,8 @@ from spanloom.llm.common import read, ship, unused
 
 #: Training texts of each label at most (the bounded sample of labelled rows), landmarks, clean words in a fit.
 TEXTS, LANDMARKS, NEGATIVES = 2500, 256, 6000
+#: Words of smallest hash that near copies of a training text share.
+SIGNATURE = 8
 #: Toxic training texts from which a word that no clean one has is a witness.
 SURE = 12
 #: Kernel: weight of each spanned letter, longest span.  Score from which a text is toxic.
@@ -165,10 +167,10 @@ def variants(word: str) -> list[str]:
 
 
 def _apart(texts: list[set[str]]) -> list[set[str]]:
-    """One word set of those that share their two words of smallest hash: near copies count once."""
+    """One word set of those that share their SIGNATURE words of smallest hash: near copies count once."""
     out: dict[tuple, set[str]] = {}
     for t in texts:
-        out.setdefault(tuple(sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in t)[:2]), t)
+        out.setdefault(tuple(sorted(zlib.crc32(w.encode("utf-8", "replace")) for w in t)[:SIGNATURE]), t)
     return list(out.values())
 
 

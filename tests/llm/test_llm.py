@@ -303,6 +303,16 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.scored(docs, empty).collect()} == {0}
 
 
+def test_only_near_copies_count_once():
+    """Unrelated texts that share their two words of smallest hash all stay; copies but for one word of a larger hash go."""
+    import zlib
+
+    words = sorted((f"word{i}" for i in range(400)), key=lambda w: zlib.crc32(w.encode()))
+    unrelated = [{*words[:2], *words[2 + 30 * i : 32 + 30 * i]} for i in range(10)]
+    assert len(toxicity._apart(unrelated)) == 10
+    assert len(toxicity._apart([{*words[:30], w} for w in words[40:60]])) == 1
+
+
 def test_folded_machine_is_the_kernel_machine():
     words = ["stupid", "clown", "garden", "water", "window", "idiot"]
     weights = np.array([1.0, -0.5, 0.3, 0.2, -1.0, 0.7])
