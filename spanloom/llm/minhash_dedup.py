@@ -4,12 +4,14 @@ A table's key is a pair: one key of a left collection and one of a right collect
 10 + 10 half keys (40 minhashes) there are 100 tables of four-minhash keys, where plain banding would compute 400.  A pair
 of similarity 0.85 misses all tables with probability 5e-6.
 
-Candidates are verified on full shingle sets.  Buckets never emit all their pairs: equal sets are merged first, and so are
-buckets of the same members; then each bucket links its members to its smallest, components are formed, and only buckets
-that still hold several components go on - small ones with their cross-component pairs; of its large ones, a document
-meets the further pivots of the largest.  What large buckets then still
-hold apart is compared whole: buckets that share members form a family, and every member outside the family's largest
-component meets all members of other components, block against block, from which only links leave.
+Candidates are verified on full shingle sets.  Buckets never emit all their pairs.  Equal sets are merged first.  The
+(key, document) rows of all tables are sorted once, by ranges of both, so that a hot bucket spreads over tasks, and each
+document is compared with the first one of its bucket there.  The links found form components.  Every pair of a bucket whose ends then
+still lie in different components is compared as well, in one of two ways of the same result: as pairs where a bucket has
+at most SMALL members, and beyond that, after PIVOTS members have met all others, block against block, from which only
+links leave.  Blocks are dealt by families, that is buckets that share members.
+
+Components join the table at one row a document, which holds its bucket keys as an array (HALVES * HALVES at most).
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import LOWER, UPPER, read, saved, ship, unused
+from spanloom.llm.common import LOWER, UPPER, read, saved, ship, unused, written
 from spanloom.llm.components import components
 
 #: Half keys a side, minhashes in a half key, and rows up to which ids are broadcast rather than shuffled.
@@ -127,11 +129,59 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("n") * (100 + percent) >= percent * (F.size("su") + F.size("sv"))).select("u", "v")
 
 
-def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members of buckets that hold several components, with component and bucket size."""
-    rows = members.join(roots.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).select("key", "doc_id", "c")
-    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
-    return rows.join(mixed, "key")
+def bucketed(reps: DataFrame) -> DataFrame:
+    """(key, doc_id, head): members of buckets of two or more, each but the first with its bucket's first one in the task.
+
+    One sort by ranges of (key, doc_id) serves all tables.  A bucket cut by ranges' borders is joined again through the
+    first and last row of each range, of which there are two a task.
+    """
+    tables = reps.select("doc_id", F.posexplode("left").alias("i", "l"), "right").select("doc_id", "i", "l", F.posexplode("right").alias("j", "r"))
+    keys = tables.select(F.xxhash64("i", "j", "l", "r").alias("key"), "doc_id")
+    kind = reps.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail, before, first = None, (None, None), True  # the row whose next isn't known, (key, head) of the one before it, whether it starts the range
+
+        def put(rows: pa.Table, ahead: int | None) -> pa.RecordBatch:
+            """Members among the rows and the range's borders; ahead is the next row's key, None at the range's end."""
+            nonlocal before, first
+            key, ids = rows.column("key").to_numpy(), rows.column("doc_id").combine_chunks()
+            n = len(key)
+            same = np.r_[before[0] is not None and before[0] == key[0], key[1:] == key[:-1]]
+            edge = np.zeros(n, bool)
+            edge[0], edge[-1] = first, ahead is None
+            # Place of each row's head in (the head from before, ids).
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(1, n + 1)))
+            heads = pa.concat_arrays([pa.array([before[1]], ids.type), ids])
+            take = np.flatnonzero(same | np.r_[same[1:], ahead is not None and ahead == key[-1]] | edge)
+            out = [pa.array(key[take]), ids.take(take), heads.take(pa.array(head[take], mask=~same[take])), pa.array(edge[take])]
+            before, first = (int(key[-1]), heads[int(head[-1])].as_py()), False
+            return pa.RecordBatch.from_arrays(out, ["key", "doc_id", "head", "edge"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if tail is None else [*tail.to_batches(), batch])
+            n = rows.num_rows - 1
+            if n > 0:
+                yield put(rows.slice(0, n), rows.column("key")[n].as_py())
+            tail = rows.slice(n) if n >= 0 else tail
+        if tail is not None and tail.num_rows:
+            yield put(tail, None)
+
+    rows = written(keys.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(run, f"key bigint, doc_id {kind}, head {kind}, edge boolean"))
+    border = rows.filter("edge").withColumn("lag", F.lag("doc_id").over(Window.partitionBy("key").orderBy("doc_id")))
+    return rows.filter("NOT edge").drop("edge").union(border.select("key", "doc_id", F.coalesce("head", "lag")))
+
+
+def _labelled(per_doc: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, doc_id, c, size) of buckets that hold several components; of buckets with the same members one stands for all.
+
+    per_doc holds (doc_id, keys); components join it at one row a document, before its keys are spread.
+    """
+    rows = per_doc.join(roots.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("c"), F.explode("keys").alias("key"))
+    h = F.xxhash64("doc_id")
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 33)).alias("y")).filter("lo <> hi")
+    mixed = saved(mixed.groupBy("lo", "hi", "size", "x", "y").agg(F.min("key").alias("key")).select("key", "size"))
+    return rows.join(mixed, "key").select("key", "doc_id", "c", "size")
 
 
 def _cross(rows: DataFrame) -> DataFrame:
@@ -155,8 +205,8 @@ def _pivoted(rows: DataFrame) -> DataFrame:
 def _block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links of the block's queries with its members of other components: one for each query and component."""
     few, all_ = frame[frame["query"]], frame[~frame["query"]]
-    us: list[int] = []
-    vs: list[int] = []
+    us: list = []
+    vs: list = []
     if len(few) and len(all_):
         ids, comps, sizes = all_["doc_id"].to_numpy(), all_["c"].to_numpy(), all_["s"].map(len).to_numpy()
         flat, owner = np.concatenate(list(all_["s"])), np.repeat(np.arange(len(all_)), sizes)
@@ -171,7 +221,7 @@ def _block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
             _, first = np.unique(comps[hit], return_index=True)
             us += [u] * len(first)
             vs += ids[hit[first]].tolist()
-    return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
+    return pd.DataFrame({"u": us, "v": vs})
 
 
 def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,10 +234,10 @@ def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = members.groupBy("family", "c").agg(F.sum("n").alias("n"))
     sizes = sizes.groupBy("family").agg(F.max(F.struct("n", "c")).alias("x"), F.sum("n").alias("n")).select("family", F.col("x.c").alias("top"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), F.ceil((F.col("n") - F.col("x.n")) / BLOCK).cast("int").alias("ni"))
     dealt = members.drop("n").join(sizes, "family").join(sets, "doc_id")
-    at = F.xxhash64("doc_id", F.lit("block"))
+    at, kind = F.xxhash64("doc_id", F.lit("block")), rows.schema["doc_id"].dataType.simpleString()
     queries = dealt.filter("c <> top").select("family", F.pmod(at, "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("query"), "doc_id", "c", "s")
     against = dealt.filter("ni > 0").select("family", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(at, "nj").cast("int").alias("j"), F.lit(False).alias("query"), "doc_id", "c", "s")
-    return queries.union(against).groupBy("family", "i", "j").applyInPandas(lambda frame: _block_links(frame, percent), "u bigint, v bigint")
+    return queries.union(against).groupBy("family", "i", "j").applyInPandas(lambda frame: _block_links(frame, percent), f"u {kind}, v {kind}")
 
 
 def _stars(roots: DataFrame) -> DataFrame:
@@ -197,24 +247,19 @@ def _stars(roots: DataFrame) -> DataFrame:
 
 def near_links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, component_id) over reps (doc_id, left, right), one for each distinct set."""
-    tables = reps.select("doc_id", F.posexplode("left").alias("i", "l"), "right").select("doc_id", "i", "l", F.posexplode("right").alias("j", "r"))
-    keys = tables.select("doc_id", F.xxhash64("i", "j", "l", "r").alias("key"))
-    h = F.xxhash64("doc_id")
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 33)).alias("y"))
-    buckets = buckets.filter("head <> last").groupBy("head", "last", "n", "x", "y").agg(F.min("key").alias("key")).select("key", "head")
-    members = saved(keys.join(saved(buckets), "key"))
-    tested = saved(members.filter("doc_id <> head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct())
-    members = members.select("key", "doc_id")
-    sets = saved(shingle_sets(only(docs, members.select("doc_id").distinct()), words))
+    members = bucketed(reps)
+    tested = saved(members.filter("head IS NOT NULL").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct())
+    per_doc = written(members.groupBy("doc_id").agg(F.collect_list("key").alias("keys")))
+    sets = written(shingle_sets(only(docs, per_doc.select("doc_id")), words))
     roots = components(verified(tested, sets, percent))
-    rows = saved(_labelled(members, roots))
+    rows = written(_labelled(per_doc, roots))
     large = rows.filter(F.col("size") > SMALL)
     pairs = _cross(rows.filter(F.col("size") <= SMALL)).union(_pivoted(large)).distinct()
     found = saved(verified(pairs.join(tested, ["u", "v"], "left_anti"), sets, percent))
     if not found.isEmpty():
         roots = components(_stars(roots).union(found))
     if not large.isEmpty():
-        left = saved(_labelled(large.select("key", "doc_id"), roots).drop("size"))
+        left = written(_labelled(large.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), roots).drop("size"))
         if not left.isEmpty():
             found = saved(_rest(left, sets, percent))
             if not found.isEmpty():
@@ -227,7 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have the empty set and link with nothing, each other included.  Of a component the
     smallest doc_id is kept; rows that repeat it are that document again.  Null ids link with nothing (component null,
-    kept).  Other columns play no part; an empty table gives no rows.
+    kept).  Ids may be of any type that sorts; texts may be of any length, and their whole sets are compared.  Other columns
+    play no part; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sig = saved(signatures(texts, words, seed))

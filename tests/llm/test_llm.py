@@ -81,7 +81,7 @@ def test_minhash(spark, monkeypatch):
                 text[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
             rows.append((100 * g + c + 10, " ".join(text)))
     want = brute_near(rows, 3, 85)
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 600)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(frame(spark, [(i, t, "s") for i, t in rows]), words=3, percent=85).collect()}
     assert got == want
     assert minhash_dedup.near_duplicates(frame(spark, ODD).limit(0)).count() == 0
