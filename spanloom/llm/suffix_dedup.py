@@ -2,39 +2,47 @@
 
 The suffix array is sparse.  Each window of ``length`` bytes picks an anchor by its content alone: the least hash of the
 16-byte grams that start in its first SPREAD bytes.  Equal windows have equal anchors at equal offsets, so it is enough
-to bring together suffixes that start at anchors:
-
-1. Anchors whose next ``length - SPREAD + 1`` bytes occur once are dropped; the others' windows are its *context*.
-2. Contexts that occur twice are repeated as a whole, and one of each stands for all.
-3. The distinct contexts' suffixes are sorted by a distributed merge sort: each task sorts a run, front-codes it (length
-   of the prefix shared with the run's previous suffix, and the rest) and sends it to its range; each range is merged by
-   a loser tree that compares known prefix lengths first and never reads a known prefix again.
-4. Runs of neighbours whose common prefix reaches over the anchor's least right part form groups; inside a group, equal
-   windows are found by rolling hashes and confirmed byte for byte.
-
-Groups with over GROUP contexts never meet one task: their windows are counted by an ordinary shuffle instead.
+to sort suffixes that start at anchors.  The bytes that an anchor's windows cover are its *context*: a left part, read
+backwards from the anchor, and a right part.
+
+1. Anchors whose next ``length - SPREAD + 1`` bytes occur once can't be repeated and go.  Equal contexts are merged (by
+   128-bit digests); those that occur twice are repeated as a whole.
+2. The contexts of which that leaves something open are sorted twice by a distributed merge sort, by right parts and by
+   left parts.  A task sorts a run, front-codes it (length of the prefix shared with the suffix before, and the rest) and
+   sends it to the ranges; each range merges its runs by a loser tree that compares known prefix lengths first and never
+   reads a known prefix again.  Ranges are cut by whole keys, so a passage that very many texts hold spreads over many.
+3. The prefix lengths of neighbours decide.  A window that starts l bytes before its anchor is repeated if some context
+   shares l bytes to the left and ``length`` - l to the right.  Neighbours give the longest prefix shared to the right
+   with any context, the longest one to the left, and windows that are repeated for certain.  Where these bounds are met,
+   as for nearly all contexts, the context is settled.
+4. The windows that are still open are themselves sorted the same way, together with those of all contexts that could
+   equal them; a window is repeated if it shares ``length`` bytes with a neighbour.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import read, saved, ship, written
 
-#: Bytes of a repeated string, starts that share an anchor, contexts that one task may group.
-LENGTH, SPREAD, GROUP = 400, 256, 4096
-#: Window starts that are hashed at once, bytes of a run, ranges' sampled splitters for each range, docs broadcast at most.
-CHUNK, RUN_BYTES, SAMPLED, BROADCAST_DOCS = 1 << 18, 1 << 20, 64, 500_000
+#: Bytes of a repeated string, starts that share an anchor.
+LENGTH, SPREAD = 400, 256
+#: Window starts that are hashed at once; bytes that a task sorts as one run, and about those of one range.
+CHUNK, RUN_BYTES, RANGE_BYTES = 1 << 18, 1 << 25, 1 << 23
+#: Keys sampled for each range, and ranges at most (the splitters are held by the driver); beyond, ranges grow.
+SAMPLED, RANGES = 16, 1 << 14
 _GRAM, _PLACE = 16, np.uint64((1 << 20) - 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_END = b"\0\0"
 
 
 def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,26 +74,25 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return a[first], first, np.append(first[1:], starts) - 1
 
 
-def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, h, a, lo, hi, rk, c1, c2): every anchor, its right part's hash and its context's."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
+    """(i, h, a, lo, hi, rk, c1, c2) of (i, h, text): every anchor, its least right part's hash and its context's."""
     right = max(_GRAM, length - SPREAD + 1)
-    ints = ["h", "a", "lo", "hi", "rk", "c1", "c2"]
+    ints = ["i", "h", "a", "lo", "hi", "rk", "c1", "c2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py()
+            for i, h, text in zip(*(batch.column(k) for k in range(3))):
+                text = text.as_py()
                 a, lo, hi = anchors(text, length)
                 if not len(a):
                     continue
                 rk = [xxhash.xxh3_64_intdigest(text[x : x + right]) for x in a.tolist()]
                 ck = b"".join([xxhash.xxh3_128_digest(text[x : y + length], x - z + 1) for x, y, z in zip(lo.tolist(), hi.tolist(), a.tolist())])
                 c = np.frombuffer(ck, "<i8").reshape(-1, 2)
-                arrays = [pa.array(np.full(len(a), batch.column(1)[i].as_py(), np.int64)), *(pa.array(v) for v in (a, lo, hi, np.array(rk, np.uint64).view(np.int64), c[:, 0], c[:, 1]))]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(a), batch.column(0).type), *arrays], ["doc_id", *ints])
+                whose = (np.full(len(a), i.as_py(), np.int64), np.full(len(a), h.as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*whose, a, lo, hi, np.array(rk, np.uint64).view(np.int64), c[:, 0], c[:, 1])], ints)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in ints))
+    return texts.select("i", "h", "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in ints))
 
 
 def front_coded(suffixes: list[bytes]) -> tuple[list[int], list[bytes]]:
@@ -175,186 +182,241 @@ def merged(runs: list[list[tuple[bytes, int]]]) -> Iterator[tuple[int, int, int]
         winner = now
 
 
-def repeated_ends(contexts: list[bytes], length: int) -> list[tuple[int, int] | None]:
-    """For each context the first and last window (relative to it) that another context of the group holds; None if none."""
-    base = np.uint64(0x9E3779B97F4A7C15 | 1)
-    n = [len(c) for c in contexts]
-    text = np.frombuffer(b"".join(contexts), np.uint8)
-    powers = np.ones(max(n) + 1, np.uint64)
-    powers[1:] = np.cumprod(np.full(max(n), base, np.uint64))
-    hashes, owner, place = [], [], []
-    at = 0
-    for i, size in enumerate(n):
-        c = text[at : at + size].astype(np.uint64) + np.uint64(1)
-        at += size
-        # byte * base^(size - 1 - position): a window's sum times base^start depends on its bytes alone.
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(c * powers[size - 1 :: -1][:size])])
-        w = size - length + 1
-        h = (sums[length:] - sums[:w]) * powers[:w] if w > 0 else np.empty(0, np.uint64)
-        # Each context's powers end at its own size: bring all to the longest.
-        hashes.append(h * powers[max(n) - size])
-        owner.append(np.full(max(w, 0), i))
-        place.append(np.arange(max(w, 0)))
-    h, owner, place = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
-    order = np.argsort(h, kind="stable")
-    h, owner, place = h[order], owner[order], place[order]
-    new = np.r_[True, h[1:] != h[:-1]]
-    edge, run = np.flatnonzero(new), np.cumsum(new) - 1
-    several = np.bincount(run, owner != owner[edge][run]) > 0
-    out: list[tuple[int, int] | None] = [None] * len(contexts)
-    hit = np.flatnonzero(several[run])
-
-    def confirmed(k: int) -> bool:
-        mine = contexts[owner[k]][place[k] : place[k] + length]
-        j = edge[run[k]]
-        while j < len(h) and run[j] == run[k]:
-            if owner[j] != owner[k] and contexts[owner[j]][place[j] : place[j] + length] == mine:
-                return True
-            j += 1
-        return False
-
-    by = np.lexsort((place[hit], owner[hit]))
-    hit = hit[by]
-    cuts = np.flatnonzero(np.diff(owner[hit], prepend=-1)).tolist()
-    for a, b in zip(cuts, [*cuts[1:], len(hit)]):
-        low, high = a, b - 1
-        while low <= high and not confirmed(hit[low]):
-            low += 1
-        while high > low and not confirmed(hit[high]):
-            high -= 1
-        if low <= high:
-            out[owner[hit[a]]] = (int(place[hit[low]]), int(place[hit[high]]))
-    return out
+def escaped(first: bytes, second: bytes) -> bytes:
+    """Both as one key that sorts as the pair does."""
+    return first.replace(b"\0", b"\0\xff") + _END + second
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(doc_id, h, lo, left, suffix, whole) of the wanted (doc_id, h, a, lo, hi, whole)."""
-    per_doc = saved(wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "lo", "hi", "whole")).alias("at")))
-    small = F.broadcast(per_doc) if per_doc.count() <= BROADCAST_DOCS // 8 else per_doc
-    rows = docs.alias("d").join(small.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.h = w.h")).select("d.doc_id", "d.h", "d.text", "w.at")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def parts(key: bytes, head: int) -> tuple[bytes, bytes]:
+    """The pair in an escaped key that follows head bytes."""
+    end = key.find(_END, head)
+    return key[head:end].replace(b"\0\xff", b"\0"), key[end + 2 :]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text, at = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column(0)[i].as_py()] * len(at), batch.column(0).type),
-                        pa.array([batch.column(1)[i].as_py()] * len(at), pa.int64()),
-                        pa.array([x["lo"] for x in at], pa.int64()),
-                        pa.array([text[x["lo"] : x["a"]] for x in at], pa.binary()),
-                        pa.array([text[x["a"] : x["hi"] + length] for x in at], pa.binary()),
-                        pa.array([x["whole"] for x in at], pa.bool_()),
-                    ],
-                    ["doc_id", "h", "lo", "left", "suffix", "whole"],
-                )
 
-    # Repeated rows (same id and text) would repeat a context: one of each is enough.
-    return rows.mapInArrow(run, f"doc_id {kind}, h bigint, lo bigint, left binary, suffix binary, whole boolean").dropDuplicates(["doc_id", "h", "lo"])
+def shared_bytes(key: bytes, n: int, head: int) -> int:
+    """Bytes that the first parts of two escaped keys share, if the keys share n."""
+    known = key[head:n]
+    end = known.find(_END)
+    return (len(known) if end < 0 else end) - known.count(b"\0", 0, None if end < 0 else end)
+
+
+class Order:
+    """One order of the contexts: its keys, and what two neighbours tell.
+
+    ``right``: by right part, then left.  ``left``: by group (hash of the least right part), left part, then right.
+    ``window``: by window.
+    """
+
+    def __init__(self, name: str, length: int):
+        self.name, self.length, self.right = name, length, max(_GRAM, length - SPREAD + 1)
+
+    def key(self, rk: int, right: bytes, left: bytes) -> bytes:
+        if self.name == "window":
+            return right
+        return escaped(right, left) if self.name == "right" else rk.to_bytes(8, "big", signed=True) + escaped(left, right)
+
+    def told(self, a: tuple, b: tuple, n: int) -> tuple[tuple, tuple] | None:
+        """What neighbours (key, whole, l) that share n bytes tell of each: least and largest l of windows known to be
+        repeated (None if none), longest shared right and left part.  None if they tell nothing."""
+        if self.name == "window":
+            return ((a[2], a[2], 0, 0), (b[2], b[2], 0, 0)) if n >= self.length else None
+        if n < (self.right if self.name == "right" else 8):
+            return None
+        if self.name == "right":
+            p = shared_bytes(a[0], n, 0)
+            if p < self.right:
+                return None
+            (ra, la), (rb, lb) = parts(a[0], 0), parts(b[0], 0)
+            s = common(la, lb, 0)
+            bounds = (p, 0)
+        else:
+            s = shared_bytes(a[0], n, 8)
+            (la, ra), (lb, rb) = parts(a[0], 8), parts(b[0], 8)
+            p = common(ra, rb, 0)
+            bounds = (0, s)
+
+        def of(right: bytes, left: bytes) -> tuple:
+            low, high = max(self.length - len(right), self.length - p), min(len(left), s)
+            return (low, high, *bounds) if low <= high else (None, None, *bounds)
+
+        return of(ra, la), of(rb, lb)
+
+
+def _either(x: tuple | None, y: tuple | None) -> tuple | None:
+    """What two neighbours tell together."""
+    if x is None or y is None:
+        return x or y
+    low, high = [v for v in (x[0], y[0]) if v is not None], [v for v in (x[1], y[1]) if v is not None]
+    return (min(low, default=None), max(high, default=None), max(x[2], y[2]), max(x[3], y[3]))
+
 
+_TOLD = [("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("p", pa.int32()), ("s", pa.int32())]
+_EDGE = [("part", pa.int32()), ("last", pa.int32()), ("g", pa.int64()), ("whole", pa.bool_()), ("l", pa.int32()), ("key", pa.binary())]
+_TOLD_DDL, _EDGE_DDL = "c1 bigint, c2 bigint, lo int, hi int, p int, s int", "part int, last int, g bigint, whole boolean, l int, key binary"
 
-def _merge_groups(contexts: DataFrame, length: int, ranges: int) -> DataFrame:
-    """(doc_id, h, s, e) intervals of repeated windows, by the distributed merge sort of the contexts' suffixes."""
-    spark, right = contexts.sparkSession, max(_GRAM, length - SPREAD + 1)
+
+def neighbours(rows: DataFrame, order: Order, range_bytes: int) -> DataFrame:
+    """(c1, c2, lo, hi, p, s): what the neighbours in the order tell of each context (c1, c2, rk, whole, l, right, left).
+
+    Contexts that are repeated as a whole take part, but nothing is told of them.  The rows are read three times (size,
+    sample, runs), so they should be written ones.
+    """
+    spark = rows.sparkSession
+    total, count = rows.agg(F.sum(F.length("right") + F.length("left") + 10), F.count("*")).first()
+    ranges = min(RANGES, math.ceil((total or 0) / range_bytes) + 1)
     want = ranges * SAMPLED
-    share = min(1.0, want / max(1, contexts.count()))
-    sample = sorted(bytes(r[0]) for r in contexts.sample(share, 3).select(F.expr(f"substring(suffix, 1, {right})").alias("x")).limit(4 * want).collect())
+    taken = rows.sample(min(1.0, want / max(1, count)), 3).select("rk", "right", "left").limit(4 * want).collect()
+    sample = sorted(order.key(r[0], bytes(r[1]), bytes(r[2])) for r in taken)
     splitters = spark.sparkContext.broadcast([sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else [])
-    kind = contexts.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def put() -> Iterator[pa.RecordBatch]:
-            held.sort(key=lambda r: r[4])
-            by: dict[int, list[tuple]] = {}
-            for r in held:
-                by.setdefault(bisect_right(splitters.value, r[4][:right]), []).append(r)
-            for k, rows in by.items():
-                lcps, rests = front_coded([r[4] for r in rows])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k], pa.int32()), pa.array([lcps], pa.list_(pa.int32())), pa.array([rests], pa.list_(pa.binary())), pa.array([[r[3] for r in rows]], pa.list_(pa.binary())),
-                        pa.array([[r[0] for r in rows]], pa.list_(id_type)), pa.array([[r[1] for r in rows]], pa.list_(pa.int64())), pa.array([[r[2] for r in rows]], pa.list_(pa.int64())), pa.array([[r[5] for r in rows]], pa.list_(pa.bool_())),
-                    ],
-                    ["part", "lcps", "rests", "lefts", "ids", "hs", "los", "wholes"],
-                )
+            held.sort()
+            at = 0
+            while at < len(held):
+                k = bisect_right(splitters.value, held[at][0])
+                end = len(held) if k >= len(splitters.value) else next((j for j in range(at, len(held)) if held[j][0] >= splitters.value[k]), len(held))
+                lcps, rests = front_coded([r[0] for r in held[at:end]])
+                columns = [lcps, rests, *([r[j] for r in held[at:end]] for j in range(1, 6))]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([v], pa.list_(t)) for v, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())))], ["part", "lcps", "rests", "c1", "c2", "g", "whole", "l"])
+                at = end
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(row)
-                size += len(row[3]) + len(row[4])
-                if size >= 32 * RUN_BYTES:
+            for c1, c2, rk, whole, l, right, left in zip(*(c.to_pylist() for c in batch.columns)):
+                key = order.key(rk, right, left)
+                held.append((key, c1, c2, xxhash.xxh3_64_intdigest(key) - (1 << 63) if order.name == "window" else rk, whole, l))
+                size += len(key)
+                if size >= RUN_BYTES:
                     yield from put()
                     held, size = [], 0
-        if held:
-            yield from put()
+        yield from put()
 
-    sent = contexts.select("doc_id", "h", "lo", "left", "suffix", "whole").mapInArrow(runs, f"part int, lcps array<int>, rests array<binary>, lefts array<binary>, ids array<{kind}>, hs array<bigint>, los array<bigint>, wholes array<boolean>")
+    sent = rows.select("c1", "c2", "rk", "whole", "l", "right", "left").mapInArrow(runs, "part int, lcps array<int>, rests array<binary>, c1 array<bigint>, c2 array<bigint>, g array<bigint>, whole array<boolean>, l array<int>")
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        sides = [list(decoded(a, b)) for a, b in zip(frame["lcps"], frame["rests"])]
-        rows = list(frame[["lefts", "ids", "hs", "los", "wholes"]].itertuples(index=False))
+    def merge(table: pa.Table) -> pa.Table:
+        sides = [list(decoded(a, b)) for a, b in zip(table.column("lcps").to_pylist(), table.column("rests").to_pylist())]
+        ids = list(zip(*(table.column(c).to_pylist() for c in ("c1", "c2", "g", "whole", "l"))))
         out: list[tuple] = []
-        group: list[tuple[int, int]] = []
+        edges: list[tuple] = []
+        before, known = None, None
 
         def close() -> None:
-            if len(group) < 2 or all(rows[i].wholes[k] for i, k in group):
-                return
-            texts = [rows[i].lefts[k] + sides[i][k][0] for i, k in group]
-            ends = repeated_ends(texts, length)
-            for (i, k), found in zip(group, ends):
-                if found and not rows[i].wholes[k]:
-                    lo = rows[i].los[k]
-                    out.append((rows[i].ids[k], rows[i].hs[k], lo + found[0], lo + found[1] + length))
-
-        for i, k, shared in merged(sides):
-            if shared < right:
+            if known and not before[2]:
+                out.append((*before[3], *known))
+
+        for i, k, n in merged(sides):
+            c1, c2, g, whole, l = (v[k] for v in ids[i])
+            now = (sides[i][k][0], g, whole, (c1, c2), l)
+            if before is None:
+                edges.append((0, now))
+            elif now[3] == before[3] and now[0] == before[0]:
+                continue  # a repeated row's context is the same one again
+            else:
+                told = order.told((before[0], before[2], before[4]), (now[0], whole, l), n) or (None, None)
+                known = _either(known, told[0])
                 close()
-                group = []
-            group.append((i, k))
-        close()
-        return pd.DataFrame(out, columns=["doc_id", "h", "s", "e"])
+                known = told[1]
+            before = now
+        if before is not None:
+            close()
+            edges.append((1, before))
+        part = table.column("part")[0].as_py()
+        rows = [(*r, *([None] * 6)) for r in out] + [(*x[3], None, None, None, None, part, last, x[1], x[2], x[4], x[0]) for last, x in edges]
+        return pa.Table.from_arrays([pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(_TOLD + _EDGE)], [c for c, _ in _TOLD + _EDGE])
+
+    def across(table: pa.Table) -> pa.Table:
+        """The same for neighbours on both sides of a border between ranges: two rows a range at most."""
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("part", "last", "key", "whole", "l", "c1", "c2"))), key=lambda r: r[:2])
+        out = []
+        for a, b in zip(rows, rows[1:]):
+            if a[0] != b[0] and a[5:] != b[5:]:
+                told = order.told(a[2:5], b[2:5], common(a[2], b[2], 0)) or (None, None)
+                out += [(*x[5:], *t) for x, t in ((a, told[0]), (b, told[1])) if t and not x[3]]
+        return pa.Table.from_arrays([pa.array([r[j] for r in out], t) for j, (_, t) in enumerate(_TOLD)], [c for c, _ in _TOLD])
+
+    found = written(sent.groupBy("part").applyInArrow(merge, f"{_TOLD_DDL}, {_EDGE_DDL}"))
+    edges = found.filter("part IS NOT NULL").select("part", "last", "g", "whole", "l", "key", "c1", "c2")
+    return found.filter("part IS NULL").select("c1", "c2", "lo", "hi", "p", "s").union(edges.groupBy("g").applyInArrow(across, _TOLD_DDL))
+
+
+def _contexts(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(c1, c2, rk, whole, l, right, left) of the wanted (i, h, a, lo, hi, c1, c2, rk, whole); left is read backwards."""
+    per_doc = wanted.groupBy("i", "h").agg(F.collect_list(F.struct("a", "lo", "hi", "c1", "c2", "rk", "whole")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for z, at in zip(batch.column(0), batch.column(1)):
+                text, at = unpack(z.as_py()), at.as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array([x[c] for x in at], pa.int64()) for c in ("c1", "c2", "rk")),
+                        pa.array([x["whole"] for x in at], pa.bool_()),
+                        pa.array([0] * len(at), pa.int32()),
+                        pa.array([text[x["a"] : x["hi"] + length] for x in at], pa.binary()),
+                        pa.array([text[x["lo"] : x["a"]][::-1] for x in at], pa.binary()),
+                    ],
+                    ["c1", "c2", "rk", "whole", "l", "right", "left"],
+                )
+
+    return packed.join(per_doc, ["i", "h"]).select("z", "at").mapInArrow(run, "c1 bigint, c2 bigint, rk bigint, whole boolean, l int, right binary, left binary")
+
+
+def _windows(contexts: DataFrame, length: int) -> DataFrame:
+    """Windows of contexts with (first, last), one row for each l in that range: l is how far before the anchor it starts."""
 
-    return sent.groupBy("part").applyInPandas(merge, f"doc_id {kind}, h bigint, s bigint, e bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c1, c2, rk, whole, right, left, first, last in zip(*(c.to_pylist() for c in batch.columns)):
+                at = range(max(first, length - len(right)), min(last, len(left)) + 1)
+                if len(at):
+                    text, n = left[::-1] + right, len(left)
+                    windows = pa.array([text[n - l : n - l + length] for l in at], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([c1] * len(at), pa.int64()), pa.array([c2] * len(at), pa.int64()), pa.array([rk] * len(at), pa.int64()), pa.array([whole] * len(at)), pa.array(at, pa.int32()), windows, pa.array([b""] * len(at), pa.binary())], ["c1", "c2", "rk", "whole", "l", "right", "left"])
+
+    return contexts.select("c1", "c2", "rk", "whole", "right", "left", "first", "last").mapInArrow(run, "c1 bigint, c2 bigint, rk bigint, whole boolean, l int, right binary, left binary")
 
 
-def _window_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """The same intervals for groups of many contexts: every window's digest is counted by a shuffle."""
-    kind = contexts.schema["doc_id"].dataType.simpleString()
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """(doc_id, i, h, z): the texts compressed, as they are shuffled."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for doc, h, lo, left, suffix, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                text = left + suffix
-                n = len(text) - length + 1
-                d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[p : p + length]) for p in range(n)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, batch.column(0).type), *(pa.array(x) for x in (np.full(n, h), np.arange(lo, lo + n), d[:, 0], d[:, 1]))], ["doc_id", "h", "p", "d1", "d2"])
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([pack(t.as_py()) for t in some.column(3)], pa.binary())], ["doc_id", "i", "h", "z"])
 
-    rows = contexts.select("doc_id", "h", "lo", "left", "suffix", "whole").mapInArrow(windows, f"doc_id {kind}, h bigint, p bigint, d1 bigint, d2 bigint")
-    # Saved, both sides of the join come straight from shuffles, so Spark can split a window that very many texts share.
-    several = saved(rows.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2"))
-    return rows.join(several, ["d1", "d2"], "left_semi").select("doc_id", "h", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
+    return texts.select("doc_id", "i", "h", "text").mapInArrow(run, f"doc_id {kind}, i bigint, h bigint, z binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """(doc_id, h, s, e) byte intervals that cover just the repeated bytes of docs (doc_id, h, text as bytes)."""
-    rows = written(anchor_rows(docs, length))
+def repeated_spans(texts: DataFrame, packed: DataFrame, length: int = LENGTH, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(i, h, s, e) byte intervals that cover just the repeated bytes of texts (i, h, text as bytes)."""
+    rows = written(anchor_rows(texts, length))
     several = saved(rows.groupBy("rk").agg(F.count("*").alias("n")).filter("n > 1").select("rk"))
     rows = written(rows.join(several, "rk", "left_semi"))
-    same = written(rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.first("rk").alias("rk"), F.min(F.struct("doc_id", "h", "a", "lo", "hi")).alias("x")))
-    whole = rows.join(same.filter("n > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("doc_id", "h", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    groups = saved(same.groupBy("rk").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 AND least = 1").select("rk", "size"))
-    single = same.join(groups, "rk").select("x.*", (F.col("n") > 1).alias("whole"), "size")
-    spark = docs.sparkSession
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = whole.union(_merge_groups(written(_contexts(docs, single.filter(F.col("size") <= group), length)), length, ranges))
-    if not groups.filter(F.col("size") > group).isEmpty():
-        out = out.union(_window_groups(_contexts(docs, single.filter(F.col("size") > group), length), length))
-    return out
+    same = written(rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.first("rk").alias("rk"), F.min(F.struct("i", "h", "a", "lo", "hi")).alias("x")))
+    groups = saved(same.groupBy("rk").agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 AND least = 1").select("rk"))
+    wanted = same.join(groups, "rk").select("x.*", "c1", "c2", "rk", (F.col("n") > 1).alias("whole"))
+    contexts = written(_contexts(packed, wanted, length))
+    told = neighbours(contexts, Order("right", length), range_bytes).union(neighbours(contexts, Order("left", length), range_bytes))
+    told = written(told.groupBy("c1", "c2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("p").alias("p"), F.max("s").alias("s")))
+    bounds = contexts.filter("NOT whole").select("c1", "c2", "rk", F.length("right").alias("r"), F.length("left").alias("l")).join(told, ["c1", "c2"])
+    bounds = bounds.select("rk", "lo", "hi", F.expr(f"greatest({length} - r, {length} - p)").alias("first"), F.least("l", "s").alias("last"))
+    open_ = bounds.filter("first <= last AND (lo IS NULL OR first < lo OR hi < last)")
+    open_ = open_.select("rk", F.expr("if(lo IS NULL OR first < lo, first, hi + 1)").alias("first"), F.expr("if(lo IS NULL OR hi < last, last, lo - 1)").alias("last"))
+    open_ = saved(open_.groupBy("rk").agg(F.min("first").alias("first"), F.max("last").alias("last")))
+    windows = written(_windows(contexts.join(open_, "rk"), length))
+    decided = told.select("c1", "c2", "lo", "hi").union(neighbours(windows, Order("window", length), range_bytes).select("c1", "c2", "lo", "hi"))
+    decided = decided.filter("lo IS NOT NULL").groupBy("c1", "c2").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
+    whole = same.filter("n > 1").select("c1", "c2", F.lit(None).cast("int").alias("least"), F.lit(None).cast("int").alias("most"))
+    known = written(decided.union(whole))
+    spans = rows.join(known, ["c1", "c2"]).select("i", "h", F.coalesce(F.col("a") - F.col("most"), "lo").alias("s"), (F.coalesce(F.col("a") - F.col("least"), "hi") + length).alias("e"))
+    return spans
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -367,24 +429,27 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per input row: doc_id, kept (bytes that remain), n_bytes, spans (removed, maximal).
 
     Null and empty texts, and texts shorter than length, lose nothing; matches never cross rows; a row that repeats another
-    is a second copy, so both lose all that is long enough; null ids are rows like others; an empty table gives no rows.
+    is a second copy, so both lose all that is long enough; null ids are rows like others, ids may be of any type; texts of
+    any length are read whole; columns of other names play no part; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    texts = texts.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    spans = repeated_spans(texts, length, group).groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    rows = texts.alias("d").join(spans.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.h = w.h"), "left").select("d.doc_id", "d.text", "w.spans")
+    texts = texts.select("doc_id", F.xxhash64("doc_id").alias("i"), F.xxhash64("text").alias("h"), "text")
+    packed = packed_texts(texts)
+    spans = repeated_spans(texts, packed, length, range_bytes).groupBy("i", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    rows = packed.join(spans, ["i", "h"], "left").select("doc_id", "z", "spans")
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py()
+                text = unpack(batch.column(1)[i].as_py())
                 cut = merged_spans([(x["s"], x["e"]) for x in batch.column(2)[i].as_py() or []])
                 edges = [0, *(x for span in cut for x in span), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))

@@ -115,13 +115,47 @@ def test_suffix_dedup(spark):
             if count[b[p : p + 400]] > 1:
                 gone[p : p + 400] = b"\1" * 400
         want[i] = bytes(x for x, g in zip(b, gone) if not g)
-    for group in (4096, 2):
-        got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.dedup(frame(spark, [(i, t, "s") for i, t in rows]), group=group).collect()}
+    for size in (1 << 23, 3000):
+        got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.dedup(frame(spark, [(i, t, "s") for i, t in rows]), range_bytes=size).collect()}
         assert got == want
     assert suffix_dedup.dedup(frame(spark, ODD).limit(0)).count() == 0
     assert suffix_dedup.dedup(frame(spark, ODD)).count() == len(ODD)
 
 
+def brute_repeats(rows, length):
+    count = {}
+    for _, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            count[b[p : p + length]] = count.get(b[p : p + length], 0) + 1
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if count[b[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        out.append((i, len(b), sum(gone), bytes(x for x, g in zip(b, gone) if not g)))
+    return out
+
+
+def test_suffix_dedup_of_edited_copies(spark):
+    """Many versions of one text with edits close to each other, zero bytes and repeated rows: windows that neighbours don't decide."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("ab\0") for _ in range(150)) for _ in range(3)]
+    rows = []
+    for i in range(150):
+        text = list(rng.choice(base))
+        for _ in range(rng.randrange(5)):
+            text[rng.randrange(150)] = rng.choice("abc")
+        rows.append((i, "".join(text)[rng.randrange(60) :]))
+    rows += [(7, rows[7][1]), (None, rows[3][1]), (None, rows[3][1]), (200, "a" * 300)]
+    want = sorted(map(repr, brute_repeats(rows, 60)))
+    for size in (1 << 23, 2000):
+        got = suffix_dedup.dedup(frame(spark, [(i, t, "s") for i, t in rows]), length=60, range_bytes=size).collect()
+        assert sorted(repr((r["doc_id"], r["n_bytes"], sum(x["e"] - x["s"] for x in r["spans"]), bytes(r["kept"]))) for r in got) == want
+
+
 def test_loser_tree():
     rng = random.Random(3)
     for _ in range(200):
