@@ -195,25 +195,32 @@ def test_embeddings_in_dense_surroundings(spark):
     np.fill_diagonal(close, False)
     assert close[range(0, 200, 2), range(1, 200, 2)].all()
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    for exact in (16_384, 4096):
-        got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(rows, exact=exact).collect()}
-        assert [got[i]["n_links"] for i in range(len(x))] == close.sum(axis=1).tolist()
-        assert all(got[i]["component_id"] == got[j]["component_id"] for i, j in zip(*np.nonzero(close)))
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(rows).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == close.sum(axis=1).tolist()
+    assert all(got[i]["component_id"] == got[j]["component_id"] for i, j in zip(*np.nonzero(close)))
 
 
-def test_embedding_meetings(spark):
-    """Buckets of many bits and passes join what all pairs join; the passes keep the promised recall."""
+def test_embedding_passes(spark):
+    """Narrow windows over many ranges, with crowded prefixes, join what all pairs join; the passes keep the promised recall."""
     rng = np.random.default_rng(2)
     base = rng.standard_normal((400, 16))
-    x = np.vstack([base, base[:200] + 0.06 * rng.standard_normal((200, 16))])
-    rows = spark.createDataFrame([(i, 16, v.tobytes()) for i, v in enumerate(x)], "vec_id long, dim int, x binary")
-    passes = embedding_dedup.passes_for(6, 0.95)
-    sets = []
-    for bits, n in ((0, 1), (6, passes)):
-        links = embedding_dedup.meetings(rows, "f8", 0.95, bits, n, 16, 5)
-        sets.append({(r["id"], r["component_id"]) for r in components.components(links).collect()})
-    assert sets[0] == sets[1] and len(sets[0]) >= 190
-    assert (1 - (1 - np.arccos(0.95) / np.pi) ** 6) ** passes <= 1e-6 and embedding_dedup.passes_for(0, 0.95) == 1
+    x = np.vstack([base, base[:200] + 0.06 * rng.standard_normal((200, 16)), base[:1] + 0.1 * rng.standard_normal((80, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= 0.95
+    np.fill_diagonal(close, False)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(rows, window=4).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == close.sum(axis=1).tolist()
+    assert all(got[i]["component_id"] == got[j]["component_id"] for i, j in zip(*np.nonzero(close)))
+    for n in (10, 10_000, 10**9):
+        bits, passes = embedding_dedup.plan(n, 0.95)
+        assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** passes <= 1e-5
+    half = x.astype("<f2").astype(np.float32)
+    assert np.abs(half @ half.T - x @ x.T).max() <= embedding_dedup.slack(16)
+    odd = [(None, [1.0, 2.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [2.0, 4.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v, 1, "x") for i, v in odd], "vec_id long, embedding array<double>, component_id int, u string")).collect()
+    assert sorted((r["vec_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (5, 5, True), (5, 5, True), (6, 5, False)]
+    assert embedding_dedup.near_duplicates(rows.limit(0)).count() == 0
 
 
 def test_bpe(spark):
