@@ -70,59 +70,75 @@ def tokenizer_json(rank: dict[bytes, int], pattern: str) -> str:
 class Codec:
     """Encoder and decoder for one vocabulary; built once in each worker.
 
-    Texts are cut into the pattern's matches; each distinct match goes through the library once and is then remembered
-    (up to KEPT matches; then the memory starts afresh), since merges never cross a match.
+    Texts are cut into the pattern's matches; a match goes through the library's model, which gives its tokens.  Matches
+    of SHORT characters at most are remembered (up to KEPT; then the memory starts afresh), since merges never cross a
+    match; so the memory is bounded in bytes.
     """
 
-    KEPT = 1 << 17
+    KEPT, SHORT = 1 << 17, 64
 
     def __init__(self, description: str):
         import regex
         from tokenizers import Tokenizer
 
         self.cut = regex.compile(json.loads(description)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.tokenizer = Tokenizer.from_str(description)
-        self.model = self.tokenizer.model
+        self.model = Tokenizer.from_str(description).model
         self.to_chars = {b: c for b, c in byte_table().items() if chr(b) != c}
         back = {c: b for b, c in byte_table().items()}
-        self.bytes_of = {i: bytes(back[c] for c in t) for t, i in self.tokenizer.get_vocab().items()}
+        vocabulary = json.loads(description)["model"]["vocab"]
+        self.bytes_of: list[bytes] = [b""] * (1 + max(vocabulary.values()))
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = bytes(back[c] for c in token)
+        self.names = [str(i).encode() for i in range(len(self.bytes_of))]
         self.known: dict[str, tuple[int, ...]] = {}
-        self.names = [str(i).encode() for i in range(1 + max(self.bytes_of))]
-        self.listed: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
 
     def match_ids(self, match: str) -> tuple[int, ...]:
         """The library's merges over one match of the pattern, its bytes as characters."""
         chars = match.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_chars)
         return tuple([t.id for t in self.model.tokenize(chars)])
 
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """The texts' matches, all of them known afterwards."""
+    def _pieces(self, text: str) -> tuple[list[str], dict[str, tuple[int, ...]]]:
+        """The text's matches, and ids of all of them."""
+        pieces = self.cut.findall(text)
+        new = set(pieces).difference(self.known)
+        if not new:
+            return pieces, self.known
         if len(self.known) > self.KEPT:
-            for memory in (self.known, self.listed, self.decoded):
-                memory.clear()
-        cuts = [self.cut.findall(t) for t in texts]
-        for pieces in cuts:
-            for p in set(pieces).difference(self.known):
-                ids = self.known[p] = self.match_ids(p)
-                self.listed[p], self.decoded[p] = b" " + b" ".join(map(self.names.__getitem__, ids)), self.decode_bytes(ids)
-        return cuts
+            self.known.clear()
+            new = set(pieces)
+        long = {p: self.match_ids(p) for p in new if len(p) > self.SHORT}
+        self.known.update((p, self.match_ids(p)) for p in new if len(p) <= self.SHORT)
+        return pieces, {p: self.known[p] if p in self.known else long[p] for p in set(pieces)} if long else self.known
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [list(chain.from_iterable(map(self.known.__getitem__, pieces))) for pieces in self.learn(texts)]
-
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """For each text: ids, the listed ids' SHA-256, the decoded bytes' SHA-256.  Each match's ids are decoded once and joined."""
         out = []
-        for pieces in self.learn(texts):
-            listed = b"".join(map(self.listed.__getitem__, pieces))
-            decoded = b"".join(map(self.decoded.__getitem__, pieces))
-            out.append((listed.count(b" "), hashlib.sha256(listed[1:]).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        for text in texts:
+            pieces, ids = self._pieces(text)
+            out.append(list(chain.from_iterable(map(ids.__getitem__, pieces))))
         return out
 
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text: ids, the listed ids' SHA-256, the SHA-256 of what the list of ids decodes to.  Repeated texts of a batch are done once."""
+        done: dict[str, tuple[int, str, str]] = {}
+        for text in texts:
+            if text not in done:
+                ids = self.encode([text])[0]
+                listed = b" ".join(map(self.names.__getitem__, ids))
+                done[text] = (len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(self.decode_bytes(ids)).hexdigest())
+        return [done[t] for t in texts]
+
     def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
-        """Ids and, for each, the code points that it touches, end exclusive."""
-        return [(e.ids, e.offsets) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Ids and, for each, the code points that it touches, end exclusive; a code point split over tokens belongs to each."""
+        out = []
+        for text, ids in zip(texts, self.encode(texts)):
+            at = [k for k, c in enumerate(text) for _ in range(len(c.encode("utf-8", "surrogatepass")))]
+            spans, first = [], 0
+            for i in ids:
+                after = first + len(self.bytes_of[i])
+                spans.append((at[first], at[after - 1] + 1))
+                first = after
+            out.append((ids, spans))
+        return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -209,7 +225,11 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", des
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", description: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every whole text, decodes the ids, and digests both."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every whole text, decodes the ids, and digests both.
+
+    Null and empty texts have no ids (the digests are those of the empty string); repeated rows give a row each; texts may be
+    of any length; other columns play no part; an empty table gives no rows.
+    """
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     return map_texts(docs, id_col, text_col, fields, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", Codec.digests, description or default_description())
 

@@ -8,16 +8,16 @@ from token sums of hash blocks, so only the one block in which the budget ends i
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WORD, read, saved, unused
+from spanloom.llm.common import WORD, read, saved, unused, written
 
 #: Rows of a source in one hash block, about: what one task sorts where a budget ends.
 BLOCK_ROWS = 2000
+#: Times that a source is passed at most while the largest is passed once; seed of the permutation.
+REPEATS, SEED = 2.0, 17
 #: Bisection steps; 2^-60 of the exponent's range.
 STEPS = 60
 
@@ -66,7 +66,7 @@ def counted(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("tokens"))
 
 
-def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, source, n_tokens, weight, passes (of its source), copies (of this row).
 
     copies is floor(passes), and one more for the rows that the last, partial pass reaches: rows of the source in hash
@@ -74,13 +74,13 @@ def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     largest source is passed once.  Null texts count 0 tokens; null sources form one source; repeated ids share one place
     in the permutation and get the same copies; an empty table gives no rows.
     """
-    rows = saved(counted(docs, id_col, text_col, source_col).withColumn("key", F.xxhash64("doc_id", F.lit(seed))))
+    rows = written(counted(docs, id_col, text_col, source_col).withColumn("key", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")))))
     totals = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     mixed = temperature(totals, entropy, repeats).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_ROWS)).cast("long"))
-    mixed = saved(mixed.withColumn("whole", F.floor(F.col("passes") + 1e-9)).withColumn("budget", (F.col("passes") - F.col("whole")) * F.col("tokens")))
+    mixed = saved(mixed.withColumn("whole", F.floor(F.col("passes") + 1e-9)).withColumn("budget", F.floor((F.col("passes") - F.col("whole")) * F.col("tokens") + 1e-6)))
     # Skewed sources: the join is with one row a source, so Spark may broadcast it or split the hot side.
     with_source = rows.join(mixed.select("source", "weight", "passes", "whole", "budget", "blocks").withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s")
-    placed = with_source.withColumn("block", F.expr("pmod(shiftright(key, 20), blocks)"))
+    placed = with_source.withColumn("block", F.coalesce(F.expr("cast(conv(substr(key, 1, 8), 16, 10) AS bigint) % blocks"), F.lit(0)))
     sums = placed.groupBy("source", "block").agg(F.sum("tokens").alias("n"), F.first("budget").alias("budget"))
     running = W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     cuts = sums.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
@@ -103,9 +103,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(read(spark, sf_dir, "documents"))
-
-
-def production_exponent(shares: list[float], repeats: float) -> float:
-    """The bisection's answer in closed form, for tests."""
-    return max(0.0, 1 - math.log(repeats) / math.log(max(shares) / min(shares))) if max(shares) > min(shares) else 0.0
+    out = plan(read(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("weight", "passes")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import byte_bpe, embedding_dedup, exact_dedup, html_text, minhash_dedup, mixing, secret_scan, suffix_dedup, toxicity, url_filter
+from spanloom.llm import byte_bpe, embedding_dedup, exact_dedup, html_text, minhash_dedup, mixing, secret_scan, sql, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1_embedding_near_dedup,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_secret_scans": secret_scan.op10_secret_scans,
 }
 
-SQL = exact_dedup.SQL
+SQL = sql.SQL

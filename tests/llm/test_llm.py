@@ -379,3 +379,62 @@ def test_pipeline(spark):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t) for t in texts]
     assert len(set(norm)) == len(norm)
     assert set(brute_near([(r["doc_id"], r["text"]) for r in steps[2].select("doc_id", "text").collect()], 5, 80).values()) and {v for _, v in brute_near([(r["doc_id"], r["text"]) for r in steps[2].collect()], 5, 80).values()} == {r["doc_id"] for r in steps[3].collect()}
+
+
+def test_pipeline_run_is_the_brute_force_pipeline(spark, tmp_path):
+    """All five stages on real and odd rows, each replayed on the driver from its definition."""
+    import base64 as b64
+    from collections import Counter, defaultdict
+
+    import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
+    from spanloom.llm.common import read
+
+    docs = read(spark, SF, "documents")
+    odd = [(10**6 + i if i is not None else None, t, None, s, 0) for i, t, s in ODD]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema)).withColumn("text_sha256", F.lit("x")).withColumn("copies", F.lit(3))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    read(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+
+    machine = toxicity.train_from(docs, read(spark, SF, "labels"))
+    machine.learn({w for _, t, _ in rows for w in toxicity.words(t)})
+    bad = {i for i, t, _ in rows if i is not None and machine.score(machine.margin(toxicity.words(t))) >= 0.7}
+    rows = [r for r in rows if r[0] not in bad]
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    first = {}
+    for i, t, _ in rows:
+        if i is not None:
+            first[norm(t)] = min(i, first.get(norm(t), i))
+    rows = [r for r in rows if r[0] is None or first[norm(r[1])] == r[0]]
+    near = brute_near([(i, t) for i, t, _ in rows if i is not None], 5, 80)
+    rows = [r for r in rows if r[0] is None or near[r[0]][1] == r[0]]
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    totals, sizes = Counter(), Counter()
+    for _, t, s in rows:
+        totals[s] += words(t)
+        sizes[s] += 1
+    some = [n for n in totals.values() if n]
+    power = max(0.0, 1 - np.log(2) / np.log(max(some) / min(some)))
+    out = []
+    by_source = defaultdict(list)
+    for i, t, s in rows:
+        key = hashlib.md5(f"{i}:17".encode()).hexdigest() if i is not None else ""
+        by_source[s].append(((int(key[:8], 16) if key else 0) % max(1, -(-sizes[s] // 2000)), key, i or 0, i, t))
+    for s, list_ in by_source.items():
+        passes = (totals[s] / max(some)) ** (power - 1) if totals[s] else 1.0
+        whole = int(passes + 1e-9)
+        budget, upto = int((passes - whole) * totals[s] + 1e-6), 0
+        for _, _, _, i, t in sorted(list_):
+            upto += words(t)
+            out += [(i, t)] * (1 if i is None else whole + (upto <= budget))
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {b64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, t in out:
+        ids = lib.encode_ordinary(t or "")
+        want.append((i or 0, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    got = [(r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 200
