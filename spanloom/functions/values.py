@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 # Entity types in their order, aliases, and Japanese names.
 ENTITIES = ("PERSON", "LOCATION", "DATE_TIME", "PHONE_NUMBER", "INDIVIDUAL_NUMBER", "YEAR", "PROPER_NOUN", "OTHER")
-ALIASES = {"address": "LOCATION", "pearson": "PERSON"}
+ALIASES = {"address": "LOCATION"}
+CONFIG_ALIASES = {"ADDRESS": "LOCATION", "PEARSON": "PERSON"}
 NAMES_JA = {"PERSON": "人名", "LOCATION": "場所", "DATE_TIME": "日時", "PHONE_NUMBER": "電話番号", "INDIVIDUAL_NUMBER": "マイナンバー", "YEAR": "年号", "PROPER_NOUN": "固有名詞", "OTHER": "その他"}
 ORIGIN_LABELS = {"manual": "手動", "custom": "追加"}
 
+# Colours of annotations and highlights by entity, and of any other.
+ANNOTATION_COLOURS = {"PERSON": (1.0, 0.0, 0.0), "LOCATION": (0.0, 1.0, 0.0), "DATE_TIME": (0.0, 0.0, 1.0), "PHONE_NUMBER": (1.0, 1.0, 0.0), "INDIVIDUAL_NUMBER": (1.0, 0.0, 1.0), "YEAR": (0.5, 0.0, 1.0), "PROPER_NOUN": (1.0, 0.5, 0.0)}
+HIGHLIGHT_COLOURS = {"PERSON": (1.0, 0.8, 0.8), "LOCATION": (0.8, 1.0, 0.8), "DATE_TIME": (0.8, 0.8, 1.0), "PHONE_NUMBER": (1.0, 1.0, 0.8), "INDIVIDUAL_NUMBER": (1.0, 0.8, 1.0), "YEAR": (0.9, 0.8, 1.0), "PROPER_NOUN": (1.0, 0.9, 0.8)}
+OTHER_ANNOTATION, OTHER_HIGHLIGHT = (0.0, 0.0, 0.0), (0.9, 0.9, 0.9)
+
+# Colours by name.
 CSS_COLOURS = {
     "black": (0, 0, 0), "white": (255, 255, 255), "red": (255, 0, 0), "green": (0, 128, 0), "blue": (0, 0, 255), "cyan": (0, 255, 255), "magenta": (255, 0, 255),
     "yellow": (255, 255, 0), "gray": (128, 128, 128), "grey": (128, 128, 128), "orange": (255, 165, 0), "purple": (128, 0, 128), "pink": (255, 192, 203), "brown": (165, 42, 42),
@@ -25,12 +32,43 @@ def _lookup(table: dict[str, str], key: Column, default: Column) -> Column:
     return out
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def blank(text: Column) -> Column:
+    return text.rlike(r"(?U)^\s*$")
+
+
 def entity_key(name: Column) -> Column:
-    """Trimmed and upper-cased, aliases resolved; empty stays empty."""
-    bare = F.trim(name)
+    """Stripped and upper-cased, aliases resolved; empty stays empty."""
+    bare = stripped(name)
     return _lookup(ALIASES, F.lower(bare), F.upper(bare))
 
 
+def normal_entity(name: str) -> str:
+    """The same on the driver."""
+    bare = (name or "").strip()
+    return ALIASES.get(bare.lower(), bare.upper())
+
+
+def config_entity(name: str) -> str:
+    """As the configuration reads names, which forgives one more spelling."""
+    bare = (name or "").strip().upper()
+    return CONFIG_ALIASES.get(bare, bare)
+
+
+def entity_colour(entity: Column, highlight: bool = False) -> Column:
+    """(r, g, b) of an entity's annotation or highlight."""
+    table, other = (HIGHLIGHT_COLOURS, OTHER_HIGHLIGHT) if highlight else (ANNOTATION_COLOURS, OTHER_ANNOTATION)
+    make = lambda rgb: F.struct(*(F.lit(x).alias(n) for x, n in zip(rgb, "rgb")))
+    out = make(other)
+    for name, rgb in table.items():
+        out = F.when(entity == name, make(rgb)).otherwise(out)
+    return out
+
+
 def entity_rank(entity: Column, order=ENTITIES) -> Column:
     """Place in the order; names outside it come last."""
     at = F.array_position(F.array(*map(F.lit, order)), entity)
@@ -48,7 +86,7 @@ def resolved_entity(entity: Column, enabled: list[str]) -> Column:
 
 def parse_entities(listed: str) -> list[str]:
     """Names of a comma-separated option; an unknown one is an error."""
-    names = [ALIASES.get(x.strip().lower(), x.strip().upper()) for x in listed.split(",") if x.strip()]
+    names = [normal_entity(x) for x in listed.split(",") if x.strip()]
     if wrong := [n for n in names if n not in ENTITIES]:
         raise ValueError(f"unknown entities {wrong}; allowed: {', '.join(ENTITIES)}")
     return names
@@ -112,11 +150,11 @@ def refined_start(text: Column, better: Column, start: Column) -> Column:
 
 
 def colour(text: Column) -> Column:
-    """(r, g, b, alpha) from #RGB, #RRGGBB, #RRGGBBAA, rgb(), rgba() and the CSS names; grey 0.9 without alpha for anything else."""
-    t = F.lower(F.trim(text))
+    """(r, g, b, alpha) from #RGB, #RRGGBB, #RRGGBBAA, rgb(), rgba() without blanks inside, and the CSS names; grey 0.9 without alpha for anything else."""
+    t = F.lower(stripped(text))
     two = lambda i: F.conv(F.substring(t, i, 2), 16, 10).cast("double") / 255
     one = lambda i: F.conv(F.repeat(F.substring(t, i, 1), 2), 16, 10).cast("double") / 255
-    fn = r"^rgba?\(\s*([\d.]+)\s*,\s*([\d.]+)\s*,\s*([\d.]+)\s*(?:,\s*([\d.]+)\s*)?\)$"
+    fn = r"^(?:rgb(?=\([^,]*,[^,]*,[^,]*\))|rgba(?=(?:[^,]*,){3}))\(([0-9]{1,3}),([0-9]{1,3}),([0-9]{1,3})(?:,([0-9]*\.?[0-9]+))?\)$"
     part = lambda i: F.regexp_extract(t, fn, i).try_cast("double")
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     make = lambda r, g, b, a: F.struct(r.alias("r"), g.alias("g"), b.alias("b"), a.cast("double").alias("alpha"))
@@ -128,13 +166,13 @@ def colour(text: Column) -> Column:
         F.when(t.rlike(r"^#[0-9a-f]{3}$"), make(one(2), one(3), one(4), none))
         .when(t.rlike(r"^#[0-9a-f]{6}$"), make(two(2), two(4), two(6), none))
         .when(t.rlike(r"^#[0-9a-f]{8}$"), make(two(2), two(4), two(6), two(8)))
-        .when(t.rlike(fn), make(clamp(part(1) / 255), clamp(part(2) / 255), clamp(part(3) / 255), part(4)))
+        .when(t.rlike(fn), make(clamp(part(1) / 255), clamp(part(2) / 255), clamp(part(3) / 255), F.when(part(4).isNotNull(), clamp(part(4)))))
         .otherwise(named)
     )
 
 
 def flag(text: Column) -> Column:
-    return F.lower(F.trim(text)).isin("1", "true", "yes", "on")
+    return F.lower(stripped(text)).isin("1", "true", "yes", "on")
 
 
 def clamped(text: Column, low: float, high: float, default: float) -> Column:
@@ -162,5 +200,20 @@ def detection_id(entity: Column, text: Column, start: Column, end: Column) -> Co
     return F.sha2(F.to_json(F.array(entity, text, start.cast("string"), end.cast("string"))), 256)
 
 
+def pdf_date(at: Column) -> Column:
+    return F.concat(F.lit("D:"), F.date_format(at, "yyyyMMddHHmmss"))
+
+
+def is_manual(manual: Column, name: Column) -> Column:
+    return F.coalesce(manual, F.lit(False)) | F.coalesce(F.lower(name) == "manual", F.lit(False))
+
+
+def manual_entity(entity: Column, word: Column, page: Column, block: Column, offset: Column, end: Column | None = None) -> Column:
+    """A detection made by hand: from a start and an end, or from one place as long as the word."""
+    start = F.struct(page.alias("page_num"), block.alias("block_num"), offset.alias("offset"))
+    last = F.struct(page.alias("page_num"), block.alias("block_num"), (offset + F.greatest(F.length(word), F.lit(1)) - 1).alias("offset"))
+    return F.struct(start.alias("start"), (last if end is None else F.coalesce(end, last)).alias("end"), entity_key(entity).alias("entity"), word.alias("word"), F.lit("manual").alias("origin"), F.lit(True).alias("manual"))
+
+
 def place_label(page: Column, block: Column, offset: Column) -> Column:
     return F.format_string("p%d:b%d:%d", page + 1, block + 1, offset + 1)

@@ -5,16 +5,16 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import values
 
-# The built-in patterns.
+# The built-in patterns.  Their recognisers report the whole match, whatever it captures (``whole``).
 PATTERNS = {
     "INDIVIDUAL_NUMBER": r"(?<!\d)(?:\d{4}-?\d{4}-?\d{4})(?!\d)",
-    "YEAR": r"(?:[1-9][0-9]{3}年|(?:令和|平成|昭和|大正|明治)(?:[1-9][0-9]?)年)",
-    "PERSON": r"[一-鿿]+(?:くん|さん|君|ちゃん|様)",
+    "YEAR": r"([1-9][0-9]{3}年|(令和|平成|昭和|大正|明治)([1-9][0-9]?)年)",
+    "PERSON": r"([一-鿿]+)(?:くん|さん|君|ちゃん|様)",
     "PHONE_NUMBER": r"(?<!\d)(?:0\d{1,4}[-]?\d{1,4}[-]?\d{4})(?!\d)",
 }
 MAX_CHARS, MAX_BYTES = 15_000, 48_125
@@ -58,35 +58,65 @@ def spans(text: Column, pattern: str, whole: bool = False) -> Column:
         return _group_spans(text, pattern)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    found = running_spans(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["hit"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["hit"].alias("text")))).alias("out"))
 
-    found = F.aggregate(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), start, add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+def running_spans(pairs: Column, chunk: int = 128) -> Column:
+    """(start, end, text) of hits and the lengths of the gaps before them, (gap, hit), in time linear in their number.
+
+    Spark has no running sum over an array.  A fold that grows an array copies it at every step, so folds run over chunks.
+    """
+    length = lambda x: x["gap"] + F.length(x["hit"])
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / chunk).cast("int")), lambda k: F.slice(pairs, k * chunk + 1, F.lit(chunk)))
+    sums = F.transform(cuts, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + length(x)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(sums, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def inside(c: Column, at: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            a = acc["at"] + x["gap"]
+            b = a + F.length(x["hit"])
+            return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["hit"].alias("text")))).alias("out"))
+
+        return F.aggregate(c, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda acc: acc["out"])
+
+    return F.when(F.size(pairs) > 0, F.flatten(F.zip_with(cuts, starts, inside))).otherwise(F.array().cast(_SPAN))
 
 
 def literal_spans(text: Column, word: str) -> Column:
-    """Every occurrence of a literal, overlapping ones too."""
+    """Every occurrence of a literal, overlapping ones too: of each character that starts one, by looking ahead."""
     n = len(word)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)) == word)
-    return F.transform(starts, lambda i: F.struct((i - 1).alias("start"), (i - 1 + n).alias("end"), F.lit(word).alias("text"))) if n else F.array().cast(_SPAN)
+    if not n:
+        return F.array().cast(_SPAN)
+    ahead = f"(?s){re.escape(word[0])}(?={re.escape(word[1:])})" if n > 1 else re.escape(word)
+    return F.transform(spans(text, ahead, whole=True), lambda s: F.struct(s["start"].alias("start"), (s["start"] + n).alias("end"), F.lit(word).alias("text")))
+
+
+def block_spans(block: DataFrame, word: str) -> DataFrame:
+    """(doc_id, page_num, block_num, start, end) of a literal inside each block."""
+    return block.select("doc_id", "page_num", "block_num", F.explode(literal_spans(F.col("text"), word)).alias("s")).select("doc_id", "page_num", "block_num", "s.start", "s.end")
+
+
+def spark_reads(pattern: str) -> bool:
+    """Whether the engine that runs patterns can read this one: Java's dialect isn't Python's.  One row on the driver."""
+    session = SparkSession.active()
+    try:
+        session.range(1).select(F.lit("").rlike(pattern)).collect()
+    except Exception:  # noqa: BLE001 - any failure to read it
+        return False
+    return True
 
 
 def compile_patterns(listed: list[tuple[str, str]], strict: bool = False) -> list[tuple[str, str]]:
-    """(entity, pattern) pairs that compile; a bad one is an error if strict, else left out."""
+    """(entity, pattern) pairs that can be read, by Python where they capture and by Spark else; a bad one is an error if strict, else left out."""
     out = []
     for entity, pattern in listed:
         if not pattern.strip():
             continue
-        try:
-            re.compile(pattern)
-        except re.error as e:
+        if not (has_groups(pattern) or spark_reads(pattern)):
             if strict:
-                raise ValueError(f"bad pattern {pattern!r}: {e}") from e
+                raise ValueError(f"bad pattern {pattern!r}")
             continue
         out.append((entity, pattern))
     return out
@@ -102,7 +132,7 @@ def recognise(docs: DataFrame, patterns: dict[str, str] | list[tuple[str, str]],
 
     found = F.concat(*[F.transform(spans(text, pattern, whole), tagged(entity, k)) for k, (entity, pattern) in enumerate(listed)])
     rows = docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.entity", "x.start", "x.end", "x.word", F.lit(origin).alias("origin"), "x.prio")
-    return rows.filter(F.trim("word") != "")
+    return rows.filter(~values.blank(F.col("word")))
 
 
 def refine(found: DataFrame) -> DataFrame:
@@ -119,10 +149,15 @@ def without_overlaps(found: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def greedy(found: DataFrame) -> DataFrame:
-    """Non-overlapping spans of each document, taken by (prio, start): later ones that overlap a taken one go."""
+    """Non-overlapping spans of each document, taken by (prio, start): later ones that overlap a taken one go.
+
+    prio is the pattern's place among its entity's.  Of equal ones the entity that was listed later is taken first.
+    """
+    rank = found.withColumn("late", -F.coalesce(F.col("place") if "place" in found.columns else F.lit(0), F.lit(0)))
+    found = rank
     taken = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("prio", "start", "end", "entity", "word", "origin"))),
-        F.array().cast("array<struct<prio:int,start:int,end:int,entity:string,word:string,origin:string>>"),
+        F.array_sort(F.collect_list(F.struct("prio", "start", "late", "end", "entity", "word", "origin"))),
+        F.array().cast("array<struct<prio:int,start:int,late:int,end:int,entity:string,word:string,origin:string>>"),
         lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x))),
     )
     return found.groupBy("doc_id").agg(taken.alias("t")).select("doc_id", F.explode("t").alias("x")).select("doc_id", "x.entity", "x.start", "x.end", "x.word", "x.origin", "x.prio")
@@ -130,14 +165,24 @@ def greedy(found: DataFrame) -> DataFrame:
 
 def excluded(text: Column, substrings=(), searches=(), exact=()) -> Column:
     """Whether a word is excluded by a part, a pattern or as a whole."""
-    t, out = F.trim(text), F.lit(False)
+    t, out = values.stripped(text), F.lit(False)
     for s in substrings:
         out = out | t.contains(s)
-    for _, p in compile_patterns([("", s) for s in searches]):
-        out = out | t.rlike(p)
+    for s in searches:
+        if spark_reads(s):
+            out = out | t.rlike(s)
     return out | t.isin(*exact) if exact else out
 
 
+def added(docs: DataFrame, patterns: list[tuple[str, str]], origin: str = "custom") -> DataFrame:
+    """Spans of added patterns, none overlapping: by the pattern's place among its entity's, then by start, later entities first."""
+    entities = list(dict.fromkeys(e for e, _ in patterns))
+    nth = [sum(e == f for f, _ in patterns[:k]) for k, (e, _) in enumerate(patterns)]
+    at = F.array(*map(F.lit, nth))
+    rows = recognise(docs, patterns, origin).withColumn("prio", F.element_at(at, F.col("prio") + 1))
+    return greedy(rows.withColumn("place", (F.array_position(F.array(*map(F.lit, entities)), F.col("entity")) - 1).cast("int")))
+
+
 def omit(found: DataFrame, docs: DataFrame, patterns: list[str]) -> DataFrame:
     """Detections without those whose word or span a pattern hits; manual ones stay."""
     good = [p for _, p in compile_patterns([("", p) for p in patterns])]
@@ -194,13 +239,34 @@ def chunks(docs: DataFrame, text_col: str = "text", delimiter: str = "。", max_
 def redact(docs: DataFrame, found: DataFrame, mark: str = "█") -> DataFrame:
     """Texts with every detected character replaced."""
     per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
+    # Every text is turned into characters once; the kept and marked parts are slices of them.
+    reach = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int,e:int>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         a, b = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, a - acc["at"]), F.repeat(F.lit(mark), b - a)).alias("out"))
+        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), a.alias("b"), b.alias("e")))).alias("out"))
 
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    chars = F.split(text, "")
+    parts = F.aggregate("cut", reach, step, lambda acc: acc["out"])
+    part = lambda c, a, b: F.array_join(F.slice(c, a + 1, b - a), "")
+    out = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(part(F.col("chars"), p["a"], p["b"]), F.repeat(F.lit(mark), p["e"] - p["b"]))), ""), part(F.col("chars"), F.col("last"), F.greatest(F.size("chars") - F.col("last"), F.lit(0)) + F.col("last")))
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(per_doc, "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("cut").isNull(), text).otherwise(F.aggregate("cut", start, step, end)).alias("text"))
+    cut = joined.withColumn("chars", F.when(F.col("cut").isNotNull(), chars)).withColumn("parts", parts).withColumn("last", F.least(F.size("chars"), F.element_at("parts", -1)["e"]))
+    return cut.select("doc_id", F.when(F.col("cut").isNull(), text).otherwise(out).alias("text"))
+
+
+def chunked(docs: DataFrame, patterns: dict[str, str] | list[tuple[str, str]], text_col: str = "text", delimiter: str = "。", max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES, whole: bool = True) -> DataFrame:
+    """recognise() over chunks, spans moved to the text; what crosses a border between chunks is not found."""
+    rows = chunks(docs, text_col, delimiter, max_chars, max_bytes)
+    # One row a chunk stands for a document while patterns run.
+    keyed = rows.select(F.struct("doc_id", "start_offset").alias("doc_id"), F.col("chunk").alias("text"))
+    found = recognise(keyed, patterns, whole=whole)
+    moved = {c: F.col(c) + F.col("doc_id.start_offset") for c in ("start", "end")}
+    return found.withColumns(moved).withColumn("doc_id", F.col("doc_id.doc_id"))
+
+
+def exact_words(docs: DataFrame, pairs: list[tuple[str, str]], existing: DataFrame) -> DataFrame:
+    """Detections of (word, entity) pairs that no existing row has: words are read as patterns."""
+    found = recognise(docs, compile_patterns([(e, w.strip()) for w, e in pairs if w.strip()]), "manual", whole=True)
+    return found.join(existing.select("doc_id", "entity", "start", "end"), ["doc_id", "entity", "start", "end"], "left_anti")

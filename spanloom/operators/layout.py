@@ -52,11 +52,11 @@ def grouped_lines(rects: Column, threshold: float | None = 2.0) -> Column:
 
 
 def char_at(points: DataFrame, chars: DataFrame, cell: float = 50.0) -> DataFrame:
-    """(pid, idx): the first character under each point, through grid cells, so that only cell mates are compared."""
+    """(pid, idx): the first character under each point of a document's page, through grid cells, so that only cell mates are compared."""
     c = chars.withColumn("r", G.rect("x0", "y0", "x1", "y1"))
-    c = c.select("page_num", "idx", "r", F.explode(G.grid_cells(F.col("r"), cell)).alias("g")).select("page_num", "idx", "r", "g.gx", "g.gy")
+    c = c.select("doc_id", "page_num", "idx", "r", F.explode(G.grid_cells(F.col("r"), cell)).alias("g")).select("doc_id", "page_num", "idx", "r", "g.gx", "g.gy")
     p = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-    hits = p.join(c, ["page_num", "gx", "gy"]).filter(G.point_in(F.col("r"), F.col("x"), F.col("y")))
+    hits = p.join(c, ["doc_id", "page_num", "gx", "gy"]).filter(G.point_in(F.col("r"), F.col("x"), F.col("y")))
     return hits.groupBy("pid").agg(F.min("idx").alias("idx"))
 
 
@@ -66,14 +66,24 @@ def nearest_char(points: DataFrame, chars: DataFrame, reach: float) -> DataFrame
     Cells as wide as the reach and their neighbours hold all candidates.
     """
     c = chars.withColumn("r", G.rect("x0", "y0", "x1", "y1"))
-    c = c.select("page_num", "idx", "r", F.explode(G.grid_cells(F.col("r"), reach)).alias("g")).select("page_num", "idx", "r", "g.gx", "g.gy")
+    c = c.select("doc_id", "page_num", "idx", "r", F.explode(G.grid_cells(F.col("r"), reach)).alias("g")).select("doc_id", "page_num", "idx", "r", "g.gx", "g.gy")
     near = lambda v: F.explode(F.sequence(F.floor(F.col(v) / reach) - 1, F.floor(F.col(v) / reach) + 1))
     p = points.withColumn("gx", near("x")).withColumn("gy", near("y"))
     d = G.distance_squared(F.col("r"), F.col("x"), F.col("y"))
-    hits = p.join(c, ["page_num", "gx", "gy"]).withColumn("d", d).filter(F.col("d") <= reach * reach)
+    hits = p.join(c, ["doc_id", "page_num", "gx", "gy"]).withColumn("d", d).filter(F.col("d") <= reach * reach)
     return hits.groupBy("pid").agg(F.min(F.struct("d", "idx")).alias("m")).select("pid", "m.idx")
 
 
+def chars_in_circle(circles: DataFrame, chars: DataFrame, cell: float = 50.0) -> DataFrame:
+    """(pid, idx): characters that circles (pid, doc_id, page_num, x, y, radius) touch, through grid cells."""
+    c = chars.withColumn("r", G.rect("x0", "y0", "x1", "y1"))
+    c = c.select("doc_id", "page_num", "idx", "r", F.explode(G.grid_cells(F.col("r"), cell)).alias("g")).select("doc_id", "page_num", "idx", "r", "g.gx", "g.gy")
+    box = G.rect(F.expr("x - radius"), F.expr("y - radius"), F.expr("x + radius"), F.expr("y + radius"))
+    p = circles.withColumn("g", F.explode(G.grid_cells(box, cell))).select("pid", "doc_id", "page_num", "x", "y", "radius", "g.gx", "g.gy")
+    hits = p.join(c, ["doc_id", "page_num", "gx", "gy"]).filter(G.touches_circle(F.col("r"), F.col("x"), F.col("y"), F.col("radius")))
+    return hits.select("pid", "idx").distinct()
+
+
 def uncovered(text_rects: DataFrame, masks: DataFrame) -> DataFrame:
     """Rectangles that no mask of the same document and page intersects."""
     m = masks.select(F.col("doc_id").alias("md"), F.col("page_num").alias("mp"), G.rect("x0", "y0", "x1", "y1").alias("m"))

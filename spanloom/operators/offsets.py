@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions.values import blank
+
 
 def pages_of(text: Column, lines: int = 8) -> Column:
     """Plain text as pages of so many non-blank lines, each line a block."""
-    blocks = F.filter(F.split(text, "\n"), lambda b: F.trim(b) != "")
+    blocks = F.filter(F.split(text, "\n"), lambda b: ~blank(b))
     starts = F.sequence(F.lit(0), F.floor((F.size(blocks) - 1) / lines).cast("int"))
     return F.when(F.size(blocks) > 0, F.transform(starts, lambda i: F.slice(blocks, i * lines + 1, F.lit(lines)))).otherwise(F.array().cast("array<array<string>>"))
 
@@ -32,7 +34,7 @@ def blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def compact(block: DataFrame) -> DataFrame:
     """Blank blocks out; pages and blocks numbered anew, so that pages without blocks leave no gap."""
-    kept = block.filter(F.trim("text") != "")
+    kept = block.filter(~blank(F.col("text")))
     page = F.dense_rank().over(W.partitionBy("doc_id").orderBy("page_num")) - 1
     number = F.row_number().over(W.partitionBy("doc_id", "page_num").orderBy("block_num")) - 1
     return kept.select("doc_id", page.alias("page_num"), number.alias("block_num"), "text")
@@ -45,6 +47,26 @@ def target_text(text: Column, ignore_newlines: bool = True, ignore_whitespace: b
     return F.regexp_replace(out, r"(?U)\s", "") if ignore_whitespace else out
 
 
+def target_chars(text: Column, ignore_newlines: bool = True, ignore_whitespace: bool = False, pages: list[int] | None = None) -> Column:
+    """target_text()'s characters as (ch, start, end): the span of each in the base text, all pages counted; inserted line breaks span nothing."""
+    kind = "array<struct<ch:string,start:int,end:int>>"
+    place = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<page:int,last:boolean,text:string,at:int>>").alias("out"))
+    sized = F.flatten(F.transform(text, lambda p, i: F.transform(p, lambda b, j: F.struct(i.alias("page"), (j == F.size(p) - 1).alias("last"), b.alias("text")))))
+    step = lambda acc, b: F.struct((acc["at"] + F.length(b["text"])).alias("at"), F.concat(acc["out"], F.array(F.struct(b["page"].alias("page"), b["last"].alias("last"), b["text"].alias("text"), acc["at"].alias("at")))).alias("out"))
+    blocks_ = F.aggregate(sized, place, step, lambda acc: acc["out"])
+    chosen = blocks_ if pages is None else F.filter(blocks_, lambda b: b["page"].isin(*pages))
+    top = F.size(text) - 1 if pages is None else F.coalesce(F.array_max(F.filter(F.array(*map(F.lit, pages)), lambda p: p < F.size(text))), F.lit(-1))
+
+    def of(b: Column) -> Column:
+        after = b["at"] + F.length(b["text"])
+        chars = F.when(F.length(b["text"]) > 0, F.transform(F.split(b["text"], ""), lambda c, k: F.struct(c.alias("ch"), (b["at"] + k).alias("start"), (b["at"] + k + 1).alias("end")))).otherwise(F.array().cast(kind))
+        breaks = F.when(~b["last"] | (b["page"] < top), F.array(F.struct(F.lit("\n").alias("ch"), after.alias("start"), after.alias("end")))).otherwise(F.array().cast(kind))
+        return chars if ignore_newlines else F.concat(chars, breaks)
+
+    out = F.flatten(F.transform(chosen, of))
+    return F.filter(out, lambda c: ~blank(c["ch"])) if ignore_whitespace else out
+
+
 def position_of(text: Column, offset: Column) -> Column:
     """Position of a flat offset: the block that holds it; null beyond the text.  Empty blocks never match."""
     sized = F.flatten(F.transform(text, lambda p, i: F.transform(p, lambda b, j: F.struct(i.alias("page_num"), j.alias("block_num"), F.length(b).alias("n")))))
@@ -98,9 +120,10 @@ def base_span(start: Column, end: Column, target: Column, base_length: Column) -
     )
 
 
-def content_hash(text: Column) -> Column:
-    """Digest of page count and page texts."""
-    return F.sha2(F.concat(F.size(text).cast("string"), F.lit("|"), F.array_join(F.transform(text, lambda p: F.array_join(p, "\n")), "\f")), 256)
+def content_hash(text: Column, rects: Column | None = None, images: Column | None = None) -> Column:
+    """Digest of page count, page texts, and where given of the pages' rectangles (six digits) and image counts."""
+    page = lambda i, p: F.concat(F.array_join(p, "\n"), *([F.lit("|"), F.array_join(F.transform(F.get(rects, i), lambda x: F.format_string("%.6f", x)), ",")] if rects is not None else []), *([F.lit("|"), F.get(images, i).cast("string")] if images is not None else []))
+    return F.sha2(F.concat(F.size(text).cast("string"), F.lit("|"), F.array_join(F.transform(text, lambda p, i: page(i, p)), "\f")), 256)
 
 
 def block_summary(block: DataFrame, preview: int = 100) -> DataFrame:

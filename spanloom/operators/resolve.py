@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.functions.values import ENTITIES, entity_rank
+from spanloom.functions.values import ENTITIES, entity_rank, stripped
 
 ORIGINS = ("manual", "custom", "auto")
 TIE_BREAK = ("origin", "contain", "length", "position", "entity")
@@ -51,6 +51,11 @@ def components(found: DataFrame, overlap: str = "overlap", entities: str = "any"
         cut = found.withColumn("new", F.coalesce((F.col("gstart") > reach).cast("int"), F.lit(1)))
         island = cut.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
         return island.withColumn("comp", F.min("seq").over(W.partitionBy("doc_id", "island"))).drop("new", "island")
+    return labelled(found, edges(found, overlap, entities))
+
+
+def labelled(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found with comp, the smallest seq that links (doc_id, i, j) join each row to; a document's links meet in one task."""
     kind = found.schema["doc_id"].dataType.simpleString()
 
     def label(frame: pd.DataFrame) -> pd.DataFrame:
@@ -67,8 +72,8 @@ def components(found: DataFrame, overlap: str = "overlap", entities: str = "any"
             root[max(a, b)] = min(a, b)
         return pd.DataFrame({"doc_id": frame["doc_id"].iloc[0], "seq": list(root), "comp": [find(x) for x in root]})
 
-    labelled = edges(found, overlap, entities).groupBy("doc_id").applyInPandas(label, f"doc_id {kind}, seq bigint, comp bigint")
-    return found.join(labelled, ["doc_id", "seq"], "left").withColumn("comp", F.coalesce("comp", F.col("seq").cast("long")))
+    named = links.groupBy("doc_id").applyInPandas(label, f"doc_id {kind}, seq bigint, comp bigint")
+    return found.join(named, ["doc_id", "seq"], "left").withColumn("comp", F.coalesce("comp", F.col("seq").cast("long")))
 
 
 def with_containment(found: DataFrame) -> DataFrame:
@@ -84,6 +89,7 @@ def winners(found: DataFrame, tie_break=TIE_BREAK, origins=ORIGINS, entities=ENT
     """The best detection of each component, by the named keys in turn and the input order at last."""
     rows = with_containment(found) if "contain" in tie_break else found
     size = F.col("gend") - F.col("gstart") + 1
+    origins = [*origins, *(o for o in ORIGINS if o not in origins)]
     keys = {
         "origin": [entity_rank(F.col("origin"), origins)],
         "contain": [F.col("n_inside").desc(), F.col("n_around").asc()] if "contain" in tie_break else [],
@@ -96,8 +102,8 @@ def winners(found: DataFrame, tie_break=TIE_BREAK, origins=ORIGINS, entities=ENT
 
 
 def resolve(found: DataFrame, overlap: str = "overlap", entities: str = "any", **options) -> DataFrame:
-    """One detection a component, in the components' order."""
-    return winners(components(found, overlap, entities), **options).orderBy("doc_id", "comp")
+    """One detection a component; comp, the least seq of its component, gives the order for who wants one."""
+    return winners(components(found, overlap, entities), **options)
 
 
 def first_wins(found: DataFrame, *keys: str) -> DataFrame:
@@ -111,9 +117,29 @@ def auto_over_custom(found: DataFrame) -> DataFrame:
     return found.withColumn("a", has_auto).filter("NOT (a AND origin = 'custom')").drop("a")
 
 
+def span_key(entity: Column, start: Column, end: Column) -> Column:
+    """(entity, six whole numbers) of a detection; a number that can't be read is -1."""
+    whole = lambda p: [F.coalesce(p[c].cast("string").try_cast("int"), F.lit(-1)) for c in ("page_num", "block_num", "offset")]
+    return F.struct(F.coalesce(entity, F.lit("")).alias("entity"), *[x.alias(f"k{i}") for i, x in enumerate([*whole(start), *whole(end)])])
+
+
+def merged(*found: DataFrame) -> DataFrame:
+    """The lists one after another: rows with seq anew, those of an earlier list first."""
+    out = None
+    for k, rows in enumerate(found):
+        rows = rows.withColumn("turn", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy("turn", "seq")).cast("long")).drop("turn")
+
+
+def detect_input(read: DataFrame, panel: DataFrame) -> DataFrame:
+    """The panel's rows of documents that have some, what was read of the others."""
+    return panel.unionByName(read.join(panel.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
 def first_entities(found: DataFrame) -> DataFrame:
     """(doc_id, word, entity): the first entity of each word, OTHER where it has none; blank words are left out."""
-    rows = first_wins(found.withColumn("word", F.trim("word")).filter("word <> ''"), "doc_id", "word")
+    rows = first_wins(found.withColumn("word", stripped(F.col("word"))).filter("word <> ''"), "doc_id", "word")
     return rows.select("doc_id", "word", F.coalesce(F.nullif("entity", F.lit("")), F.lit("OTHER")).alias("entity"))
 
 

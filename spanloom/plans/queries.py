@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import geometry as G
@@ -36,7 +37,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Detected spans, duplicates resolved, by language and entity."""
     docs = _table(spark, d, "documents")
     found = detect.recognise(docs, SHAPES)
-    rows = found.select("doc_id", F.col("start").cast("long").alias("seq"), "entity", F.col("start").alias("gstart"), (F.col("end") - 1).alias("gend"), "word", "origin")
+    seq = F.row_number().over(W.partitionBy("doc_id").orderBy("prio", "start")).cast("long")
+    rows = found.select("doc_id", seq.alias("seq"), "entity", F.col("start").alias("gstart"), (F.col("end") - 1).alias("gend"), "word", "origin")
     best = resolve.winners(resolve.components(rows))
     return best.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "entity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
@@ -106,29 +108,30 @@ def phone_numbers(spark: SparkSession, d: str) -> DataFrame:
 def _rects(spark: SparkSession, d: str) -> DataFrame:
     x, y = F.col("p_partkey") * 37 % 500, F.col("p_partkey") * 53 % 700
     cast = [v.cast("double").alias(n) for v, n in ((x, "x0"), (y, "y0"), (x + F.col("p_size"), "x1"), (y + F.col("p_size") % 13 + 4, "y1"))]
-    return _table(spark, d, "part").select(F.col("p_partkey").alias("idx"), (F.col("p_partkey") % 4).alias("page_num"), *cast)
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("idx"), (F.col("p_partkey") % 3).alias("doc_id"), (F.col("p_partkey") % 4).alias("page_num"), *cast)
 
 
 def rect_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Intersecting pairs on a page, through 50-point cells, and how many contain each other."""
     r = _rects(spark, d).withColumn("r", G.rect("x0", "y0", "x1", "y1"))
-    cells = r.select("page_num", "idx", "r", F.explode(G.grid_cells(F.col("r"))).alias("g")).select("page_num", "idx", "r", "g.gx", "g.gy")
-    other = cells.select("page_num", "gx", "gy", F.col("idx").alias("jdx"), F.col("r").alias("q"))
-    pairs = cells.join(other, ["page_num", "gx", "gy"]).filter(F.col("idx") < F.col("jdx")).filter(G.intersects(F.col("r"), F.col("q")))
+    cells = r.select("doc_id", "page_num", "idx", "r", F.explode(G.grid_cells(F.col("r"))).alias("g")).select("doc_id", "page_num", "idx", "r", "g.gx", "g.gy")
+    other = cells.select("doc_id", "page_num", "gx", "gy", F.col("idx").alias("jdx"), F.col("r").alias("q"))
+    pairs = cells.join(other, ["doc_id", "page_num", "gx", "gy"]).filter(F.col("idx") < F.col("jdx")).filter(G.intersects(F.col("r"), F.col("q")))
     pairs = pairs.select("page_num", "idx", "jdx", (G.contains(F.col("r"), F.col("q")) | G.contains(F.col("q"), F.col("r"))).alias("c")).distinct()
     return pairs.groupBy("page_num").agg(F.count("*").alias("n"), F.count_if("c").alias("n_contain"))
 
 
 def points_to_chars(spark: SparkSession, d: str) -> DataFrame:
     """The nearest rectangle within 30 points of each supplier's point."""
-    points = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("pid"), (F.col("s_suppkey") % 4).alias("page_num"), (F.col("s_suppkey") * 61 % 500).cast("double").alias("x"), (F.col("s_suppkey") * 97 % 700).cast("double").alias("y"))
+    points = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("pid"), (F.col("s_suppkey") % 3).alias("doc_id"), (F.col("s_suppkey") % 4).alias("page_num"), (F.col("s_suppkey") * 61 % 500).cast("double").alias("x"), (F.col("s_suppkey") * 97 % 700).cast("double").alias("y"))
     return layout.nearest_char(points, _rects(spark, d), 30.0)
 
 
 def scoped_replace(spark: SparkSession, d: str) -> DataFrame:
     o = _table(spark, d, "orders")
     rows = lambda tag: o.select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 5).alias("page_num"), "o_orderkey", F.lit(tag).alias("run"))
-    pages = _table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 5).alias("page_num"))
+    # What is replaced: a page of each customer of one market segment.
+    pages = _table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 5).alias("page_num"))
     return resolve.scoped_replace(rows("old"), rows("new"), pages).groupBy("page_num", "run").agg(F.count("*").alias("n"))
 
 
@@ -169,11 +172,28 @@ _ISLANDS = f"""SELECT *, min(seq) OVER (PARTITION BY doc_id, island) AS comp FRO
  (SELECT *, coalesce((gstart > max(gend) OVER (PARTITION BY doc_id ORDER BY gstart, gend, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS new FROM ({_IV})))"""
 _PAIR = f"SELECT a.doc_id, a.seq AS i, b.seq AS j FROM ({_IV}) a JOIN ({_IV}) b ON a.doc_id = b.doc_id AND a.seq < b.seq"
 _OVER, _CONT = "a.gstart <= b.gend AND b.gstart <= a.gend", "((a.gstart <= b.gstart AND b.gend <= a.gend) OR (b.gstart <= a.gstart AND a.gend <= b.gend))"
-_RECTS = "SELECT p_partkey AS idx, p_partkey % 4 AS page_num, (p_partkey * 37 % 500)::DOUBLE AS x0, (p_partkey * 53 % 700)::DOUBLE AS y0, (p_partkey * 37 % 500 + p_size)::DOUBLE AS x1, (p_partkey * 53 % 700 + p_size % 13 + 4)::DOUBLE AS y1 FROM part"
+_RECTS = "SELECT p_partkey AS idx, p_partkey % 3 AS doc_id, p_partkey % 4 AS page_num, (p_partkey * 37 % 500)::DOUBLE AS x0, (p_partkey * 53 % 700)::DOUBLE AS y0, (p_partkey * 37 % 500 + p_size)::DOUBLE AS x1, (p_partkey * 53 % 700 + p_size % 13 + 4)::DOUBLE AS y1 FROM part"
 _HITS = " UNION ALL ".join(f"SELECT doc_id, '{e}' AS entity, unnest(regexp_extract_all(coalesce(text, ''), '{p}')) AS word FROM documents" for e, p in SHAPES.items())
 _DIGIT = "(SELECT sum(substr(reverse(substr(number, 1, 11)), k + 1, 1)::INT * (CASE WHEN k < 6 THEN k + 2 ELSE k - 4 END)) % 11 FROM range(11) r(k))"
 
+# Positions by the gaps between matches, as DuckDB tells none: the k-th match starts behind k gaps and k - 1 matches.
+_PLACED = " UNION ALL ".join(
+    f"""SELECT doc_id, lang, {k} AS prio, '{e}' AS entity, m[i] AS word, (length(array_to_string(list_slice(g, 1, i), '')) + coalesce(length(array_to_string(list_slice(m, 1, i - 1), '')), 0))::BIGINT AS gstart
+ FROM (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '{p}') AS m, string_split_regex(coalesce(text, ''), '{p}') AS g FROM documents), range(1, len(m) + 1) r(i)"""
+    for k, (e, p) in enumerate(SHAPES.items())
+)
+_FLAGSHIP = f"""WITH f AS (SELECT *, gstart + length(word) - 1 AS gend, row_number() OVER (PARTITION BY doc_id ORDER BY prio, gstart) AS seq FROM ({_PLACED})),
+ n AS (SELECT *, coalesce((gstart > max(gend) OVER (PARTITION BY doc_id ORDER BY gstart, gend, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS new FROM f),
+ c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY gstart, gend, seq ROWS UNBOUNDED PRECEDING) AS comp FROM n),
+ m AS (SELECT a.doc_id, a.seq, count_if(a.gstart <= b.gstart AND b.gend <= a.gend) AS n_in, count_if(b.gstart <= a.gstart AND a.gend <= b.gend) AS n_out FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.comp = b.comp AND a.seq <> b.seq GROUP BY ALL),
+ w AS (SELECT * FROM c LEFT JOIN m USING (doc_id, seq) QUALIFY row_number() OVER (PARTITION BY doc_id, comp ORDER BY coalesce(n_in, 0) DESC, coalesce(n_out, 0), gend - gstart DESC, gstart, seq) = 1)
+ SELECT lang, entity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY ALL"""
+
 SQL = {
+    "flagship": _FLAGSHIP,
+    "contain_components": f"""WITH RECURSIVE e AS ({_PAIR} AND {_CONT} AND (a.entity = b.entity OR 'PROPER_NOUN' IN (a.entity, b.entity))), l AS (SELECT doc_id, i, j FROM e UNION ALL SELECT doc_id, j, i FROM e),
+ reach(doc_id, seq, near) AS (SELECT doc_id, seq, seq FROM ({_IV}) UNION SELECT r.doc_id, r.seq, l.j FROM reach r JOIN l ON l.doc_id = r.doc_id AND l.i = r.near)
+ SELECT doc_id, comp, count(*) AS n FROM ({_IV}) JOIN (SELECT doc_id, seq, min(near) AS comp FROM reach GROUP BY ALL) USING (doc_id, seq) GROUP BY ALL""",
     "flat_text": f"SELECT doc_id, length(array_to_string(b, ''))::BIGINT AS n_chars, sha256(array_to_string(b, '')) AS sha256 FROM ({_LINES})",
     "block_starts": f"SELECT doc_id, i // 8 AS page_num, i % 8 AS block_num, length(t)::BIGINT AS block_len, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS block_start FROM ({_BLOCKS})",
     "middle_position": f"SELECT doc_id, i // 8 AS page_num, i % 8 AS block_num, (total // 2 - s)::BIGINT AS \"offset\" FROM (SELECT doc_id, i, length(t) AS n, (sum(length(t)) OVER (PARTITION BY doc_id))::BIGINT AS total, (sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) - length(t))::BIGINT AS s FROM ({_BLOCKS})) WHERE total // 2 >= s AND total // 2 < s + n",
@@ -191,9 +211,9 @@ SQL = {
     "first_wins": f"SELECT doc_id, min(seq) AS seq, entity, gstart FROM ({_IV}) GROUP BY doc_id, entity, gstart",
     "individual_numbers": f"SELECT o_orderkey, number, (length(replace(number, substr(number, 1, 1), '')) > 0 AND check_digit = substr(number, 12, 1)::INT) AS valid, check_digit FROM (SELECT *, (CASE WHEN r <= 1 THEN 0 ELSE 11 - r END)::BIGINT AS check_digit FROM (SELECT *, {_DIGIT} AS r FROM (SELECT o_orderkey, lpad((o_orderkey * 7919 + o_custkey * 104729)::VARCHAR, 12, '1') AS number FROM orders)))",
     "phone_numbers": "SELECT c_custkey, (length(p) IN (10, 11) AND length(replace(p, substr(p, 1, 1), '')) > 0 AND regexp_matches(p, '^0([5789]0[0-9]{8}|120[0-9]{6}|800[0-9]{7}|[1-9][0-9]{8})$')) AS valid FROM (SELECT c_custkey, '0' || lpad((c_custkey * 7919)::VARCHAR, 9, '3') AS p FROM customer)",
-    "rect_pairs": f"SELECT page_num, count(*) AS n, count_if((x0 - .01 <= u0 AND y0 - .01 <= v0 AND x1 + .01 >= u1 AND y1 + .01 >= v1) OR (u0 - .01 <= x0 AND v0 - .01 <= y0 AND u1 + .01 >= x1 AND v1 + .01 >= y1))::BIGINT AS n_contain FROM ({_RECTS}) a JOIN (SELECT idx AS jdx, page_num AS q, x0 AS u0, y0 AS v0, x1 AS u1, y1 AS v1 FROM ({_RECTS})) b ON page_num = q AND idx < jdx AND least(x1, u1) > greatest(x0, u0) AND least(y1, v1) > greatest(y0, v0) GROUP BY page_num",
-    "points_to_chars": f"WITH p AS (SELECT s_suppkey AS pid, s_suppkey % 4 AS pg, (s_suppkey * 61 % 500)::DOUBLE AS x, (s_suppkey * 97 % 700)::DOUBLE AS y FROM supplier), d AS (SELECT pid, idx, pow(greatest(x0 - x, 0, x - x1), 2) + pow(greatest(y0 - y, 0, y - y1), 2) AS d FROM p JOIN ({_RECTS}) ON pg = page_num) SELECT pid, idx FROM d WHERE d <= 900 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d, idx) = 1",
-    "scoped_replace": "SELECT o_orderkey % 5 AS page_num, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 5 = o_custkey % 5 AND o_custkey IN (SELECT c_custkey FROM customer) THEN 'new' ELSE 'old' END AS run, count(*) AS n FROM orders GROUP BY ALL",
+    "rect_pairs": f"SELECT page_num, count(*) AS n, count_if((x0 - .01 <= u0 AND y0 - .01 <= v0 AND x1 + .01 >= u1 AND y1 + .01 >= v1) OR (u0 - .01 <= x0 AND v0 - .01 <= y0 AND u1 + .01 >= x1 AND v1 + .01 >= y1))::BIGINT AS n_contain FROM ({_RECTS}) a JOIN (SELECT idx AS jdx, page_num AS q, doc_id AS qd, x0 AS u0, y0 AS v0, x1 AS u1, y1 AS v1 FROM ({_RECTS})) b ON page_num = q AND doc_id = qd AND idx < jdx AND least(x1, u1) > greatest(x0, u0) AND least(y1, v1) > greatest(y0, v0) GROUP BY page_num",
+    "points_to_chars": f"WITH p AS (SELECT s_suppkey AS pid, s_suppkey % 3 AS pd, s_suppkey % 4 AS pg, (s_suppkey * 61 % 500)::DOUBLE AS x, (s_suppkey * 97 % 700)::DOUBLE AS y FROM supplier), d AS (SELECT pid, idx, pow(greatest(x0 - x, 0, x - x1), 2) + pow(greatest(y0 - y, 0, y - y1), 2) AS d FROM p JOIN ({_RECTS}) ON pg = page_num AND pd = doc_id) SELECT pid, idx FROM d WHERE d <= 900 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d, idx) = 1",
+    "scoped_replace": "SELECT o_orderkey % 5 AS page_num, CASE WHEN o_orderkey % 5 = o_custkey % 5 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'new' ELSE 'old' END AS run, count(*) AS n FROM orders GROUP BY ALL",
     "annotation_report": "SELECT event_type AS annotation_type, user_id % 7 AS page_number, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 7), ())",
     "colours": "SELECT c_custkey, round((v // 65536) / 255, 6) AS r, round((v // 256 % 256) / 255, 6) AS g, round((v % 256) / 255, 6) AS b FROM (SELECT c_custkey, c_custkey * 7919 % 16777216 AS v FROM customer)",
     "redacted": f"SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{SHAPES['HEX']}', '', 'g')) AS sha256 FROM documents",

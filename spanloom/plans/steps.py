@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from spanloom.operators import detect, resolve
 
@@ -16,19 +18,36 @@ def read_step(state: State, options: dict) -> State:
 
 
 def detect_step(state: State, options: dict) -> State:
-    found = detect.refine(detect.recognise(state["docs"], options.get("patterns", detect.PATTERNS)))
-    added = detect.greedy(detect.recognise(state["docs"], detect.compile_patterns(options.get("add", [])), "custom")) if options.get("add") else None
-    if added is not None:
+    """options: patterns, add, exclude, excluded_words (substrings, searches, exact), pages' chunks (delimiter, max_chars), predetected.
+
+    Built-in patterns report whole matches, added ones what they capture; added spans displace built-in ones.  Rows that
+    were detected before stay, and the first of rows with one entity and span wins.
+    """
+    found = detect.refine(detect.chunked(state["docs"], options.get("patterns", detect.PATTERNS), **options.get("chunks", {})))
+    if good := detect.compile_patterns(options.get("add", [])):
+        added = detect.added(state["docs"], good)
         found = detect.without_overlaps(found, added).unionByName(added)
-    return state | {"found": detect.omit(found, state["docs"], options.get("exclude", []))}
+    if words := options.get("excluded_words"):
+        found = found.filter(~detect.excluded(F.col("word"), **words))
+    found = numbered(detect.omit(found, state["docs"], options.get("exclude", [])))
+    if options.get("predetected", True) and "found" in state:
+        found = resolve.first_wins(resolve.merged(numbered(state["found"]), found), "doc_id", "entity", "start", "end")
+    return state | {"found": found}
 
 
-def duplicate_step(state: State, options: dict) -> State:
-    from pyspark.sql import functions as F
+def numbered(found: DataFrame) -> DataFrame:
+    """found with seq, its place in the document: by seq if it has one, else by prio, start and origin."""
+    if "seq" in found.columns:
+        return found.select("doc_id", "seq", "entity", "start", "end", "word", "origin")
+    order = [c for c in ("start", "prio", "end", "entity", "origin", "word") if c in found.columns]
+    rows = found.withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy(*order)).cast("long"))
+    return rows.select("doc_id", "seq", "entity", "start", "end", "word", "origin")
+
 
-    rows = state["found"].select("doc_id", F.xxhash64("entity", "start", "end").alias("seq"), "entity", F.col("start").alias("gstart"), (F.col("end") - 1).alias("gend"), "word", "origin")
+def duplicate_step(state: State, options: dict) -> State:
+    rows = numbered(state["found"]).select("doc_id", "seq", "entity", F.col("start").alias("gstart"), (F.col("end") - 1).alias("gend"), "word", "origin")
     best = resolve.resolve(rows, options.get("overlap", "overlap"), options.get("entities", "any"))
-    return state | {"found": best.select("doc_id", "entity", F.col("gstart").alias("start"), (F.col("gend") + 1).alias("end"), "word", "origin")}
+    return state | {"found": best.select("doc_id", F.col("comp").alias("seq"), "entity", F.col("gstart").alias("start"), (F.col("gend") + 1).alias("end"), "word", "origin")}
 
 
 def mask_step(state: State, options: dict) -> State:

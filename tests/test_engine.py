@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import geometry as G
 from spanloom.functions import values as V
 from spanloom.operators import detect, layout, offsets, resolve
+from spanloom.plans import more, more_sql
 from spanloom.plans import queries as plans
 from spanloom.plans import steps
 
@@ -26,17 +27,20 @@ def as_text(rows):
     return sorted(tuple("" if v is None else repr(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(plans.SQL))
+ALL, SQL = plans.QUERIES | more.QUERIES, plans.SQL | more_sql.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, sql, name):
-    out = plans.QUERIES[name](spark, SF)
+    out = ALL[name](spark, SF)
     columns = sorted(out.columns)
-    want = sql.sql(f'SELECT {", ".join(chr(34) + c + chr(34) for c in columns)} FROM ({plans.SQL[name]})').fetchall()
+    want = sql.sql(f'SELECT {", ".join(chr(34) + c + chr(34) for c in columns)} FROM ({SQL[name]})').fetchall()
     assert as_text(out.select(*columns).collect()) == as_text(want)
 
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
-    assert set(plans.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(ALL) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def one(spark, expression):
