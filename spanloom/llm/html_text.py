@@ -23,7 +23,7 @@ from spanloom.llm.common import read, ship
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_SHOWN = frozenset("head title meta link base script style template noscript datalist area param source track iframe object audio video canvas".split())
+NEVER_SHOWN = frozenset("head title meta link base script style template noscript datalist area param source track iframe object audio video canvas rp".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 RAW_WITH_ENTITIES = frozenset("title textarea".split())
 BLOCKS = frozenset(
@@ -71,6 +71,13 @@ _SKIPPED = re.compile(r"(/\*.*?(?:\*/|\Z)|<!--|-->)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[
 _BRACE = re.compile(r"[;{}]")
 _FEATURE = re.compile(r"\((min|max)-(width|height)\s*:\s*(\d*\.?\d+)(px|em|rem)\)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+#: Parts of a selector: combinator, then simple selectors of one element.  Strings are gone by then, so quoted values aren't known.
+_COMBINED = re.compile(r"\s*([>\s])\s*")
+_SIMPLE = re.compile(r"([.#]?)([\w-]+|\*)|\[\s*([\w-]+)\s*(?:=\s*([\w-]+)\s*)?\]")
+#: Buttons whose text is their value, and what stands there without one.
+BUTTONS = {"submit": "Submit", "reset": "Reset", "button": ""}
+#: Widest line of a cell that its column is padded to; wider ones stand out, so that a table takes no more than its cells times this.
+WIDEST = 120
 
 
 class Node:
@@ -259,38 +266,106 @@ def _rules(css: str, known: bool) -> Iterator[tuple[str, str, bool]]:
             opened[-1:] = []
 
 
-def _sheet(root: Node) -> dict[str, dict[str, str]]:
-    """Selector -> display and visibility, for selectors of one tag, class or id."""
-    out: dict[str, dict[str, str]] = {}
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node.tag == "style":
-            whole = _applies(node.attributes["media"]) if node.attributes.get("media", "").strip() else True
-            css = "".join(c for c in node.children if isinstance(c, str))
-            for selectors, body, known in _rules(css, whole is True) if whole is not False else ():
-                for name in ("display", "visibility"):
-                    if (value := _declared(body, name)) is not None and (known or value not in ("none", "hidden", "collapse")):
-                        for selector in selectors.split(","):
-                            if re.fullmatch(r"[.#]?[\w-]+", s := selector.strip()):
-                                out.setdefault(s if s[0] in ".#" else s.lower(), {})[name] = value
+def _selector(text: str) -> list[tuple[str, list[tuple[str, str, str | None]]]] | None:
+    """(combinator, simple selectors) from the element outwards; None for what isn't known (pseudo-classes, siblings)."""
+    parts = _COMBINED.split(text.strip())
+    out = []
+    for combinator, compound in zip(["", *parts[1::2]], parts[::2]):
+        simple, at = [], 0
+        while at < len(compound):
+            m = _SIMPLE.match(compound, at)
+            if not m or (m[1] == "" and m[2] and at):
+                return None
+            simple.append((m[1] or ("[" if m[3] else "t"), (m[2] if m[1] else (m[2] or m[3]).lower()), m[4]))
+            at = m.end()
+        if not simple:
+            return None
+        out.append((combinator, simple))
+    return out[::-1]
+
+
+def _fits(node: Node, simple: list[tuple[str, str, str | None]]) -> bool:
+    for kind, name, value in simple:
+        if kind == "t":
+            good = name in ("*", node.tag)
+        elif kind == ".":
+            good = name in node.attributes.get("class", "").split()
+        elif kind == "#":
+            good = node.attributes.get("id") == name
         else:
-            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-    return out
+            good = name in node.attributes and (value is None or node.attributes[name] == value)
+        if not good:
+            return False
+    return True
+
+
+class _Sheet:
+    """A page's rules for display and visibility, by a name that the element itself must have."""
+
+    def __init__(self, root: Node):
+        self.rules: dict[str, list[tuple]] = {}
+        self.parent: dict[int, Node] = {}
+        self.deep, count, todo = False, 0, [root]
+        while todo:
+            node = todo.pop()
+            if node.tag == "style":
+                whole = _applies(node.attributes["media"]) if node.attributes.get("media", "").strip() else True
+                css = "".join(c for c in node.children if isinstance(c, str))
+                for selectors, body, known in _rules(css, whole is True) if whole is not False else ():
+                    for name in ("display", "visibility"):
+                        if (value := _declared(body, name)) is not None and (known or value not in ("none", "hidden", "collapse")):
+                            for one in selectors.split(","):
+                                if found := _selector(one):
+                                    count += 1
+                                    self._add(found, name, value, count)
+            else:
+                todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        if self.deep:
+            todo = [root]
+            while todo:
+                node = todo.pop()
+                for c in node.children:
+                    if isinstance(c, Node):
+                        self.parent[id(c)] = node
+                        todo.append(c)
+
+    def _add(self, found: list, name: str, value: str, order: int) -> None:
+        kinds = [k for _, simple in found for k, n, _ in simple if n != "*"]
+        weight = (kinds.count("#"), kinds.count(".") + kinds.count("["), kinds.count("t"), order)
+        last = found[0][1]
+        key = next((k + n for want in "#.t" for k, n, _ in last if k == want and n != "*"), "*")
+        self.rules.setdefault(key, []).append((weight, name, value, found))
+        self.deep = self.deep or len(found) > 1
+
+    def _matches(self, node: Node, found: list) -> bool:
+        if not _fits(node, found[0][1]):
+            return False
+        if len(found) == 1:
+            return True
+        near, rest = found[0][0] == ">", found[1:]
+        outer = self.parent.get(id(node))
+        while outer is not None:
+            if self._matches(outer, rest):
+                return True
+            if near:
+                return False
+            outer = self.parent.get(id(outer))
+        return False
+
+    def value(self, node: Node, name: str) -> str | None:
+        keys = ["*", "t" + node.tag, *("." + c for c in node.attributes.get("class", "").split()), "#" + node.attributes.get("id", "")]
+        hits = [r for k in keys for r in self.rules.get(k, ()) if r[1] == name and self._matches(node, r[3])]
+        return max(hits, key=lambda r: r[0])[2] if hits else None
 
 
 class _Seen:
     """Visibility of elements under one page's rules."""
 
     def __init__(self, root: Node):
-        self.sheet = _sheet(root)
+        self.sheet = _Sheet(root)
 
     def style(self, node: Node, name: str) -> str | None:
-        found = None
-        if self.sheet:
-            keys = [node.tag, *("." + c for c in node.attributes.get("class", "").split()), "#" + node.attributes.get("id", "")]
-            for key in keys:
-                found = self.sheet.get(key, {}).get(name, found)
+        found = self.sheet.value(node, name) if self.sheet.rules else None
         if "style" in node.attributes:
             found = _declared(node.attributes["style"], name) or found
         return found
@@ -300,6 +375,8 @@ class _Seen:
             return False
         if node.tag == "input" and node.attributes.get("type", "").lower() == "hidden":
             return False
+        if node.tag == "dialog" and "open" not in node.attributes:
+            return self.style(node, "display") not in (None, "none")
         return self.style(node, "display") != "none"
 
     def visible(self, node: Node, inherited: bool) -> bool:
@@ -370,8 +447,15 @@ def _cells(table: Node, seen: _Seen) -> Iterator[tuple[str, Node]]:
             yield "caption", holder
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    """A cell's columns or rows, as many as browsers allow; 1 where none are given."""
+    value = cell.attributes.get(name, "1").strip()
+    return max(1, min(int(value), most)) if value.isascii() and value.isdigit() and len(value) < 10 else 1
+
+
 def _table(table: Node, seen: _Seen, visible: bool, out: _Lines) -> None:
     rows: list[list[list[str]]] = []
+    below: dict[int, int] = {}  # columns that cells of earlier rows reach into, and for how many more rows
     for kind, node in _cells(table, seen):
         inner = seen.visible(node, visible)
         if kind == "caption":
@@ -382,18 +466,31 @@ def _table(table: Node, seen: _Seen, visible: bool, out: _Lines) -> None:
                 out.block(False)
             continue
         row: list[list[str]] = []
+        taken, below = below, {i: n - 1 for i, n in below.items() if n > 1}
+
+        def put(lines: list[str], down: int = 1) -> None:
+            while len(row) in taken:
+                row.append([""])
+            if down > 1:
+                below[len(row)] = down - 1
+            row.append(lines)
+
         for cell in node.children:
             if isinstance(cell, Node) and seen.displayed(cell):
                 lines = _Lines()
                 _render(cell, seen, seen.visible(cell, inner), lines, 0)
-                row.append(lines.done() or [""])
-                span = cell.attributes.get("colspan", "1")
-                row += [[""]] * (min(int(span), 1000) - 1 if span.isdigit() else 0)
+                down = _span(cell, "rowspan", 65_534)
+                put(lines.done() or [""], down)
+                for _ in range(_span(cell, "colspan", 1000) - 1):
+                    put([""], down)
             elif isinstance(cell, str) and cell.strip(" \t\n\r\f"):
-                row.append([_SPACE.sub(" ", cell).strip(" ")] if inner else [""])
+                put([_SPACE.sub(" ", cell).strip(" ")] if inner else [""])
         if row:
             rows.append(row)
-    widths = [max((len(line) for r in rows if i < len(r) for line in r[i]), default=0) for i in range(max(map(len, rows), default=0))]
+    widths = [0] * max(map(len, rows), default=0)
+    for row in rows:
+        for i, cell in enumerate(row):
+            widths[i] = max(widths[i], *(len(line) for line in cell if len(line) <= WIDEST), 0)
     for row in rows:
         for k in range(max(map(len, row))):
             line = " | ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row))
@@ -443,6 +540,12 @@ def _render(node: Node, seen: _Seen, visible: bool, out: _Lines, depth: int, kee
             for i, line in enumerate(lines.done()):
                 out.write(((mark if i == 0 else " " * len(mark)) + line) if line else " ", True)
                 out.block(False)
+        elif tag == "details" and "open" not in child.attributes:
+            summary = next((c for c in child.children if isinstance(c, Node) and c.tag == "summary" and seen.displayed(c)), None)
+            out.block(False)
+            if summary:
+                _render(summary, seen, seen.visible(summary, shown), out, depth, keep)
+            out.block(False)
         elif tag in BLOCKS or tag in ("td", "th"):
             spaced = tag in SPACED and not (depth and tag in _LIST)
             out.block(spaced)
@@ -457,6 +560,10 @@ def _render(node: Node, seen: _Seen, visible: bool, out: _Lines, depth: int, kee
             continue
         elif tag == "img":
             continue
+        elif tag == "input":
+            kind = child.attributes.get("type", "").strip().lower()
+            if shown and kind in BUTTONS:
+                out.write(" " + child.attributes.get("value", BUTTONS[kind]) + " ", keep)
         else:
             if tag in ("mtr", "select"):
                 out.block(False)

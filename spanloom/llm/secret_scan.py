@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import read
+from spanloom.operators.detect import let, running_spans
 
 # The three base patterns, in the order in which equal starts are listed.
 ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
@@ -87,46 +88,57 @@ def log_ratios(samples: list[tuple[str, int]] | None = None) -> list[list[int]]:
     return [[ratio(a, b) for b in ALPHABET] for a in ALPHABET]
 
 
-def evidence(token: Column) -> Column:
-    """A token's log-likelihood ratios in quarter nats, step by step; the token holds characters of ALPHABET only."""
-    table = F.array(*[F.lit("".join(chr(_ZERO + x) for x in row)) for row in log_ratios()])
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, 1))
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.ascii(F.substring(F.element_at(table, at(i)), at(i + 1), 1)) - _ZERO)
-
-
 def random_parts(token: Column) -> Column:
     """Array of (a, b), the token's random parts: all of it if its whole evidence suffices, else each stretch whose own does.
 
     A stretch ends where its evidence is used up or has fallen by EVIDENCE; it is widened to the next / and = around it, or
-    gives up the end of a part that lies outside it for the most.
+    gives up the end of a part that lies outside it for the most.  The token, whose characters are all of ALPHABET, is
+    turned into codes once, and every place is looked up by index: the time is linear in its length.
     """
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("now"), F.lit(0).alias("a"), F.lit(0).alias("best"), F.lit(0).alias("b"), empty.alias("found"))
+    table = F.array(*[F.lit("".join(chr(_ZERO + x) for x in row)) for row in log_ratios()])
+    ends_part = lambda c: c.isin(*[ALPHABET.index(x) + 1 for x in "/="])
+    empty = F.array().cast("array<struct<a:int,b:int,ca:int,cb:int>>")
 
-    def kept(acc: Column, best: Column, b: Column) -> Column:
-        return F.when((best >= EVIDENCE) & (b - acc["a"] >= STRETCH), F.concat(acc["found"], F.array(F.struct(acc["a"].alias("a"), b.alias("b"))))).otherwise(acc["found"])
+    def kept(acc: Column) -> Column:
+        found = F.struct(acc["a"].alias("a"), acc["b"].alias("b"), acc["ca"].alias("ca"), acc["cb"].alias("cb"))
+        return F.when((acc["best"] >= EVIDENCE) & (acc["b"] - acc["a"] >= STRETCH), F.concat(acc["found"], F.array(found))).otherwise(acc["found"])
 
     def step(acc: Column, x: Column) -> Column:
-        at, now = acc["at"] + 1, acc["now"] + x
-        ends = (now <= 0) | (now <= acc["best"] - EVIDENCE)
-        going = F.struct(at.alias("at"), now.alias("now"), acc["a"].alias("a"), F.greatest(acc["best"], now).alias("best"), F.when(now > acc["best"], at + 1).otherwise(acc["b"]).alias("b"), acc["found"].alias("found"))
-        return F.when(ends, F.struct(at.alias("at"), F.lit(0).alias("now"), at.alias("a"), F.lit(0).alias("best"), at.alias("b"), kept(acc, acc["best"], acc["b"]).alias("found"))).otherwise(going)
-
-    def widened(x: Column) -> Column:
-        before = F.regexp_extract(F.substring(token, F.lit(1), x["a"]), "[^/=]*$", 0)
-        rest, inner = F.substring(token, x["b"] + 1, F.length(token)), F.substring(token, x["a"] + 1, x["b"] - x["a"])
-        head, tail = F.length(F.regexp_extract(inner, "^[^/=]*[/=]", 0)), F.length(F.regexp_extract(inner, "[/=][^/=]*$", 0))
-        after = F.regexp_extract(rest, "^[^/=]*(?:=+$)?", 0)
-        a = F.when((head > 0) & (F.length(before) >= head), x["a"] + head).otherwise(x["a"] - F.length(before))
-        b = F.when((tail > 0) & (F.length(F.regexp_extract(rest, "^[^/=]*", 0)) >= tail), x["b"] - tail).otherwise(x["b"] + F.length(after))
+        """count: the / and = among the characters up to this step's first; ca and cb: those before a and b."""
+        at, now = acc["at"] + 1, acc["now"] + x["x"]
+        after = acc["count"] + x["c"]
+        ends, best = (now <= 0) | (now <= acc["best"] - EVIDENCE), now > acc["best"]
+        going = F.struct(at.alias("at"), now.alias("now"), after.alias("count"), acc["a"].alias("a"), acc["ca"].alias("ca"), F.greatest(acc["best"], now).alias("best"), F.when(best, at + 1).otherwise(acc["b"]).alias("b"), F.when(best, after).otherwise(acc["cb"]).alias("cb"), acc["found"].alias("found"))
+        anew = F.struct(at.alias("at"), F.lit(0).alias("now"), after.alias("count"), at.alias("a"), acc["count"].alias("ca"), F.lit(0).alias("best"), at.alias("b"), acc["count"].alias("cb"), kept(acc).alias("found"))
+        return F.when(ends, anew).otherwise(going)
+
+    def widened(x: Column, t: Column) -> Column:
+        cuts, n = t["cuts"], t["n"]
+        at = lambda i: F.get(cuts, i)
+        before = x["a"] - F.when(x["ca"] > 0, at(x["ca"] - 1) + 1).otherwise(0)
+        next_ = F.coalesce(at(x["cb"]), n)
+        head = F.when(at(x["ca"]) < x["b"], at(x["ca"]) - x["a"] + 1).otherwise(0)
+        tail = F.when((x["cb"] > 0) & (at(x["cb"] - 1) >= x["a"]), x["b"] - at(x["cb"] - 1)).otherwise(0)
+        a = F.when((head > 0) & (before >= head), x["a"] + head).otherwise(x["a"] - before)
+        b = F.when((tail > 0) & (next_ - x["b"] >= tail), x["b"] - tail).otherwise(F.when(next_ >= t["bare"], n).otherwise(next_))
         return F.struct(a.alias("a"), b.alias("b"))
 
-    def of(steps: Column) -> Column:
-        stretches = F.aggregate(steps, start, step, lambda acc: kept(acc, acc["best"], acc["b"]))
-        total = F.aggregate(steps, F.lit(0), lambda a, x: a + x)
-        return F.when(total >= EVIDENCE, F.array(F.struct(F.lit(0).alias("a"), F.length(token).alias("b")))).otherwise(F.array_distinct(F.transform(stretches, widened)))
+    def of(t: Column) -> Column:
+        first = F.when(ends_part(F.get(t["codes"], F.lit(0))), 1).otherwise(0)
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("now"), first.alias("count"), F.lit(0).alias("a"), F.lit(0).alias("ca"), F.lit(0).alias("best"), F.lit(0).alias("b"), F.lit(0).alias("cb"), empty.alias("found"))
+        stretches = F.aggregate(t["steps"], start, step, kept)
+        total = F.aggregate(t["steps"], F.lit(0), lambda a, x: a + x["x"])
+        whole = F.array(F.struct(F.lit(0).alias("a"), t["n"].alias("b")))
+        return F.when(total >= EVIDENCE, whole).otherwise(F.array_distinct(F.transform(stretches, lambda x: widened(x, t))))
+
+    def known(codes: Column) -> Column:
+        n = F.size(codes)
+        pair = lambda a, b: F.struct((F.ascii(F.substring(F.element_at(table, a), b, 1)) - _ZERO).alias("x"), F.when(ends_part(b), 1).otherwise(0).alias("c"))
+        cuts = F.filter(F.transform(codes, lambda c, i: F.when(ends_part(c), i)), lambda i: i.isNotNull())
+        steps = F.zip_with(F.slice(codes, 1, n - 1), F.slice(codes, 2, n - 1), pair)
+        return F.struct(codes.alias("codes"), n.alias("n"), steps.alias("steps"), cuts.alias("cuts"), F.length(F.regexp_replace(token, "=+$", "")).alias("bare"))
 
-    return F.element_at(F.transform(F.array(evidence(token)), of), 1)
+    return let(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c)), lambda codes: let(known(codes), of))
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None, parts=None) -> Column:
@@ -135,22 +147,31 @@ def _spans(text: Column, pattern: str, kind: str, keep=None, parts=None) -> Colu
     With parts(), of those parts of each match.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    rank = F.lit(KINDS.index(kind)).alias("rank")
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        rank = F.lit(KINDS.index(kind)).alias("rank")
+    def of(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        found = running_spans(F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit"))))
         if parts:
-            inner = F.transform(parts(x["hit"]), lambda p: F.struct((start + p["a"]).alias("start"), rank, (start + p["b"]).alias("end")))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], inner).alias("spans"))
-        span = F.struct(start.alias("start"), rank, end.alias("end"))
-        spans = F.concat(acc["spans"], F.array(span))
-        return F.struct(end.alias("at"), (F.when(keep(x["hit"]), spans).otherwise(acc["spans"]) if keep else spans).alias("spans"))
+            return F.flatten(F.transform(found, lambda x: F.transform(parts(x["text"]), lambda p: F.struct((x["start"] + p["a"]).alias("start"), rank, (x["start"] + p["b"]).alias("end")))))
+        good = F.filter(found, lambda x: keep(x["text"])) if keep else found
+        return F.transform(good, lambda x: F.struct(x["start"].alias("start"), rank, x["end"].alias("end")))
 
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    return let(hits, lambda h: F.when(F.size(h) > 0, of(h)).otherwise(empty))
+
+
+def _held(spans: Column, c: Column) -> Column:
+    """Whether one of the spans, which are in order and don't overlap, contains c: only the last that starts at c or before can."""
+    ends = F.struct(F.lit(-1).alias("lo"), F.size(spans).alias("hi"))
+
+    def halve(x: Column) -> Column:
+        mid = F.shiftright(x["lo"] + x["hi"], 1)
+        before = F.get(spans, mid)["start"] <= c["start"]
+        return F.when(x["hi"] - x["lo"] <= 1, x).otherwise(F.struct(F.when(before, mid).otherwise(x["lo"]).alias("lo"), F.when(before, x["hi"]).otherwise(mid).alias("hi")))
+
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(32)), ends, lambda x, _: halve(x), lambda x: x["lo"])
+    return (F.size(spans) > 0) & F.coalesce(F.get(spans, F.greatest(last, F.lit(0)))["start"] <= c["start"], F.lit(False)) & F.coalesce(F.get(spans, F.greatest(last, F.lit(0)))["end"] >= c["end"], F.lit(False))
 
 
 def _listed(spans: Column) -> Column:
@@ -175,8 +196,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         _spans(text, HEX, "hex").alias("hex"),
         _spans(text, TOKEN, "markov", parts=random_parts).alias("random"),
     )
-    base = F.concat("assign", "access", "hex")
-    apart = F.filter("random", lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
+    inside = lambda c: _held(F.col("assign"), c) | _held(F.col("access"), c) | _held(F.col("hex"), c)
+    apart = F.filter("random", lambda c: ~inside(c))
     return rows.select("doc_id", "assign", "access", "hex", apart.alias("markov"))
 
 

@@ -29,31 +29,34 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-# The labelled URL table, bad sites first.
-_BAD = (
-    "cheap-pills.test/buy casino-win.test/bonus free-bets.test/today adult-x.test/videos spam-farm.test/links ads-track.test/pixel "
-    "online-casino.test/slots best-pills-online.test/order hot-adult-cams.test/live poker-bonus.test/jackpot xxx-videos.test/free "
-    "track-ads.test/click link-farm.test/seo replica-watches.test/cheap sports-bets.test/odds slot-machine-win.test/spin "
-    "viagra-cheap.test/pharmacy adserver-track.test/banner spamlinks.test/farm sexcams-x.test/adult payday-loans-fast.test/apply "
-    "weight-loss-pills.test/offer bet-and-win.test/casino pharmacy-pills.test/discount click-track-ads.test/redirect blackjack-win.test/play "
-    "m.casino-win.test/en/12 blog.cheap-pills.test/en/7.html www.adult-x.test/de/55 m.ads-track.test/en/3?page=2 blog.free-bets.test/de/8 www.spam-farm.test/en/9"
+# Words of the labelled table's sites, by kind, and what their pages are called.  They are common words of
+# their kind; no site is taken from any data.
+_BAD_WORDS = (
+    "casino poker slots jackpot roulette blackjack betting bets bookie lottery bingo wager pills pharmacy viagra meds steroids slimming diet "
+    "adult porn xxx sex cams escort hookup nude payday loans replica fakes crack warez torrent keygen spam links backlinks adserver ads "
+    "tracker popunder clicks banner phishing giveaway prize win bonus cheap free hot live best"
 ).split()
-_GOOD = (
-    "library.test/books museum.test/exhibits news.test/world university.test/courses weather.test/today recipes.test/soup "
-    "blog.garden.test/en/12 m.travel.test/en/7.html www.history.test/de/55 m.music.test/en/3?page=2 blog.cooking.test/de/8 www.science.test/en/9 "
-    "docs.software.test/manual city.test/council school.test/lessons hospital.test/visiting theatre.test/programme railway.test/timetable "
-    "blog.winter.test/de/101 m.thether.test/en/2002.html www.tanderin.test/en/30003 tionsha.test/de/42 onthere.test/en/777#top erandst.test/en/61/ "
-    "bank.test/branches radio.test/schedule nature.test/birds astronomy.test/stars language.test/grammar chess.test/openings athletics.test/results painting.test/gallery"
+_GOOD_WORDS = (
+    "library museum university school college hospital theatre railway weather news radio garden travel history science music cooking "
+    "recipes books nature birds astronomy language grammar chess painting gallery council city village farm forest river mountain winter "
+    "software manual archive journal research health family kitchen bicycle camera photo poetry market bakery coffee design "
+    "letters stories sports football orchestra church castle island harbour bridge"
 ).split()
+_SUBDOMAINS, _ENDS = ("", "www.", "m.", "blog."), (".test", ".example", ".invalid", ".localhost")
+_BAD_PAGES, _GOOD_PAGES = ("/", "/offer", "/play", "/click", "/buy", "/join"), ("/", "/about", "/contact", "/articles", "/events", "/archive")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 if bad): each site of the table at two schemes' worth of paths."""
+    """(host, path, 1 if bad): sites of two words of one kind, joined or hyphenated, by rule; paths of either kind, and neutral ones in several languages."""
     out = []
-    for label, sites in ((1, _BAD), (0, _GOOD)):
-        for x in sites:
-            host, _, path = x.partition("/")
-            out.append((host, "/" + path.split("?")[0].split("#")[0], label))
+    for label, words, pages in ((1, _BAD_WORDS, _BAD_PAGES), (0, _GOOD_WORDS, _GOOD_PAGES)):
+        for i, word in enumerate(words):
+            for step in (5, 13, 29, 0):
+                chance = zlib.crc32(f"{word} {step}".encode())
+                pick = lambda listed, turn: listed[(chance >> turn) % len(listed)]  # noqa: B023, E731
+                site = (word + pick(("-", "-", ""), 3) + words[(i + step) % len(words)]) if step else word
+                path = pick(pages, 9) if step == 5 else f"/{pick(('en', 'de', 'fr', 'es'), 12)}/{chance % 5000}"
+                out.append((pick(_SUBDOMAINS, 15) + site + pick(_ENDS, 18), path, label))
     return out
 
 
@@ -68,8 +71,11 @@ def features(host: str, path: str) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def model() -> tuple[np.ndarray, float]:
+    return fitted(labelled_urls())
+
+
+def fitted(rows: list[tuple[str, str, int]]) -> tuple[np.ndarray, float]:
     """Weights and bias: full-batch gradient steps with a ridge penalty from zero, so the fit has no chance in it."""
-    rows = labelled_urls()
     x = np.zeros((len(rows), BUCKETS))
     for i, (host, path, _) in enumerate(rows):
         f = features(host, path)
@@ -109,7 +115,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """One row per input row: page_id, host, path, rule, verdict, score.
 
     A null url, or one without ``://``, has empty host and path and is judged by the regression like any other (its score
-    is that of two empty strings).  Repeated rows give a row each; an empty table gives none.
+    is that of two empty strings).  score is null where a rule decides, which Python then never sees.  Of rules that are
+    equally long the first listed counts.  Urls may be of any length; other columns play no part; repeated rows give a row
+    each; an empty table gives none.
     """
     weights, bias = model()
     ship(pages.sparkSession)
@@ -117,11 +125,13 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     @F.pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for hosts, paths in batches:
-            yield pd.Series([score(h, p, weights, bias) for h, p in zip(hosts, paths)], dtype=float)
+            yield pd.Series([None if h is None else score(h, p, weights, bias) for h, p in zip(hosts, paths)], dtype=float)
 
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = rows.withColumn("score", scored("host", "path")).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+    open_ = lambda c: F.when(F.col("found").isNull(), F.col(c))
+    rows = rows.withColumn("score", scored(open_("host"), open_("path")))
     by_model = F.when(F.col("score") >= BLOCK_FROM, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", by_model).alias("verdict"), "score")
 

@@ -306,6 +306,28 @@ def test_html_style_conditions():
     assert html_text.text_of(page.replace("{}", hide).replace("<style>", "<style media=print>")) == "menu\n\nside"
 
 
+def test_html_selectors_spans_and_closed_elements():
+    page = "<style>{}</style><div id=m class='a b'><p class=y>one<p>two</div><p class=y data-x=1>three"
+    text = lambda css: html_text.text_of(page.replace("{}", css)).split()
+    assert text("p.y{display:none}") == ["two"] and text("#m p{display:none}") == ["three"] and text("div > p.y{display:none}") == ["two", "three"]
+    assert text(".a.b .y{display:none}") == ["two", "three"] and text("[data-x]{display:none}") == text("p[data-x=1]{display:none}") == ["one", "two"] and text("*{visibility:hidden}") == []
+    assert text("p:hover{display:none}") == text("p + p{display:none}") == ["one", "two", "three"]
+    assert text("p{display:none} div p{display:block}") == ["one", "two"] and text("#m .y{display:block} p.y{display:none}") == ["one", "two"]
+    assert html_text.text_of("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td colspan=2>wide<td>e</table>") == "A    | b\n     | c\nwide |   | e"
+    assert html_text.text_of("<details><summary>S</summary>in</details><details open><summary>T</summary>out</details><dialog>no</dialog><dialog open>yes</dialog>") == "S\nT\nout\nyes"
+    assert html_text.text_of("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby> <input type=submit value='Go on'> <input type=text value=x>") == "漢kan Go on"
+    long = "<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 4000 + "</table>"
+    assert len(html_text.text_of(long)) < 10 * len(long)
+
+
+def test_html_table_of_pages(spark):
+    rows = [(1, None, "t"), (2, "", "t"), (3, "<p>same", "t"), (3, "<p>same", "t"), (None, "<b>x</b>", "t"), (4, "<p>" + "word " * 200_000, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = sorted((r["page_id"] or 0, r["n_chars"], r["text"][:5]) for r in html_text.extract(pages).collect())
+    assert got == [(0, 1, "x"), (1, 0, ""), (2, 0, ""), (3, 4, "same"), (3, 4, "same"), (4, 999_999, "word ")]
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_html_foreign_and_select():
     assert html_text.text_of("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><semantics><mn>7</mn><annotation>tex</annotation></semantics></math> b") == "a x=27 b"
     assert html_text.text_of("<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><g><text>bar <tspan>one</tspan></text><text>two</text></g></svg>end") == "bar one\ntwo\nend"
