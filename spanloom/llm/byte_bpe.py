@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import read, ship
+from spanloom.llm.common import give_back, read, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Texts in one call of the library, and code points: a batch ends at either, so memory follows the longest text alone.
@@ -162,7 +162,9 @@ def codec(description: str) -> Codec:
 def default_description(path: str | None = None, pattern: str | None = None) -> str:
     import public_tokenizers
 
-    return tokenizer_json(ranks(path or public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN)
+    out = tokenizer_json(ranks(path or public_tokenizers.path(VOCABULARY)), pattern or public_tokenizers.PATTERN)
+    give_back()
+    return out
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:

@@ -1,12 +1,14 @@
 """Helpers that the operators of this subpackage share.
 
 Lineage is cut with reliable checkpoints only.  Their folder is the one that the session names in
-``spark.checkpoint.dir``; a folder of our own is used only where that setting is absent (tests).
+``spark.checkpoint.dir``; a folder of our own is used only where that setting is absent and Spark runs on one machine
+(tests).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,7 +29,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master or ""):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-"))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -52,13 +57,20 @@ def ship(spark: SparkSession) -> None:
     context._spanloom_shipped = True
 
 
-def lower_ascii(column: Column) -> Column:
-    return F.translate(column, UPPER, LOWER)
+def give_back() -> None:
+    """Returns what a finished fit has freed to the system, where the C library can: the driver's process lives on."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
-def own(name: str) -> str:
-    """A working column's name, which no caller's column is expected to carry."""
-    return f"__spanloom_{name}"
+def lower_ascii(column: Column) -> Column:
+    return F.translate(column, UPPER, LOWER)
 
 
 def unused(columns: list[str], stem: str) -> str:
