@@ -123,13 +123,14 @@ class Machine:
             self.known.update(zip(some, values.tolist()))
 
     def features(self, found: set[str]) -> np.ndarray:
-        """The TOP largest margins and the words' number; missing words count as one without letters, whose margin is the bias."""
-        values = heapq.nlargest(TOP, map(self.known.__getitem__, found))
-        return np.array([*values, *[self.bias] * (TOP - len(values)), math.log1p(len(found))])
+        """The TOP largest margins, not a number where words are missing, and the words' number; no words count as one without letters."""
+        values = heapq.nlargest(TOP, map(self.known.__getitem__, found)) or [self.bias]
+        return np.array([*values, *[np.nan] * (TOP - len(values)), math.log1p(len(found))])
 
     def margin(self, found: set[str]) -> float:
         mean, spread, weights = self.text
-        return float(((self.features(found) - mean) / spread) @ weights)
+        z = (self.features(found) - mean) / spread
+        return float(np.where(np.isnan(z), 0.0, z) @ weights)  # what is missing tells nothing
 
     def score(self, margin: float) -> float:
         z = self.slope * (margin - self.middle) + math.log(TOXIC_FROM / (1 - TOXIC_FROM))
@@ -165,8 +166,11 @@ def fit_words(positive: list[str], negative: list[str], landmarks: list[str]) ->
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, deviation and weight of each feature, by Newton steps; the rarer label counts more, by the root of the odds."""
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.hstack([(x - mean) / spread, np.ones((len(x), 1))])
+    known = ~np.isnan(x)
+    count = np.maximum(1, known.sum(axis=0))
+    mean = np.where(known, x, 0.0).sum(axis=0) / count
+    spread = np.sqrt((np.where(known, x - mean, 0.0) ** 2).sum(axis=0) / count) + 1e-9
+    z = np.hstack([np.where(known, (x - mean) / spread, 0.0), np.ones((len(x), 1))])
     w, cost = np.zeros(z.shape[1]), np.where(y > 0, math.sqrt((y == 0).sum() / max(1, (y > 0).sum())), 1.0)
     keep = ridge * np.r_[np.ones(len(w) - 1), 1e-4]
     for _ in range(steps):
