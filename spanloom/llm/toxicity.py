@@ -130,6 +130,7 @@ class Machine:
     def margin(self, found: set[str]) -> float:
         mean, spread, weights = self.text
         z = (self.features(found) - mean) / spread
+        z[-1] = max(z[-1], -2.5)  # a very short text is no more suspect than a short one
         return float(np.where(np.isnan(z), 0.0, z) @ weights)  # what is missing tells nothing
 
     def score(self, margin: float) -> float:
@@ -226,8 +227,12 @@ def train(toxic: list[set[str]], clean: list[set[str]], rounds: int = 3) -> Mach
         found = Counter(max(t, key=lambda w: (machine.known[w], w)) for t in toxic if t)
         positive = list({*positive, *(w for w, n in found.items() if machine.known[w] > 0 and not in_clean[w])})
         positive += [w for w, n in in_toxic.items() if n > 1 and not in_clean[w] and machine.known[w] > 0.5 and w not in set(positive)]
-    rows = [machine.features(t) for t in [*toxic, *clean]]
-    machine.text = logistic(np.array(rows), np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+    rows = np.array([machine.features(t) for t in [*toxic, *clean]])
+    labels = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
+    machine.text = logistic(rows, labels)
+    if machine.text[2][-1] > 0:
+        # Length explains mild words away; by itself it is no sign of toxicity.
+        machine.text = logistic(np.hstack([rows[:, :TOP], np.zeros((len(rows), 1))]), labels)
     margins = sorted([(machine.margin(t), 1) for t in toxic] + [(machine.margin(t), 0) for t in clean], reverse=True)
     best, at, hits = -1.0, margins[0][0], 0
     for i, (m, label) in enumerate(margins):
