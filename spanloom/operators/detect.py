@@ -56,22 +56,32 @@ def spans(text: Column, pattern: str, whole: bool = False) -> Column:
     """
     if not whole and has_groups(pattern):
         return _group_spans(text, pattern)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    found = running_spans(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+
+    def of(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        found = running_spans(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))))
+        return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(_SPAN))
+
+    return F.coalesce(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of), F.array().cast(_SPAN))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: Spark repeats an expression wherever it is written."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def running_spans(pairs: Column, chunk: int = 128) -> Column:
-    """(start, end, text) of hits and the lengths of the gaps before them, (gap, hit), in time linear in their number.
+    """(start, end, text) of hits and the lengths of the gaps before them, (gap, hit), in time about linear in their number.
 
     Spark has no running sum over an array.  A fold that grows an array copies it at every step, so folds run over chunks.
     """
     length = lambda x: x["gap"] + F.length(x["hit"])
-    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / chunk).cast("int")), lambda k: F.slice(pairs, k * chunk + 1, F.lit(chunk)))
-    sums = F.transform(cuts, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + length(x)))
+    cuts = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / chunk).cast("int")), lambda k: F.slice(p, k * chunk + 1, F.lit(chunk)))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    starts = F.aggregate(sums, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def starts(cut: Column) -> Column:
+        sums = F.transform(cut, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + length(x)))
+        return F.aggregate(sums, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
     def inside(c: Column, at: Column) -> Column:
         def add(acc: Column, x: Column) -> Column:
@@ -81,7 +91,8 @@ def running_spans(pairs: Column, chunk: int = 128) -> Column:
 
         return F.aggregate(c, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda acc: acc["out"])
 
-    return F.when(F.size(pairs) > 0, F.flatten(F.zip_with(cuts, starts, inside))).otherwise(F.array().cast(_SPAN))
+    some = lambda p: let(cuts(p), lambda cut: F.flatten(F.zip_with(cut, starts(cut), inside)))
+    return let(pairs, lambda p: F.when(F.size(p) > 0, some(p)).otherwise(F.array().cast(_SPAN)))
 
 
 def literal_spans(text: Column, word: str) -> Column:

@@ -83,7 +83,7 @@ SQL = {
     "ocr_plan": f"""SELECT idx AS item_num, x0, y0, least(x1, 300) AS x1, least(y1, 400) AS y1, CASE WHEN idx % 2 = 0 THEN 0.2 ELSE 0.0 END::DOUBLE AS blue, CASE WHEN idx % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS opacity,
  round(least(72.0, greatest(1.0, least((least(y1, 400) - y0) * 0.98, (least(x1, 300) - x0) * 0.98 / 1.5))), 4) AS font_size FROM ({_RECTS}) WHERE idx % 5 <> 0 AND least(x1, 300) > x0 AND least(y1, 400) > y0""",
     "ocr_offsets": f"""SELECT round(avg(dx), 6) AS mean_dx, round(stddev_samp(dx), 6) AS sd_dx, round(min(dx), 6) AS min_dx, round(max(dx), 6) AS max_dx, round(avg(dy), 6) AS mean_dy, round(stddev_samp(dy), 6) AS sd_dy, round(min(dy), 6) AS min_dy, round(max(dy), 6) AS max_dy
- FROM (SELECT (idx % 4)::DOUBLE AS dx, -(idx % 3)::DOUBLE AS dy FROM ({_RECTS}))""",
+ FROM (SELECT (idx % 4)::DOUBLE AS dx, 0 - (idx % 3)::DOUBLE AS dy FROM ({_RECTS}))""",
     "file_report": f"""SELECT f.path AS file, CASE WHEN bad OR skipped THEN 0 ELSE coalesce(sum(n), 0) END::BIGINT AS n, CASE WHEN bad THEN 'Error' WHEN skipped THEN 'Skipped' ELSE 'Success' END AS status,
  CASE WHEN bad OR skipped THEN '' ELSE coalesce(string_agg(entity || ':' || n, ', ' ORDER BY entity), '') END AS types FROM ({_FILES}) f LEFT JOIN ({_TYPES}) t ON t.path = f.path GROUP BY f.path, bad, skipped""",
     "run_totals": f"""WITH g AS (SELECT path FROM ({_FILES}) WHERE NOT bad AND NOT skipped), t AS (SELECT * FROM ({_TYPES}) SEMI JOIN g USING (path))
