@@ -1,5 +1,7 @@
 """The span engine: registered queries against SQL, and small cases of the operators."""
 
+import json
+
 import duckdb
 import pytest
 
@@ -7,10 +9,12 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 from spanloom.functions import geometry as G
 from spanloom.functions import values as V
-from spanloom.operators import detect, layout, offsets, resolve
+from spanloom.operators import detect, layout, masks, ocr, offsets, resolve
 from spanloom.plans import more, more_sql
 from spanloom.plans import queries as plans
-from spanloom.plans import steps
+from spanloom.plans import config, steps
+from spanloom.sources import files
+from spanloom.streaming import arrivals
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,7 +83,8 @@ def test_colours(spark):
 
 
 def test_names(spark):
-    assert [one(spark, V.entity_key(F.lit(x))) for x in (" address ", "person", "Pearson", "")] == ["LOCATION", "PERSON", "PERSON", ""]
+    assert [one(spark, V.entity_key(F.lit(x))) for x in (" address ", "person", "Pearson", "")] == ["LOCATION", "PERSON", "PEARSON", ""]
+    assert V.config_entity("Pearson") == "PERSON" and V.config_entity("address") == "LOCATION" and V.normal_entity(" Address ") == "LOCATION"
     with pytest.raises(ValueError, match="unknown"):
         V.parse_entities("person,nothing")
 
@@ -104,7 +109,7 @@ def test_resolution(spark):
 
 def test_detection_and_redaction(spark):
     docs = spark.createDataFrame([(1, "山田さん 03-5214-8000 2024年"), (2, None), (3, "")], "doc_id long, text string")
-    found = detect.recognise(docs, detect.PATTERNS)
+    found = detect.recognise(docs, detect.PATTERNS, whole=True)
     assert {(r["entity"], r["word"]) for r in found.collect()} == {("PERSON", "山田さん"), ("PHONE_NUMBER", "03-5214-8000"), ("YEAR", "2024年")}
     texts = {r["doc_id"]: r["text"] for r in detect.redact(docs, found, "x").collect()}
     assert texts == {1: "xxxx xxxxxxxxxxxx xxxxx", 2: "", 3: ""}
@@ -150,3 +155,89 @@ def test_target_and_entity_spans(spark):
     assert tuple(one(spark, offsets.base_span(F.lit(4), F.lit(9), none, F.lit(6)))) == (4, 6)
     assert tuple(one(spark, offsets.base_span(F.lit(None).cast("int"), F.lit(9), target, F.lit(6)))) == (0, 0)
     assert tuple(one(spark, offsets.entity_span(F.lit(9), F.lit(4)))) == (4, 9)
+
+
+def test_target_texts(spark):
+    """Target texts and their way back, as the service's own examples have them."""
+    text = lambda pages: F.from_json(F.lit(json.dumps(pages)), "array<array<string>>")
+    chars = lambda pages, *options: [tuple(c) for c in one(spark, offsets.target_chars(text(pages), *options))]
+    kept = chars([["AB", "CD"], ["EF"]], False, False)
+    assert "".join(c for c, _, _ in kept) == "AB\nCD\nEF" and kept[2][1:] == (2, 2) and kept[5][1:] == (4, 4)
+    bare = chars([["A B", " C"], ["D\tE"]], True, True)
+    assert bare == [("A", 0, 1), ("B", 2, 3), ("C", 4, 5), ("D", 5, 6), ("E", 7, 8)]
+    assert "".join(c for c, _, _ in chars([["AB", "CD"], ["EF"]], False, True)) == "ABCDEF"
+    assert [c for c, _, _ in chars([["AB"], ["CD"], ["EF"]], False, False, [0, 2])] == ["A", "B", "\n", "E", "F"]
+    back = lambda a, b, spans, n: tuple(one(spark, offsets.base_span(F.lit(a), F.lit(b), F.from_json(F.lit(json.dumps([{"start": x, "end": y} for _, x, y in spans])), "array<struct<start:int,end:int>>"), F.lit(n))))
+    assert back(3, 5, kept, 6) == (2, 4) and back(1, 4, bare, 8) == (2, 6) and back(9, 12, bare, 8) == (8, 8)
+
+
+def test_blanks_and_ties(spark):
+    docs = spark.createDataFrame([(1, "a\u3000\tb xx")], "doc_id long, text string")
+    assert detect.recognise(docs, [("OTHER", r"[\u3000\t]+")]).count() == 0
+    tied = detect.added(docs, [("PERSON", "xx"), ("LOCATION", "xx"), ("PERSON", "x")])
+    assert [(r["entity"], r["word"]) for r in tied.collect()] == [("LOCATION", "xx")]
+    assert detect.compile_patterns([("A", "("), ("B", " "), ("C", "(?P<n>a)"), ("D", "a++")]) == [("C", "(?P<n>a)"), ("D", "a++")]
+    with pytest.raises(ValueError):
+        detect.compile_patterns([("A", "(")], strict=True)
+
+
+def test_configuration():
+    data = {"enabled_entities": [], "add_entity": {"pearson": ["田中", " 田中 ", "山田"], "own": "x"}, "omit_entity": ["a", "a", ""], "ocr_settings": {"font_color": [999, -20, "10"], "opacity": 5.5, "auto_color": "on", "offset_x": "invalid"}, "chunk_settings": {"max_chars": 3}, "keep": 1}
+    out = config.normal(data)
+    assert out["enabled_entities"] == [] and out["add_entity"]["PERSON"] == ["田中", "山田"] and out["add_entity"]["own"] == ["x"] and out["ommit_entity"] == ["a"] and out["keep"] == 1
+    assert out["ocr_settings"]["font_color"] == [255, 0, 10] and out["ocr_settings"]["opacity"] == 1.0 and out["ocr_settings"]["auto_color"] is True and out["ocr_settings"]["offset_x"] == 0.0
+    assert out["chunk_settings"]["max_chars"] == 100 and "omit_entity" not in out and config.enabled_entities({"entities": ["nothing"]}) == list(V.ENTITIES)
+    assert config.without_words(data, ["田中"])["add_entity"]["PERSON"] == ["山田"] and config.with_omitted(data, ["山田"])["ommit_entity"] == ["a", "山田"]
+    assert config.with_added({"ommit_entity": ["山田"]}, [("山田", "person")])["ommit_entity"] == [] and config.target_pages(3, ["2", 0, 2, 9, "x"]) == [2, 0]
+    assert config.deep_merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}} and config.at({"a": {"b": 1}}, "a.b") == 1 and config.at({}, "a.b", 7) == 7
+    listed = config.recogniser_patterns({"custom_recognizers": {"x": {"enabled": True, "entity_type": "YEAR", "patterns": [{"regex": "1"}, {}]}, "y": {"enabled": False, "entity_type": "YEAR", "patterns": [{"regex": "2"}]}}, "custom_names": {"enabled": True, "name_list": ["a.b"]}})
+    assert listed == [("YEAR", "1"), ("PERSON", "a\\.b")]
+
+
+def test_mask_specs_and_colours(spark):
+    rows = {r["entity"]: (round(r["r"], 3), round(r["alpha"], 3)) for r in masks.mask_styles(spark, ["person=rgba(51,0,0,.5)@0.9", "YEAR=red@2", "address=#00000080"]).collect()}
+    assert rows == {"PERSON": (0.2, 0.5), "YEAR": (1.0, 1.0), "LOCATION": (0.0, 0.502)}
+    for bad in ("person", "=red", "person=red@x"):
+        with pytest.raises(ValueError):
+            masks.parse_mask_specs([bad])
+    assert one(spark, V.colour(F.lit("rgb(1, 2, 3)")))["r"] == 0.9 and one(spark, V.colour(F.lit("RGB(300,0,0)")))["r"] == 1.0
+    assert one(spark, V.is_manual(F.lit(None).cast("boolean"), F.lit("Manual"))) and one(spark, V.manual_entity(F.lit("year"), F.lit("ab"), F.lit(0), F.lit(1), F.lit(5)))["end"]["offset"] == 6
+
+
+def test_text_colour_and_pages(spark):
+    import numpy as np
+
+    picture = np.full((10, 10, 3), 250, np.uint8)
+    picture[3:6, 3:7] = (10, 20, 30)
+    assert ocr.text_colour(picture) == (10, 20, 30) and ocr.text_colour(picture[:3]) == (0, 0, 0) and ocr.text_colour(picture[:0]) == (0, 0, 0)
+    pages = spark.createDataFrame([(1, 0, b"x"), (1, 1, b"")], "doc_id long, page_num int, image binary")
+
+    def engine(image, page):
+        if not image:
+            raise RuntimeError("no image")
+        return '[["t", [0, 0, 2, 2]]]'
+
+    raw = ocr.recognised(pages, engine)
+    assert [(r["raw"] is None, r["error"]) for r in raw.orderBy("page_num").collect()] == [(False, None), (True, "no image")]
+    assert ocr.items(raw).count() == 1
+    notes = spark.createDataFrame([("FreeText", "ocr_text", None, None, 0), ("FreeText", None, None, "source=ocr", 1), ("Highlight", "ocr_text", None, None, 0), ("FreeText", None, None, "x", 0)], "annotation_type string, subject string, title string, content string, page_num int")
+    assert ocr.without_written(notes).count() == 2 and ocr.without_written(notes, [1]).count() == 3
+
+
+def test_files(spark, tmp_path):
+    for name in ("a.pdf", "a_masked.pdf", "b.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    rows = {r["filename"]: r for r in files.files(spark, str(tmp_path)).withColumn("skip", files.skipped(F.col("filename"))).collect()}
+    assert set(rows) == {"a.pdf", "a_masked.pdf"} and rows["a.pdf"]["size"] == 5 and rows["a_masked.pdf"]["skip"] and not rows["a.pdf"]["skip"]
+    (tmp_path / "r.json").write_text('{"text": [["a"]], "detect": []}')
+    (tmp_path / "bad.json").write_text("{")
+    got = files.results(spark, str(tmp_path / "*.json")).cache()
+    assert got.count() == 2 and got.filter("_corrupt_record IS NOT NULL").count() == 1
+
+
+def test_arriving_files(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "tel 03-5214-8000")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "in"))
+    query = arrivals.start(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "out"), str(tmp_path / "state"), [{"op": "detect"}])
+    query.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).filter("entity = 'PHONE_NUMBER'").count() == 1
