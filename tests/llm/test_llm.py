@@ -461,3 +461,45 @@ def test_pipeline_run_is_the_brute_force_pipeline(spark, tmp_path):
         want.append((i or 0, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     got = [(r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and len(got) > 200
+
+
+@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op6_minhash_near_dedup", "op7_suffix_dedup", "op8_exact_dedup", "op9_mixing"])
+def test_query_matches_sql(spark, name):
+    import duckdb
+    from spanloom.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    out = queries.QUERIES[name](spark, SF)
+    columns = sorted(out.columns)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, out.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+def test_secret_query_is_brute_force(spark):
+    """op10's digests and spans over a whole table, replayed with Python's patterns."""
+    kinds = {
+        "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+        "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    }
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in secret_scan.op10_secret_scans(spark, SF).collect():
+        found = [(m.start(), i, m.end(), k) for i, (k, (p, keep)) in enumerate(kinds.items()) for m in p.finditer(texts[r["doc_id"]]) if keep(m)]
+        listed = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+        assert [r[f"n_{k}"] for k in kinds] == [sum(f[3] == k for f in found) for k in kinds]
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and set(listed.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_chains_on_held_out_strings(spark):
+    """Random strings of an alphabet and lengths that the samples don't hold, against compounds of words that they don't hold."""
+    rng = random.Random(77)
+    words = "mountain bicycle harvest orchestra lantern velvet thunder biscuit compass meadow puzzle whisper saddle copper falcon granite".split()
+    good = ["".join(rng.choices("ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=rng.randint(22, 50))) for _ in range(300)]
+    bad = [rng.choice("_-/").join(rng.choices(words, k=rng.randint(3, 5))) for _ in range(300)] + ["".join(w.title() for w in rng.choices(words, k=4)) for _ in range(300)]
+    got = {r["doc_id"]: len(r["markov"]) for r in secret_scan.scan(frame(spark, [(i, t, "s") for i, t in enumerate(good + bad)])).collect()}
+    found, false = sum(got[i] > 0 for i in range(300)), sum(got[i] > 0 for i in range(300, 900))
+    print("chains", found, false)
+    assert found >= 285 and false <= 12
+    assert secret_scan.scan(frame(spark, ODD).limit(0)).count() == 0 and secret_scan.scan(frame(spark, ODD)).count() == len(ODD)
