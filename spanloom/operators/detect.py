@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -281,3 +282,38 @@ def exact_words(docs: DataFrame, pairs: list[tuple[str, str]], existing: DataFra
     """Detections of (word, entity) pairs that no existing row has: words are read as patterns."""
     found = recognise(docs, compile_patterns([(e, w.strip()) for w, e in pairs if w.strip()]), "manual", whole=True)
     return found.join(existing.select("doc_id", "entity", "start", "end"), ["doc_id", "entity", "start", "end"], "left_anti")
+
+
+def first_that_loads(loaders: list[tuple[str, Callable[[], object]]]) -> tuple[str, object]:
+    """(name, model) of the first loader that works, in order; an error that names all if none does."""
+    failed = []
+    for name, load in loaders:
+        try:
+            return name, load()
+        except Exception as e:  # noqa: BLE001 - the next one may work
+            failed.append(f"{name}: {e}")
+    raise RuntimeError("no model could be loaded: " + "; ".join(failed))
+
+
+def model_spans(docs: DataFrame, loaders: list[tuple[str, Callable[[], object]]], entities: list[str], text_col: str = "text", delimiter: str = "。", max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(doc_id, entity, start, end, word, origin, prio): what a model finds, chunk by chunk, of the wanted entities.
+
+    A model is a callable from text to (entity, start, end) spans; each worker loads one once.  A chunk that fails finds
+    nothing.  Blank words are left out.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, model = first_that_loads(loaders)
+        for frame in frames:
+            out = []
+            for doc, chunk, shift in zip(frame["doc_id"], frame["chunk"], frame["start_offset"]):
+                try:
+                    found = list(model(chunk))
+                except Exception:  # noqa: BLE001 - a chunk's failure loses that chunk
+                    continue
+                out += [(doc, e, a + shift, b + shift, chunk[a:b], "auto", 0) for e, a, b in found if e in entities and chunk[a:b].strip()]
+            yield pd.DataFrame(out, columns=["doc_id", "entity", "start", "end", "word", "origin", "prio"])
+
+    rows = chunks(docs, text_col, delimiter, max_chars, max_bytes)
+    return rows.mapInPandas(run, f"doc_id {kind}, entity string, start int, end int, word string, origin string, prio int")

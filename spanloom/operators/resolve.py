@@ -165,3 +165,9 @@ def without_words(found: DataFrame, words: list[str]) -> DataFrame:
 def unmatched(new: DataFrame, existing: DataFrame) -> DataFrame:
     """new rows whose entity and span no existing row has."""
     return new.join(existing, ["doc_id", "entity", "gstart", "gend"], "left_anti")
+
+
+def manual_additions(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """new rows, each once, that no existing row equals in word, entity and span."""
+    keys = ["doc_id", "word", "entity", "gstart", "gend"]
+    return first_wins(new, *keys).join(existing, keys, "left_anti")

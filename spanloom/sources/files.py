@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,31 @@ def files(spark: SparkSession, path: str, pattern: str = "*.pdf", content: bool
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), *digest)
 
 
+def extracted(rows: DataFrame, extract: Callable[[bytes], list[list[str]]]) -> DataFrame:
+    """(path, page_count, text, error) of files with content: an adapter gives each file's pages of blocks; one that fails keeps its row.
+
+    Spark has no reader for page documents, so the caller brings one; it runs in Arrow batches.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, content in zip(frame["path"], frame["content"]):
+                try:
+                    pages = extract(content)
+                    out.append((path, len(pages), pages, None))
+                except Exception as e:  # noqa: BLE001 - a file's failure is a row, not the job's
+                    out.append((path, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "page_count", "text", "error"])
+
+    return rows.select("path", "content").mapInPandas(run, "path string, page_count int, text array<array<string>>, error string")
+
+
+def write_json(results_: DataFrame, path: str) -> None:
+    """One JSON document a row, nulls written, characters as they are."""
+    results_.write.option("ignoreNullFields", "false").json(path)
+
+
 def skipped(filename: Column, patterns=EXCLUDED) -> Column:
     out = F.lit(False)
     for p in patterns:

@@ -241,3 +241,29 @@ def test_arriving_files(spark, tmp_path):
     query = arrivals.start(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "out"), str(tmp_path / "state"), [{"op": "detect"}])
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).filter("entity = 'PHONE_NUMBER'").count() == 1
+
+
+def test_adapters(spark, tmp_path):
+    """Models and extractors are the caller's; their failures are rows or lost chunks, not the job's end."""
+
+    def broken():
+        raise OSError("not here")
+
+    def nouns(text):
+        if "!" in text:
+            raise ValueError(text)
+        return [("PROPER_NOUN", i, i + 2) for i in range(0, len(text) - 1, 2)] + [("PERSON", 0, 1)]
+
+    docs = spark.createDataFrame([(1, "ab。cd。  "), (2, "x!"), (3, None)], "doc_id long, text string")
+    found = detect.model_spans(docs, [("large", broken), ("small", lambda: nouns)], ["PROPER_NOUN"], max_chars=3)
+    assert sorted((r["doc_id"], r["start"], r["word"]) for r in found.collect()) == [(1, 0, "ab"), (1, 3, "cd")]
+    with pytest.raises(RuntimeError, match="not here"):
+        detect.first_that_loads([("large", broken)])
+    files_ = spark.createDataFrame([("a", b"one\n\ntwo"), ("b", b"\xff")], "path string, content binary")
+    rows = {r["path"]: r for r in files.extracted(files_, lambda c: [p.split("\n") for p in c.decode().split("\n\n")]).collect()}
+    assert rows["a"]["text"] == [["one"], ["two"]] and rows["a"]["page_count"] == 2 and rows["b"]["text"] is None and "Unicode" in rows["b"]["error"]
+    files.write_json(files_.select("path", F.lit(None).cast("string").alias("x")), str(tmp_path / "out"))
+    assert '"x":null' in "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
+    old = spark.createDataFrame([(1, 0, "w", "A", 0, 1)], "doc_id long, seq long, word string, entity string, gstart long, gend long")
+    new = spark.createDataFrame([(1, 0, "w", "A", 0, 1), (1, 1, "w", "A", 2, 3), (1, 2, "w", "A", 2, 3)], old.schema)
+    assert [r["seq"] for r in resolve.manual_additions(old, new).collect()] == [1]
