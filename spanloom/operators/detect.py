@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import values
+from spanloom.shipping import ship
 
 # The built-in patterns.  Their recognisers report the whole match, whatever it captures (``whole``).
 PATTERNS = {
@@ -237,6 +238,8 @@ def split_text(text: str, delimiter: str = "。", max_chars: int = MAX_CHARS, ma
 
 def chunks(docs: DataFrame, text_col: str = "text", delimiter: str = "。", max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(doc_id, chunk, start_offset): short texts stay native; only texts over a limit go through Python, in Arrow batches."""
+    ship(docs.sparkSession)
+
     @F.pandas_udf("array<struct<text:string,start_offset:int>>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"text": c, "start_offset": s} for c, s in split_text(t or "", delimiter, max_chars, max_bytes)])
@@ -301,6 +304,7 @@ def model_spans(docs: DataFrame, loaders: list[tuple[str, Callable[[], object]]]
     A model is a callable from text to (entity, start, end) spans; each worker loads one once.  A chunk that fails finds
     nothing.  Blank words are left out.
     """
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
