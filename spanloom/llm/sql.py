@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from spanloom.llm import exact_dedup
+from spanloom.llm.decontaminate import WORDS as WORDS_12
+from spanloom.llm.fill_middle import PLAIN, SPM
+from spanloom.llm.fill_middle import SEED as SEED_11
 from spanloom.llm.mixing import BLOCK_ROWS, REPEATS, SEED
+from spanloom.llm.spelling import EVERY, LEAST_CHARS, LEAST_COUNT, TIMES
 
 _REACH = """reach(id, near) AS (
   SELECT id, id FROM nodes
@@ -78,9 +82,72 @@ weighed AS (
 SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, round(passes, 6) AS passes, CAST(whole + CASE WHEN upto <= budget THEN 1 ELSE 0 END AS INTEGER) AS copies FROM running
 """
 
+FILL = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('{SEED_11}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS d FROM t
+), placed AS (
+  SELECT doc_id, text, u, n, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 100 - {PLAIN} THEN 'plain' WHEN d[4] % 100 < {SPM} THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), cut AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(list_slice(u, 1, a), ''), '') AS p, coalesce(array_to_string(list_slice(u, a + 1, b), ''), '') AS m, coalesce(array_to_string(list_slice(u, b + 1, n), ''), '') AS s FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256
+FROM cut
+"""
+
+_WORDS_12 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LEAKS = f"""
+WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS_12} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), {WORDS_12}) AS size, array_to_string(w[i:i + {WORDS_12} - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WORDS_12}, 0) + 2)) AS i FROM items WHERE len(w) > 0)
+), docs AS (SELECT doc_id, {_WORDS_12} AS w FROM documents),
+grams AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS g
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)
+), hits AS (SELECT x.doc_id, x.i, x.size, y.item FROM grams x JOIN windows y ON y.g = x.g AND y.size = x.size),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.listed, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id
+"""
+
+SPELLING = f"""
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS k, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), once AS (SELECT k, run, count(*) AS n FROM runs WHERE length(run) >= {LEAST_CHARS} GROUP BY ALL),
+listed AS (SELECT run, n, flatten(list_transform(string_split(k || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)) AS b FROM once),
+summed AS (SELECT run, n, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM listed, crc),
+changed AS (SELECT CASE WHEN h % {EVERY} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= {LEAST_CHARS} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+gaps AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS g FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+one AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM gaps x JOIN gaps y ON x.g = y.g AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM gaps x JOIN words y ON x.g = y.word
+  UNION SELECT y.word, y.n, x.word, x.n FROM gaps x JOIN words y ON x.g = y.word
+), best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM one GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= {TIMES} * w.n THEN b.near END AS form, CASE WHEN b.near_n >= {TIMES} * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+), follow(word, here, step) AS (
+  SELECT word, word, 0 FROM formed UNION ALL SELECT f.word, x.form, f.step + 1 FROM follow f JOIN formed x ON x.word = f.here WHERE x.form IS NOT NULL
+), ends AS (SELECT word, arg_max(here, step) AS root FROM follow GROUP BY word)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON e.word = f.word
+"""
+
 SQL = exact_dedup.SQL | {
     "op1_embedding_near_dedup": EMBEDDING,
     "op6_minhash_near_dedup": MINHASH,
     "op7_suffix_dedup": SUFFIX,
     "op9_mixing": MIXING,
+    "op11_fill_in_middle": FILL,
+    "op12_decontamination": LEAKS,
+    "op13_spelling_variants": SPELLING,
 }
