@@ -452,16 +452,16 @@ def test_pipeline_run_is_the_brute_force_pipeline(spark, tmp_path):
         ids = lib.encode_ordinary(t or "")
         want.append((i or 0, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     got = [(r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
-    assert sorted(got) == sorted(want) and len(got) > 200
+    assert sorted(got) == sorted(want) and len(got) > docs.count() / 2
 
 
-@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op6_minhash_near_dedup", "op7_suffix_dedup", "op8_exact_dedup", "op9_mixing"])
+@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op6_minhash_near_dedup", "op7_suffix_dedup", "op8_exact_dedup", "op9_mixing", "op11_fill_in_middle", "op12_decontamination", "op13_spelling_variants"])
 def test_query_matches_sql(spark, name):
     import duckdb
     from spanloom.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     out = queries.QUERIES[name](spark, SF)
     columns = sorted(out.columns)
