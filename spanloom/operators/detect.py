@@ -6,25 +6,25 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import values
+from spanloom.functions import patterns, values
 from spanloom.shipping import ship
 
 # The built-in patterns.  Their recognisers report the whole match, whatever it captures (``whole``).
 PATTERNS = {
     "INDIVIDUAL_NUMBER": r"(?<!\d)(?:\d{4}-?\d{4}-?\d{4})(?!\d)",
     "YEAR": r"([1-9][0-9]{3}年|(令和|平成|昭和|大正|明治)([1-9][0-9]?)年)",
-    "PERSON": r"([一-鿿]+)(?:くん|さん|君|ちゃん|様)",
+    "PERSON": r"([\u4e00-\u9fff]+)(?:くん|さん|君|ちゃん|様)",
     "PHONE_NUMBER": r"(?<!\d)(?:0\d{1,4}[-]?\d{1,4}[-]?\d{4})(?!\d)",
 }
 MAX_CHARS, MAX_BYTES = 15_000, 48_125
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
-def _group_spans(text: Column, pattern: str) -> Column:
-    """Of each match the first capture group that took part and isn't empty, else the whole match, as Python reads the pattern."""
+def _python_spans(text: Column, pattern: str, whole: bool) -> Column:
+    """Each match, or unless whole its first capture group that took part and isn't empty; empty ones are left out."""
 
     @F.pandas_udf(_SPAN)
     def marked(texts: pd.Series) -> pd.Series:
@@ -33,7 +33,7 @@ def _group_spans(text: Column, pattern: str) -> Column:
         def of(t: str | None) -> list[dict]:
             out = []
             for m in compiled.finditer(t or ""):
-                g = next((k for k in range(1, compiled.groups + 1) if m.end(k) > m.start(k)), 0)
+                g = 0 if whole else next((k for k in range(1, compiled.groups + 1) if m.end(k) > m.start(k)), 0)
                 if m.end(g) > m.start(g):
                     out.append({"start": m.start(g), "end": m.end(g), "text": m[g]})
             return out
@@ -43,28 +43,21 @@ def _group_spans(text: Column, pattern: str) -> Column:
     return marked(text)
 
 
-def has_groups(pattern: str) -> bool:
-    """Whether the pattern captures; one that only Spark can read counts as without groups."""
-    try:
-        return re.compile(pattern).groups > 0
-    except re.error:
-        return False
-
-
 def spans(text: Column, pattern: str, whole: bool = False) -> Column:
-    """Leftmost non-overlapping matches as (start, end, text), half-open code points.
+    """Leftmost non-overlapping matches as (start, end, text), half-open code points; the pattern is read as Python reads it.
 
-    A pattern with capture groups marks the first non-empty one, unless whole; Spark tells no group's place, so Python reads those.
+    A pattern with capture groups marks the first non-empty one, unless whole; Spark tells no group's place, so Python marks those.
     """
-    if not whole and has_groups(pattern):
-        return _group_spans(text, pattern)
+    same = patterns.java(pattern)
+    if same is None or patterns.may_be_empty(pattern) or not whole and patterns.has_groups(pattern):
+        return _python_spans(text, pattern, whole)
 
     def of(hits: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        gaps = F.slice(F.split(text, same, -1), F.lit(1), F.size(hits))
         found = running_spans(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))))
         return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(_SPAN))
 
-    return F.coalesce(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of), F.array().cast(_SPAN))
+    return F.coalesce(let(F.regexp_extract_all(text, F.lit(same), F.lit(0)), of), F.array().cast(_SPAN))
 
 
 def let(value: Column, body) -> Column:
@@ -111,23 +104,13 @@ def block_spans(block: DataFrame, word: str) -> DataFrame:
     return block.select("doc_id", "page_num", "block_num", F.explode(literal_spans(F.col("text"), word)).alias("s")).select("doc_id", "page_num", "block_num", "s.start", "s.end")
 
 
-def spark_reads(pattern: str) -> bool:
-    """Whether the engine that runs patterns can read this one: Java's dialect isn't Python's.  One row on the driver."""
-    session = SparkSession.active()
-    try:
-        session.range(1).select(F.lit("").rlike(pattern)).collect()
-    except Exception:  # noqa: BLE001 - any failure to read it
-        return False
-    return True
-
-
 def compile_patterns(listed: list[tuple[str, str]], strict: bool = False) -> list[tuple[str, str]]:
-    """(entity, pattern) pairs that can be read, by Python where they capture and by Spark else; a bad one is an error if strict, else left out."""
+    """(entity, pattern) pairs that Python can read; a bad one is an error if strict, else left out, as are blank ones."""
     out = []
     for entity, pattern in listed:
         if not pattern.strip():
             continue
-        if not (has_groups(pattern) or spark_reads(pattern)):
+        if not patterns.readable(pattern):
             if strict:
                 raise ValueError(f"bad pattern {pattern!r}")
             continue
@@ -135,9 +118,9 @@ def compile_patterns(listed: list[tuple[str, str]], strict: bool = False) -> lis
     return out
 
 
-def recognise(docs: DataFrame, patterns: dict[str, str] | list[tuple[str, str]], origin: str = "auto", text_col: str = "text", whole: bool = False) -> DataFrame:
+def recognise(docs: DataFrame, wanted: dict[str, str] | list[tuple[str, str]], origin: str = "auto", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(doc_id, entity, start, end, word, origin, prio), one row a match, of its capture group unless whole; blank ones are left out."""
-    listed = list(patterns.items()) if isinstance(patterns, dict) else list(patterns)
+    listed = list(wanted.items()) if isinstance(wanted, dict) else list(wanted)
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def tagged(entity: str, prio: int):
@@ -182,23 +165,23 @@ def excluded(text: Column, substrings=(), searches=(), exact=()) -> Column:
     for s in substrings:
         out = out | t.contains(s)
     for s in searches:
-        if spark_reads(s):
-            out = out | t.rlike(s)
+        if patterns.readable(s):
+            out = out | patterns.search(t, s)
     return out | t.isin(*exact) if exact else out
 
 
-def added(docs: DataFrame, patterns: list[tuple[str, str]], origin: str = "custom") -> DataFrame:
+def added(docs: DataFrame, wanted: list[tuple[str, str]], origin: str = "custom") -> DataFrame:
     """Spans of added patterns, none overlapping: by the pattern's place among its entity's, then by start, later entities first."""
-    entities = list(dict.fromkeys(e for e, _ in patterns))
-    nth = [sum(e == f for f, _ in patterns[:k]) for k, (e, _) in enumerate(patterns)]
+    entities = list(dict.fromkeys(e for e, _ in wanted))
+    nth = [sum(e == f for f, _ in wanted[:k]) for k, (e, _) in enumerate(wanted)]
     at = F.array(*map(F.lit, nth))
-    rows = recognise(docs, patterns, origin).withColumn("prio", F.element_at(at, F.col("prio") + 1))
+    rows = recognise(docs, wanted, origin).withColumn("prio", F.element_at(at, F.col("prio") + 1))
     return greedy(rows.withColumn("place", (F.array_position(F.array(*map(F.lit, entities)), F.col("entity")) - 1).cast("int")))
 
 
-def omit(found: DataFrame, docs: DataFrame, patterns: list[str]) -> DataFrame:
+def omit(found: DataFrame, docs: DataFrame, unwanted: list[str]) -> DataFrame:
     """Detections without those whose word or span a pattern hits; manual ones stay."""
-    good = [p for _, p in compile_patterns([("", p) for p in patterns])]
+    good = [p for _, p in compile_patterns([("", p) for p in unwanted])]
     if not good:
         return found
     manual = found.filter("origin = 'manual'")
@@ -271,12 +254,12 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "█") -> DataFrame:
     return cut.select("doc_id", F.when(F.col("cut").isNull(), text).otherwise(out).alias("text"))
 
 
-def chunked(docs: DataFrame, patterns: dict[str, str] | list[tuple[str, str]], text_col: str = "text", delimiter: str = "。", max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES, whole: bool = True) -> DataFrame:
+def chunked(docs: DataFrame, wanted: dict[str, str] | list[tuple[str, str]], text_col: str = "text", delimiter: str = "。", max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES, whole: bool = True) -> DataFrame:
     """recognise() over chunks, spans moved to the text; what crosses a border between chunks is not found."""
     rows = chunks(docs, text_col, delimiter, max_chars, max_bytes)
     # One row a chunk stands for a document while patterns run.
     keyed = rows.select(F.struct("doc_id", "start_offset").alias("doc_id"), F.col("chunk").alias("text"))
-    found = recognise(keyed, patterns, whole=whole)
+    found = recognise(keyed, wanted, whole=whole)
     moved = {c: F.col(c) + F.col("doc_id.start_offset") for c in ("start", "end")}
     return found.withColumns(moved).withColumn("doc_id", F.col("doc_id.doc_id"))
 

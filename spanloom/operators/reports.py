@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import patterns
 from spanloom.functions import values as V
 
 # Fixed value: the run report's header.
@@ -71,15 +70,12 @@ def column_text(column: str) -> Column:
     return shown[column]
 
 
-def filtered(found: DataFrame, **patterns: str) -> DataFrame:
+def filtered(found: DataFrame, **wanted: str) -> DataFrame:
     """Detections whose shown columns all hold their pattern; one that doesn't compile filters nothing."""
-    for column, pattern in patterns.items():
+    for column, pattern in wanted.items():
         shown = column_text(column)
-        try:
-            re.compile(pattern)
-        except re.error:
-            continue
-        found = found.filter(shown.rlike(pattern))
+        if patterns.readable(pattern):
+            found = found.filter(patterns.search(shown, pattern))
     return found
 
 

@@ -5,12 +5,12 @@ Detections are rows (doc_id, seq, entity, gstart, gend, origin, ...), gend inclu
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import ENTITIES, entity_rank, stripped
+from spanloom.operators import graph, sweep
 
 ORIGINS = ("manual", "custom", "auto")
 TIE_BREAK = ("origin", "contain", "length", "position", "entity")
@@ -38,56 +38,57 @@ def edges(found: DataFrame, overlap: str = "overlap", entities: str = "any") ->
 
 
 def components(found: DataFrame, overlap: str = "overlap", entities: str = "any") -> DataFrame:
-    """found with comp, the smallest seq of the component.
+    """found with comp, the smallest seq of the component that edges() of these modes make, without making the edges.
 
-    Overlap of any entities is gaps and islands in one window, exact a group; the other modes join the document's edges
-    and label them in one document's task.
+    Exact is a group, overlap gaps and islands, containment a running maximum over ranks: windows.  Among the same entities
+    a proper noun joins what it contains or lies in, so each entity is taken with the nouns beside it, and what several
+    entities' blocks share through a noun is joined by a few links between blocks.
     """
-    if overlap == "exact" and entities == "any":
-        return found.withColumn("comp", F.min("seq").over(W.partitionBy("doc_id", "gstart", "gend")))
-    if overlap == "overlap" and entities == "any":
-        order = W.partitionBy("doc_id").orderBy("gstart", "gend", "seq")
-        reach = F.max("gend").over(order.rowsBetween(W.unboundedPreceding, -1))
-        cut = found.withColumn("new", F.coalesce((F.col("gstart") > reach).cast("int"), F.lit(1)))
-        island = cut.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        return island.withColumn("comp", F.min("seq").over(W.partitionBy("doc_id", "island"))).drop("new", "island")
-    return labelled(found, edges(found, overlap, entities))
+    noun = F.col("entity") == "PROPER_NOUN"
+    if overlap == "exact":
+        keys = ["doc_id", "gstart", "gend"]
+        if entities == "any":
+            return found.withColumn("comp", F.min("seq").over(W.partitionBy(*keys)))
+        # Equal spans: one noun joins them all.
+        rows = found.withColumn("with_noun", F.max(noun).over(W.partitionBy(*keys)))
+        same, all_ = F.min("seq").over(W.partitionBy(*keys, "entity")), F.min("seq").over(W.partitionBy(*keys))
+        return rows.withColumn("comp", F.when(F.col("with_noun"), all_).otherwise(same)).drop("with_noun")
+    if entities == "any":
+        blocks = sweep.overlap_blocks if overlap == "overlap" else sweep.contain_blocks
+        return blocks(found, "doc_id").withColumnRenamed("block", "comp")
+    with_kinds = found.withColumn("kinds", F.collect_set("entity").over(W.partitionBy("doc_id")))
+    if overlap == "contain":
+        beside = with_kinds.select("doc_id", "seq", "gstart", "gend", F.explode(F.when(noun, F.col("kinds")).otherwise(F.array("entity"))).alias("side"))
+        blocks = sweep.contain_blocks(beside, "doc_id", "side").select("doc_id", "seq", "block")
+        named = blocks.groupBy("doc_id", "seq").agg(F.min("block").alias("first"))
+        links = blocks.join(named, ["doc_id", "seq"]).filter("block <> first").select("doc_id", F.col("block").alias("u"), F.col("first").alias("v"))
+        return _joined(found.join(named, ["doc_id", "seq"]), links)
+    own = sweep.overlap_blocks(with_kinds, "doc_id", "entity").withColumnRenamed("block", "first")
+    sides = F.when(noun, F.array_except("kinds", F.array(F.lit("PROPER_NOUN")))).otherwise(F.array("entity"))
+    beside = own.select("doc_id", "seq", "gstart", "gend", "first", noun.alias("noun"), F.explode(sides).alias("side"))
+    # All nouns that contain a span overlap there, so they are one block already: the furthest reaching one stands for them, and the other way round.
+    upto = W.partitionBy("doc_id", "side").orderBy("gstart").rangeBetween(W.unboundedPreceding, W.currentRow)
+    reach = lambda test: F.max(F.when(test, F.struct("gend", "first"))).over(upto)
+    other = F.when(F.col("noun"), F.col("of_side")).otherwise(F.col("of_noun"))
+    links = beside.withColumn("of_noun", reach(F.col("noun"))).withColumn("of_side", reach(~F.col("noun"))).withColumn("other", other)
+    return _joined(own.drop("kinds"), links.filter(F.col("other.gend") >= F.col("gend")).select("doc_id", F.col("first").alias("u"), F.col("other.first").alias("v")))
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found with comp from first, its block, where links join blocks."""
+    roots = graph.components(links).select("doc_id", F.col("id").alias("first"), "root")
+    return found.join(roots, ["doc_id", "first"], "left").withColumn("comp", F.coalesce("root", "first")).drop("first", "root")
 
 
 def labelled(found: DataFrame, links: DataFrame) -> DataFrame:
-    """found with comp, the smallest seq that links (doc_id, i, j) join each row to; a document's links meet in one task."""
-    kind = found.schema["doc_id"].dataType.simpleString()
-
-    def label(frame: pd.DataFrame) -> pd.DataFrame:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for i, j in zip(frame["i"], frame["j"]):
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
-        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[0], "seq": list(root), "comp": [find(x) for x in root]})
-
-    named = links.groupBy("doc_id").applyInPandas(label, f"doc_id {kind}, seq bigint, comp bigint")
-    return found.join(named, ["doc_id", "seq"], "left").withColumn("comp", F.coalesce("comp", F.col("seq").cast("long")))
-
-
-def with_containment(found: DataFrame) -> DataFrame:
-    """found (with comp) and n_inside, n_around: how many others of its component a span contains and is contained by."""
-    b = found.select("doc_id", "comp", F.col("seq").alias("o"), F.col("gstart").alias("b0"), F.col("gend").alias("b1"))
-    pairs = found.select("doc_id", "comp", "seq", "gstart", "gend").join(b, ["doc_id", "comp"]).filter("seq <> o")
-    inside, around = F.expr("gstart <= b0 AND b1 <= gend"), F.expr("b0 <= gstart AND gend <= b1")
-    counts = pairs.groupBy("doc_id", "seq").agg(F.count_if(inside).alias("n_inside"), F.count_if(around).alias("n_around"))
-    return found.join(counts, ["doc_id", "seq"], "left").fillna(0, ["n_inside", "n_around"])
+    """found with comp, the smallest seq that links (doc_id, i, j) join each row to."""
+    roots = graph.components(links.select("doc_id", F.col("i").alias("u"), F.col("j").alias("v"))).select("doc_id", F.col("id").alias("seq"), "root")
+    return found.join(roots, ["doc_id", "seq"], "left").withColumn("comp", F.coalesce("root", "seq").cast("long")).drop("root")
 
 
 def winners(found: DataFrame, tie_break=TIE_BREAK, origins=ORIGINS, entities=ENTITIES, length: str = "long", position: str = "first") -> DataFrame:
     """The best detection of each component, by the named keys in turn and the input order at last."""
-    rows = with_containment(found) if "contain" in tie_break else found
+    rows = sweep.with_containment(found) if "contain" in tie_break else found
     size = F.col("gend") - F.col("gstart") + 1
     origins = [*origins, *(o for o in ORIGINS if o not in origins)]
     keys = {

@@ -1,12 +1,13 @@
-"""The package's sources for Python workers that don't find them themselves."""
+"""What every machine must see: the package's sources for Python workers, and working tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,3 +24,20 @@ def ship(spark: SparkSession) -> None:
                     z.write(f"{at}/{name}", os.path.relpath(f"{at}/{name}", os.path.dirname(top)))
     context.addPyFile(path)
     context._spanloom_shipped = True
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``; one of our own only where that is unset and Spark runs on one machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master or ""):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder; survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
