@@ -300,12 +300,18 @@ def _fits(node: Node, simple: list[tuple[str, str, str | None]]) -> bool:
 
 
 class _Sheet:
-    """A page's rules for display and visibility, by a name that the element itself must have."""
+    """A page's rules for display and visibility, by a name that the element itself must have.
+
+    Selectors of several parts are matched on one way down the tree: each element learns which first parts of which
+    selectors it ends, from those that its parent ends (children) and its ancestors end (descendants), one bit a part.
+    """
 
     def __init__(self, root: Node):
         self.rules: dict[str, list[tuple]] = {}
-        self.parent: dict[int, Node] = {}
-        self.deep, count, todo = False, 0, [root]
+        self.parts: dict[str, list[tuple[int, bool, bool, list]]] = {}
+        self.last: dict[int, int] = {}
+        self.ended: dict[int, set[int]] = {}
+        count, bits, todo = 0, 0, [root]
         while todo:
             node = todo.pop()
             if node.tag == "style":
@@ -317,47 +323,51 @@ class _Sheet:
                             for one in selectors.split(","):
                                 if found := _selector(one):
                                     count += 1
-                                    self._add(found, name, value, count)
+                                    self._add(found, name, value, count, bits)
+                                    bits += len(found)
             else:
                 todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-        if self.deep:
-            todo = [root]
-            while todo:
-                node = todo.pop()
-                for c in node.children:
-                    if isinstance(c, Node):
-                        self.parent[id(c)] = node
-                        todo.append(c)
-
-    def _add(self, found: list, name: str, value: str, order: int) -> None:
+        if self.parts:
+            self._descend(root)
+
+    def _add(self, found: list, name: str, value: str, order: int, bit: int) -> None:
         kinds = [k for _, simple in found for k, n, _ in simple if n != "*"]
         weight = (kinds.count("#"), kinds.count(".") + kinds.count("["), kinds.count("t"), order)
-        last = found[0][1]
-        key = next((k + n for want in "#.t" for k, n, _ in last if k == want and n != "*"), "*")
-        self.rules.setdefault(key, []).append((weight, name, value, found))
-        self.deep = self.deep or len(found) > 1
-
-    def _matches(self, node: Node, found: list) -> bool:
-        if not _fits(node, found[0][1]):
-            return False
-        if len(found) == 1:
-            return True
-        near, rest = found[0][0] == ">", found[1:]
-        outer = self.parent.get(id(node))
-        while outer is not None:
-            if self._matches(outer, rest):
-                return True
-            if near:
-                return False
-            outer = self.parent.get(id(outer))
-        return False
+        deep = len(found) > 1
+        self.rules.setdefault(_key(found[0][1]), []).append((weight, name, value, order if deep else None, found[0][1]))
+        if deep:
+            for j, (combinator, simple) in enumerate(reversed(found)):
+                self.parts.setdefault(_key(simple), []).append((1 << (bit + j), combinator == ">", j == 0, simple))
+            self.last[1 << (bit + len(found) - 1)] = order
+
+    def _descend(self, root: Node) -> None:
+        todo = [(root, 0, 0)]
+        while todo:
+            node, above, parent = todo.pop()
+            here = 0
+            for key in _keys(node):
+                for bit, near, first, simple in self.parts.get(key, ()):
+                    if (first or (parent if near else above) & (bit >> 1)) and _fits(node, simple):
+                        here |= bit
+                        if bit in self.last:
+                            self.ended.setdefault(id(node), set()).add(self.last[bit])
+            todo += [(c, above | here, here) for c in node.children if isinstance(c, Node)]
 
     def value(self, node: Node, name: str) -> str | None:
-        keys = ["*", "t" + node.tag, *("." + c for c in node.attributes.get("class", "").split()), "#" + node.attributes.get("id", "")]
-        hits = [r for k in keys for r in self.rules.get(k, ()) if r[1] == name and self._matches(node, r[3])]
+        ended = self.ended.get(id(node), ())
+        hits = [r for k in _keys(node) for r in self.rules.get(k, ()) if r[1] == name and (r[3] in ended if r[3] is not None else _fits(node, r[4]))]
         return max(hits, key=lambda r: r[0])[2] if hits else None
 
 
+def _key(simple: list[tuple[str, str, str | None]]) -> str:
+    """The name by which a compound selector is looked up: its id, a class, its tag, or any."""
+    return next((k + n for want in "#.t" for k, n, _ in simple if k == want and n != "*"), "*")
+
+
+def _keys(node: Node) -> list[str]:
+    return ["*", "t" + node.tag, *dict.fromkeys("." + c for c in node.attributes.get("class", "").split()), "#" + node.attributes.get("id", "")]
+
+
 class _Seen:
     """Visibility of elements under one page's rules."""
 

@@ -320,6 +320,48 @@ def test_html_selectors_spans_and_closed_elements():
     assert len(html_text.text_of(long)) < 10 * len(long)
 
 
+def test_html_selectors_of_many_parts():
+    """Against a matcher that tries every ancestor, and in time for deep pages."""
+    import time
+
+    rng = random.Random(8)
+
+    def fits(node, simple):
+        return all(n == node.tag if k == "t" else n in node.attributes.get("class", "").split() for k, n, _ in simple)
+
+    def matches(path, found):
+        if not path or not fits(path[-1], found[0][1]):
+            return False
+        if len(found) == 1:
+            return True
+        outer = [path[:-1]] if found[0][0] == ">" else [path[:k] for k in range(len(path) - 1, 0, -1)]
+        return any(matches(p, found[1:]) for p in outer)
+
+    for _ in range(150):
+        part = lambda: rng.choice(["div", "b", ".x", "div.y", ".x.y"])
+        selectors = [part() + "".join(rng.choice([" ", " > "]) + part() for _ in range(rng.randrange(1, 4))) for _ in range(4)]
+        body, opened = "", []
+        for k in range(30):
+            if opened and rng.random() < 0.4:
+                body += f"</{opened.pop()}>"
+            else:
+                opened.append(rng.choice(["div", "b"]))
+                body += f"<{opened[-1]} class='{rng.choice(['', 'x', 'y', 'x y'])}'>"
+        root = html_text.parse("".join(f"<style>{s}{{display:none}}</style>" for s in selectors) + body)
+        seen, todo = html_text._Seen(root), [[root]]
+        while todo:
+            path = todo.pop()
+            node = path[-1]
+            if node.tag in ("div", "b"):
+                assert (seen.style(node, "display") == "none") == any(matches(path, html_text._selector(s)) for s in selectors)
+            todo += [[*path, c] for c in node.children if isinstance(c, html_text.Node)]
+    for css in (".never" + " div" * 8, ".never" + " > div" * 8, "div " * 8 + ".never", "div " * 7 + "div"):
+        page = f"<style>{css} p{{display:none}}</style>" + "<div>" * 500 + "<p>in"
+        start = time.time()
+        assert html_text.text_of(page) == ("" if css == "div " * 7 + "div" else "in")
+        assert time.time() - start < 1
+
+
 def test_html_table_of_pages(spark):
     rows = [(1, None, "t"), (2, "", "t"), (3, "<p>same", "t"), (3, "<p>same", "t"), (None, "<b>x</b>", "t"), (4, "<p>" + "word " * 200_000, "t")]
     pages = spark.createDataFrame(rows, "page_id long, html string, text string")
