@@ -133,9 +133,16 @@ def recognise(docs: DataFrame, wanted: dict[str, str] | list[tuple[str, str]], o
 
 def refine(found: DataFrame) -> DataFrame:
     """Words refined by entity, their spans moved, invalid candidates out."""
-    better = values.refined(F.col("entity"), F.col("word"))
-    moved = found.withColumn("better", better).withColumn("start", values.refined_start(F.col("word"), F.col("better"), F.col("start")))
-    return moved.withColumn("end", F.when(F.instr(F.col("word"), F.col("better")) > 0, F.col("start") + F.length("better")).otherwise(F.col("end"))).withColumn("word", F.col("better")).drop("better").filter(F.length("word") > 0).filter(values.valid_candidate(F.col("entity"), F.col("word")))
+    def of(better: Column) -> Column:
+        at = F.instr(F.col("word"), better)
+        start = F.when((F.length(better) > 0) & (at > 0), F.col("start") + at - 1).otherwise(F.col("start"))
+        end = F.when(at > 0, start + F.length(better)).otherwise(F.col("end"))
+        good = (F.length(better) > 0) & values.valid_candidate(F.col("entity"), better)
+        return F.when(good, F.struct(start.alias("start"), end.alias("end"), better.alias("word")))
+
+    # An array of one or none: explode() computes it once, and filters don't repeat it.
+    moved = found.withColumn("better", F.explode(F.filter(F.array(let(values.refined(F.col("entity"), F.col("word")), of)), lambda x: x.isNotNull())))
+    return moved.withColumns({c: F.col(f"better.{c}") for c in ("start", "end", "word")}).drop("better")
 
 
 def without_overlaps(found: DataFrame, others: DataFrame) -> DataFrame:
@@ -220,18 +227,17 @@ def split_text(text: str, delimiter: str = "。", max_chars: int = MAX_CHARS, ma
 
 
 def chunks(docs: DataFrame, text_col: str = "text", delimiter: str = "。", max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(doc_id, chunk, start_offset): short texts stay native; only texts over a limit go through Python, in Arrow batches."""
+    """(doc_id, chunk, start_offset): one scan; only texts over a limit are sent to Python, in Arrow batches."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("array<struct<text:string,start_offset:int>>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"text": c, "start_offset": s} for c, s in split_text(t or "", delimiter, max_chars, max_bytes)])
+        return texts.map(lambda t: None if t is None else [{"text": c, "start_offset": s} for c, s in split_text(t, delimiter, max_chars, max_bytes)])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    long = needs_chunks(text, max_chars, max_bytes)
-    whole = docs.filter(~long & (text != "")).select("doc_id", text.alias("chunk"), F.lit(0).alias("start_offset"))
-    parts = docs.filter(long).select("doc_id", F.explode(cut(text)).alias("x")).select("doc_id", F.col("x.text").alias("chunk"), "x.start_offset")
-    return whole.unionByName(parts)
+    rows = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("text <> ''")
+    parts = rows.select("doc_id", "text", cut(F.when(needs_chunks(F.col("text"), max_chars, max_bytes), F.col("text"))).alias("parts"))
+    whole = F.array(F.struct("text", F.lit(0).alias("start_offset")))
+    return parts.select("doc_id", F.explode(F.coalesce("parts", whole)).alias("x")).select("doc_id", F.col("x.text").alias("chunk"), "x.start_offset")
 
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "█") -> DataFrame:

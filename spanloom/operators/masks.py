@@ -108,11 +108,13 @@ def map_rects(found: DataFrame, mapped: DataFrame) -> DataFrame:
 
     found: doc_id, det, start and end positions (page_num, block_num, offset), the end included.
     """
-    m = mapped.select(F.col("doc_id").alias("md"), "page_num", "block_num", "offset", *_PLACE)
     at = F.struct("page_num", "block_num", "offset")
-    on = (F.col("doc_id") == F.col("md")) & (at >= F.col("first")) & (at <= F.col("last"))
     place = lambda c: F.struct(*(F.col(f"{c}.{n}").cast(mapped.schema[n].dataType).alias(n) for n in ("page_num", "block_num", "offset")))
-    return found.select("doc_id", "det", place("start").alias("first"), place("end").alias("last")).join(m, on).drop("md", "first", "last")
+    # A span meets the pages that it crosses, not its whole document.
+    spans = found.select("doc_id", "det", place("start").alias("first"), place("end").alias("last")).filter("first.page_num <= last.page_num")
+    each = spans.withColumn("page_num", F.explode(F.sequence("first.page_num", "last.page_num")))
+    rows = each.join(mapped.select("doc_id", "page_num", "block_num", "offset", *_PLACE), ["doc_id", "page_num"])
+    return rows.filter((at >= F.col("first")) & (at <= F.col("last"))).select("doc_id", "det", "page_num", "block_num", "offset", *_PLACE)
 
 
 def line_boxes(chars: DataFrame, threshold: float | None = 2.0) -> DataFrame:
@@ -129,5 +131,5 @@ def page_quads(lines: DataFrame) -> DataFrame:
 
 def clipped_to_pages(shapes: DataFrame, pages: DataFrame) -> DataFrame:
     """Shapes cut to their page (doc_id, page_num, width, height); what lies outside goes."""
-    rows = shapes.join(pages, ["doc_id", "page_num"]).withColumn("r", G.clipped(G.rect(*_PLACE), G.rect(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height"))))
-    return rows.filter("r IS NOT NULL").withColumns({n: F.col(f"r.{n}") for n in _PLACE}).drop("r", "width", "height")
+    rows = shapes.join(pages, ["doc_id", "page_num"]).withColumn("part_", G.clipped(G.rect(*_PLACE), G.rect(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height"))))
+    return rows.filter("part_ IS NOT NULL").withColumns({n: F.col(f"part_.{n}") for n in _PLACE}).drop("part_", "width", "height")

@@ -67,6 +67,80 @@ def target_chars(text: Column, ignore_newlines: bool = True, ignore_whitespace:
     return F.filter(out, lambda c: ~blank(c["ch"])) if ignore_whitespace else out
 
 
+def target(text: Column, ignore_newlines: bool = True, ignore_whitespace: bool = False, pages: list[int] | None = None) -> Column:
+    """(text, segments): the text that detection reads, and where its stretches lie in the base text, all pages counted.
+
+    A segment (t, n, base) says that n characters from t on are those of the base text from base on; an inserted line break
+    has n = 1 and feed set, and lies at the border base.  Without white space a segment is a run between blanks, otherwise a
+    block: a row a block, not one a character.
+    """
+    from spanloom.operators.detect import let, running_spans, spans
+
+    kind = "array<struct<base:int,text:string,feed:boolean>>"
+    # Each page ends with an empty stretch of its own, so that pages without blocks break the line as well.
+    listed = F.flatten(F.transform(text, lambda p, i: F.concat(
+        F.transform(p, lambda b, j: F.struct(i.alias("page"), b.alias("text"), (j < F.size(p) - 1).alias("inner"), F.lit(False).alias("closes"))),
+        F.array(F.struct(i.alias("page"), F.lit("").alias("text"), F.lit(False).alias("inner"), F.lit(True).alias("closes"))),
+    )))
+    chosen = (lambda page: F.lit(True)) if pages is None else (lambda page: page.isin(*pages))
+    top = F.size(text) - 1 if pages is None else F.coalesce(F.array_max(F.filter(F.array(*map(F.lit, pages or [-1])), lambda p: p < F.size(text))), F.lit(-1))
+    gapless = lambda rows: running_spans(F.transform(rows, lambda x: F.struct(F.lit(0).alias("gap"), x["text"].alias("hit"))))
+
+    def pieces(b: Column, at: Column) -> Column:
+        one = lambda base, t, feed: F.struct(base.cast("int").alias("base"), t.alias("text"), F.lit(feed).alias("feed"))
+        none = F.array().cast(kind)
+        runs = F.transform(spans(b["text"], r"\S+", whole=True), lambda s: one(at + s["start"], s["text"], False)) if ignore_whitespace else F.array(one(at, b["text"], False))
+        own = F.when(chosen(b["page"]) & (b["text"] != ""), runs).otherwise(none)
+        if ignore_newlines or ignore_whitespace:
+            return own
+        breaks = chosen(b["page"]) & (b["inner"] | (b["closes"] & (b["page"] < top)))
+        return F.concat(own, F.when(breaks, F.array(one(at + F.length(b["text"]), F.lit("\n"), True))).otherwise(none))
+
+    def segments(found: Column) -> Column:
+        placed = F.zip_with(found, gapless(found), lambda x, s: F.struct(s["start"].alias("t"), F.length(x["text"]).alias("n"), x["base"].alias("base"), x["feed"].alias("feed")))
+        return F.struct(F.array_join(F.transform(found, lambda x: x["text"]), "").alias("text"), placed.alias("segments"))
+
+    return let(listed, lambda rows: let(F.flatten(F.zip_with(rows, gapless(rows), lambda b, s: pieces(b, s["start"]))), segments))
+
+
+#: Characters that the lookups of offsets take together.
+REACH = 1024
+
+
+def _held(rows: DataFrame, at: str, table: DataFrame) -> DataFrame:
+    """rows joined to the table's stretch (doc_id, first, n, ...) that holds their offset at, null where none does."""
+    cut = table.filter("n > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / REACH), F.floor((F.col("first") + F.col("n") - 1) / REACH)))).withColumnRenamed("doc_id", "of_doc")
+    on = (F.col("doc_id") == F.col("of_doc")) & (F.floor(F.col(at) / REACH) == F.col("cell")) & (F.col(at) >= F.col("first")) & (F.col(at) < F.col("first") + F.col("n"))
+    return rows.join(cut, on, "left").drop("of_doc", "cell")
+
+
+def mapped_back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """found (doc_id, start, end in the target text) with base_start, base_end; docs hold doc_id and target()'s value as target."""
+    table = docs.select("doc_id", F.explode("target.segments").alias("s")).select("doc_id", F.col("s.t").alias("first"), "s.n", "s.base", "s.feed")
+    rows = _held(found.withColumn("last_", F.col("end") - 1), "start", table)
+    rows = rows.withColumn("base_start", F.col("base") + F.col("start") - F.col("first")).drop("first", "n", "base", "feed")
+    rows = _held(rows, "last_", table)
+    return rows.withColumn("base_end", F.col("base") + F.when(F.col("feed"), 0).otherwise(F.col("last_") + 1 - F.col("first"))).drop("first", "n", "base", "feed", "last_")
+
+
+def positioned(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """found (doc_id, base_start, base_end) with the positions first and last, the last character's; docs: doc_id, text as pages of blocks.
+
+    A start outside is (0, 0, 0), an end outside the last block's last character.
+    """
+    place = lambda p, b, o: F.struct(p.cast("int").alias("page_num"), b.cast("int").alias("block_num"), o.cast("int").alias("offset"))
+    block = blocks(docs).withColumn("n", F.col("block_len")).withColumnRenamed("block_start", "first")
+    ends = block.groupBy("doc_id").agg(F.max(F.struct("page_num", "block_num", "n")).alias("e"))
+    ends = ends.select("doc_id", place(F.col("e.page_num"), F.col("e.block_num"), F.greatest(F.col("e.n") - 1, F.lit(0))).alias("end_"))
+    table = block.select("doc_id", "first", "n", "page_num", "block_num").withColumnsRenamed({"page_num": "p_", "block_num": "b_", "first": "first"})
+    zero = place(F.lit(0), F.lit(0), F.lit(0))
+    here = lambda at: F.when(F.col("p_").isNotNull(), place(F.col("p_"), F.col("b_"), F.col(at) - F.col("first")))
+    rows = _held(found.withColumn("last_", F.greatest(F.col("base_end") - 1, F.lit(0))), "base_start", table)
+    rows = rows.withColumn("first_", F.coalesce(here("base_start"), zero)).drop("first", "n", "p_", "b_")
+    rows = _held(rows, "last_", table).withColumn("then_", here("last_")).drop("first", "n", "p_", "b_").join(ends, "doc_id", "left")
+    return rows.withColumn("first", F.col("first_")).withColumn("last", F.coalesce("then_", "end_", zero)).drop("first_", "then_", "end_", "last_")
+
+
 def position_of(text: Column, offset: Column) -> Column:
     """Position of a flat offset: the block that holds it; null beyond the text.  Empty blocks never match."""
     sized = F.flatten(F.transform(text, lambda p, i: F.transform(p, lambda b, j: F.struct(i.alias("page_num"), j.alias("block_num"), F.length(b).alias("n")))))

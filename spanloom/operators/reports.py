@@ -41,8 +41,9 @@ def run_report(summaries: DataFrame) -> DataFrame:
 
 
 def attempted(rows: DataFrame, result: Column) -> DataFrame:
-    """rows with result and error: a row whose result is null failed, and stays."""
-    return rows.withColumn("result", result).withColumn("error", F.when(F.col("result").isNull(), "no result"))
+    """rows with result and error: a row whose result is null failed, and stays; an error that it has already is kept."""
+    own = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("result", result).withColumn("error", F.when(F.col("result").isNull(), F.coalesce(own, F.lit("no result"))))
 
 
 def block_statistics(block: DataFrame, cells: DataFrame | None = None) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import detect, resolve, sweep
+from spanloom.operators import detect, masks, pages, resolve, sweep
+from spanloom.plans import more, runs, service
 from spanloom.plans import queries as base
+from spanloom.shipping import ensure_checkpoint_dir
+from spanloom.sources import store
 
 _table = base._table
 FULL = "０１２３４５６７８９"
@@ -45,7 +50,173 @@ def contain_counts(spark: SparkSession, d: str) -> DataFrame:
     return sweep.with_containment(resolve.components(rows, "contain")).select("doc_id", "seq", "comp", "n_inside", "n_around")
 
 
-QUERIES = {"full_width_numbers": full_width_numbers, "word_patterns": word_patterns, "contain_counts": contain_counts}
+def _page_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as page documents: a turn is a page, a sentence a block after an image, 40 characters a line of spans of 25 and 15.
+
+    Characters 5, 16, 27, ... of a block are drawn with no opacity, others of the trace with some.
+    """
+    cut = lambda x, n: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / n).cast("int")), lambda k: F.substring(x, k * n + 1, n))
+    text = F.coalesce("text", F.lit(""))
+    chars = lambda s, i, j, k: F.transform(F.split(s, ""), lambda c, n: F.struct(c.alias("c"), ((k * 25 + n) * 6.0).alias("x"), (i * 100.0 + j * 12.0).alias("y"), F.array((k * 25 + n) * 6.0, i * 100.0 + j * 12.0, (k * 25 + n) * 6.0 + 6.0, i * 100.0 + j * 12.0 + 10.0).alias("bbox")))
+    line = lambda x, i, j: F.struct(F.transform(cut(x, 25), lambda s, k: F.struct(chars(s, i, j, k).alias("chars"))).alias("spans"))
+    lines = lambda b, i: F.when(F.length(b) > 0, F.transform(cut(b, 40), lambda x, j: line(x, i, j))).otherwise(F.array().cast("array<struct<spans:array<struct<chars:array<struct<c:string,x:double,y:double,bbox:array<double>>>>>>>"))
+    image = F.array(F.struct(F.array(*map(F.lit, (0.0, 0.0, 9.0, 9.0))).alias("bbox"), F.lit(None).alias("lines")))
+    sentences = F.transform(F.split(text, r"\. "), lambda b, i: F.struct(F.lit(None).cast("array<double>").alias("bbox"), lines(b, i).alias("lines")))
+    drawn = lambda b, i: F.transform(F.split(b, ""), lambda c, n: F.struct(F.when(n % 11 == 5, 0.0).otherwise(0.5).alias("opacity"), (n % 40 * 6.0).alias("x"), (i * 100.0 + F.floor(n / 40) * 12.0).alias("y"), c.alias("c")))
+    trace = F.flatten(F.transform(F.split(text, r"\. "), drawn))
+    page = F.struct(F.concat(image, sentences).alias("blocks"), trace.alias("trace")).cast(pages.PAGE)
+    turns = _table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", page.alias("page"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "page"))), lambda x: x["page"])
+    return turns.groupBy("doc_id").agg(listed.alias("pages"))
+
+
+def page_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The locator's texts, the blocks' texts and numbers, and the boxes, of page documents."""
+    p = F.col("pages")
+    rows = _page_documents(spark, d).select("doc_id", pages.locator_texts(p).alias("t"), pages.block_texts(p).alias("b"), pages.block_infos(p).alias("i"), F.size("pages").alias("n"))
+    blocks = F.flatten("i")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    widest = F.aggregate(blocks, F.lit(0.0), lambda a, b: a + b["bbox"][2] - b["bbox"][0])
+    listed = F.array_join(F.transform("b", lambda q: F.array_join(q, "|")), "/")
+    ids = F.array_join(F.transform("i", lambda q: F.array_join(F.transform(q, lambda b: b["page_block_id"].cast("string")), ",")), "/")
+    return rows.select("doc_id", sha(F.col("t.full_text")).alias("full_text"), sha(F.col("t.full_text_no_newlines")).alias("no_newlines"), sha(listed).alias("block_texts"), ids.alias("block_ids"), F.col("n").cast("long").alias("n_pages"), F.round(widest, 3).alias("widths"))
+
+
+def page_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Page documents taken apart into characters and put together again: whether nothing was lost, and the structure's spans."""
+    docs = _page_documents(spark, d)
+    back = pages.rebuilt(*pages.flattened(docs)).withColumnRenamed("pages", "again")
+    spans = F.flatten(F.transform(F.flatten(F.transform(F.flatten(F.transform(pages.structured(F.col("pages")), lambda p: p["blocks"])), lambda b: b["lines"])), lambda x: x["spans"]))
+    chars = pages.locator_rows(docs).groupBy("doc_id").agg(F.count("*").alias("n_chars"), F.max("global_char_idx").cast("long").alias("last_char"))
+    rows = docs.join(back, "doc_id").select("doc_id", (F.to_json("pages") == F.to_json("again")).alias("whole"), F.size(spans).cast("long").alias("n_spans"), F.sha2(F.array_join(F.transform(spans, lambda s: s["text"]), "|"), 256).alias("spans"))
+    return rows.join(chars, "doc_id", "left").fillna(0, ["n_chars"])
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all machines share, for a query's own tables."""
+    return f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
+def session_store(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of all customers saved, those of one segment saved again with another result, put together, and restored.
+
+    The first payloads of customers with debts are of the old shape; payloads of one nation are no JSON and give way to the embedded ones.
+    """
+    c = _table(spark, d, "customer").withColumn("path", F.concat(F.lit("/in/"), "c_name", F.lit(".pdf")))
+    word = F.struct(F.col("c_mktsegment").alias("word"), F.lit("OTHER").alias("entity"))
+    read = F.struct(F.array(F.array("c_name")).alias("text"), F.when(F.col("c_nationkey") % 2 == 0, F.array(word)).otherwise(F.array().cast("array<struct<word:string,entity:string>>")).alias("detect"))
+    new = F.to_json(F.struct(read.alias("read_result"), F.struct(F.array(word, word).alias("detect")).alias("detect_result")))
+    first = F.when(F.col("c_nationkey") == 7, F.concat(F.lit("{"), "c_name")).when(F.col("c_acctbal") < 0, F.to_json(read)).otherwise(new)
+    table = store.Table(spark, _folder(spark), ("path",))
+    digest = F.sha2("c_name", 256)
+    table.replace(store.session_rows(c.select("path", digest.alias("content_hash"), first.alias("payload"))))
+    again = c.filter("c_mktsegment = 'BUILDING'")
+    table.replace(store.session_rows(again.select("path", F.lit("old").alias("content_hash"), F.to_json(F.struct(F.struct(F.array("c_name").alias("text")).alias("ocr_result"))).alias("payload"))))
+    table.compact()
+    embedded = store.session_rows(c.select("path", F.lit(None).cast("string").alias("content_hash"), F.to_json(read).alias("payload")))
+    out = store.restored(c.select("path", digest.alias("content_hash")), table.read(), embedded)
+    # What was restored is written out as a session's text and read again.
+    back = store.session_rows(out.withColumn("content_hash", F.lit("")).select("path", store.payload().alias("payload")))
+    count = lambda r: F.size(F.try_variant_get(r, "$.detect", "array<variant>"))
+    told = back.select("path", count("detect_result").alias("again"))
+    rows = out.select("path", "source", "changed", F.try_variant_get("read_result", "$.text[0][0]", "string").alias("title"), count("detect_result").cast("long").alias("n"), F.col("ocr_result").isNotNull().alias("recognised"))
+    return rows.join(told, "path").select("path", "source", "changed", "title", "n", F.col("again").cast("long").alias("again"), "recognised")
+
+
+def page_commit(spark: SparkSession, d: str) -> DataFrame:
+    """Results by page, written for all pages, then for the pages of one segment's customers alone; pages that the second run found nothing on are empty."""
+    o = _table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 5).alias("page_num"), "o_orderkey", "o_orderstatus")
+    table = store.Table(spark, _folder(spark), ("doc_id", "page_num"))
+    table.replace(o.select("doc_id", "page_num", "o_orderkey", F.lit("old").alias("run")))
+    pages_ = _table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(F.col("c_custkey") % 5, (F.col("c_custkey") + 2) % 5)).alias("page_num"))
+    table.replace(o.filter("o_orderstatus <> 'F'").select("doc_id", "page_num", "o_orderkey", F.lit("new").alias("run")), pages_)
+    return table.read().groupBy("page_num", "run").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+def corpus_run(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of JSON that a careless writer made, in three runs: English ones came first, German ones had another
+    text then, and one source's names mark them as results.  What each run did, by the ledger."""
+    docs = _table(spark, d, "documents")
+    body = F.coalesce("text", F.lit(""))
+    content = lambda text: F.concat(F.lit('{"text":"'), F.regexp_replace(text, r"\s", " "), F.lit('"}'))
+    name = F.concat(F.when(F.col("source") == "src1", "note_masked.").otherwise("note."), F.col("doc_id").cast("string"))
+    files_ = lambda rows, text: rows.select("doc_id", name.alias("filename"), F.concat(F.lit("/in/"), name).alias("path"), content(text).alias("content")).withColumn("sha256", F.sha2("content", 256))
+
+    def read(rows: DataFrame) -> DataFrame:
+        parsed = F.from_json("content", "text string, broken string", {"columnNameOfCorruptRecord": "broken"})
+        return rows.select("path", parsed.alias("p")).select("path", "p.text", F.when(F.col("p.broken").isNotNull() | F.col("p.text").isNull(), "not JSON").alias("error"))
+
+    work = runs.detecting(read, lambda rows: detect.recognise(rows, base.SHAPES, whole=True))
+    table = runs.ledger(spark, _folder(spark))
+    runs.run(files_(docs.filter("lang = 'en'"), body), table, work, name="first")
+    runs.run(files_(docs.filter("lang IN ('en', 'de')"), F.when(F.col("lang") == "de", F.lit("leer")).otherwise(body)), table, work, name="second")
+    runs.run(files_(docs, body), table, work, name="third")
+    shown = runs.report(table)
+    listed = table.read().select("path", "run", "attempt")
+    return listed.join(shown.select(F.col("File").alias("path"), F.col("Status").alias("status"), F.col("Entities Found").alias("n"), F.col("Entity Types").alias("types")), "path").select("path", "run", *_long("attempt"), "status", *_long("n"), "types")
+
+
+SERVICE = {
+    "recognisers": base.SHAPES, "entities": [*base.SHAPES, "PERSON"], "ignore_newlines": False, "exclude": [r"1[0-9]{2}\.", "("], "chunks": {"max_chars": 10**6, "max_bytes": 10**7},
+    "add": [("TOKEN", r'token = "([0-9a-f]+)"'), ("PHONE_NUMBER", "[0-9]"), ("", "x"), ("OTHER ", "[")],
+}
+
+
+def service_detect(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as the service detects them: target text with line breaks, recognisers, added and excluded patterns, and a detection made by hand before."""
+    docs = base._docs(spark, d)
+    place = lambda o: F.struct(F.lit(0).alias("page_num"), F.lit(0).alias("block_num"), o.cast("int").alias("offset"))
+    title = F.substring(F.col("text")[0][0], 1, 3)
+    before = F.struct(place(F.lit(0)).alias("first"), place(F.length(title) - 1).alias("last"), F.lit("OTHER").alias("entity"), title.alias("word"), F.lit("manual").alias("origin"))
+    found = service.run_detect(docs.withColumn("detect", F.when(F.size("text") > 0, F.array(before, before))), SERVICE)
+    return found.select("doc_id", "entity", "word", "origin", *[F.col(f"{c}.{n}").cast("long").alias(f"{c}_{n}") for c in ("first", "last") for n in ("page_num", "block_num", "offset")])
+
+
+def joined_detect(spark: SparkSession, d: str) -> DataFrame:
+    """Pages from the second on, without line breaks or white space: words of one letter repeated, wherever the base text has them."""
+    options = {"recognisers": {}, "ignore_whitespace": True, "pages": [*range(1, 10_000), "x"], "add": [("OTHER", "(?i)" + "|".join(f"{c}{{3,}}" for c in "abcdefghijklmnopqrstuvwxyz"))]}
+    found = service.run_detect(base._docs(spark, d), options)
+    return found.select("doc_id", "word", *[F.col(f"{c}.{n}").cast("long").alias(f"{c}_{n}") for c in ("first", "last") for n in ("page_num", "block_num", "offset")])
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """A detection a conversation turn: its middle half; every third with a given rectangle, every fifth with a shape made by hand."""
+    t = _table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_num"), "role", F.length(F.coalesce("text", F.lit(""))).alias("n")).filter("n > 0")
+    place = lambda o: F.struct(F.col("page_num"), F.lit(0).alias("block_num"), o.cast("int").alias("offset"))
+    k = F.col("page_num")
+    rect = F.struct(F.lit(None).cast("int").alias("page_num"), *[F.lit(x).alias(c) for x, c in ((0.0, "x0"), (0.0, "y0"), (30.0, "x1"), (30.0, "y1"))])
+    circle = F.struct(F.lit(None).cast("int").alias("page_num"), F.lit(1.0).alias("center_x"), F.lit(1.0).alias("center_y"), F.lit(-1.0).alias("radius"))
+    return t.select(
+        "doc_id", k.alias("det"), k.cast("long").alias("seq"), F.when(F.col("role") == "user", "PERSON").otherwise("YEAR").alias("entity"), F.concat(F.lit("w"), k.cast("string")).alias("word"), F.lit("auto").alias("origin"), "page_num",
+        place(F.floor(F.col("n") / 4)).alias("first"), place(F.floor((F.col("n") - 1) * 3 / 4)).alias("last"), F.lit("").alias("selection_mode"), F.when(k % 5 == 4, F.array(rect)).alias("mask_rects"),
+        F.when(k < 0, F.array(circle)).alias("mask_circles"), F.when(k % 3 == 0, F.array(F.array(F.lit(10.0), F.lit(10.0), F.lit(50.0), F.lit(20.0)))).alias("rects_pdf"),
+    )
+
+
+def service_mask(spark: SparkSession, d: str) -> DataFrame:
+    """From detections to shapes: given rectangles before the locator's characters before the coordinate map's, shapes made by hand before all, cut to the page."""
+    found, chars = _turns(spark, d), more._chars(spark, d)
+    known = chars.filter("page_num % 3 <> 2")
+    size = found.select("doc_id", "page_num", F.lit(200.0).alias("width"), F.lit(60.0).alias("height")).distinct()
+    plan = service.run_mask(found, masks.mask_styles(spark, ["PERSON=#F00@0.25"]), size, known, chars)
+    return plan.select("doc_id", *_long("page_num"), "entity", "shape", "x0", "y0", "x1", "y1", *[F.round(c, 4).alias(c) for c in ("r", "alpha")])
+
+
+def mask_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations of each conversation after masking by its own method and mode; an unknown method copies the file as it is."""
+    found, chars = _turns(spark, d), more._chars(spark, d)
+    planned = service.marked(found, chars)
+    old = F.struct(F.lit("Highlight").alias("annotation_type"), F.col("word"), *[F.lit(x).alias(c) for x, c in ((10.05, "x0"), (10.0, "y0"), (50.0, "x1"), (20.0, "y1"))])
+    square = F.struct(F.lit("Square").alias("annotation_type"), F.lit("old").alias("word"), *[F.lit(x).alias(c) for x, c in ((0.0, "x0"), (0.0, "y0"), (30.0, "x1"), (30.0, "y1"))])
+    existing = found.select("doc_id", "page_num", "entity", F.explode(F.array(old, square)).alias("a")).select("doc_id", "page_num", "entity", F.col("a.word").alias("word"), "a.annotation_type", F.lit("t").alias("title"), F.lit("c").alias("content"), "a.x0", "a.y0", "a.x1", "a.y1")
+    k = F.col("doc_id")
+    asked = found.select("doc_id").distinct().select("doc_id", F.when(k % 4 == 0, "annotation").when(k % 4 == 1, "highlight").when(k % 4 == 2, "both").otherwise("ink").alias("method"), F.when(k % 3 == 0, "clear_all").when(k % 3 == 1, "append").otherwise("reset_and_append").alias("mode"))
+    out = service.dispatch(planned, existing, asked)
+    rows = out.select("doc_id", "action", F.explode("annotations").alias("a"))
+    return rows.groupBy("doc_id", "action", F.col("a.annotation_type").alias("kind"), F.col("a.new").alias("new")).agg(F.count("*").alias("n"), F.round(F.sum("a.x1"), 3).alias("x1"))
+
+
+QUERIES = {"service_detect": service_detect, "joined_detect": joined_detect, "service_mask": service_mask, "mask_dispatch": mask_dispatch, "session_store": session_store, "page_commit": page_commit, "corpus_run": corpus_run, "page_scan": page_scan, "page_rows": page_rows, "full_width_numbers": full_width_numbers, "word_patterns": word_patterns, "contain_counts": contain_counts}
 
 _WORD = r"[\p{L}\p{N}_]"
 _NUMBERS = """SELECT o_orderkey AS k, o_custkey AS c, lpad((o_orderkey * 7919 + o_custkey * 104729)::VARCHAR, 12, '1') AS number,
@@ -56,7 +227,62 @@ _PARTS = f"SELECT doc_id, unnest(regexp_extract_all(text, '{_WORD}+')) AS word F
 _SHIPPED = """SELECT DISTINCT l_suppkey % 10 AS doc_id, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS s,
  date_diff('day', DATE '1992-01-01', l_shipdate::DATE) + l_quantity::BIGINT AS e FROM lineitem"""
 
+# Sentences by turn; each character with its line and span, the hidden ones out.
+_SENTENCES = "SELECT conv_id AS doc_id, turn, t, i - 1 AS i, t[i] AS b FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), '. ') AS t FROM conversations), range(1, len(t) + 1) r(i)"
+_LINES_P = f"""SELECT doc_id, turn, i, j, (length(b) + 39) // 40 AS n_lines, j = (length(b) + 39) // 40 - 1 AS last,
+ array_to_string(list_transform(list_filter(range(j * 40, least(length(b), j * 40 + 40)), lambda k: k % 11 <> 5), lambda k: substr(b, k + 1, 1)), '') AS v,
+ list_transform([0, 25], lambda a: array_to_string(list_transform(list_filter(range(j * 40 + a, least(length(b), j * 40 + a + CASE a WHEN 0 THEN 25 ELSE 15 END)), lambda k: k % 11 <> 5), lambda k: substr(b, k + 1, 1)), '')) AS spans,
+ list_max(list_filter(range(j * 40, least(length(b), j * 40 + 40)), lambda k: k % 11 <> 5)) % 40 * 6 + 6 AS x1, list_min(list_filter(range(j * 40, least(length(b), j * 40 + 40)), lambda k: k % 11 <> 5)) % 40 * 6 AS x0
+ FROM ({_SENTENCES}), range(0, (length(b) + 39) // 40) l(j) WHERE b <> ''"""
+_BLOCKS_P = f"SELECT doc_id, turn, i, string_agg(v, '' ORDER BY j) AS v, string_agg(v || CASE WHEN v <> '' AND NOT last THEN chr(10) ELSE '' END, '' ORDER BY j) AS f, (max(x1) - min(x0))::DOUBLE AS w FROM ({_LINES_P}) GROUP BY doc_id, turn, i"
+_TURNS_P = f"""SELECT c.conv_id AS doc_id, c.turn, coalesce(b.f, '') AS f, b.texts, b.ids, b.w FROM conversations c LEFT JOIN (
+ SELECT doc_id, turn, string_agg(f, '' ORDER BY i) AS f, string_agg(v, '|' ORDER BY i) FILTER (trim(v) <> '') AS texts, count(*) FILTER (trim(v) <> '') AS n,
+  array_to_string(range(count(*) FILTER (trim(v) <> '')), ',') AS ids, sum(w) FILTER (trim(v) <> '') AS w FROM ({_BLOCKS_P}) GROUP BY doc_id, turn) b ON b.doc_id = c.conv_id AND b.turn = c.turn"""
+
+_CUSTOMER = "SELECT *, '/in/' || c_name || '.pdf' AS path, (c_nationkey % 2 = 0)::BIGINT AS listed, c_mktsegment = 'BUILDING' AS later, c_nationkey = 7 AS broken FROM customer"
+_HITS_RUN = " UNION ALL ".join(f"SELECT doc_id, '{e}' AS entity, len(regexp_extract_all(coalesce(text, ''), '{p}')) AS n FROM documents" for e, p in base.SHAPES.items())
+
+_AT = lambda p, group=0: f"""SELECT doc_id, i, {'m' if not group else 'c'}[k] AS word, (length(array_to_string(list_slice(g, 1, k), '')) + coalesce(length(array_to_string(list_slice(m, 1, k - 1), '')), 0) + {9 if group else 0})::BIGINT AS o
+ FROM (SELECT doc_id, i, regexp_extract_all(t, '{p}') AS m, {f"regexp_extract_all(t, '{p}', 1)" if group else "NULL"} AS c, string_split_regex(t, '{p}') AS g FROM ({base._BLOCKS})), range(1, len(m) + 1) r(k)"""
+_SERVICE = " UNION ALL ".join([*(f"SELECT doc_id, i, '{e}' AS entity, word, 'auto' AS origin, o FROM ({_AT(p)})" for e, p in base.SHAPES.items()), f"""SELECT doc_id, i, 'TOKEN' AS entity, word, 'custom' AS origin, o FROM ({_AT('token = "([0-9a-f]+)"', 1)})"""])
+_PLACED_S = "i // 8 AS first_page_num, i % 8 AS first_block_num, o AS first_offset, i // 8 AS last_page_num, i % 8 AS last_block_num, o + length(word) - 1 AS last_offset"
+# Characters with their places, white space out, so that neighbours of the joined text are neighbours here.
+_LETTERS = f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, o) AS t FROM (SELECT doc_id, i, o, lower(substr(t, o + 1, 1)) AS c FROM ({base._BLOCKS}), range(0, length(t)) r(o) WHERE i >= 8) WHERE NOT regexp_matches(c, '[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\p{{Z}}]')"""
+_TURN = "SELECT conv_id AS doc_id, turn AS p, CASE role WHEN 'user' THEN 'PERSON' ELSE 'YEAR' END AS entity, length(text) AS n, length(text) // 4 AS a, (length(text) - 1) * 3 // 4 AS b FROM conversations WHERE length(coalesce(text, '')) > 0"
+_BOXES = f"""SELECT doc_id, p, entity, (greatest(a, j * 40) % 40 * 6)::DOUBLE AS x0, (j * 12)::DOUBLE AS y0, (least(b, j * 40 + 39) % 40 * 6 + 6)::DOUBLE AS x1, (j * 12 + 10)::DOUBLE AS y1 FROM ({_TURN}), range(a // 40, b // 40 + 1) r(j) WHERE p % 3 <> 0 AND p % 5 <> 4
+ UNION ALL SELECT doc_id, p, entity, 10, 10, 50, 20 FROM ({_TURN}) WHERE p % 3 = 0 AND p % 5 <> 4"""
+_SHAPES_M = f"SELECT *, false AS hand FROM ({_BOXES}) UNION ALL SELECT doc_id, p, entity, 0, 0, 30, 30, true FROM ({_TURN}) WHERE p % 5 = 4"
+
 SQL = {
+    "service_detect": f"""WITH f AS ({_SERVICE}), x AS ({_AT(r'1[0-9]{2}[.]')})
+ SELECT doc_id, entity, word, origin, {_PLACED_S} FROM f WHERE NOT regexp_matches(word, '1[0-9]{{2}}[.]') AND NOT EXISTS (FROM x WHERE x.doc_id = f.doc_id AND x.i = f.i AND x.o < f.o + length(f.word) AND f.o < x.o + length(x.word))
+ UNION ALL SELECT doc_id, 'OTHER', left(t, 3), 'manual', 0, 0, 0, 0, 0, length(left(t, 3)) - 1 FROM ({base._BLOCKS}) WHERE i = 0""",
+    "joined_detect": f"""WITH l AS (SELECT *, sum(CASE WHEN c = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY t) AS run FROM (SELECT *, coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY t), '') AS before FROM ({_LETTERS})))
+ SELECT doc_id, string_agg(substr(b.t, o + 1, 1), '' ORDER BY l.t) AS word, arg_min(i, l.t) // 8 AS first_page_num, arg_min(i, l.t) % 8 AS first_block_num, arg_min(o, l.t) AS first_offset, arg_max(i, l.t) // 8 AS last_page_num, arg_max(i, l.t) % 8 AS last_block_num, arg_max(o, l.t) AS last_offset
+ FROM l JOIN ({base._BLOCKS}) b USING (doc_id, i) WHERE c BETWEEN 'a' AND 'z' GROUP BY doc_id, run HAVING count(*) >= 3""",
+    "service_mask": f"""SELECT doc_id, p AS page_num, entity, 'rect' AS shape, x0, y0, least(x1, 200) AS x1, least(y1, 60) AS y1, 1.0 AS r, CASE entity WHEN 'PERSON' THEN 0.25 ELSE 0.35 END AS alpha FROM (SELECT * FROM ({_SHAPES_M})
+ WHERE x0 < 200 AND y0 < 60) WHERE entity = 'PERSON' UNION ALL SELECT doc_id, p, entity, 'rect', x0, y0, least(x1, 200), least(y1, 60), 0.78, 0.35 FROM ({_SHAPES_M}) WHERE x0 < 200 AND y0 < 60 AND entity <> 'PERSON'""",
+    "mask_dispatch": f"""WITH m AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'annotation' WHEN 1 THEN 'highlight' WHEN 2 THEN 'both' ELSE 'ink' END AS method, doc_id % 3 = 1 AS append FROM (SELECT DISTINCT doc_id FROM ({_TURN}))),
+ e AS (SELECT doc_id, 'Highlight' AS kind, false AS new, 50.0 AS x1, (append OR method IN ('ink', 'annotation')) AS stays FROM ({_TURN}) JOIN m USING (doc_id) UNION ALL SELECT doc_id, 'Square', false, 30.0, append OR method <> 'annotation' FROM ({_TURN}) JOIN m USING (doc_id)),
+ n AS (SELECT doc_id, CASE WHEN hand THEN 'Square' ELSE 'Highlight' END AS kind, true AS new, x1, CASE WHEN hand THEN method IN ('annotation', 'both')
+  ELSE method IN ('highlight', 'both') AND NOT (append AND x0 = 10 AND x1 = 50 AND y0 = 10) END AS stays FROM ({_SHAPES_M}) JOIN m USING (doc_id))
+ SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 'copied' ELSE 'masked' END AS action, kind, new, count(*) AS n, round(sum(x1), 3) AS x1 FROM (FROM e UNION ALL FROM n) WHERE stays GROUP BY ALL""",
+    "session_store": """SELECT path, CASE WHEN later OR NOT broken THEN 'sidecar' ELSE 'embedded' END AS source, later AS changed, CASE WHEN NOT later THEN c_name END AS title,
+ CASE WHEN later THEN NULL WHEN broken OR c_acctbal < 0 THEN nullif(listed, 0) ELSE 2 END AS n, CASE WHEN later THEN NULL WHEN broken OR c_acctbal < 0 THEN nullif(listed, 0) ELSE 2 END AS again, later AS recognised FROM (%s)""" % _CUSTOMER,
+    "page_commit": """SELECT page_num, run, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM (SELECT o_orderkey % 5 AS page_num, o_orderkey, o_orderstatus,
+ CASE WHEN c_mktsegment = 'BUILDING' AND o_orderkey % 5 IN (c_custkey % 5, (c_custkey + 2) % 5) THEN 'new' ELSE 'old' END AS run FROM orders LEFT JOIN customer ON c_custkey = o_custkey)
+ WHERE run = 'old' OR o_orderstatus <> 'F' GROUP BY ALL""",
+    "corpus_run": f"""WITH h AS (SELECT doc_id, sum(n)::BIGINT AS n, coalesce(string_agg(entity || ':' || n, ', ' ORDER BY entity) FILTER (n > 0), '') AS types FROM ({_HITS_RUN}) GROUP BY doc_id),
+ f AS (SELECT d.doc_id, lang, source = 'src1' AS skip, contains(coalesce(text, ''), '"') OR contains(coalesce(text, ''), chr(92)) AS bad, h.n, h.types FROM documents d JOIN h ON h.doc_id = d.doc_id)
+ SELECT '/in/' || CASE WHEN skip THEN 'note_masked.' ELSE 'note.' END || doc_id AS path,
+ CASE WHEN lang = 'en' THEN CASE WHEN bad AND NOT skip THEN 'third' ELSE 'first' END ELSE 'third' END AS run,
+ CASE WHEN lang = 'en' THEN CASE WHEN bad AND NOT skip THEN 3 ELSE 1 END WHEN lang = 'de' THEN 2 ELSE 1 END AS attempt,
+ CASE WHEN skip THEN 'Skipped' WHEN bad THEN 'Error' ELSE 'Success' END AS status, CASE WHEN skip OR bad THEN 0 ELSE n END AS n, CASE WHEN skip OR bad THEN '' ELSE types END AS types FROM f""",
+    "page_scan": f"""SELECT doc_id, sha256(string_agg(f, chr(10) ORDER BY turn)) AS full_text, sha256(replace(string_agg(f, '' ORDER BY turn), chr(10), '')) AS no_newlines,
+ sha256(coalesce(string_agg(texts, '/' ORDER BY turn), '')) AS block_texts, string_agg(coalesce(ids, ''), '/' ORDER BY turn) AS block_ids, count(*) AS n_pages, round(coalesce(sum(w), 0), 3) AS widths FROM ({_TURNS_P}) GROUP BY doc_id""",
+    "page_rows": f"""SELECT a.doc_id, true AS whole, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(spans, '')) AS spans, n_chars, CASE WHEN n_chars > 0 THEN n_chars - 1 END AS last_char
+ FROM (SELECT doc_id, sum(length(f))::BIGINT AS n_chars FROM ({_TURNS_P}) GROUP BY doc_id) a LEFT JOIN
+ (SELECT doc_id, count(*) AS n_spans, string_agg(s, '|' ORDER BY turn, i, j, k) AS spans FROM (SELECT doc_id, turn, i, j, k, spans[k] AS s FROM ({_LINES_P}), range(1, 3) r(k)) WHERE s <> '' GROUP BY doc_id) b USING (doc_id)""",
     "full_width_numbers": f"""SELECT k AS doc_id, 'INDIVIDUAL_NUMBER' AS entity, CASE k % 3 WHEN 0 THEN translate(number, '0123456789', '{FULL}') ELSE translate(left(number, 4), '0123456789', '{FULL}') || '-' || substr(number, 5) END AS word,
  3 AS start, CASE k % 3 WHEN 0 THEN 15 ELSE 16 END AS "end" FROM ({_NUMBERS}) WHERE k % 3 <> 2
  UNION ALL SELECT k, 'PHONE_NUMBER', substr(number, 5), 8, 16 FROM ({_NUMBERS}) WHERE k % 3 = 1 AND substr(number, 5, 1) = '0'

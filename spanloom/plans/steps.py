@@ -44,6 +44,11 @@ def numbered(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "seq", "entity", "start", "end", "word", "origin")
 
 
+def ordered(found: DataFrame, *keys: str) -> DataFrame:
+    """found with seq, its place in the document by the keys."""
+    return found.withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy(*keys)).cast("long"))
+
+
 def duplicate_step(state: State, options: dict) -> State:
     rows = numbered(state["found"]).select("doc_id", "seq", "entity", F.col("start").alias("gstart"), (F.col("end") - 1).alias("gend"), "word", "origin")
     best = resolve.resolve(rows, options.get("overlap", "overlap"), options.get("entities", "any"))
