@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanloom.functions.patterns import SPACE
+
 # Entity types in their order, aliases, and Japanese names.
 ENTITIES = ("PERSON", "LOCATION", "DATE_TIME", "PHONE_NUMBER", "INDIVIDUAL_NUMBER", "YEAR", "PROPER_NOUN", "OTHER")
 ALIASES = {"address": "LOCATION"}
@@ -34,11 +36,12 @@ def _lookup(table: dict[str, str], key: Column, default: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def blank(text: Column) -> Column:
-    return text.rlike(r"(?U)^\s*$")
+    """Whether there is nothing but white space: the search ends at the first other character."""
+    return ~text.rlike(rf"[^{SPACE}]")
 
 
 def entity_key(name: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import patterns, values
+from spanloom.operators import choose
 from spanloom.shipping import ship
 
 # The built-in patterns.  Their recognisers report the whole match, whatever it captures (``whole``).
@@ -156,14 +157,9 @@ def greedy(found: DataFrame) -> DataFrame:
 
     prio is the pattern's place among its entity's.  Of equal ones the entity that was listed later is taken first.
     """
-    rank = found.withColumn("late", -F.coalesce(F.col("place") if "place" in found.columns else F.lit(0), F.lit(0)))
-    found = rank
-    taken = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("prio", "start", "late", "end", "entity", "word", "origin"))),
-        F.array().cast("array<struct<prio:int,start:int,late:int,end:int,entity:string,word:string,origin:string>>"),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return found.groupBy("doc_id").agg(taken.alias("t")).select("doc_id", F.explode("t").alias("x")).select("doc_id", "x.entity", "x.start", "x.end", "x.word", "x.origin", "x.prio")
+    late = -F.coalesce(F.col("place") if "place" in found.columns else F.lit(0), F.lit(0))
+    taken = choose.first_free(found.withColumn("late", late), "prio", "start", "late", "end", "entity", "word")
+    return taken.select("doc_id", "entity", "start", "end", "word", "origin", "prio")
 
 
 def excluded(text: Column, substrings=(), searches=(), exact=()) -> Column:

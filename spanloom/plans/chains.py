@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import detect, masks, pages, resolve, sweep
+from spanloom.operators import detect, masks, pages, registry, resolve, sweep
 from spanloom.plans import more, runs, service
 from spanloom.plans import queries as base
 from spanloom.shipping import ensure_checkpoint_dir
@@ -216,7 +216,33 @@ def mask_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("doc_id", "action", F.col("a.annotation_type").alias("kind"), F.col("a.new").alias("new")).agg(F.count("*").alias("n"), F.round(F.sum("a.x1"), 3).alias("x1"))
 
 
-QUERIES = {"service_detect": service_detect, "joined_detect": joined_detect, "service_mask": service_mask, "mask_dispatch": mask_dispatch, "session_store": session_store, "page_commit": page_commit, "corpus_run": corpus_run, "page_scan": page_scan, "page_rows": page_rows, "full_width_numbers": full_width_numbers, "word_patterns": word_patterns, "contain_counts": contain_counts}
+#: Recognisers of shapes that the documents hold; the context words are common ones.
+SCORED = (
+    registry.Recogniser("EMAIL", ((base.SHAPES["EMAIL"], 0.5), (r"@[a-z0-9.]+\.com", 0.3)), None, ("the", "der")),
+    registry.Recogniser("CARD", ((r"(?<![0-9A-Za-z])[0-9]{16}(?![0-9A-Za-z])", 0.3),), registry.luhn),
+    registry.Recogniser("IP", ((base.SHAPES["IP"], 0.6),), registry.address_parts, ("the",)),
+)
+
+
+def scored_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Scored matches in whole documents: checked by Luhn and by the parts of addresses, raised by context words, those inside better ones left out."""
+    found = registry.analyse(_table(spark, d, "documents"), SCORED)
+    return found.select("doc_id", "entity", "word", *_long("start"), F.round("score", 4).alias("score"), "checked")
+
+
+def scored_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers made from orders, by the registry's own recognisers: card numbers whose check digit is right, addresses, and account numbers."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    card = F.lpad((k * 7919 + c * 104729).cast("string"), 16, "4")
+    address = F.concat_ws(".", (k % 300).cast("string"), (c % 256).cast("string"), (k % 7).cast("string"), F.lit("1"))
+    bank = F.lpad((k * 31 + c).cast("string"), 18, "3")
+    iban = F.concat(F.lit("DE"), F.lpad((k % 97).cast("string"), 2, "0"), bank)
+    text = F.concat(F.lit("Karte "), card, F.lit(" von "), address, F.lit(" an "), iban, F.lit(" a.b"), k.cast("string"), F.lit("@x-y.org oder visa "), card)
+    found = registry.analyse(_table(spark, d, "orders").select(k.alias("doc_id"), text.alias("text")), entities=["CREDIT_CARD", "IP_ADDRESS", "IBAN_CODE", "EMAIL_ADDRESS"])
+    return found.groupBy("doc_id", "entity", "word").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+
+
+QUERIES = {"scored_entities": scored_entities, "scored_cards": scored_cards, "service_detect": service_detect, "joined_detect": joined_detect, "service_mask": service_mask, "mask_dispatch": mask_dispatch, "session_store": session_store, "page_commit": page_commit, "corpus_run": corpus_run, "page_scan": page_scan, "page_rows": page_rows, "full_width_numbers": full_width_numbers, "word_patterns": word_patterns, "contain_counts": contain_counts}
 
 _WORD = r"[\p{L}\p{N}_]"
 _NUMBERS = """SELECT o_orderkey AS k, o_custkey AS c, lpad((o_orderkey * 7919 + o_custkey * 104729)::VARCHAR, 12, '1') AS number,
@@ -253,7 +279,21 @@ _BOXES = f"""SELECT doc_id, p, entity, (greatest(a, j * 40) % 40 * 6)::DOUBLE AS
  UNION ALL SELECT doc_id, p, entity, 10, 10, 50, 20 FROM ({_TURN}) WHERE p % 3 = 0 AND p % 5 <> 4"""
 _SHAPES_M = f"SELECT *, false AS hand FROM ({_BOXES}) UNION ALL SELECT doc_id, p, entity, 0, 0, 30, 30, true FROM ({_TURN}) WHERE p % 5 = 4"
 
+_DOC_AT = lambda p: f"""SELECT doc_id, text, m[k] AS word, (length(array_to_string(list_slice(g, 1, k), '')) + coalesce(length(array_to_string(list_slice(m, 1, k - 1), '')), 0))::BIGINT AS o
+ FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{p}') AS m, string_split_regex(coalesce(text, ''), '{p}') AS g FROM documents), range(1, len(m) + 1) r(k)"""
+_NEAR = lambda word: f"contains(lower(substr(text, greatest(1, o - {50 + len(word)} + 1), least(o, {50 + len(word)}))), '{word}')"
+_LUHN = lambda x, n: f"(SELECT sum(CASE WHEN (i % 2) = 0 THEN v WHEN v > 4 THEN 2 * v - 9 ELSE 2 * v END) % 10 = 0 FROM (SELECT i, substr(reverse({x}), i + 1, 1)::INT AS v FROM range({n}) q(i)))"
+_MADE = """SELECT k, lpad((k * 7919 + c * 104729)::VARCHAR, 16, '4') AS card, (k % 300) || '.' || (c % 256) || '.' || (k % 7) || '.1' AS address, k % 300 < 256 AS good,
+ 'DE' || lpad((k % 97)::VARCHAR, 2, '0') || lpad((k * 31 + c)::VARCHAR, 18, '3') AS iban, (lpad((k * 31 + c)::VARCHAR, 18, '3') || '1314' || lpad((k % 97)::VARCHAR, 2, '0'))::HUGEINT % 97 = 1 AS sound FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders)"""
+
 SQL = {
+    "scored_entities": f"""WITH e AS ({_DOC_AT(base.SHAPES['EMAIL'])}), a AS ({_DOC_AT('@[a-z0-9.]+[.]com')}), w AS ({_DOC_AT('[0-9A-Za-z]+')}), p AS ({_DOC_AT(base.SHAPES['IP'])}),
+ x AS (SELECT *, 0.5 AS s FROM e UNION ALL SELECT *, 0.3 FROM a WHERE NOT EXISTS (FROM e WHERE e.doc_id = a.doc_id AND e.o <= a.o AND a.o + length(a.word) <= e.o + length(e.word)))
+ SELECT doc_id, 'EMAIL' AS entity, word, o AS start, round(CASE WHEN {_NEAR('the')} OR {_NEAR('der')} THEN s + 0.35 ELSE s END, 4) AS score, false AS checked FROM x
+ UNION ALL SELECT doc_id, 'CARD', word, o, 1.0, true FROM w WHERE regexp_matches(word, '^[0-9]{{16}}$') AND {_LUHN('word', 16)}
+ UNION ALL SELECT doc_id, 'IP', word, o, 1.0, true FROM p WHERE len(list_filter(string_split(word, '.'), lambda v: v::INT < 256)) = 4""",
+    "scored_cards": f"""SELECT k AS doc_id, 'CREDIT_CARD' AS entity, card AS word, 2 AS n, 1.0 AS score FROM ({_MADE}) WHERE {_LUHN('card', 16)}
+ UNION ALL SELECT k, 'IP_ADDRESS', address, 1, 1.0 FROM ({_MADE}) WHERE good UNION ALL SELECT k, 'IBAN_CODE', iban, 1, 1.0 FROM ({_MADE}) WHERE sound UNION ALL SELECT k, 'EMAIL_ADDRESS', 'a.b' || k || '@x-y.org', 1, 1.0 FROM ({_MADE})""",
     "service_detect": f"""WITH f AS ({_SERVICE}), x AS ({_AT(r'1[0-9]{2}[.]')})
  SELECT doc_id, entity, word, origin, {_PLACED_S} FROM f WHERE NOT regexp_matches(word, '1[0-9]{{2}}[.]') AND NOT EXISTS (FROM x WHERE x.doc_id = f.doc_id AND x.i = f.i AND x.o < f.o + length(f.word) AND f.o < x.o + length(x.word))
  UNION ALL SELECT doc_id, 'OTHER', left(t, 3), 'manual', 0, 0, 0, 0, 0, length(left(t, 3)) - 1 FROM ({base._BLOCKS}) WHERE i = 0""",
