@@ -34,6 +34,33 @@ def annotations(raw: DataFrame) -> DataFrame:
     return rows.withColumns({"detect_word": F.col("p.detect_word"), "entity_type": F.col("p.entity_type"), "opacity": F.coalesce("opacity", F.lit(1.0))}).drop("p", "vertices")
 
 
+def covered_text(marks: DataFrame, words: DataFrame, wider: float = 5.0) -> DataFrame:
+    """(doc_id, mark, covered_text): the words under each mark (doc_id, mark, page_num, rect), in their order, with blanks between.
+
+    words: doc_id, page_num, seq, text, x0, y0, x1, y1.  A word is covered if it shares an area with the rectangle; only marks
+    that cover none are looked up again, with rectangles wider by so many points on every side.  Places meet in grid cells.
+    """
+    w = words.select("doc_id", "page_num", "seq", "text", G.rect(*_PLACE).alias("w")).withColumn("g", F.explode(G.grid_cells(F.col("w")))).select("doc_id", "page_num", "seq", "text", "w", "g.gx", "g.gy")
+
+    def under(rows: DataFrame) -> DataFrame:
+        cells = rows.withColumn("g", F.explode(G.grid_cells(F.col("rect")))).select("doc_id", "mark", "page_num", "rect", "g.gx", "g.gy")
+        hit = cells.join(w, ["doc_id", "page_num", "gx", "gy"]).filter(G.intersects(F.col("rect"), F.col("w"))).select("doc_id", "mark", "seq", "text").distinct()
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
+        return hit.groupBy("doc_id", "mark").agg(F.array_join(listed, " ").alias("covered_text"))
+
+    given = marks.select("doc_id", "mark", "page_num", F.col("rect").cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("rect"))
+    first = under(given)
+    grown = G.rect(*[F.col(f"rect.{c}") + (wider if c[1] == "1" else -wider) for c in _PLACE])
+    again = under(given.join(first, ["doc_id", "mark"], "left_anti").withColumn("rect", grown))
+    return marks.select("doc_id", "mark").join(first.unionByName(again), ["doc_id", "mark"], "left").withColumn("covered_text", F.coalesce("covered_text", F.lit("")))
+
+
+def mark_colours(stroke: Column, fill: Column) -> Column:
+    """(stroke_color, fill_color), each (rgb, hex) of a list of channels in 0..1; null where there is none, black where channels are missing."""
+    one = lambda c: F.when(F.size(c) > 0, F.struct(c.alias("rgb"), F.when(F.size(c) >= 3, G.hex_colour(F.get(c, F.lit(0)), F.get(c, F.lit(1)), F.get(c, F.lit(2)))).otherwise("#000000").alias("hex")))
+    return F.struct(one(stroke).alias("stroke_color"), one(fill).alias("fill_color"))
+
+
 def highlights(records: DataFrame) -> DataFrame:
     return records.filter("annotation_type = 'Highlight'")
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import geometry as G
@@ -23,21 +24,25 @@ TITLE, SUBJECT, SOURCE = "ocr", "ocr_text", "ocr"
 _PLACE = ("x0", "y0", "x1", "y1")
 
 
-def recognised(pages: DataFrame, engine: Callable[[bytes, int], str]) -> DataFrame:
-    """(doc_id, page_num, raw) of pages (doc_id, page_num, image): the engine runs in Arrow batches; a page that fails has raw null and error."""
+def recognised(pages: DataFrame, engine: Callable[..., str]) -> DataFrame:
+    """(doc_id, page_num, raw) of pages (doc_id, page_num, image): the engine runs in Arrow batches; a page that fails has raw null and error.
+
+    Where pages have covered, rectangles in pixels (x0, y0, x1, y1) that the engine is to paint over first, it is given them too.
+    """
     kind = pages.schema["doc_id"].dataType.simpleString()
+    more = ["covered"] if "covered" in pages.columns else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, page, image in zip(frame["doc_id"], frame["page_num"], frame["image"]):
+            for doc, page, image, *covered in zip(*(frame[c] for c in ("doc_id", "page_num", "image", *more))):
                 try:
-                    out.append((doc, page, engine(image, page), None))
+                    out.append((doc, page, engine(image, page, *([tuple(r.values()) for r in x] for x in covered)), None))
                 except Exception as e:  # noqa: BLE001 - a page's failure is a row, not the job's
                     out.append((doc, page, None, str(e)))
             yield pd.DataFrame(out, columns=["doc_id", "page_num", "raw", "error"])
 
-    return pages.select("doc_id", "page_num", "image").mapInPandas(run, f"doc_id {kind}, page_num int, raw string, error string")
+    return pages.select("doc_id", "page_num", "image", *more).mapInPandas(run, f"doc_id {kind}, page_num int, raw string, error string")
 
 
 def _objects(json: Column) -> Column:
@@ -84,7 +89,8 @@ def items(results: DataFrame) -> DataFrame:
     is_list = F.ltrim("item").startswith("[")
     raw_box = F.when(is_list, get("$[1]")).otherwise(F.coalesce(*[get(f"$.{k}") for k in BOXES]))
     score = F.when(is_list, get("$[2]")).otherwise(F.coalesce(*[get(f"$.{k}") for k in SCORES]))
-    rows = rows.withColumn("r", box(raw_box)).filter("r IS NOT NULL")
+    # Exploded out of an array, the box is computed once an item, whatever is made of its sides afterwards.
+    rows = rows.withColumn("r", F.explode(F.array(box(raw_box)))).filter("r IS NOT NULL")
     text = F.regexp_replace(F.coalesce(F.when(is_list, get("$[0]")).otherwise(get("$.text")), F.lit("")), r"(?U)^\s+|\s+$", "")
     return rows.select("doc_id", "page_num", "item_num", text.alias("text"), F.col("r.x0").alias("x"), F.col("r.y0").alias("y"), F.expr("r.x1 - r.x0").alias("width"), F.expr("r.y1 - r.y0").alias("height"), F.coalesce(score.try_cast("double"), F.lit(0.0)).alias("confidence"))
 
@@ -114,7 +120,7 @@ def write_plan(rows: DataFrame, pages: DataFrame, font_color: tuple = (0, 0, 0),
     """
     p = pages.select("doc_id", "page_num", F.col("width").alias("pw"), F.col("height").alias("ph"))
     r = G.clipped(G.rect(F.col("x"), F.col("y"), F.expr("x + width"), F.expr("y + height")), G.rect(F.lit(0.0), F.lit(0.0), F.col("pw"), F.col("ph")))
-    out = rows.filter(~F.col("text").rlike(r"(?U)^\s*$")).join(p, ["doc_id", "page_num"]).withColumn("r", r).filter("r IS NOT NULL")
+    out = rows.filter(~F.col("text").rlike(r"(?U)^\s*$")).join(p, ["doc_id", "page_num"]).withColumn("r", F.explode(F.array(r))).filter("r IS NOT NULL")
     base, alpha = rgb(F.array(*[F.lit(float(c)) for c in font_color])), F.lit(float(min(1.0, max(0.0, opacity))))
     if auto_color:
         own = F.col("text_color").isNotNull()
@@ -172,3 +178,44 @@ def text_colour(pixels: np.ndarray) -> tuple[int, int, int]:
     border = np.concatenate([pixels[0], pixels[-1], pixels[1:-1, 0], pixels[1:-1, -1]]).astype(int)
     front = flat[((flat - upper(border)) ** 2).sum(axis=1) > 50 * 50]
     return tuple(int(c) for c in upper(front)) if len(front) >= max(1, len(flat) // 20) else (0, 0, 0)
+
+
+def text_colours(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(doc_id, page_num, box, r, g, b): text_colour() of boxes (x, y, width, height in pixels) of page images, without an image in any one task's hands.
+
+    images: doc_id, page_num, width, height, pixels, three bytes a pixel row by row.  Boxes are cut to the image; one without
+    pixels is black.  A box meets the image's lines, its pixels are counted by colour before any shuffle of pixels, and
+    medians come from the counts of 256 values a channel.
+    """
+    keys = ["doc_id", "page_num", "box"]
+    edge = lambda c, most: F.least(F.greatest(F.col(c).cast("int"), F.lit(0)), F.col(most))
+    size = images.select("doc_id", "page_num", F.col("width").alias("iw"), F.col("height").alias("ih"))
+    cut = boxes.withColumn("right", F.col("x") + F.col("width")).withColumn("below", F.col("y") + F.col("height")).join(size, ["doc_id", "page_num"])
+    cut = cut.select(*keys, edge("x", "iw").alias("x0"), edge("y", "ih").alias("y0"), edge("right", "iw").alias("x1"), edge("below", "ih").alias("y1")).filter("x1 > x0 AND y1 > y0")
+    lines = images.select("doc_id", "page_num", F.explode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.struct(y.alias("y"), F.substring(F.col("pixels"), (y * F.col("width") * 3 + 1).cast("int"), F.col("width") * 3).alias("line")))).alias("l")).select("doc_id", "page_num", "l.y", "l.line")
+    rows = cut.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).join(lines, ["doc_id", "page_num", "y"])
+    part = rows.withColumn("line", F.hex(F.substring("line", F.col("x0") * 3 + 1, (F.col("x1") - F.col("x0")) * 3)))
+    ends = F.when(F.col("y") == F.col("y0"), 1).otherwise(0) + F.when(F.col("y") == F.col("y1") - 1, 1).otherwise(0)
+    # A pixel counts for the border once for each edge line that holds it; inner lines have their two ends.
+    sides = lambda i: F.when(F.col("ends") > 0, F.col("ends")).otherwise(F.when(i == 0, 1).otherwise(0) + F.when(i == F.col("x1") - F.col("x0") - 1, 1).otherwise(0))
+    one = lambda i: F.struct(F.substring(F.col("line"), i * 6 + 1, F.lit(6)).alias("c"), sides(i).alias("border"))
+    pixels = part.withColumn("ends", ends).select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.col("x1") - F.col("x0") - 1), one)).alias("p"))
+    counts = pixels.groupBy(*keys, F.col("p.c").alias("c")).agg(F.count("*").alias("n"), F.sum("p.border").alias("border"))
+    value = lambda k: F.conv(F.substring("c", 2 * k + 1, 2), 16, 10).cast("int")
+    counts = counts.select(*keys, "n", "border", *[value(k).alias(x) for k, x in enumerate("rgb")])
+
+    def medians(rows: DataFrame, weight: str, names: str) -> DataFrame:
+        """The upper median of each channel by weight."""
+        each = rows.filter(F.col(weight) > 0).select(*keys, F.col(weight).alias("w"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(x).alias("v")) for k, x in enumerate("rgb")])).alias("e"))
+        bins = each.groupBy(*keys, "e.k", "e.v").agg(F.sum("w").alias("w"))
+        order = W.partitionBy(*keys, "k").orderBy("v")
+        upto = bins.withColumn("upto", F.sum("w").over(order)).withColumn("all", F.sum("w").over(W.partitionBy(*keys, "k")))
+        first = upto.filter("upto > floor(all / 2)").groupBy(*keys, "k").agg(F.min("v").alias("v"))
+        return first.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(x) for k, x in enumerate(names)])
+
+    behind = counts.join(medians(counts, "border", "xyz"), keys)
+    far = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip("rgb", "xyz")), F.lit(0)) > 50 * 50
+    front = behind.withColumn("front", F.when(far, F.col("n")).otherwise(0))
+    enough = front.groupBy(*keys).agg(F.sum("front").alias("some"), F.sum("n").alias("of")).filter("some >= greatest(1, floor(of / 20))").select(*keys)
+    told = medians(front.join(enough, keys, "left_semi"), "front", "rgb")
+    return boxes.select(*keys).join(told, keys, "left").select(*keys, *[F.coalesce(x, F.lit(0)).alias(x) for x in "rgb"])

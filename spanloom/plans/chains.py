@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import detect, masks, pages, registry, resolve, sweep
-from spanloom.plans import more, runs, service
+from spanloom.operators import detect, highlights, masks, ocr, pages, registry, resolve, sweep
+from spanloom.plans import more, recognition, runs, service
 from spanloom.plans import queries as base
 from spanloom.shipping import ensure_checkpoint_dir
 from spanloom.sources import store
@@ -242,7 +243,55 @@ def scored_cards(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("doc_id", "entity", "word").agg(F.count("*").alias("n"), F.max("score").alias("score"))
 
 
-QUERIES = {"scored_entities": scored_entities, "scored_cards": scored_cards, "service_detect": service_detect, "joined_detect": joined_detect, "service_mask": service_mask, "mask_dispatch": mask_dispatch, "session_store": session_store, "page_commit": page_commit, "corpus_run": corpus_run, "page_scan": page_scan, "page_rows": page_rows, "full_width_numbers": full_width_numbers, "word_patterns": word_patterns, "contain_counts": contain_counts}
+def text_colours(spark: SparkSession, d: str) -> DataFrame:
+    """Colours of text in images made from parts: 20 by 12 pixels, with stripes of another colour; boxes that leave the image, and empty ones."""
+    k = F.col("p_partkey")
+    shade = lambda n, plus: F.lpad(F.lower(F.hex(((k * n + plus) % 256).cast("long"))), 2, "0")
+    paper, ink = F.concat(shade(5, 0), shade(3, 7), shade(2, 90)), F.concat(shade(7, 40), shade(11, 3), shade(13, 1))
+    pixels = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(239)), lambda i: F.when((i % 20 + F.floor(i / 20) * 2) % (k % 5 + 3) == 0, ink).otherwise(paper)), "")
+    part = _table(spark, d, "part")
+    images = part.select(k.alias("doc_id"), F.lit(0).alias("page_num"), F.lit(20).alias("width"), F.lit(12).alias("height"), F.unhex(pixels).alias("pixels"))
+    box = lambda n, x, y, w, h: F.struct(F.lit(n).alias("box"), *[v.cast("double").alias(c) for v, c in ((x, "x"), (y, "y"), (w, "width"), (h, "height"))])
+    boxes = part.select(k.alias("doc_id"), F.lit(0).alias("page_num"), F.explode(F.array(box(0, k % 6 - 2, k % 4, F.col("p_size"), k % 9 + 1), box(1, F.lit(25), F.lit(0), F.lit(3), F.lit(3)), box(2, k % 20, F.lit(0), F.lit(1), F.lit(12)))).alias("b")).select("doc_id", "page_num", "b.*")
+    return ocr.text_colours(images, boxes).select("doc_id", *_long("box", "r", "g", "b"))
+
+
+def covered_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of whole conversation turns on a grid, under three marks a turn: one across several, one in a gap, and one far from all."""
+    t = _table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), F.coalesce("text", F.lit("")).alias("text"))
+    words = t.select("doc_id", "page_num", F.posexplode(F.split("text", " ")).alias("seq", "text")).filter("text <> ''")
+    x, y = F.col("seq") % 8 * 60.0, F.floor(F.col("seq") / 8) * 14.0
+    words = words.withColumns({"x0": x, "y0": y, "x1": x + 50, "y1": y + 10})
+    rect = lambda n, *v: F.struct(F.lit(n).alias("n"), F.struct(*[F.lit(a).alias(c) for a, c in zip(v, ("x0", "y0", "x1", "y1"))]).alias("rect"))
+    marks = t.select("doc_id", "page_num", F.explode(F.array(rect(0, 65.0, 11.0, 170.0, 30.0), rect(1, 51.0, 1.0, 59.0, 9.0), rect(2, -500.0, -500.0, -480.0, -490.0))).alias("m"))
+    found = highlights.covered_text(marks.select("doc_id", (F.col("page_num") * 3 + F.col("m.n")).alias("mark"), "page_num", "m.rect"), words)
+    return found.select("doc_id", *_long("mark"), "covered_text")
+
+
+def _scripted(image: bytes, page: int, covered: list) -> str:
+    """An engine that reads an image that is text: a line a word, none where the page has text of its own."""
+    words = bytes(image).decode().split()
+    shown = [(w, 10.0, 100.0 * k) for k, w in enumerate(words) if not any(x0 <= 10.0 < x1 and y0 <= 100.0 * k < y1 for x0, y0, x1, y1 in covered)]
+    return json.dumps([[w, [x, y, x + 400.0, y + 50.0], 0.9] for w, x, y in shown])
+
+
+def recognise_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as scanned pages: the role is a page's own text, over the place of the first word.  Some pages are recognised first,
+    then all, then all again, and words of capitals are detected in what is read afterwards."""
+    t = _table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_num"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    pages_ = t.select("doc_id", "page_num", F.lit(200.0).alias("width"), F.lit(800.0).alias("height"), F.col("text").cast("binary").alias("image"))
+    own = t.select("doc_id", "page_num", F.lit(0).alias("block_num"), F.col("role").alias("text"), *[F.lit(v).alias(c) for v, c in ((0.0, "x0"), (0.0, "y0"), (60.0, "x1"), (12.0, "y1"))])
+    docs = t.select("doc_id").distinct()
+    first, _ = recognition.run_ocr(pages_, own, _scripted, wanted=[0, 1, "x"])
+    again, _ = recognition.run_ocr(pages_, own, _scripted, first)
+    written, read, found = recognition.ocr_then_detect(docs, pages_, own, _scripted, again, options={"recognisers": {}, "add": [("OTHER", r"[A-Z][a-z]+")]})
+    n = written.groupBy("doc_id").agg(F.count("*").alias("n_written"))
+    hits = found.groupBy("doc_id").agg(F.count("*").alias("n_found"), F.max("word").alias("last_word"))
+    rows = read.select("doc_id", F.size("text").cast("long").alias("n_pages"), F.sha2(F.array_join(F.transform("text", lambda p: F.array_join(p, "|")), "/"), 256).alias("text"))
+    return rows.join(n, "doc_id", "left").join(hits, "doc_id", "left").fillna(0, ["n_written", "n_found"])
+
+
+QUERIES = {"text_colours": text_colours, "covered_words": covered_words, "recognise_chain": recognise_chain, "scored_entities": scored_entities, "scored_cards": scored_cards, "service_detect": service_detect, "joined_detect": joined_detect, "service_mask": service_mask, "mask_dispatch": mask_dispatch, "session_store": session_store, "page_commit": page_commit, "corpus_run": corpus_run, "page_scan": page_scan, "page_rows": page_rows, "full_width_numbers": full_width_numbers, "word_patterns": word_patterns, "contain_counts": contain_counts}
 
 _WORD = r"[\p{L}\p{N}_]"
 _NUMBERS = """SELECT o_orderkey AS k, o_custkey AS c, lpad((o_orderkey * 7919 + o_custkey * 104729)::VARCHAR, 12, '1') AS number,
@@ -286,7 +335,28 @@ _LUHN = lambda x, n: f"(SELECT sum(CASE WHEN (i % 2) = 0 THEN v WHEN v > 4 THEN
 _MADE = """SELECT k, lpad((k * 7919 + c * 104729)::VARCHAR, 16, '4') AS card, (k % 300) || '.' || (c % 256) || '.' || (k % 7) || '.1' AS address, k % 300 < 256 AS good,
  'DE' || lpad((k % 97)::VARCHAR, 2, '0') || lpad((k * 31 + c)::VARCHAR, 18, '3') AS iban, (lpad((k * 31 + c)::VARCHAR, 18, '3') || '1314' || lpad((k % 97)::VARCHAR, 2, '0'))::HUGEINT % 97 = 1 AS sound FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders)"""
 
+_PIXELS = """SELECT k, x, y, CASE WHEN (x + y * 2) % (k % 5 + 3) = 0 THEN [(k * 7 + 40) % 256, (k * 11 + 3) % 256, (k * 13 + 1) % 256] ELSE [(k * 5) % 256, (k * 3 + 7) % 256, (k * 2 + 90) % 256] END AS c
+ FROM (SELECT p_partkey AS k FROM part), range(20) a(x), range(12) b(y)"""
+_BOXES_C = """SELECT p_partkey AS k, 0 AS box, greatest(p_partkey % 6 - 2, 0) AS x0, p_partkey % 4 AS y0, least(p_partkey % 6 - 2 + p_size, 20) AS x1, least(p_partkey % 4 + p_partkey % 9 + 1, 12) AS y1 FROM part
+ UNION ALL SELECT p_partkey, 1, 20, 0, 20, 3 FROM part UNION ALL SELECT p_partkey, 2, p_partkey % 20, 0, p_partkey % 20 + 1, 12 FROM part"""
+_UPPER = lambda v, where: f"list_extract(list_sort(list({v}) FILTER ({where})), len(list({v}) FILTER ({where})) // 2 + 1)"
+_WORDS_C = "SELECT conv_id AS doc_id, turn, i - 1 AS seq, w[i] AS word, (i - 1) % 8 * 60 AS x, (i - 1) // 8 * 14 AS y FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations), range(1, len(w) + 1) r(i) WHERE w[i] <> ''"
+# What an engine reads of a turn: its words but the first, as far down as the page goes.
+_READ_C = "SELECT doc_id, turn, role, list_filter(list_transform(w, lambda x, i: CASE WHEN i > 1 AND (i - 1) * 24 < 800 THEN x END), lambda x: x IS NOT NULL) AS r FROM (SELECT conv_id AS doc_id, turn, role, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+') AS w FROM conversations)"
+
 SQL = {
+    "text_colours": f"""WITH p AS (SELECT b.k, box, x, y, c, CASE WHEN y = y0 OR y = y1 - 1 THEN (y = y0)::INT + (y = y1 - 1)::INT ELSE (x = x0)::INT + (x = x1 - 1)::INT END AS n FROM ({_BOXES_C}) b JOIN ({_PIXELS}) q ON q.k = b.k AND x >= x0 AND x < x1 AND y >= y0 AND y < y1),
+ e AS (SELECT k, box, c FROM p, range(n)), g AS (SELECT k, box, {_UPPER('c[1]', 'true')} AS r, {_UPPER('c[2]', 'true')} AS g, {_UPPER('c[3]', 'true')} AS b FROM e GROUP BY k, box),
+ f AS (SELECT p.k, p.box, c, pow(c[1] - r, 2) + pow(c[2] - g, 2) + pow(c[3] - b, 2) > 2500 AS far FROM p JOIN g ON g.k = p.k AND g.box = p.box),
+ t AS (SELECT k, box, count_if(far) >= greatest(1, count(*) // 20) AS enough, {_UPPER('c[1]', 'far')} AS r, {_UPPER('c[2]', 'far')} AS g, {_UPPER('c[3]', 'far')} AS b FROM f GROUP BY k, box)
+ SELECT x.k AS doc_id, x.box, CASE WHEN enough THEN r ELSE 0 END AS r, CASE WHEN enough THEN g ELSE 0 END AS g, CASE WHEN enough THEN b ELSE 0 END AS b FROM (SELECT k, box FROM ({_BOXES_C})) x LEFT JOIN t ON t.k = x.k AND t.box = x.box""",
+    "covered_words": f"""WITH w AS ({_WORDS_C}), t AS (SELECT conv_id AS doc_id, turn FROM conversations),
+ a AS (SELECT doc_id, turn, string_agg(word, ' ' ORDER BY seq) FILTER (x < 170 AND x + 50 > 65 AND y < 30 AND y + 10 > 11) AS m, string_agg(word, ' ' ORDER BY seq) FILTER (x < 64 AND x + 50 > 46 AND y < 14 AND y + 10 > -4) AS n,
+  string_agg(word, ' ' ORDER BY seq) FILTER (x < 175 AND x + 50 > 60 AND y < 35 AND y + 10 > 6) AS m2 FROM w GROUP BY doc_id, turn)
+ SELECT t.doc_id, t.turn * 3 + k AS mark, coalesce(CASE k WHEN 0 THEN coalesce(m, m2) WHEN 1 THEN n END, '') AS covered_text FROM t LEFT JOIN a ON a.doc_id = t.doc_id AND a.turn = t.turn, range(3) q(k)""",
+    "recognise_chain": f"""WITH r AS ({_READ_C}), j AS (SELECT doc_id, turn, role, r, list_concat([role], r) AS b FROM r)
+ SELECT * EXCLUDE (joined), len(regexp_extract_all(joined, '[A-Z][a-z]+')) AS n_found, list_max(regexp_extract_all(joined, '[A-Z][a-z]+')) AS last_word FROM (SELECT doc_id, count(*) AS n_pages, sha256(string_agg(array_to_string(b, '|'), '/' ORDER BY turn)) AS text,
+  sum(len(r))::BIGINT AS n_written, string_agg(array_to_string(b, ''), '' ORDER BY turn) AS joined FROM j GROUP BY doc_id)""",
     "scored_entities": f"""WITH e AS ({_DOC_AT(base.SHAPES['EMAIL'])}), a AS ({_DOC_AT('@[a-z0-9.]+[.]com')}), w AS ({_DOC_AT('[0-9A-Za-z]+')}), p AS ({_DOC_AT(base.SHAPES['IP'])}),
  x AS (SELECT *, 0.5 AS s FROM e UNION ALL SELECT *, 0.3 FROM a WHERE NOT EXISTS (FROM e WHERE e.doc_id = a.doc_id AND e.o <= a.o AND a.o + length(a.word) <= e.o + length(e.word)))
  SELECT doc_id, 'EMAIL' AS entity, word, o AS start, round(CASE WHEN {_NEAR('the')} OR {_NEAR('der')} THEN s + 0.35 ELSE s END, 4) AS score, false AS checked FROM x

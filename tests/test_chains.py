@@ -222,3 +222,58 @@ def test_dispatch_copies_what_it_cannot_mask(spark):
     old, new = [("Highlight", False), ("Square", False)], [("Highlight", True), ("Square", True)]
     assert out == {1: ("masked", sorted(old + new)), 2: ("masked", [new[0], old[1]]), 3: ("masked", [old[0], new[1]]), 4: ("copied", old), 5: ("copied", old), 6: ("masked", [])}
     assert highlights.MODES == ("clear_all", "append", "reset_and_append")
+
+
+def test_recognition_is_the_same_when_repeated(spark):
+    from spanloom.plans import recognition
+
+    def engine(image, page, covered):
+        if not image:
+            raise RuntimeError("no image")
+        return json.dumps([[w, [0, 50 * k, 90, 50 * k + 40]] for k, w in enumerate(bytes(image).decode().split()) if not any(y0 <= 50 * k < y1 for _, y0, _, y1 in covered)])
+
+    pages_ = spark.createDataFrame([(1, 0, b"own one two"), (1, 1, b"X9 three"), (1, 2, b""), (2, 0, b"")], "doc_id long, page_num int, image binary").withColumn("width", F.lit(500.0)).withColumn("height", F.lit(500.0))
+    own = spark.createDataFrame([(1, 0, 0, "own", 0.0, 0.0, 20.0, 9.0)], "doc_id long, page_num int, block_num int, text string, x0 double, y0 double, x1 double, y1 double")
+    docs = pages_.select("doc_id").distinct()
+    texts = lambda w: {r["doc_id"]: r["text"] for r in recognition.read_again(docs, own, w).collect()}
+    once, failed = recognition.run_ocr(pages_, own, engine)
+    assert sorted(map(tuple, failed.collect())) == [(1, 2, "no image"), (2, 0, "no image")]
+    assert texts(once) == {1: [["own", "one", "two"], ["X9", "three"]], 2: []}
+    twice, _ = recognition.run_ocr(pages_, own, engine, once)
+    assert sorted(map(repr, twice.collect())) == sorted(map(repr, once.collect()))
+    part, _ = recognition.run_ocr(pages_.withColumn("image", F.lit(b"new")), own, engine, once, wanted=[1, "x", 9])
+    assert texts(part) == {1: [["own", "one", "two"], ["new"]], 2: []}
+    left, removed = recognition.cleared(part, [1])
+    assert texts(left) == {1: [["own", "one", "two"]], 2: []} and [tuple(r) for r in removed.collect()] == [(1, 1)]
+    assert recognition.cleared(part)[0].count() == 0
+    _, _, found = recognition.ocr_then_detect(docs, pages_, own, engine, options={"recognisers": {}, "pages": [1], "add": [("CODE", r"X\d"), ("CODE", "own")]})
+    assert [(r["doc_id"], r["word"], tuple(r["first"])) for r in found.collect()] == [(1, "X9", (1, 0, 0))] or [(r["word"], tuple(r["first"])) for r in found.collect()] == [("X9", (0, 0, 0))]
+    with pytest.raises(ValueError):
+        recognition.run_ocr(pages_, own, engine, dpi=0)
+
+
+def test_colours_of_boxes_are_those_of_the_arrays(spark):
+    import numpy as np
+
+    from spanloom.operators import ocr
+
+    rng = np.random.default_rng(3)
+    rows, boxes, want = [], [], {}
+    for d in range(12):
+        picture = np.full((9, 11, 3), rng.integers(0, 256), np.uint8)
+        picture[2:6, 3:9] = rng.integers(0, 256, 3)
+        if d % 3 == 0:
+            picture = rng.integers(0, 256, (9, 11, 3)).astype(np.uint8)
+        rows.append((d, 0, 11, 9, bytearray(picture.tobytes())))
+        for b, (x, y, w, h) in enumerate([(0, 0, 11, 9), (-3.5, 1.2, 9.9, 5.1), (4, 2, 1, 7), (2, 5, 6, 1), (20, 20, 2, 2), (3, 3, 0, 4)]):
+            boxes.append((d, 0, b, float(x), float(y), float(w), float(h)))
+            x0, y0, x1, y1 = max(0, int(x)), max(0, int(y)), min(11, int(x + w)), min(9, int(y + h))
+            want[d, b] = ocr.text_colour(picture[y0:y1, x0:x1]) if x1 > x0 and y1 > y0 else (0, 0, 0)
+    images = spark.createDataFrame(rows, "doc_id long, page_num int, width int, height int, pixels binary")
+    got = ocr.text_colours(images, spark.createDataFrame(boxes, "doc_id long, page_num int, box int, x double, y double, width double, height double"))
+    assert {(r["doc_id"], r["box"]): (r["r"], r["g"], r["b"]) for r in got.collect()} == want
+
+
+def test_colours_of_marks(spark):
+    row = spark.range(1).select(highlights.mark_colours(F.array(F.lit(1.0), F.lit(0.5), F.lit(0.0)), F.array().cast("array<double>")).alias("c"), highlights.mark_colours(F.lit(None).cast("array<double>"), F.array(F.lit(1.0))).alias("d")).first()
+    assert row["c"]["stroke_color"]["hex"] == "#ff7f00" and row["c"]["fill_color"] is None and row["d"]["fill_color"]["hex"] == "#000000"
