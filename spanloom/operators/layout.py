@@ -40,14 +40,15 @@ def grouped_lines(rects: Column, threshold: float | None = 2.0) -> Column:
     sized = F.array_sort(F.transform(rects, lambda r: F.struct(((r["y0"] + r["y1"]) / 2).alias("cy"), r["x0"].alias("x0"), r["y0"].alias("y0"), r["x1"].alias("x1"), r["y1"].alias("y1"))))
     start = F.array().cast("array<struct<n:int,total:double,x0:double,y0:double,x1:double,y1:double>>")
 
-    def step(acc: Column, r: Column) -> Column:
+    def step(limit: Column, acc: Column, r: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         joins = (F.size(acc) > 0) & (F.abs(r["cy"] - last["total"] / last["n"]) <= limit)
         wider = F.struct((last["n"] + 1).alias("n"), (last["total"] + r["cy"]).alias("total"), F.least(last["x0"], r["x0"]).alias("x0"), F.least(last["y0"], r["y0"]).alias("y0"), F.greatest(last["x1"], r["x1"]).alias("x1"), F.greatest(last["y1"], r["y1"]).alias("y1"))
         new = F.struct(F.lit(1).alias("n"), r["cy"].alias("total"), r["x0"].alias("x0"), r["y0"].alias("y0"), r["x1"].alias("x1"), r["y1"].alias("y1"))
         return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(new)))
 
-    boxes = F.aggregate(sized, start, step)
+    # The limit is computed once, not for every rectangle.
+    boxes = F.element_at(F.transform(F.array(limit), lambda most: F.aggregate(sized, start, lambda acc, r: step(most, acc, r))), 1)
     return F.transform(boxes, lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1")))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.operators import detect, resolve
+from spanloom.operators import detect, maps, resolve
+from spanloom.sources import files, store
 
 State = dict[str, DataFrame]
 
@@ -59,7 +60,22 @@ def mask_step(state: State, options: dict) -> State:
     return state | {"docs": detect.redact(state["docs"], state["found"], options.get("mark", "█"))}
 
 
-STEPS: dict[str, Callable[[State, dict], State]] = {"read": read_step, "detect": detect_step, "duplicate": duplicate_step, "mask": mask_step}
+def embed_step(state: State, options: dict) -> State:
+    """Writes the state's maps (doc_id, offset2coordsMap) beside the files: options path, and force for files that have changed.
+
+    A document without a map fails the job; with hashes (doc_id, expected, sha256) in the state, one whose file has changed
+    is left out unless forced.
+    """
+    wire = maps.required(state["maps"])
+    if "hashes" in state:
+        same = state["hashes"].filter(files.same_file(F.col("expected"), F.col("sha256"), bool(options.get("force"))))
+        wire = wire.join(same.select("doc_id"), "doc_id", "left_semi")
+    table = store.Table(wire.sparkSession, options["path"], ("doc_id",))
+    table.replace(wire)
+    return state | {"maps": table.read()}
+
+
+STEPS: dict[str, Callable[[State, dict], State]] = {"read": read_step, "detect": detect_step, "duplicate": duplicate_step, "mask": mask_step, "embed": embed_step}
 
 
 def run(docs: DataFrame, steps: list[dict]) -> State:

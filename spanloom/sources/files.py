@@ -76,8 +76,11 @@ def csv_rows(found: DataFrame) -> DataFrame:
     return found.select(*[c.alias(h) for c, h in zip(cells, CSV_HEADER)])
 
 
-def write_csv(found: DataFrame, path: str) -> None:
-    csv_rows(found).write.option("header", "true").option("encoding", "UTF-8").csv(path)
+def write_csv(found: DataFrame, path: str, one_file: bool = False) -> None:
+    """The detection list as CSV in UTF-8, each file with a byte order mark, which spreadsheets ask for; one_file writes through one task."""
+    rows = csv_rows(found)
+    rows = rows.withColumnRenamed(CSV_HEADER[0], "\ufeff" + CSV_HEADER[0])
+    (rows.coalesce(1) if one_file else rows).write.option("header", "true").option("encoding", "UTF-8").csv(path)
 
 
 def output_path(path: Column, suffix: str = "_masked", folder: str | None = None) -> Column:

@@ -277,3 +277,25 @@ def test_colours_of_boxes_are_those_of_the_arrays(spark):
 def test_colours_of_marks(spark):
     row = spark.range(1).select(highlights.mark_colours(F.array(F.lit(1.0), F.lit(0.5), F.lit(0.0)), F.array().cast("array<double>")).alias("c"), highlights.mark_colours(F.lit(None).cast("array<double>"), F.array(F.lit(1.0))).alias("d")).first()
     assert row["c"]["stroke_color"]["hex"] == "#ff7f00" and row["c"]["fill_color"] is None and row["d"]["fill_color"]["hex"] == "#000000"
+
+
+def test_reports_open_in_spreadsheets(spark, tmp_path):
+    from spanloom.sources import files
+
+    found = spark.createDataFrame([(1, "PERSON", "山田", "manual", 0, 0, 2)], "doc_id long, entity string, word string, origin string, page_num int, block_num int, offset int")
+    files.write_csv(found, str(tmp_path / "out"), one_file=True)
+    parts = list((tmp_path / "out").glob("part-*.csv"))
+    assert len(parts) == 1 and parts[0].read_bytes().decode("utf-8-sig").splitlines() == ["ページ,種別,テキスト,位置,手動", "1,人名,山田,p1:b1:3,✓"] and parts[0].read_bytes().startswith(b"\xef\xbb\xbf")
+
+
+def test_maps_are_embedded_by_a_step(spark, tmp_path):
+    from spanloom.plans import steps
+
+    wire = spark.createDataFrame([(k, {"0": {"0": [[1.0, 2.0, 3.0, 4.0]]}}) for k in (1, 2)], "doc_id long, offset2coordsMap map<string,map<string,array<array<double>>>>")
+    state = {"maps": wire, "hashes": spark.createDataFrame([(1, "a", "a"), (2, "a", "b")], "doc_id long, expected string, sha256 string")}
+    path = str(tmp_path / "maps")
+    assert [r["doc_id"] for r in steps.embed_step(state, {"path": path})["maps"].collect()] == [1]
+    assert sorted(r["doc_id"] for r in steps.embed_step(state, {"path": path, "force": True})["maps"].collect()) == [1, 2]
+    empty = spark.createDataFrame([(3, {})], wire.schema)
+    with pytest.raises(Exception, match="no coordinate map"):
+        steps.embed_step({"maps": empty}, {"path": path})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import geometry as G
 from spanloom.functions import values as V
 from spanloom.operators import detect, layout, masks, ocr, offsets, resolve
-from spanloom.plans import chains, more, more_sql
+from spanloom.plans import chains, details, more, more_sql
 from spanloom.plans import queries as plans
 from spanloom.plans import config, steps
 from spanloom.sources import files
@@ -31,7 +31,7 @@ def as_text(rows):
     return sorted(tuple("" if v is None else repr(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in rows)
 
 
-ALL, SQL = plans.QUERIES | more.QUERIES | chains.QUERIES, plans.SQL | more_sql.SQL | chains.SQL
+ALL, SQL = plans.QUERIES | more.QUERIES | chains.QUERIES | details.QUERIES, plans.SQL | more_sql.SQL | chains.SQL | details.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
