@@ -124,8 +124,9 @@ def with_containment(found: DataFrame, small: int = SMALL, strip: int = STRIP) -
     parts = _strip_counts(cut.drop("size_"), "s", ["r1"]).unionByName(_strip_counts(across, "t", ["s", "r2"])).unionByName(_whole_strips(across))
     counts = parts.groupBy("doc_id", "comp", "r1").agg(F.sum("n_in").alias("in_"), F.sum("n_out").alias("out_"))
     many = many.join(counts, ["doc_id", "comp", "r1"])
-    many = many.withColumn("n_inside", F.col("in_") + F.col("nth_") - held("spans_", lambda o: inside(own, o)))
-    many = many.withColumn("n_around", F.col("out_") + F.col("of_") - F.col("nth_") + 1 - held("spans_", lambda o: inside(o, own)))
+    mine_held = lambda test: F.size(F.filter("spans_", test)).cast("long")
+    many = many.withColumn("n_inside", F.col("in_") + F.col("nth_") - mine_held(lambda o: inside(own, o)))
+    many = many.withColumn("n_around", F.col("out_") + F.col("of_") - F.col("nth_") + 1 - mine_held(lambda o: inside(o, own)))
 
     # One shuffle by document serves the sums here and the choice of winners.
     out, detection = few.unionByName(many.select(few.columns)).repartition("doc_id"), W.partitionBy("doc_id", "seq")

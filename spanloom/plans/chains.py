@@ -359,10 +359,10 @@ SQL = {
   sum(len(r))::BIGINT AS n_written, string_agg(array_to_string(b, ''), '' ORDER BY turn) AS joined FROM j GROUP BY doc_id)""",
     "scored_entities": f"""WITH e AS ({_DOC_AT(base.SHAPES['EMAIL'])}), a AS ({_DOC_AT('@[a-z0-9.]+[.]com')}), w AS ({_DOC_AT('[0-9A-Za-z]+')}), p AS ({_DOC_AT(base.SHAPES['IP'])}),
  x AS (SELECT *, 0.5 AS s FROM e UNION ALL SELECT *, 0.3 FROM a WHERE NOT EXISTS (FROM e WHERE e.doc_id = a.doc_id AND e.o <= a.o AND a.o + length(a.word) <= e.o + length(e.word)))
- SELECT doc_id, 'EMAIL' AS entity, word, o AS start, round(CASE WHEN {_NEAR('the')} OR {_NEAR('der')} THEN s + 0.35 ELSE s END, 4) AS score, false AS checked FROM x
- UNION ALL SELECT doc_id, 'CARD', word, o, 1.0, true FROM w WHERE regexp_matches(word, '^[0-9]{{16}}$') AND {_LUHN('word', 16)}
- UNION ALL SELECT doc_id, 'IP', word, o, 1.0, true FROM p WHERE len(list_filter(string_split(word, '.'), lambda v: v::INT < 256)) = 4""",
-    "scored_cards": f"""SELECT k AS doc_id, 'CREDIT_CARD' AS entity, card AS word, 2 AS n, 1.0 AS score FROM ({_MADE}) WHERE {_LUHN('card', 16)}
+ SELECT doc_id, 'EMAIL' AS entity, word, o AS start, round(CASE WHEN {_NEAR('the')} OR {_NEAR('der')} THEN s + 0.35 ELSE s END, 4)::DOUBLE AS score, false AS checked FROM x
+ UNION ALL SELECT doc_id, 'CARD', word, o, 1.0::DOUBLE, true FROM w WHERE regexp_matches(word, '^[0-9]{{16}}$') AND {_LUHN('word', 16)}
+ UNION ALL SELECT doc_id, 'IP', word, o, 1.0::DOUBLE, true FROM p WHERE len(list_filter(string_split(word, '.'), lambda v: v::INT < 256)) = 4""",
+    "scored_cards": f"""SELECT k AS doc_id, 'CREDIT_CARD' AS entity, card AS word, 2 AS n, 1.0::DOUBLE AS score FROM ({_MADE}) WHERE {_LUHN('card', 16)}
  UNION ALL SELECT k, 'IP_ADDRESS', address, 1, 1.0 FROM ({_MADE}) WHERE good UNION ALL SELECT k, 'IBAN_CODE', iban, 1, 1.0 FROM ({_MADE}) WHERE sound UNION ALL SELECT k, 'EMAIL_ADDRESS', 'a.b' || k || '@x-y.org', 1, 1.0 FROM ({_MADE})""",
     "service_detect": f"""WITH f AS ({_SERVICE}), x AS ({_AT(r'1[0-9]{2}[.]')})
  SELECT doc_id, entity, word, origin, {_PLACED_S} FROM f WHERE NOT regexp_matches(word, '1[0-9]{{2}}[.]') AND NOT EXISTS (FROM x WHERE x.doc_id = f.doc_id AND x.i = f.i AND x.o < f.o + length(f.word) AND f.o < x.o + length(x.word))
@@ -370,8 +370,8 @@ SQL = {
     "joined_detect": f"""WITH l AS (SELECT *, sum(CASE WHEN c = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY t) AS run FROM (SELECT *, coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY t), '') AS before FROM ({_LETTERS})))
  SELECT doc_id, string_agg(substr(b.t, o + 1, 1), '' ORDER BY l.t) AS word, arg_min(i, l.t) // 8 AS first_page_num, arg_min(i, l.t) % 8 AS first_block_num, arg_min(o, l.t) AS first_offset, arg_max(i, l.t) // 8 AS last_page_num, arg_max(i, l.t) % 8 AS last_block_num, arg_max(o, l.t) AS last_offset
  FROM l JOIN ({base._BLOCKS}) b USING (doc_id, i) WHERE c BETWEEN 'a' AND 'z' GROUP BY doc_id, run HAVING count(*) >= 3""",
-    "service_mask": f"""SELECT doc_id, p AS page_num, entity, 'rect' AS shape, x0, y0, least(x1, 200) AS x1, least(y1, 60) AS y1, 1.0 AS r, CASE entity WHEN 'PERSON' THEN 0.25 ELSE 0.35 END AS alpha FROM (SELECT * FROM ({_SHAPES_M})
- WHERE x0 < 200 AND y0 < 60) WHERE entity = 'PERSON' UNION ALL SELECT doc_id, p, entity, 'rect', x0, y0, least(x1, 200), least(y1, 60), 0.78, 0.35 FROM ({_SHAPES_M}) WHERE x0 < 200 AND y0 < 60 AND entity <> 'PERSON'""",
+    "service_mask": f"""SELECT doc_id, p AS page_num, entity, 'rect' AS shape, x0, y0, least(x1, 200) AS x1, least(y1, 60) AS y1, 1.0::DOUBLE AS r, 0.25::DOUBLE AS alpha FROM (SELECT * FROM ({_SHAPES_M})
+ WHERE x0 < 200 AND y0 < 60) WHERE entity = 'PERSON' UNION ALL SELECT doc_id, p, entity, 'rect', x0, y0, least(x1, 200), least(y1, 60), 0.78::DOUBLE, 0.35::DOUBLE FROM ({_SHAPES_M}) WHERE x0 < 200 AND y0 < 60 AND entity <> 'PERSON'""",
     "mask_dispatch": f"""WITH m AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'annotation' WHEN 1 THEN 'highlight' WHEN 2 THEN 'both' ELSE 'ink' END AS method, doc_id % 3 = 1 AS append FROM (SELECT DISTINCT doc_id FROM ({_TURN}))),
  e AS (SELECT doc_id, 'Highlight' AS kind, false AS new, 50.0 AS x1, (append OR method IN ('ink', 'annotation')) AS stays FROM ({_TURN}) JOIN m USING (doc_id) UNION ALL SELECT doc_id, 'Square', false, 30.0, append OR method <> 'annotation' FROM ({_TURN}) JOIN m USING (doc_id)),
  n AS (SELECT doc_id, CASE WHEN hand THEN 'Square' ELSE 'Highlight' END AS kind, true AS new, x1, CASE WHEN hand THEN method IN ('annotation', 'both')

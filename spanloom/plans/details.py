@@ -129,7 +129,7 @@ QUERIES = {
 
 _PLACES = f"SELECT *, (doc_id % 4)::INT AS page_num, (seq % 3)::INT AS block_num, 'w' || gend AS word FROM ({base._IV})"
 _PAGES = f"SELECT doc_id, i // 8 AS p, string_agg(t, chr(10) ORDER BY i) AS t, count(*) AS n FROM ({base._BLOCKS}) GROUP BY doc_id, i // 8"
-_SPAN_W = """SELECT *, row_number() OVER (PARTITION BY doc_id, page_num, block_num ORDER BY k) - 1 AS o FROM (SELECT conv_id AS doc_id, turn AS page_num, (i - 1) // 16 AS block_num, i - 1 AS k, w[i] AS text, (i - 1) % 8 * 60 + 50.0 AS x1
+_SPAN_W = """SELECT *, row_number() OVER (PARTITION BY doc_id, page_num, block_num ORDER BY k) - 1 AS o FROM (SELECT conv_id AS doc_id, turn AS page_num, (i - 1) // 16 AS block_num, i - 1 AS k, w[i] AS text, ((i - 1) % 8 * 60 + 50)::DOUBLE AS x1
  FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations), range(1, len(w) + 1) r(i) WHERE (i - 1) % 5 <> 4 AND NOT regexp_matches(w[i], '^[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\p{Z}]*$'))"""
 _CHAR_V = """SELECT conv_id AS doc_id, turn AS det, o, length(text) AS n, o % 40 * 6 AS x, o // 40 AS line FROM conversations, range(0, length(coalesce(text, ''))) r(o)
  WHERE NOT (substr(text, o + 1, 1) IN ('e', 'n') AND o % 2 = 0 AND o % 10 <> 0)"""
