@@ -405,5 +405,5 @@ SQL = {
  m AS (SELECT *, max(r2) OVER (PARTITION BY doc_id ORDER BY r1) = r1 AS cut FROM r),
  b AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY r1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM m),
  c AS (SELECT *, min(seq) OVER (PARTITION BY doc_id, block) AS comp FROM b)
- SELECT a.doc_id, a.seq, a.comp, count_if(x.s >= a.s AND x.e <= a.e) - 1 AS n_inside, count_if(x.s <= a.s AND x.e >= a.e) - 1 AS n_around FROM c a JOIN c x ON x.doc_id = a.doc_id AND x.comp = a.comp GROUP BY ALL""",
+ SELECT a.doc_id, a.seq, a.comp, (count_if(x.s >= a.s AND x.e <= a.e) - 1)::BIGINT AS n_inside, (count_if(x.s <= a.s AND x.e >= a.e) - 1)::BIGINT AS n_around FROM c a JOIN c x ON x.doc_id = a.doc_id AND x.comp = a.comp GROUP BY ALL""",
 }
