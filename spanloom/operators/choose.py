@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators import sweep
-from spanloom.shipping import ship
+from spanloom.shipping import apart, ship
 
 Spans = list[tuple[int, int]]
 
@@ -38,7 +38,7 @@ def _by_island(found: DataFrame, order: list, pick: Callable[[Spans, list], list
     crowded = placed.filter("size_ > 1").select("doc_id", "block", "seq_", "gstart", "gend", "weight_")
     won = crowded.groupBy("doc_id", "block").applyInArrow(choose, f"doc_id {kind}, seq_ bigint")
     alone = placed.filter("size_ = 1").select("row_.*")
-    return alone.unionByName(placed.filter("size_ > 1").join(won, ["doc_id", "seq_"], "left_semi").select("row_.*"))
+    return alone.unionByName(placed.filter("size_ > 1").join(apart(won), ["doc_id", "seq_"], "left_semi").select("row_.*"))
 
 
 def _first_free(spans: Spans, weights: list) -> list[int]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import geometry as G
 from spanloom.functions import values as V
 from spanloom.operators import layout
+from spanloom.shipping import apart
 
 # Colours of marks by entity, their opacity, and the opacity of masks that name none.
 MARK_STYLES = {
@@ -99,7 +100,7 @@ def text_rects(*sources: DataFrame) -> DataFrame:
     """Rectangles (doc_id, det, ...) of each detection from the first source that has any for it."""
     out = sources[0]
     for more in sources[1:]:
-        out = out.unionByName(more.join(out.select("doc_id", "det").distinct(), ["doc_id", "det"], "left_anti"))
+        out = out.unionByName(more.join(apart(out.select("doc_id", "det").distinct()), ["doc_id", "det"], "left_anti"))
     return out
 
 
@@ -113,7 +114,7 @@ def map_rects(found: DataFrame, mapped: DataFrame) -> DataFrame:
     # A span meets the pages that it crosses, not its whole document.
     spans = found.select("doc_id", "det", place("start").alias("first"), place("end").alias("last")).filter("first.page_num <= last.page_num")
     each = spans.withColumn("page_num", F.explode(F.sequence("first.page_num", "last.page_num")))
-    rows = each.join(mapped.select("doc_id", "page_num", "block_num", "offset", *_PLACE), ["doc_id", "page_num"])
+    rows = each.join(apart(mapped.select("doc_id", "page_num", "block_num", "offset", *_PLACE)), ["doc_id", "page_num"])
     return rows.filter((at >= F.col("first")) & (at <= F.col("last"))).select("doc_id", "det", "page_num", "block_num", "offset", *_PLACE)
 
 

@@ -11,7 +11,7 @@ from spanloom.functions import values as V
 from spanloom.operators import detect, highlights, layout, maps, offsets, resolve
 from spanloom.plans import more
 from spanloom.plans import queries as base
-from spanloom.shipping import ensure_checkpoint_dir
+from spanloom.shipping import apart, ensure_checkpoint_dir
 from spanloom.sources import files, store
 
 _table = base._table
@@ -82,7 +82,7 @@ def span_maps(spark: SparkSession, d: str) -> DataFrame:
     kept = maps.span_map(_word_spans(spark, d))
     hit = maps.find_text(kept, "an").groupBy("doc_id", "page_num", "block_num").agg(F.count("*").alias("with_an"), F.max("offset").cast("long").alias("last"))
     rows = kept.groupBy("doc_id", "page_num", "block_num").agg(F.count("*").alias("n"), F.max("offset").cast("long").alias("top"))
-    return rows.join(hit, ["doc_id", "page_num", "block_num"], "left").fillna(0, ["with_an"]).select("doc_id", *more._long("page_num", "block_num"), "n", "top", "with_an", "last")
+    return rows.join(apart(hit), ["doc_id", "page_num", "block_num"], "left").fillna(0, ["with_an"]).select("doc_id", *more._long("page_num", "block_num"), "n", "top", "with_an", "last")
 
 
 def visible_chars(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +119,7 @@ def embedded_maps(spark: SparkSession, d: str) -> DataFrame:
     table.replace(wire.filter(files.same_file(F.lit("a"), F.lit("b"), True)).filter("doc_id % 5 = 0").withColumn("run", F.lit("forced")))
     back = table.read()
     rows = maps.mapped(back).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("x1"), 2).alias("x1"))
-    return back.select("doc_id", "run").join(rows, "doc_id")
+    return back.select("doc_id", "run").join(apart(rows), "doc_id")
 
 
 QUERIES = {

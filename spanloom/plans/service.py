@@ -9,6 +9,7 @@ from spanloom.functions import patterns
 from spanloom.functions.values import CONFIG_ALIASES, ENTITIES, normal_entity
 from spanloom.operators import detect, highlights, layout, masks, offsets, resolve
 from spanloom.plans import config, steps
+from spanloom.shipping import apart
 
 #: Ways to mask: kinds of annotations, and the mode in which each is applied after the first.
 METHODS = ("annotation", "highlight", "both")
@@ -106,7 +107,7 @@ def text_lines(found: DataFrame, chars: DataFrame | None = None, mapped: DataFra
         sources.append(r.select("doc_id", "det", F.col("page_num").cast("int").alias("page_num"), *[F.col("r")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]).filter("x1 > x0 AND y1 > y0"))
     spans = found.select("doc_id", "det", F.col("first").alias("start"), F.col("last").alias("end"))
     if chars is not None:
-        hit = masks.map_rects(spans, chars.filter("x0 IS NOT NULL")).join(chars.select("doc_id", "page_num", "block_num", "offset", "line_num"), ["doc_id", "page_num", "block_num", "offset"])
+        hit = masks.map_rects(spans, chars.filter("x0 IS NOT NULL")).join(apart(chars.select("doc_id", "page_num", "block_num", "offset", "line_num")), ["doc_id", "page_num", "block_num", "offset"])
         sources.append(layout.line_rects(hit).select("doc_id", "det", F.col("page_num").cast("int").alias("page_num"), "x0", "y0", "x1", "y1"))
     if mapped is not None:
         sources.append(masks.line_boxes(masks.map_rects(spans, mapped), threshold).select("doc_id", "det", F.col("page_num").cast("int").alias("page_num"), "x0", "y0", "x1", "y1"))
@@ -128,7 +129,7 @@ def marked(found: DataFrame, chars: DataFrame | None = None, mapped: DataFrame |
     """Annotations of detections (doc_id, page_num, entity, word, annotation_type, title, content, x0..y1): shapes made by hand are squares, text lines are highlighted."""
     about = found.select("doc_id", "det", "word", "origin")
     hand = masks.manual_shapes(found.select("doc_id", "det", "seq", "entity", "page_num", "selection_mode", "mask_rects", "mask_circles"))
-    text = text_lines(found.join(hand.select("doc_id", "det").distinct(), ["doc_id", "det"], "left_anti"), chars, mapped).join(found.select("doc_id", "det", "entity"), ["doc_id", "det"])
+    text = text_lines(found.join(apart(hand.select("doc_id", "det").distinct()), ["doc_id", "det"], "left_anti"), chars, mapped).join(found.select("doc_id", "det", "entity"), ["doc_id", "det"])
     columns = ["doc_id", "det", "entity", "page_num", "x0", "y0", "x1", "y1"]
     both = hand.select(*columns, F.lit(True).alias("from_shape")).unionByName(text.select(*columns, F.lit(False).alias("from_shape")))
     rows = highlights.export_rows(both.join(about, ["doc_id", "det"]))
@@ -147,7 +148,7 @@ def dispatch(planned: DataFrame, existing: DataFrame, runs: DataFrame, tolerance
     is_highlight = F.col("annotation_type") == "Highlight"
     # The first method of a document clears its own kind unless it appends; text marks come before squares.
     cleared = (F.col("mode") != "append") & F.when(F.col("method") == "annotation", ~is_highlight).otherwise(is_highlight)
-    stay = existing.join(asked, "doc_id").filter((F.col("action") == "copied") | ~cleared)
+    stay = apart(existing).join(asked, "doc_id").filter((F.col("action") == "copied") | ~cleared)
     put = planned.join(asked, "doc_id").filter("action = 'masked'").filter(F.when(F.col("method") == "both", F.lit(True)).when(F.col("method") == "highlight", is_highlight).otherwise(~is_highlight))
     columns = existing.columns
     marks = highlights.new_ones(put.filter(is_highlight), stay.filter(is_highlight), tolerance)
