@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import geometry as G
 from spanloom.functions import values as V
+from spanloom.shipping import apart
 
 _PLACE = ("x0", "y0", "x1", "y1")
 #: How far a corner may lie from that of an annotation that exists already, in points.
@@ -44,7 +45,7 @@ def covered_text(marks: DataFrame, words: DataFrame, wider: float = 5.0) -> Data
 
     def under(rows: DataFrame) -> DataFrame:
         cells = rows.withColumn("g", F.explode(G.grid_cells(F.col("rect")))).select("doc_id", "mark", "page_num", "rect", "g.gx", "g.gy")
-        hit = cells.join(w, ["doc_id", "page_num", "gx", "gy"]).filter(G.intersects(F.col("rect"), F.col("w"))).select("doc_id", "mark", "seq", "text").distinct()
+        hit = cells.join(apart(w), ["doc_id", "page_num", "gx", "gy"]).filter(G.intersects(F.col("rect"), F.col("w"))).select("doc_id", "mark", "seq", "text").distinct()
         listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
         return hit.groupBy("doc_id", "mark").agg(F.array_join(listed, " ").alias("covered_text"))
 
@@ -99,13 +100,19 @@ def to_detections(marks: DataFrame, docs: DataFrame) -> DataFrame:
 
 def new_ones(planned: DataFrame, existing: DataFrame, tolerance: float = TOLERANCE, by_entity: bool = False) -> DataFrame:
     """Planned rectangles (doc_id, page_num, entity, word, x0..y1) without those that exist: same word, all corners within tolerance."""
-    e = existing.select(*[F.col(c).alias(f"e_{c}") for c in ("doc_id", "page_num", "entity", "word", *_PLACE)])
+    # First corners meet in cells, an existing one in all cells that the tolerance reaches; equal ones are looked at once.
+    cell = max(1.0, 10 * tolerance)
+    at = lambda c, by=0.0: F.floor((F.col(c) + by) / cell)
+    e = existing.select(*[F.col(c).alias(f"e_{c}") for c in ("doc_id", "page_num", *(["entity"] if by_entity else []), "word", *_PLACE)]).distinct()
+    for c in ("x0", "y0"):
+        e = e.withColumn(f"cell_{c}", F.explode(F.sequence(at(f"e_{c}", -2 * tolerance), at(f"e_{c}", 2 * tolerance))))
     on = (F.col("doc_id") == F.col("e_doc_id")) & (F.col("page_num") == F.col("e_page_num")) & F.expr("coalesce(word, '') = coalesce(e_word, '')")
+    on = on & (at("x0") == F.col("cell_x0")) & (at("y0") == F.col("cell_y0"))
     if by_entity:
         on = on & F.expr("coalesce(entity, '') = coalesce(e_entity, '')")
     for c in _PLACE:
         on = on & (F.abs(F.col(c) - F.col(f"e_{c}")) <= tolerance)
-    return planned.join(e, on, "left_anti")
+    return planned.join(apart(e), on, "left_anti")
 
 
 def applied(planned: DataFrame, existing: DataFrame, mode: str = "append", highlight: bool = True, identical: bool = False) -> DataFrame:
