@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import geometry as G
 from spanloom.functions.values import entity_rank
 from spanloom.operators import resolve
+from spanloom.shipping import apart, spread
 
 KEEP = ("widest", "first", "last", "entity-order")
 TIE_BREAK = ("origin", "length", "entity", "position")
@@ -34,10 +35,34 @@ def quad_edges(found: DataFrame, overlap: str = "overlap") -> DataFrame:
     return a.join(b, on & meets).select("doc_id", "i", "j")
 
 
+def _cell_edges(found: DataFrame) -> DataFrame:
+    """quad_edges() of overlap, through grid cells: rectangles that share an area share the cell of its first corner."""
+    cell = ["doc_id", "page_num", "gx", "gy"]
+    r, q = F.col("r"), F.col("q")
+    rects = found.select("doc_id", "page_num", F.col("seq").alias("i"), F.explode(_rects(F.col("quads"))).alias("r")).filter("r.x1 > r.x0 AND r.y1 > r.y0")
+    cells = rects.select("doc_id", "page_num", "i", "r", F.explode(G.grid_cells(r)).alias("g")).select("doc_id", "page_num", "i", "r", "g.gx", "g.gy")
+    cells = spread(cells, *cell)
+    other = cells.select(*cell, F.col("i").alias("j"), r.alias("q"))
+    first = (F.floor(F.greatest(r["x0"], q["x0"]) / 50.0) == F.col("gx")) & (F.floor(F.greatest(r["y0"], q["y0"]) / 50.0) == F.col("gy"))
+    return cells.join(apart(other), cell).filter((F.col("i") < F.col("j")) & G.intersects(r, q) & first).select("doc_id", "i", "j")
+
+
+def _quad_components(found: DataFrame, overlap: str) -> DataFrame:
+    """Equal quads that meet themselves are one: their first stands for them, so that copies make no pairs."""
+    q = _rects(F.col("quads"))
+    extent = F.exists(q, lambda r: G.intersects(r, r)) if overlap == "overlap" else F.forall(q, lambda r: G.contains(r, r)) if overlap == "contain" else F.col("quads").isNotNull()
+    alike = W.partitionBy("doc_id", "page_num", "quads", "own_")
+    rows = found.withColumn("own_", F.when(~F.coalesce(extent, F.lit(False)) | F.col("page_num").isNull(), F.col("seq"))).withColumn("first_", F.min("seq").over(alike)).drop("own_")
+    some = rows.filter("seq = first_").drop("first_")
+    links = _cell_edges(some) if overlap == "overlap" else quad_edges(some, overlap)
+    copies = rows.filter("seq <> first_").select("doc_id", F.col("first_").alias("i"), F.col("seq").alias("j"))
+    return resolve.labelled(found, links.unionByName(copies))
+
+
 def components(found: DataFrame, overlap: str = "overlap") -> DataFrame:
     """found with comp; text by its closed interval, rectangles page by page."""
     if "quads" in found.columns:
-        return resolve.labelled(found, quad_edges(found, overlap))
+        return _quad_components(found, overlap)
     rows = found.withColumn("gstart", F.col("start").cast("long")).withColumn("gend", F.col("end").cast("long"))
     return resolve.components(rows, overlap, "any").drop("gstart", "gend")
 
