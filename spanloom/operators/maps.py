@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.shipping import apart, spread
+
 _PLACE = ("x0", "y0", "x1", "y1")
 _KEYS = ("doc_id", "page_num", "block_num")
 
@@ -57,7 +59,7 @@ def preferred(new: DataFrame, embedded: DataFrame) -> DataFrame:
 def char_details(spans: DataFrame, chars: DataFrame) -> DataFrame:
     """(doc_id, det, goffset, ch, x0..y1): every offset of each span; one without a character is ``?`` without a place."""
     each = spans.select("doc_id", "det", F.explode(F.filter(F.sequence("start", F.col("end")), lambda i: i < F.col("end"))).alias("goffset"))
-    return each.join(chars.select("doc_id", "goffset", "ch", *_PLACE), ["doc_id", "goffset"], "left").withColumn("ch", F.coalesce("ch", F.lit("?")))
+    return each.join(apart(chars.select("doc_id", "goffset", "ch", *_PLACE)), ["doc_id", "goffset"], "left").withColumn("ch", F.coalesce("ch", F.lit("?")))
 
 
 def find_text(spans: DataFrame, part: str, page: int | None = None) -> DataFrame:
@@ -68,9 +70,9 @@ def near_points(points: DataFrame, spans: DataFrame, tolerance: float = 5.0, cel
     """(pid, idx): spans whose box, widened by tolerance, holds the point; looked up through grid cells of one document's page."""
     wide = spans.select("doc_id", "page_num", "idx", *[(F.col(c) + (tolerance if c[1] == "1" else -tolerance)).alias(c) for c in _PLACE])
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    wide = wide.withColumn("gx", cells("x0", "x1")).withColumn("gy", cells("y0", "y1"))
+    wide = spread(wide.withColumn("gx", cells("x0", "x1")).withColumn("gy", cells("y0", "y1")), "doc_id", "page_num", "gx", "gy")
     p = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-    return p.join(wide, ["doc_id", "page_num", "gx", "gy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("pid", "idx")
+    return spread(p, "doc_id", "page_num", "gx", "gy").join(apart(wide), ["doc_id", "page_num", "gx", "gy"]).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("pid", "idx")
 
 
 def statistics(rows: DataFrame) -> DataFrame:
