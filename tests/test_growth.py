@@ -2,12 +2,13 @@
 
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from spanloom.operators import highlights, layout, legacy, resolve
+from spanloom.operators import highlights, layout, legacy, ocr, resolve
 from spanloom.plans import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -87,3 +88,30 @@ def test_points_and_circles(spark):
     assert dict(map(tuple, layout.nearest_char(circles.drop("radius"), chars, 30.0).collect())) == best
     under = {p[0]: min(h) for p in points if (h := [r[2] for r in rects if same(p, r) and away(p, r) == 0])}
     assert dict(map(tuple, layout.char_at(circles, chars).collect())) == under
+
+
+def test_read_items_meet_truth_page_by_page(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: rng.choice(["a", "ab", "b", "Ａ b", "", "abc", " c"])
+    of = lambda n: [(rng.choice(["p", "q", None]), rng.randrange(2), k, word(), float(rng.randrange(9)), float(rng.randrange(9))) for k in range(n)]
+    truth, read = of(60), of(80)
+    norm = lambda t: "".join(unicodedata.normalize("NFKC", t).split())
+    want = []
+    for page in {r[:2] for r in read}:
+        free = [t for t in truth if t[:2] == page]
+        for o in (r for r in read if r[:2] == page):
+            hit = next((g for g in free if norm(o[3]) and (norm(o[3]) in norm(g[3]) or norm(g[3]) in norm(o[3]))), None)
+            if hit:
+                free.remove(hit)
+                want.append((*page, hit[2], o[2], o[4] - hit[4], o[5] - hit[5]))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id string, page_num int, seq long, text string, x double, y double")
+    # One call of Python a page would be too many: pages go through in batches.
+    monkeypatch.delattr("pyspark.sql.pandas.group_ops.PandasCogroupedOps.applyInPandas")
+    assert sorted(map(repr, map(tuple, ocr.pairs(frame(truth), frame(read)).collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["exact_groups", "winners", "contain_components", "legacy_tie_break"])
+def test_documents_are_dealt_by_their_number(spark, monkeypatch, name):
+    monkeypatch.setattr("spanloom.shipping.ROWS_A_TASK", 100)
+    dealt = re.findall(r"hashpartitioning\(doc_id#\w+, (\d+)\), REPARTITION_BY_NUM", entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString())
+    assert dealt and min(map(int, dealt)) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 100
