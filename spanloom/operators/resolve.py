@@ -58,11 +58,11 @@ def components(found: DataFrame, overlap: str = "overlap", entities: str = "any"
         return blocks(found, "doc_id").withColumnRenamed("block", "comp")
     with_kinds = found.withColumn("kinds", F.collect_set("entity").over(W.partitionBy("doc_id")))
     if overlap == "contain":
-        beside = with_kinds.select("doc_id", "seq", "gstart", "gend", F.explode(F.when(noun, F.col("kinds")).otherwise(F.array("entity"))).alias("side"))
-        blocks = sweep.contain_blocks(beside, "doc_id", "side").select("doc_id", "seq", "block")
-        named = blocks.groupBy("doc_id", "seq").agg(F.min("block").alias("first"))
-        links = blocks.join(named, ["doc_id", "seq"]).filter("block <> first").select("doc_id", F.col("block").alias("u"), F.col("first").alias("v"))
-        return _joined(found.join(named, ["doc_id", "seq"]), links)
+        # Windows over documents throughout: the rows are dealt once, as the caller wants it.
+        beside = with_kinds.select(*found.columns, F.posexplode(F.when(noun, F.col("kinds")).otherwise(F.array("entity"))).alias("nth_", "side"))
+        named = sweep.contain_blocks(beside, "doc_id", "side").withColumn("first", F.min("block").over(W.partitionBy("doc_id", "seq")))
+        links = named.filter("block <> first").select("doc_id", F.col("block").alias("u"), F.col("first").alias("v"))
+        return _joined(named.filter("nth_ = 0").select(*found.columns, "first"), links)
     own = sweep.overlap_blocks(with_kinds, "doc_id", "entity").withColumnRenamed("block", "first")
     sides = F.when(noun, F.array_except("kinds", F.array(F.lit("PROPER_NOUN")))).otherwise(F.array("entity"))
     beside = own.select("doc_id", "seq", "gstart", "gend", "first", noun.alias("noun"), F.explode(sides).alias("side"))
