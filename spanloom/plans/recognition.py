@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import ocr
 from spanloom.plans import config, service
-from spanloom.shipping import saved
+from spanloom.shipping import saved, spread
 
 _PLACE = ("x0", "y0", "x1", "y1")
 
@@ -40,6 +40,8 @@ def run_ocr(pages: DataFrame, own: DataFrame, engine: Callable[..., str], writte
     chosen = target_pages(pages, wanted)
     rects = ocr.blanked(own.select("doc_id", "page_num", *_PLACE), dpi).groupBy("doc_id", "page_num").agg(F.collect_list(F.struct(*_PLACE)).alias("covered"))
     none = F.array().cast(rects.schema["covered"].dataType)
+    # Few bytes of images are much work: pages are dealt to several tasks a core, which what is made of them inherits.
+    chosen = spread(chosen, "doc_id", "page_num")
     raw = saved(ocr.recognised(chosen.join(rects, ["doc_id", "page_num"], "left").withColumn("covered", F.coalesce("covered", none)), engine))
     items = ocr.to_points(ocr.items(raw.filter("error IS NULL")), dpi, s["offset_x"], s["offset_y"])
     if s["auto_color"] and "text_color" not in items.columns:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from spanloom.operators import highlights, layout, legacy, ocr, resolve
-from spanloom.plans import queries
+from spanloom.plans import queries, recognition
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -115,3 +115,18 @@ def test_documents_are_dealt_by_their_number(spark, monkeypatch, name):
     monkeypatch.setattr("spanloom.shipping.ROWS_A_TASK", 100)
     dealt = re.findall(r"hashpartitioning\(doc_id#\w+, (\d+)\), REPARTITION_BY_NUM", entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString())
     assert dealt and min(map(int, dealt)) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 100
+
+
+def test_a_result_is_read_a_few_times(spark):
+    raw = spark.createDataFrame([(1, 0, '[["a", [1, 2, 3, 4], 0.5]]'), (1, 1, '{"lines":[{"text":"b","box":{"x":1,"y":2,"width":3,"height":4}}]}')], "doc_id long, page_num int, raw string")
+    rows = ocr.items(raw)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") < 60 and plan.count("from_json") < 10
+    assert sorted((r["text"], r["x"], r["y"], r["width"], r["height"]) for r in rows.collect()) == [("a", 1.0, 2.0, 2.0, 2.0), ("b", 1.0, 2.0, 3.0, 4.0)]
+
+
+def test_pages_are_dealt_to_engines(spark):
+    pages = spark.range(64).coalesce(1).selectExpr("id AS doc_id", "0 AS page_num", "100d AS width", "100d AS height", "binary('a') AS image")
+    own = pages.selectExpr("doc_id", "page_num", "0d AS x0", "0d AS y0", "1d AS x1", "1d AS y1")
+    written, failed = recognition.run_ocr(pages, own, lambda image, page, covered: '[["w", [1, 2, 30, 40]]]')
+    assert written.count() == 64 and failed.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
