@@ -21,6 +21,8 @@ PATTERNS = {
     "PHONE_NUMBER": r"(?<!\d)(?:0\d{1,4}[-]?\d{1,4}[-]?\d{4})(?!\d)",
 }
 MAX_CHARS, MAX_BYTES = 15_000, 48_125
+#: A character for private use.
+MARK = "\uf8f1"
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -53,12 +55,21 @@ def spans(text: Column, pattern: str, whole: bool = False) -> Column:
     if same is None or patterns.may_be_empty(pattern) or not whole and patterns.has_groups(pattern):
         return _python_spans(text, pattern, whole)
 
+    none = F.array().cast(_SPAN)
+
+    def placed(gaps: Column, hits: Column) -> Column:
+        return running_spans(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))))
+
     def of(hits: Column) -> Column:
-        gaps = F.slice(F.split(text, same, -1), F.lit(1), F.size(hits))
-        found = running_spans(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))))
-        return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(_SPAN))
+        return F.when(F.size(hits) > 0, placed(F.slice(F.split(text, same, -1), F.lit(1), F.size(hits)), hits)).otherwise(none)
+
+    def between(parts: Column) -> Column:
+        return F.when(F.size(parts) > 1, placed(F.filter(parts, lambda _, i: (i % 2 == 0) & (i < F.size(parts) - 1)), F.filter(parts, lambda _, i: i % 2 == 1))).otherwise(none)
 
-    return F.coalesce(let(F.regexp_extract_all(text, F.lit(same), F.lit(0)), of), F.array().cast(_SPAN))
+    # One run of the pattern marks its matches, and the marks are told without it; a text that holds the mark is read twice.
+    marked = let(F.split(F.regexp_replace(text, F.lit(same), F.lit(f"{MARK}$0{MARK}")), MARK, -1), between)
+    twice = let(F.regexp_extract_all(text, F.lit(same), F.lit(0)), of)
+    return F.coalesce(F.when(F.contains(text, F.lit(MARK)), twice).otherwise(marked), none)
 
 
 def let(value: Column, body) -> Column:
@@ -97,7 +108,9 @@ def literal_spans(text: Column, word: str) -> Column:
     if not n:
         return F.array().cast(_SPAN)
     ahead = f"(?s){re.escape(word[0])}(?={re.escape(word[1:])})" if n > 1 else re.escape(word)
-    return F.transform(spans(text, ahead, whole=True), lambda s: F.struct(s["start"].alias("start"), (s["start"] + n).alias("end"), F.lit(word).alias("text")))
+    found = F.transform(spans(text, ahead, whole=True), lambda s: F.struct(s["start"].alias("start"), (s["start"] + n).alias("end"), F.lit(word).alias("text")))
+    # Most texts hold none: that is told at once.
+    return F.when(F.contains(text, F.lit(word)), found).otherwise(F.array().cast(_SPAN))
 
 
 def block_spans(block: DataFrame, word: str) -> DataFrame:

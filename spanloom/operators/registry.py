@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import values
 from spanloom.operators import choose, detect
+from spanloom.shipping import apart, saved
 
 #: Characters before a match in which a context word counts, what it adds, and the least score that it gives.
 WINDOW, RAISE, RAISED = 50, 0.35, 0.4
@@ -85,6 +86,8 @@ def scored(docs: DataFrame, recognisers: tuple[Recogniser, ...] = DEFAULT, entit
             held = F.when(F.col("which") == k, r.check(F.col("word"))).otherwise(held)
     # Exploding an array of one keeps a check from being computed wherever it is asked for.
     rows = rows.withColumn("held", F.explode(F.array(held))).filter("held IS NULL OR held").withColumn("score", F.when(F.col("held"), 1.0).otherwise(F.col("score")))
+    # Context and conflicts ask for the matches several times; written, they are found once.
+    rows = saved(rows)
     return raised(rows, docs, {k: r.context for k, r in enumerate(wanted) if r.context}, text_col, window).select("doc_id", "entity", "start", "end", "word", "score", F.col("held").isNotNull().alias("checked"))
 
 
@@ -102,9 +105,9 @@ def raised(rows: DataFrame, docs: DataFrame, context: dict[int, tuple[str, ...]]
     told = told.withColumn("cell", F.explode(F.sequence(F.floor(F.col("e") / CELL), F.floor((F.col("e") + window) / CELL))))
     on = (F.col("doc_id") == F.col("of_doc")) & (F.floor(F.col("start") / CELL) == F.col("cell")) & (F.col("which") == F.col("k")) & F.col("e").between(F.col("start") - window, F.col("start"))
     open_, settled = rows.filter("score < 1"), rows.filter("score >= 1")
-    near = open_.join(told, on, "left_semi").select("doc_id", "which", "start", "end").distinct().withColumn("near", F.lit(True))
+    near = open_.join(apart(told), on, "left_semi").select("doc_id", "which", "start", "end").distinct().withColumn("near", F.lit(True))
     up = F.when(F.col("near"), F.least(F.lit(1.0), F.greatest(F.lit(RAISED), F.col("score") + RAISE))).otherwise(F.col("score"))
-    return settled.unionByName(open_.join(near, ["doc_id", "which", "start", "end"], "left").withColumn("score", up).drop("near"))
+    return settled.unionByName(open_.join(apart(near), ["doc_id", "which", "start", "end"], "left").withColumn("score", up).drop("near"))
 
 
 def without_contained(found: DataFrame) -> DataFrame:
@@ -115,7 +118,7 @@ def without_contained(found: DataFrame) -> DataFrame:
     o = o.withColumn("cell", F.explode(F.sequence(F.floor(F.col("o0") / CELL), F.floor((F.col("o1") - 1) / CELL))))
     better = (F.col("os") > F.col("score")) | ((F.col("os") == F.col("score")) & ((F.col("o0") < F.col("start")) | ((F.col("o0") == F.col("start")) & (F.col("o1") > F.col("end")))))
     on = (F.col("doc_id") == F.col("od")) & (F.col("entity") == F.col("oe")) & (F.floor(F.col("start") / CELL) == F.col("cell")) & (F.col("o0") <= F.col("start")) & (F.col("end") <= F.col("o1")) & better
-    return once.join(o, on, "left_anti")
+    return once.join(apart(o), on, "left_anti")
 
 
 def analyse(docs: DataFrame, recognisers: tuple[Recogniser, ...] = DEFAULT, entities: list[str] | None = None, threshold: float = 0.0, apart: bool = False, text_col: str = "text") -> DataFrame:

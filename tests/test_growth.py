@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from spanloom.operators import highlights, layout, legacy, ocr, resolve
+from spanloom.operators import detect, highlights, layout, legacy, ocr, registry, resolve
 from spanloom.plans import queries, recognition
 
 SMALL = "/root/testdata/sf0.001"
@@ -130,3 +130,21 @@ def test_pages_are_dealt_to_engines(spark):
     own = pages.selectExpr("doc_id", "page_num", "0d AS x0", "0d AS y0", "1d AS x1", "1d AS y1")
     written, failed = recognition.run_ocr(pages, own, lambda image, page, covered: '[["w", [1, 2, 30, 40]]]')
     assert written.count() == 64 and failed.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_patterns_run_once_and_find_what_python_finds(spark):
+    rng = random.Random(13)
+    wanted = [r.patterns[0][0] for r in registry.DEFAULT[:4]] + [r"\b[a-c]+\b", r"\b_x?", r"\b(?<!-)\d", r"\b\u00e9", r"\b[\u4e00-\u9fff]", r"(?i)\bk", r"a|b$"]
+    texts = ["".join(rng.choice("a b_x-.1é2山年@k\n\uf8f1$\\"[: 24 if k % 3 else 18]) for _ in range(40)) for k in range(120)] + ["", None, "ab\uf8f1ab"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = docs.select("text", *[detect.spans(F.col("text"), p, whole=True).alias(f"p{k}") for k, p in enumerate(wanted)]).collect()
+    for r in rows:
+        for k, p in enumerate(wanted):
+            assert [tuple(s) for s in r[f"p{k}"]] == [(m.start(), m.end(), m[0]) for m in re.finditer(p, r["text"] or "")], (p, r["text"])
+    once = registry.scored(spark.createDataFrame([(1, "1999年")], "doc_id long, text string"), entities=["YEAR", "PERSON"])
+    assert "regexp" not in once._jdf.queryExecution().analyzed().toString()
+
+
+def test_words_in_few_texts_are_looked_up_there_alone(spark):
+    text = spark.createDataFrame([("aXaXa",), ("b",), (None,)], "text string").select("text", detect.literal_spans(F.col("text"), "aXa").alias("s"))
+    assert [[(x["start"], x["end"]) for x in r["s"]] for r in text.collect()] == [[(0, 3), (2, 5)], [], []]
