@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import geometry as G
 from spanloom.functions import values as V
-from spanloom.shipping import apart
+from spanloom.shipping import apart, saved
 
 _PLACE = ("x0", "y0", "x1", "y1")
 #: How far a corner may lie from that of an annotation that exists already, in points.
@@ -94,7 +94,9 @@ def to_detections(marks: DataFrame, docs: DataFrame) -> DataFrame:
                 out.append((row.doc_id, row.seq, row.entity, row.word, row.origin, at, at + len(row.word)))
         return pd.DataFrame(out, columns=["doc_id", "seq", "entity", "word", "origin", "start", "end"])
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Only documents with highlights are given to Python; what they are is written, as it is asked for twice.
+    rows = saved(rows)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(apart(rows.select("doc_id").distinct()), "doc_id", "left_semi")
     return rows.groupBy("doc_id").cogroup(texts.groupBy("doc_id")).applyInPandas(place, f"doc_id {kind}, seq bigint, entity string, word string, origin string, start bigint, end bigint")
 
 

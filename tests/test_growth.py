@@ -6,6 +6,7 @@ import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 import __spark_entry__ as entry
 from spanloom.operators import detect, highlights, layout, legacy, ocr, registry, resolve
@@ -148,3 +149,21 @@ def test_patterns_run_once_and_find_what_python_finds(spark):
 def test_words_in_few_texts_are_looked_up_there_alone(spark):
     text = spark.createDataFrame([("aXaXa",), ("b",), (None,)], "text string").select("text", detect.literal_spans(F.col("text"), "aXa").alias("s"))
     assert [[(x["start"], x["end"]) for x in r["s"]] for r in text.collect()] == [[(0, 3), (2, 5)], [], []]
+
+
+def test_documents_without_highlights_are_not_given_to_python(spark):
+    text = "string(id) || ' ab ab'"
+    docs = spark.range(200).selectExpr("id AS doc_id", f"{text} AS text")
+    marks = docs.filter("doc_id < 2").crossJoin(spark.range(2)).selectExpr("doc_id", "id AS seq", "'Auto ' AS title", "'x' AS content", "'ab' AS detect_word", "'OTHER' AS entity_type")
+    placed = highlights.to_detections(marks, docs)
+    assert "LeftSemi" in placed._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["doc_id"], r["seq"], r["start"], r["end"], r["origin"]) for r in placed.collect()) == [(d, k, 2 + 3 * k, 4 + 3 * k, "auto") for d in (0, 1) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("name, task_rows", [("text_colours", "p_partkey"), ("ocr_items", "p_partkey"), ("omitted", "o_orderkey")])
+def test_few_bytes_that_make_much_are_dealt(spark, monkeypatch, name, task_rows):
+    dealt_by = []
+    whole = DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *keys: dealt_by.append(keys) or whole(self, n, *keys))
+    entry.queries()[name](spark, SMALL)
+    assert (task_rows,) in dealt_by
