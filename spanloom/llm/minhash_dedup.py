@@ -173,15 +173,23 @@ def bucketed(reps: DataFrame) -> DataFrame:
 
 
 def _labelled(per_doc: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, doc_id, c, size) of buckets that hold several components; of buckets with the same members one stands for all.
+    """(key, doc_id, c, size, head) of buckets that hold several components; of buckets with the same members one stands for all.
 
     per_doc holds (doc_id, keys); components join it at one row a document, before its keys are spread.
     """
     rows = per_doc.join(roots.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("c"), F.explode("keys").alias("key"))
     h = F.xxhash64("doc_id")
-    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 33)).alias("y")).filter("lo <> hi")
-    mixed = saved(mixed.groupBy("lo", "hi", "size", "x", "y").agg(F.min("key").alias("key")).select("key", "size"))
-    return rows.join(mixed, "key").select("key", "doc_id", "c", "size")
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 33)).alias("y"), F.min("doc_id").alias("head")).filter("lo <> hi")
+    mixed = saved(mixed.groupBy("lo", "hi", "size", "x", "y").agg(F.min(F.struct("key", "head")).alias("b")).select("b.key", "b.head", "size"))
+    return rows.join(mixed, "key").select("key", "doc_id", "c", "size", "head")
+
+
+def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, c, head) of the buckets (key, doc_id, head) that still hold several components of roots; nothing is joined to them a second time."""
+    per_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "head")).alias("b"))
+    now = per_doc.join(roots.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("c"), F.inline("b"))
+    mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    return now.join(saved(mixed), "key", "left_semi").select("doc_id", "c", "head").distinct()
 
 
 def _cross(rows: DataFrame) -> DataFrame:
@@ -225,9 +233,8 @@ def _block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The exact way for what is left of large buckets (key, doc_id, c): new links (u, v)."""
-    heads = rows.groupBy("key").agg(F.min("doc_id").alias("head"))
-    families = components(rows.join(heads, "key").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct())
+    """The exact way for what is left of large buckets (doc_id, c, head): new links (u, v).  Buckets meet in their smallest member, the head."""
+    families = components(rows.select(F.col("head").alias("u"), F.col("doc_id").alias("v")))
     members = rows.select("doc_id", "c").distinct().join(families.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left")
     members = members.select("doc_id", "c", F.coalesce("component_id", "doc_id").alias("family"))
     members = saved(members.join(sets.select("doc_id", F.size("s").cast("long").alias("n")), "doc_id"))
@@ -259,7 +266,7 @@ def near_links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     if not found.isEmpty():
         roots = components(_stars(roots).union(found))
     if not large.isEmpty():
-        left = written(_labelled(large.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), roots).drop("size"))
+        left = written(_unsettled(large, roots))
         if not left.isEmpty():
             found = saved(_rest(left, sets, percent))
             if not found.isEmpty():

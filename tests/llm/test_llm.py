@@ -88,6 +88,20 @@ def test_minhash(spark, monkeypatch):
     assert minhash_dedup.near_duplicates(frame(spark, ODD)).filter("kept").count() == len(ODD) - 3 + 1
 
 
+def test_minhash_large_buckets_meet_their_components_by_key_once(spark, monkeypatch):
+    """What is left of large buckets is told by components alone: settled buckets go, and no second join by key lists all members."""
+    rows = spark.createDataFrame([(1, 10, 10), (1, 11, 10), (2, 10, 10), (2, 12, 10), (2, 13, 10)], "key long, doc_id long, head long")
+    roots = spark.createDataFrame([(11, 10), (13, 12)], "id long, component_id long")
+    assert sorted(map(tuple, minhash_dedup._unsettled(rows, roots).collect())) == [(10, 10, 10), (12, 12, 10), (13, 12, 10)]
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join(f"e{rng.randrange(10**6)}" if k in out else w for k, w in enumerate(base)), "s") for i in range(60) for out in [rng.sample(range(60), 2)]]
+    labelled, calls = minhash_dedup._labelled, []
+    monkeypatch.setattr(minhash_dedup, "_labelled", lambda *a: calls.append(1) or labelled(*a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(frame(spark, docs), words=3, percent=85).collect()}
+    assert got == brute_near([(i, t) for i, t, _ in docs], 3, 85) and len(calls) == 1
+
+
 def test_minhash_words():
     a, b = minhash_dedup.shingle_set("A b\u00a0c D", 3), minhash_dedup.shingle_set("a\tB\u00a0c\nd", 3)
     assert (a == b).all() and len(a) == 1
