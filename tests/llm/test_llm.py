@@ -170,6 +170,21 @@ def test_suffix_dedup_of_edited_copies(spark):
         assert sorted(repr((r["doc_id"], r["n_bytes"], sum(x["e"] - x["s"] for x in r["spans"]), bytes(r["kept"]))) for r in got) == want
 
 
+def test_suffix_windows_that_share_nothing_are_not_listed(spark, monkeypatch):
+    """One passage in many texts that differ close to it: only windows within what a context shares with another are sorted."""
+    rng = random.Random(9)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, tail = words(46), words(40)
+    rows = [(i, words(60) + passage + words(60)) for i in range(150)]
+    rows += [(200 + i, words(30) + x + passage + y + words(30)) for i, (x, y) in enumerate([(tail, words(40)), (words(40), tail), (tail[20:], tail[:10]), (tail[20:], tail[:20]), (tail[30:], tail)])]
+    made, listed = [], suffix_dedup._windows
+    monkeypatch.setattr(suffix_dedup, "_windows", lambda *a: made.append(listed(*a)) or made[0])
+    got = suffix_dedup.dedup(frame(spark, [(i, t, "s") for i, t in rows]), length=60).collect()
+    want = sorted(map(repr, brute_repeats(rows, 60)))
+    assert sorted(repr((r["doc_id"], r["n_bytes"], sum(x["e"] - x["s"] for x in r["spans"]), bytes(r["kept"]))) for r in got) == want
+    assert 0 < made[0].count() < 300
+
+
 def test_loser_tree():
     rng = random.Random(3)
     for _ in range(200):
