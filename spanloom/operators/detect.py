@@ -64,7 +64,9 @@ def spans(text: Column, pattern: str, whole: bool = False) -> Column:
         return F.when(F.size(hits) > 0, placed(F.slice(F.split(text, same, -1), F.lit(1), F.size(hits)), hits)).otherwise(none)
 
     def between(parts: Column) -> Column:
-        return F.when(F.size(parts) > 1, placed(F.filter(parts, lambda _, i: (i % 2 == 0) & (i < F.size(parts) - 1)), F.filter(parts, lambda _, i: i % 2 == 1))).otherwise(none)
+        at = F.length(F.get(parts, 0))
+        one = F.array(F.struct(at.alias("start"), (at + F.length(F.get(parts, 1))).alias("end"), F.get(parts, 1).alias("text")))
+        return F.when(F.size(parts) == 3, one).when(F.size(parts) > 1, placed(F.filter(parts, lambda _, i: (i % 2 == 0) & (i < F.size(parts) - 1)), F.filter(parts, lambda _, i: i % 2 == 1))).otherwise(none)
 
     # One run of the pattern marks its matches, and the marks are told without it; a text that holds the mark is read twice.
     marked = let(F.split(F.regexp_replace(text, F.lit(same), F.lit(f"{MARK}$0{MARK}")), MARK, -1), between)
@@ -99,7 +101,7 @@ def running_spans(pairs: Column, chunk: int = 128) -> Column:
         return F.aggregate(c, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda acc: acc["out"])
 
     some = lambda p: let(cuts(p), lambda cut: F.flatten(F.zip_with(cut, starts(cut), inside)))
-    return let(pairs, lambda p: F.when(F.size(p) > 0, some(p)).otherwise(F.array().cast(_SPAN)))
+    return let(pairs, lambda p: F.when(F.size(p) > chunk, some(p)).when(F.size(p) > 0, inside(p, F.lit(0))).otherwise(F.array().cast(_SPAN)))
 
 
 def literal_spans(text: Column, word: str) -> Column:

@@ -8,6 +8,7 @@ that lies in a better one goes.  All of it is expressions and joins by document
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,19 +35,23 @@ class Recogniser:
 
 def luhn(text: Column) -> Column:
     """Whether the digits have a right check digit by doubling every second one from the right; null without any."""
-    digits = F.transform(F.split(F.reverse(values.digits_only(text)), ""), lambda c: c.cast("int"))
-    twice = F.transform(digits, lambda d, i: F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d))
-    total = F.aggregate(F.filter(twice, lambda d: d.isNotNull()), F.lit(0), lambda a, d: a + d)
-    return F.when(F.length(values.digits_only(text)) > 0, total % 10 == 0)
+    backwards = F.reverse(values.digits_only(text))
+    # Two digits a step: the first counts as it is, the second twice; an odd number of them ends with a zero.
+    pairs = F.regexp_extract_all(F.concat(backwards, F.lit("0")), F.lit("[0-9]{2}"), F.lit(0))
+    twice = F.array(*[F.lit(n // 10 + (2 * (n % 10) if n % 10 < 5 else 2 * (n % 10) - 9)) for n in range(100)])
+    total = F.aggregate(pairs, F.lit(0), lambda a, p: a + F.get(twice, p.cast("int")))
+    return F.when(F.length(backwards) > 0, total % 10 == 0)
 
 
 def mod97(text: Column) -> Column:
     """Whether an account number's letters and digits, the first four behind the rest, are 1 modulo 97."""
-    bare = F.upper(F.regexp_replace(text, "[^0-9A-Za-z]", ""))
-    moved = F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))
-    figure = lambda c: F.when(c.between("0", "9"), c.cast("long")).otherwise(F.ascii(c).cast("long") - 55)
-    rest = F.aggregate(F.split(moved, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise((a * F.when(c.between("0", "9"), 10).otherwise(100) + figure(c)) % 97))
-    return (F.length(bare) > 4) & (rest == 1)
+    bare = F.translate(F.regexp_replace(text, "[^0-9A-Za-z]", ""), string.ascii_lowercase, string.ascii_uppercase)
+    # Up to nine digits a step, or one letter, which stands for two.
+    powers = F.array(*[F.lit(10**n) for n in range(10)])
+    step = lambda a, c: F.when(F.ascii(c) < 58, a * F.get(powers, F.length(c)) + c.cast("long")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    moved = lambda b: F.concat(F.substring(b, F.lit(5), F.length(b)), F.substring(b, 1, 4))
+    rest = lambda b: F.aggregate(F.regexp_extract_all(moved(b), F.lit("[0-9]{1,9}|[A-Z]"), F.lit(0)), F.lit(0).cast("long"), step)
+    return detect.let(bare, lambda b: (F.length(b) > 4) & (rest(b) == 1))
 
 
 def address_parts(text: Column) -> Column:

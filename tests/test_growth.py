@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 import __spark_entry__ as entry
-from spanloom.operators import detect, highlights, layout, legacy, ocr, registry, resolve
-from spanloom.plans import queries, recognition
+from spanloom.operators import detect, highlights, layout, legacy, ocr, pages, registry, resolve
+from spanloom.plans import queries, recognition, service
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -167,3 +167,22 @@ def test_few_bytes_that_make_much_are_dealt(spark, monkeypatch, name, task_rows)
     monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *keys: dealt_by.append(keys) or whole(self, n, *keys))
     entry.queries()[name](spark, SMALL)
     assert (task_rows,) in dealt_by
+
+
+def test_check_digits_by_steps(spark):
+    """Luhn by pairs and account numbers by runs of digits are what they are digit by digit, with few steps to a number."""
+    rng = random.Random(6)
+    words = ["", "a", "0", "18", "79927398713", "１８", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE", None] + ["".join(rng.choice("0123456789ABz -") for _ in range(rng.randrange(1, 36))) for _ in range(400)]
+
+    def luhn(w):
+        d = [int(x) for x in w if x.isdigit()]
+        return None if not d else sum(x if i % 2 == 0 else 2 * x - (9 if x > 4 else 0) for i, x in enumerate(reversed(d))) % 10 == 0
+
+    def mod97(w):
+        b = "".join(c for c in w if c.isascii() and c.isalnum()).upper()
+        return len(b) > 4 and int("".join(c if c.isdigit() else str(ord(c) - 55) for c in b[4:] + b[:4])) % 97 == 1
+
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", registry.luhn(F.col("w")).alias("l"), registry.mod97(F.col("w")).alias("m")).collect()
+    assert [(r["l"], r["m"]) for r in rows] == [(luhn(r["w"]), mod97(r["w"])) if r["w"] is not None else (None, None) for r in rows]
+    plan = spark.range(1).select(registry.mod97(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
