@@ -21,6 +21,8 @@ PATTERNS = {
     "PHONE_NUMBER": r"(?<!\d)(?:0\d{1,4}[-]?\d{1,4}[-]?\d{4})(?!\d)",
 }
 MAX_CHARS, MAX_BYTES = 15_000, 48_125
+#: Characters of a chunk up to which Java's engine cuts it, which may take a frame of its stack for each.
+NATIVE_CHARS = 1_000
 #: A character for private use.
 MARK = "\uf8f1"
 _SPAN = "array<struct<start:int,end:int,text:string>>"
@@ -238,7 +240,14 @@ def split_text(text: str, delimiter: str = "。", max_chars: int = MAX_CHARS, ma
 
 
 def chunks(docs: DataFrame, text_col: str = "text", delimiter: str = "。", max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(doc_id, chunk, start_offset): one scan; only texts over a limit are sent to Python, in Arrow batches."""
+    """(doc_id, chunk, start_offset): one scan; only texts over a limit are sent to Python, in Arrow batches.
+
+    Without a delimiter, and with a limit of bytes that so many characters can't reach, chunks are runs of max_chars characters
+    and Python sees no text.
+    """
+    if not delimiter and max_chars <= NATIVE_CHARS and max_bytes >= 4 * max_chars:
+        runs = F.regexp_extract_all(F.col("x"), F.lit(f"(?s).{{1,{max_chars}}}"), F.lit(0))
+        return docs.select("doc_id", F.col(text_col).alias("x")).select("doc_id", F.posexplode(runs).alias("k", "chunk")).select("doc_id", "chunk", (F.col("k") * max_chars).alias("start_offset"))
     ship(docs.sparkSession)
 
     @F.pandas_udf("array<struct<text:string,start_offset:int>>")

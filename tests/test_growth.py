@@ -186,3 +186,12 @@ def test_check_digits_by_steps(spark):
     assert [(r["l"], r["m"]) for r in rows] == [(luhn(r["w"]), mod97(r["w"])) if r["w"] is not None else (None, None) for r in rows]
     plan = spark.range(1).select(registry.mod97(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
+
+
+def test_chunks_without_delimiter_need_no_python(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a\n😀é" * 5), (4, "x" * 7), (5, "y" * 14), (6, "z" * 15)], "doc_id long, text string")
+    cut = detect.chunks(docs, delimiter="", max_chars=7, max_bytes=28)
+    assert "Python" not in cut._jdf.queryExecution().executedPlan().toString()
+    want = sorted((r["doc_id"], c, s) for r in docs.collect() for c, s in detect.split_text(r["text"] or "", "", 7, 28))
+    assert sorted(map(tuple, cut.select("doc_id", "chunk", "start_offset").collect())) == want
+    assert "Python" in detect.chunks(docs, delimiter="", max_chars=7, max_bytes=27)._jdf.queryExecution().executedPlan().toString()
