@@ -9,7 +9,7 @@ from spanloom.functions import patterns
 from spanloom.functions.values import CONFIG_ALIASES, ENTITIES, normal_entity
 from spanloom.operators import detect, highlights, layout, masks, offsets, resolve
 from spanloom.plans import config, steps
-from spanloom.shipping import apart
+from spanloom.shipping import apart, spread, written
 
 #: Ways to mask: kinds of annotations, and the mode in which each is applied after the first.
 METHODS = ("annotation", "highlight", "both")
@@ -49,7 +49,8 @@ def run_detect(docs: DataFrame, options: dict | None = None) -> DataFrame:
     text = F.coalesce("text", F.array().cast("array<array<string>>"))
     # Exploding an array of one keeps the optimiser from writing the target's expression wherever it is used.
     target = offsets.target(F.col("text"), o.get("ignore_newlines", True), o.get("ignore_whitespace", False), wanted)
-    cut = docs.select("doc_id", text.alias("text")).withColumn("target", F.explode(F.array(target)))
+    # Patterns, segments and blocks read the target; it is made once and written, by several tasks a core.
+    cut = written(spread(docs.select("doc_id", text.alias("text")), "doc_id").withColumn("target", F.explode(F.array(target))))
     plain = cut.select("doc_id", F.col("target.text").alias("text"))
 
     recognisers = {e: p for e, p in o.get("recognisers", detect.PATTERNS).items() if e in enabled}

@@ -195,3 +195,21 @@ def test_chunks_without_delimiter_need_no_python(spark):
     want = sorted((r["doc_id"], c, s) for r in docs.collect() for c, s in detect.split_text(r["text"] or "", "", 7, 28))
     assert sorted(map(tuple, cut.select("doc_id", "chunk", "start_offset").collect())) == want
     assert "Python" in detect.chunks(docs, delimiter="", max_chars=7, max_bytes=27)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_target_is_made_once(spark):
+    """Patterns, segments, blocks and exclusions read a written target: documents are read once for it."""
+    from pyspark.sql import types as T
+
+    made = spark.sparkContext.accumulator(0)
+    pages_ = T.ArrayType(T.ArrayType(T.StringType()))
+
+    @F.udf(pages_)
+    def text(k):
+        made.add(1)
+        return [[f"aaa b{k}", "c"], ["dd d"]]
+
+    docs = spark.range(5).select(F.col("id").alias("doc_id"), text("id").alias("text"))
+    found = service.run_detect(docs, {"recognisers": {}, "ignore_whitespace": True, "add": [("OTHER", "a{3,}|d{3,}")], "exclude": ["zz"]})
+    assert sorted((r["doc_id"], r["word"], r["last"]["offset"]) for r in found.collect()) == sorted((i, w, o) for i in range(5) for w, o in (("aaa", 2), ("ddd", 3)))
+    assert made.value == 5
