@@ -213,3 +213,16 @@ def test_target_is_made_once(spark):
     found = service.run_detect(docs, {"recognisers": {}, "ignore_whitespace": True, "add": [("OTHER", "a{3,}|d{3,}")], "exclude": ["zz"]})
     assert sorted((r["doc_id"], r["word"], r["last"]["offset"]) for r in found.collect()) == sorted((i, w, o) for i in range(5) for w, o in (("aaa", 2), ("ddd", 3)))
     assert made.value == 5
+
+
+def test_hidden_characters_by_hash(spark):
+    """Many hidden places of a page, repeated characters among them: each character goes just where its own place is hidden."""
+    char = lambda k: {"c": "ab"[k % 2], "x": float(k % 40), "y": float(k // 40), "bbox": [0.0, 0.0, 1.0, 1.0]}
+    page = {"blocks": [{"bbox": None, "lines": [{"spans": [{"chars": [char(k) for k in range(400)]}]}]}], "trace": [{"opacity": 0.0, "x": k % 40 + 0.0001, "y": float(k // 40), "c": "ab"[k % 2 if k % 3 else 0]} for k in range(0, 400, 7)]}
+    hidden = {(k % 40, k // 40, "ab"[k % 2 if k % 3 else 0]) for k in range(0, 400, 7)}
+    docs = spark.createDataFrame([(1, [page])], f"doc_id long, pages {pages.PAGES}")
+    want = "".join("ab"[k % 2] for k in range(400) if (k % 40, k // 40, "ab"[k % 2]) not in hidden)
+    p = F.col("pages")
+    row = docs.select(pages.block_texts(p).alias("b"), pages.locator_texts(p)["full_text"].alias("t")).first()
+    read = docs.select(pages.seen(p).alias("pages")).select(pages.locator_texts(p, drawn=False)["full_text"].alias("again"), pages.texts_of(pages.block_infos(p, drawn=False)).alias("infos")).first()
+    assert row["b"] == [[want]] == read["infos"] and row["t"] == want == read["again"]
