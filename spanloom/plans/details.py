@@ -11,7 +11,7 @@ from spanloom.functions import values as V
 from spanloom.operators import detect, highlights, layout, maps, offsets, resolve
 from spanloom.plans import more
 from spanloom.plans import queries as base
-from spanloom.shipping import apart, ensure_checkpoint_dir
+from spanloom.shipping import apart, ensure_checkpoint_dir, written
 from spanloom.sources import files, store
 
 _table = base._table
@@ -92,7 +92,8 @@ def visible_chars(spark: SparkSession, d: str) -> DataFrame:
     seen = layout.visible(chars, hidden)
     n = chars.groupBy("doc_id", "page_num").agg(F.count("*").alias("n"))
     spans = n.select("doc_id", F.col("page_num").alias("det"), (F.col("page_num") * 10**6 + F.floor(F.col("n") / 4)).alias("start"), (F.col("page_num") * 10**6 + F.floor(F.col("n") * 3 / 4) + 1).alias("end"))
-    placed = layout.chars_of_spans(spans, seen.withColumn("goffset", F.col("page_num") * 10**6 + F.col("offset")))
+    # Lines and distances read the places, which are written once.
+    placed = written(layout.chars_of_spans(spans, seen.withColumn("goffset", F.col("page_num") * 10**6 + F.col("offset"))).select("doc_id", "det", "page_num", "block_num", "line_num", "x0", "y0", "x1", "y1"))
     lines = layout.line_rects(placed)
     near = placed.groupBy("doc_id", "det").agg(F.size(layout.grouped_lines(F.collect_list(F.struct("x0", "y0", "x1", "y1")), None)).cast("long").alias("n_near"))
     rows = lines.groupBy("doc_id", "det").agg(F.count("*").alias("n_lines"), F.sum(F.col("x1") - F.col("x0")).alias("width"), F.max("y1").alias("below"))

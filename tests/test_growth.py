@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 import __spark_entry__ as entry
-from spanloom.operators import detect, highlights, layout, legacy, ocr, pages, registry, resolve
+from spanloom.operators import detect, highlights, layout, legacy, maps, ocr, pages, registry, resolve
 from spanloom.plans import queries, recognition, service
 
 SMALL = "/root/testdata/sf0.001"
@@ -226,3 +226,16 @@ def test_hidden_characters_by_hash(spark):
     row = docs.select(pages.block_texts(p).alias("b"), pages.locator_texts(p)["full_text"].alias("t")).first()
     read = docs.select(pages.seen(p).alias("pages")).select(pages.locator_texts(p, drawn=False)["full_text"].alias("again"), pages.texts_of(pages.block_infos(p, drawn=False)).alias("infos")).first()
     assert row["b"] == [[want]] == read["infos"] and row["t"] == want == read["again"]
+
+
+def test_spans_meet_their_characters_by_stretches(spark):
+    """A span is a row a stretch, not one a character; its characters are all of those it covers, beside borders of stretches too."""
+    spans = spark.createDataFrame([(1, 1, 5, 9), (1, 2, 1000, 2100), (1, 3, 1023, 1024), (1, 4, 7, 7), (2, 1, 0, 3000)], "doc_id long, det long, start long, end long")
+    chars = spark.range(2500).select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("doc_id"), F.col("id").alias("goffset"), F.lit("x").alias("ch"))
+    got = layout.chars_of_spans(spans, chars)
+    want = {(d, n): [g for g in range(a, b) if g < 2500] for d, n, a, b in map(tuple, spans.collect())}
+    found = {k: [] for k in want}
+    for r in got.collect():
+        found[r["doc_id"], r["det"]].append(r["goffset"])
+    assert {k: sorted(v) for k, v in found.items()} == want
+    assert "1024" in got._jdf.queryExecution().optimizedPlan().toString() and set(got.columns) == {"doc_id", "det", "goffset", "ch"}
