@@ -26,7 +26,8 @@ def span_map(spans: DataFrame) -> DataFrame:
 
 def offset_map(rows: DataFrame) -> DataFrame:
     """(doc_id, offset2coordsMap): page -> block -> boxes in order, of characters or of spans alike."""
-    boxes = rows.groupBy(*_KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.array(*_PLACE).alias("b")))), lambda x: x["b"]).alias("boxes"))
+    # A document's map is one row: its characters are brought together once, and pages and blocks need no further shuffle.
+    boxes = rows.select(*_KEYS, "offset", *_PLACE).repartition("doc_id").groupBy(*_KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.array(*_PLACE).alias("b")))), lambda x: x["b"]).alias("boxes"))
     pages = boxes.groupBy("doc_id", "page_num").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("block_num").cast("string"), "boxes")))).alias("blocks"))
     return pages.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("page_num").cast("string"), "blocks"))).alias("offset2coordsMap"))
 

@@ -239,3 +239,11 @@ def test_spans_meet_their_characters_by_stretches(spark):
         found[r["doc_id"], r["det"]].append(r["goffset"])
     assert {k: sorted(v) for k, v in found.items()} == want
     assert "1024" in got._jdf.queryExecution().optimizedPlan().toString() and set(got.columns) == {"doc_id", "det", "goffset", "ch"}
+
+
+def test_a_map_is_brought_together_once(spark):
+    place = [F.col("id").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    rows = spark.range(400).select((F.col("id") % 7).alias("doc_id"), (F.col("id") % 3).alias("page_num"), (F.col("id") % 2).alias("block_num"), F.col("id").alias("offset"), *place)
+    wire = maps.offset_map(rows)
+    assert wire._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, maps.mapped(wire).select("doc_id", "page_num", "block_num", "x0").collect())) == sorted((i % 7, i % 3, i % 2, float(i)) for i in range(400))
