@@ -66,9 +66,11 @@ def spans(text: Column, pattern: str, whole: bool = False) -> Column:
         return F.when(F.size(hits) > 0, placed(F.slice(F.split(text, same, -1), F.lit(1), F.size(hits)), hits)).otherwise(none)
 
     def between(parts: Column) -> Column:
-        at = F.length(F.get(parts, 0))
-        one = F.array(F.struct(at.alias("start"), (at + F.length(F.get(parts, 1))).alias("end"), F.get(parts, 1).alias("text")))
-        return F.when(F.size(parts) == 3, one).when(F.size(parts) > 1, placed(F.filter(parts, lambda _, i: (i % 2 == 0) & (i < F.size(parts) - 1)), F.filter(parts, lambda _, i: i % 2 == 1))).otherwise(none)
+        length = lambda k: F.length(F.get(parts, k))
+        one = lambda at, k: F.struct(at.alias("start"), (at + length(k)).alias("end"), F.get(parts, k).alias("text"))
+        first, second = one(length(0), 1), one(length(0) + length(1) + length(2), 3)
+        many = placed(F.filter(parts, lambda _, i: (i % 2 == 0) & (i < F.size(parts) - 1)), F.filter(parts, lambda _, i: i % 2 == 1))
+        return F.when(F.size(parts) == 3, F.array(first)).when(F.size(parts) == 5, F.array(first, second)).when(F.size(parts) > 1, many).otherwise(none)
 
     # One run of the pattern marks its matches, and the marks are told without it; a text that holds the mark is read twice.
     marked = let(F.split(F.regexp_replace(text, F.lit(same), F.lit(f"{MARK}$0{MARK}")), MARK, -1), between)

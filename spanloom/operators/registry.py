@@ -13,11 +13,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import values
 from spanloom.operators import choose, detect
-from spanloom.shipping import apart, saved
+from spanloom.shipping import apart, dealt, written
 
 #: Characters before a match in which a context word counts, what it adds, and the least score that it gives.
 WINDOW, RAISE, RAISED = 50, 0.35, 0.4
@@ -35,12 +36,9 @@ class Recogniser:
 
 def luhn(text: Column) -> Column:
     """Whether the digits have a right check digit by doubling every second one from the right; null without any."""
-    backwards = F.reverse(values.digits_only(text))
-    # Two digits a step: the first counts as it is, the second twice; an odd number of them ends with a zero.
-    pairs = F.regexp_extract_all(F.concat(backwards, F.lit("0")), F.lit("[0-9]{2}"), F.lit(0))
-    twice = F.array(*[F.lit(n // 10 + (2 * (n % 10) if n % 10 < 5 else 2 * (n % 10) - 9)) for n in range(100)])
-    total = F.aggregate(pairs, F.lit(0), lambda a, p: a + F.get(twice, p.cast("int")))
-    return F.when(F.length(backwards) > 0, total % 10 == 0)
+    digits = values.digits_only(text)
+    checked = lambda d: F.call_function("luhn_check", d)
+    return F.when(text.rlike(r"^[0-9]+\z"), checked(text)).when(F.length(digits) > 0, checked(digits))
 
 
 def mod97(text: Column) -> Column:
@@ -51,7 +49,10 @@ def mod97(text: Column) -> Column:
     step = lambda a, c: F.when(F.ascii(c) < 58, a * F.get(powers, F.length(c)) + c.cast("long")).otherwise(a * 100 + F.ascii(c) - 55) % 97
     moved = lambda b: F.concat(F.substring(b, F.lit(5), F.length(b)), F.substring(b, 1, 4))
     rest = lambda b: F.aggregate(F.regexp_extract_all(moved(b), F.lit("[0-9]{1,9}|[A-Z]"), F.lit(0)), F.lit(0).cast("long"), step)
-    return detect.let(bare, lambda b: (F.length(b) > 4) & (rest(b) == 1))
+    # Two letters and digits alone, up to 38 with two for a letter, are one number.
+    two = lambda k: (F.ascii(F.substring(text, k, 1)) - 55).cast("string")
+    number = F.concat(F.substring(text, F.lit(5), F.length(text)), two(1), two(2), F.substring(text, 3, 2)).cast("decimal(38,0)")
+    return F.when(text.rlike(r"^[A-Z]{2}[0-9]{3,34}\z"), number % 97 == 1).otherwise(detect.let(bare, lambda b: (F.length(b) > 4) & (rest(b) == 1)))
 
 
 def address_parts(text: Column) -> Column:
@@ -92,14 +93,19 @@ def scored(docs: DataFrame, recognisers: tuple[Recogniser, ...] = DEFAULT, entit
     # Exploding an array of one keeps a check from being computed wherever it is asked for.
     rows = rows.withColumn("held", F.explode(F.array(held))).filter("held IS NULL OR held").withColumn("score", F.when(F.col("held"), 1.0).otherwise(F.col("score")))
     # Context and conflicts ask for the matches several times; written, they are found once.
-    rows = saved(rows)
-    return raised(rows, docs, {k: r.context for k, r in enumerate(wanted) if r.context}, text_col, window).select("doc_id", "entity", "start", "end", "word", "score", F.col("held").isNotNull().alias("checked"))
+    rows = written(rows)
+    found = raised(rows, docs, {k: r.context for k, r in enumerate(wanted) if r.context}, text_col, window)
+    return dealt(found, rows.count(), "doc_id", "entity").select("doc_id", "entity", "start", "end", "word", "score", F.col("held").isNotNull().alias("checked"))
 
 
 def raised(rows: DataFrame, docs: DataFrame, context: dict[int, tuple[str, ...]], text_col: str, window: int) -> DataFrame:
     """rows (with which, the recogniser's number) whose score a context word of their recogniser raises; words are parts of text, whatever their case."""
     if not context:
         return rows
+    open_, settled = rows.filter("score < 1"), rows.filter("score >= 1")
+    # What was written tells its least score by file: where all is settled, no text is read for context words.
+    if open_.isEmpty():
+        return rows
     words = sorted({w for listed in context.values() for w in listed})
     pairs = [F.struct(F.lit(k).alias("k"), F.lit(words.index(w)).alias("w")) for k, listed in context.items() for w in listed]
     lowered = docs.select("doc_id", F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
@@ -109,7 +115,6 @@ def raised(rows: DataFrame, docs: DataFrame, context: dict[int, tuple[str, ...]]
     told = told.select("of_doc", "e", F.col("p.k").alias("k")).distinct()
     told = told.withColumn("cell", F.explode(F.sequence(F.floor(F.col("e") / CELL), F.floor((F.col("e") + window) / CELL))))
     on = (F.col("doc_id") == F.col("of_doc")) & (F.floor(F.col("start") / CELL) == F.col("cell")) & (F.col("which") == F.col("k")) & F.col("e").between(F.col("start") - window, F.col("start"))
-    open_, settled = rows.filter("score < 1"), rows.filter("score >= 1")
     near = open_.join(apart(told), on, "left_semi").select("doc_id", "which", "start", "end").distinct().withColumn("near", F.lit(True))
     up = F.when(F.col("near"), F.least(F.lit(1.0), F.greatest(F.lit(RAISED), F.col("score") + RAISE))).otherwise(F.col("score"))
     return settled.unionByName(open_.join(apart(near), ["doc_id", "which", "start", "end"], "left").withColumn("score", up).drop("near"))
@@ -118,12 +123,19 @@ def raised(rows: DataFrame, docs: DataFrame, context: dict[int, tuple[str, ...]]
 def without_contained(found: DataFrame) -> DataFrame:
     """found (doc_id, entity, start, end, score, ...) without what lies in a better match of its entity: a higher score, then an
     earlier start, then a greater length; of equal ones one stays."""
-    once = found.dropDuplicates(["doc_id", "entity", "start", "end", "score"])
-    o = once.select(F.col("doc_id").alias("od"), F.col("entity").alias("oe"), F.col("start").alias("o0"), F.col("end").alias("o1"), F.col("score").alias("os"))
-    o = o.withColumn("cell", F.explode(F.sequence(F.floor(F.col("o0") / CELL), F.floor((F.col("o1") - 1) / CELL))))
-    better = (F.col("os") > F.col("score")) | ((F.col("os") == F.col("score")) & ((F.col("o0") < F.col("start")) | ((F.col("o0") == F.col("start")) & (F.col("o1") > F.col("end")))))
-    on = (F.col("doc_id") == F.col("od")) & (F.col("entity") == F.col("oe")) & (F.floor(F.col("start") / CELL) == F.col("cell")) & (F.col("o0") <= F.col("start")) & (F.col("end") <= F.col("o1")) & better
-    return once.join(apart(o), on, "left_anti")
+    group = W.partitionBy("doc_id", "entity", "cell")
+    order = group.orderBy("start", F.desc("end"), F.desc("score"))
+    span = F.struct("start", "end", "score")
+    rows = found.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL))))
+    # What lies in another one comes after it in this order, so the furthest end before tells most that lie in none.
+    before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumns({"again": F.coalesce(F.lag(span).over(order) == span, F.lit(False)), "inside": F.coalesce(before >= F.col("end"), F.lit(False))}).filter("NOT again")
+    # A cell holds few spans once each is there once: a pattern's own never overlap.
+    rows = rows.withColumn("others", F.collect_list(span).over(group)).filter(F.floor(F.col("start") / CELL) == F.col("cell"))
+    first = lambda o: (o["start"] < F.col("start")) | ((o["start"] == F.col("start")) & (o["end"] > F.col("end")))
+    better = lambda o: (o["score"] > F.col("score")) | ((o["score"] == F.col("score")) & first(o))
+    worse = F.exists("others", lambda o: (o["start"] <= F.col("start")) & (F.col("end") <= o["end"]) & better(o))
+    return rows.filter(F.col("doc_id").isNull() | F.col("entity").isNull() | ~(F.col("inside") & worse)).select(*found.columns)
 
 
 def analyse(docs: DataFrame, recognisers: tuple[Recogniser, ...] = DEFAULT, entities: list[str] | None = None, threshold: float = 0.0, apart: bool = False, text_col: str = "text") -> DataFrame:

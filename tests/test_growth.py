@@ -247,3 +247,41 @@ def test_a_map_is_brought_together_once(spark):
     wire = maps.offset_map(rows)
     assert wire._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, maps.mapped(wire).select("doc_id", "page_num", "block_num", "x0").collect())) == sorted((i % 7, i % 3, i % 2, float(i)) for i in range(400))
+
+
+def test_settled_matches_need_no_context_and_no_join(spark, monkeypatch):
+    """Where every score is settled no text is read again, and what lies in a better match is told by windows over cells in tasks of few rows."""
+    monkeypatch.setattr("spanloom.shipping.ROWS_A_TASK", 100)
+    spots = []
+    literal = detect.literal_spans
+    monkeypatch.setattr(detect, "literal_spans", lambda text, word: spots.append(word) or literal(text, word))
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'visa 4111111111111111 and 1.2.3.4' AS text")
+    found = registry.analyse(docs, entities=["CREDIT_CARD", "IP_ADDRESS"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not spots and "Join" not in plan and re.findall(r"hashpartitioning\(doc_id#\w+, entity#\w+, (\d+)\), REPARTITION_BY_NUM", plan) == ["40"]
+    assert plan.count("Exchange") == 1 and found.count() == 4000
+    registry.analyse(spark.createDataFrame([(1, "1999年")], "doc_id long, text string"), (registry.Recogniser("YEAR", ((detect.PATTERNS["YEAR"], 0.5),), None, ("x",)),))
+    assert spots == ["x"]
+    # Repeated spans stand once, whatever their number; a better one of another cell's beginning is met.
+    kind = "doc_id long, entity string, start int, end int, score double"
+    rows = [(1, "A", 5, 9, 0.5)] * 300 + [(1, "A", 0, 600, 0.9), (1, "A", 300, 310, 0.5), (1, "A", 520, 610, 0.5), (None, "A", 1, 2, 0.5), (None, "A", 0, 5, 0.5)]
+    left = registry.without_contained(spark.createDataFrame(rows, kind)).collect()
+    assert sorted(map(repr, map(tuple, left))) == sorted(map(repr, [rows[300], rows[302], rows[303], rows[304]]))
+
+
+def test_patterns_look_at_few_first_characters(spark):
+    from spanloom.functions import patterns
+
+    assert patterns.java(r"\b(?<![.-])\d{3}").startswith(r"(?=[\p{Nd}])") and not patterns.java(r"\b[\w.]+").startswith("(?=") and not patterns.java("^a").startswith("(?=")
+    texts = ["a12", "12 a", "1.23", "x-1", "ab cd", "éa", "", "１2", "12\n"]
+    wanted = [r"\b(?<![.-])\d", r"\b[a-c]", r"\B[0-9]+", r"(?<=a)\d+", r"\b[\w.]+\b", r"(?i)\b[k-z]", r"(?<!x)-?\d"]
+    row = lambda p: [[tuple(s) for s in r["s"]] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(detect.spans(F.col("t"), p, whole=True).alias("s")).collect()]
+    for p in wanted:
+        assert row(p) == [[(m.start(), m.end(), m[0]) for m in re.finditer(p, t)] for t in texts], p
+
+
+def test_direct_checks_read_no_line_feed(spark):
+    rows = spark.createDataFrame([(w,) for w in ["18\n", "18", "DE89370400440532013000\n", "DE89370400440532013000", "DE89370400440532013001", "GB82WEST12345698765432", "ZZ" + "9" * 34, "ZZ" + "9" * 35]], "w string")
+    got = [tuple(r) for r in rows.coalesce(1).select(registry.luhn(F.col("w")), registry.mod97(F.col("w"))).collect()]
+    number = lambda b: int("".join(c if c.isdigit() else str(ord(c) - 55) for c in b[4:] + b[:4])) % 97 == 1
+    assert [m for _, m in got][2:] == [number(r["w"].strip()) for r in rows.collect()][2:] and [x for x, _ in got][:2] == [True, True]
