@@ -11,7 +11,7 @@ from spanloom.functions import values as V
 from spanloom.operators import detect, highlights, layout, maps, offsets, resolve
 from spanloom.plans import more
 from spanloom.plans import queries as base
-from spanloom.shipping import apart, ensure_checkpoint_dir, written
+from spanloom.shipping import apart, dealt, ensure_checkpoint_dir, written
 from spanloom.sources import files, store
 
 _table = base._table
@@ -43,15 +43,19 @@ def first_entities(spark: SparkSession, d: str) -> DataFrame:
 def manual_and_rest(spark: SparkSession, d: str) -> DataFrame:
     """Automatic detections taken away on some pages and by word; new ones that no existing one equals; panels before what was read."""
     rows = more._places(spark, d)
-    scope = rows.filter("entity = 'PERSON'").select("doc_id", "page_num").distinct()
-    kept = resolve.without_words(resolve.without_automatic(rows, scope), ["w50", "w60", "w70"])
-    fresh = resolve.unmatched(rows.filter("origin = 'auto'"), rows.filter("origin = 'manual'"))
-    panel = resolve.detect_input(rows.filter("entity = 'LOCATION'"), rows.filter("entity = 'PERSON'"))
+    n = _table(spark, d, "lineitem").count()
+    # Each join and the grouping get tasks of so many rows, however much there is.
+    by_page, by_span, by_doc = dealt(rows, n, "doc_id", "page_num"), dealt(rows, n, "doc_id", "entity", "gstart", "gend"), dealt(rows, n, "doc_id")
+    scope = by_page.filter("entity = 'PERSON'").select("doc_id", "page_num").distinct()
+    kept = resolve.without_words(resolve.without_automatic(by_page, scope), ["w50", "w60", "w70"])
+    fresh = resolve.unmatched(by_span.filter("origin = 'auto'"), by_span.filter("origin = 'manual'"))
+    panel = resolve.detect_input(by_doc.filter("entity = 'LOCATION'"), by_doc.filter("entity = 'PERSON'"))
     tagged = [x.select(F.lit(name).alias("what"), "doc_id", "entity", "origin") for name, x in (("kept", kept), ("fresh", fresh), ("panel", panel), ("manual", resolve.without_automatic(rows)))]
     out = tagged[0]
     for x in tagged[1:]:
         out = out.unionByName(x)
-    return out.groupBy("what", "doc_id", "entity", "origin").agg(F.count("*").alias("n"))
+    # Automatic and manual rows are all rows; kept ones and the panel's are at most as many each.
+    return dealt(out, 3 * n, "doc_id").groupBy("what", "doc_id", "entity", "origin").agg(F.count("*").alias("n"))
 
 
 def preferred_results(spark: SparkSession, d: str) -> DataFrame:

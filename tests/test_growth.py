@@ -285,3 +285,13 @@ def test_direct_checks_read_no_line_feed(spark):
     got = [tuple(r) for r in rows.coalesce(1).select(registry.luhn(F.col("w")), registry.mod97(F.col("w"))).collect()]
     number = lambda b: int("".join(c if c.isdigit() else str(ord(c) - 55) for c in b[4:] + b[:4])) % 97 == 1
     assert [m for _, m in got][2:] == [number(r["w"].strip()) for r in rows.collect()][2:] and [x for x, _ in got][:2] == [True, True]
+
+
+def test_rows_of_documents_are_joined_and_grouped_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr("spanloom.shipping.ROWS_A_TASK", 100)
+    plan = entry.queries()["manual_and_rest"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    n = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    dealt = [int(x) for x in re.findall(r"hashpartitioning\(doc_id#.*?, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert min(dealt) == n // 100 and max(dealt) == 3 * n // 100
+    # What is grouped is dealt once: the grouping itself exchanges nothing.
+    assert plan.count("Exchange hashpartitioning(what") == 0
