@@ -3,9 +3,11 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from spanloom.functions.values import ENTITIES
 from spanloom.operators import highlights, offsets, pages
 from spanloom.plans import runs, service
@@ -299,3 +301,13 @@ def test_maps_are_embedded_by_a_step(spark, tmp_path):
     empty = spark.createDataFrame([(3, {})], wire.schema)
     with pytest.raises(Exception, match="no coordinate map"):
         steps.embed_step({"maps": empty}, {"path": path})
+
+
+@pytest.mark.parametrize("name", ["page_rows", "page_scan"])
+def test_long_sentences_keep_their_places(spark, tmp_path, name):
+    texts = ["a" * 1100 + ". b. c. " + "a" * 90, ("ab 山😀" * 300 + ". ") * 5 + "ab 山😀" * 20, "z" * 1007 + ". y. \t. " + "z" * 30, "\n. 　.  . x", "", None]
+    rows = spark.createDataFrame([(k // 2, k % 2, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect())) == sorted(db.execute(entry.oracle_sql()[name]).fetchall())
