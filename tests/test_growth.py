@@ -295,3 +295,10 @@ def test_rows_of_documents_are_joined_and_grouped_in_small_tasks(spark, monkeypa
     assert min(dealt) == n // 100 and max(dealt) == 3 * n // 100
     # What is grouped is dealt once: the grouping itself exchanges nothing.
     assert plan.count("Exchange hashpartitioning(what") == 0
+
+
+def test_page_documents_are_shuffled_as_texts_alone(spark):
+    plan = entry.queries()["page_rows"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    below = [line for line in plan.split("\n") if "REPARTITION_BY_NUM" in line]
+    assert below and "collect_list" not in plan.split(below[-1])[1]
