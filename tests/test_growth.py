@@ -4,12 +4,13 @@ import random
 import re
 import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 import __spark_entry__ as entry
-from spanloom.operators import detect, highlights, layout, legacy, maps, ocr, pages, registry, resolve
+from spanloom.operators import detect, highlights, layout, legacy, maps, ocr, offsets, pages, registry, resolve
 from spanloom.plans import queries, recognition, service
 
 SMALL = "/root/testdata/sf0.001"
@@ -302,3 +303,24 @@ def test_page_documents_are_shuffled_as_texts_alone(spark):
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
     below = [line for line in plan.split("\n") if "REPARTITION_BY_NUM" in line]
     assert below and "collect_list" not in plan.split(below[-1])[1]
+
+
+def test_places_without_white_space_are_counted_by_pieces(spark, tmp_path, monkeypatch):
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("ab 　\t\x1c\x85é山😀") for _ in range(rng.randrange(400))) for _ in range(80)] + ["", None, "a", " ", "a" * 64, " " * 64 + "b" + " " * 63 + "c", "\x1f"]
+    texts = [t if t is None else t.replace("\n", "") for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").withColumn("t", F.coalesce("t", F.lit("")))
+    chars = offsets.target_chars(F.array(F.array("t")), True, True)
+    rows = docs.select("doc_id", F.length("t").alias("n"), chars.alias("c"), offsets.pieces(F.col("t")).alias("p")).withColumn("size", offsets.unspaced_size(F.col("p")))
+    spans = [(0, 1), (-3, 2), (5, 5), (7, 3), (40, 90), (63, 65), (64, 64), (0, 10**6), (10**6, 10**6), (None, 2), (2, None)]
+    for a, b in spans:
+        a, b = F.lit(a).cast("int"), F.lit(b).cast("int")
+        places = F.transform("c", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+        got = rows.select("doc_id", F.col("size") == F.size("c"), offsets.base_span(a, b, places, F.col("n")) == offsets.unspaced_span(a, b, F.col("p"), F.col("size"), F.col("n"))).collect()
+        assert all(r[1] and r[2] for r in got)
+    monkeypatch.delattr(offsets, "target_chars")
+    lines = spark.createDataFrame([(k, f"{t}\n \n{t}x" if t else t) for k, t in enumerate(t and re.sub("[\x1c-\x1f\x85\t]", "_", t) for t in texts)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    lines.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, entry.queries()["target_positions"](spark, str(tmp_path)).collect())) == sorted(db.execute(entry.oracle_sql()["target_positions"]).fetchall())
